@@ -4,18 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumidex.llm import simhash
+from lumidex.llm import bpe, simhash
 from lumidex.llm.common import table
 
+VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip_report(table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN)
+
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_report(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_simhash": op7_simhash}
+    return {"op4_byte_bpe": op4_byte_bpe, "op7_simhash": op7_simhash}
 
 
 def oracle_sql() -> dict[str, str]:

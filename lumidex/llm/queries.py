@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumidex.llm import bpe, simhash
+from lumidex.llm import bpe, langid, simhash
 from lumidex.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -21,8 +21,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_report(table(spark, sf_dir, "documents"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_byte_bpe": op4_byte_bpe, "op7_simhash": op7_simhash}
+    return {"op4_byte_bpe": op4_byte_bpe, "op7_simhash": op7_simhash, "op8_language": op8_language}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumidex.llm import bpe, langid, simhash
+from lumidex.llm import bpe, langid, linededup, simhash
 from lumidex.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_report(table(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_report(table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN)
 
@@ -26,7 +30,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_byte_bpe": op4_byte_bpe, "op7_simhash": op7_simhash, "op8_language": op8_language}
+    return {"op3_line_dedup": op3_line_dedup, "op4_byte_bpe": op4_byte_bpe, "op7_simhash": op7_simhash, "op8_language": op8_language}
 
 
 def oracle_sql() -> dict[str, str]:

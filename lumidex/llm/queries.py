@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumidex.llm import bpe, langid, linededup, simhash
+from lumidex.llm import bpe, langid, licenses, linededup, simhash
 from lumidex.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_report(table(spark, sf_dir, "documents"))
 
@@ -30,8 +34,8 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_line_dedup": op3_line_dedup, "op4_byte_bpe": op4_byte_bpe, "op7_simhash": op7_simhash, "op8_language": op8_language}
+    return {"op1_licenses": op1_licenses, "op3_line_dedup": op3_line_dedup, "op4_byte_bpe": op4_byte_bpe, "op7_simhash": op7_simhash, "op8_language": op8_language}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_licenses": licenses.license_sql()}

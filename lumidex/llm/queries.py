@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumidex.llm import bpe, langid, licenses, linededup, simhash
+from lumidex.llm import bpe, chat, langid, licenses, linededup, mixing, sharding, simhash
 from lumidex.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -17,6 +17,10 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_report(table(spark, sf_dir, "documents"))
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_report(table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_report(table(spark, sf_dir, "documents"))
 
@@ -25,6 +29,14 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_report(table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN)
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixing_report(table(spark, sf_dir, "documents"))
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_report(table(spark, sf_dir, "conversations"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_report(table(spark, sf_dir, "documents"))
 
@@ -33,9 +45,12 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_report(table(spark, sf_dir, "documents"))
 
 
+QUERIES = [op1_licenses, op2_sharding, op3_line_dedup, op4_byte_bpe, op5_mixing, op6_chat, op7_simhash, op8_language]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_licenses": op1_licenses, "op3_line_dedup": op3_line_dedup, "op4_byte_bpe": op4_byte_bpe, "op7_simhash": op7_simhash, "op8_language": op8_language}
+    return {q.__name__: q for q in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_licenses": licenses.license_sql()}
+    return {"op1_licenses": licenses.license_sql(), "op5_mixing": mixing.mixing_sql(), "op6_chat": chat.chat_sql()}

@@ -158,7 +158,8 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_w
     spans = repeated_runs(keyed.select("k0", "k1", text), text, min_words)
     lines = F.split(text, "\n", -1)
     counted = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines")
-    joined = keyed.join(spans, _DOC, "left").select(*rest, "spans", counted)
+    # the spans of a partition are built into a hash table, so that texts stream past unsorted
+    joined = keyed.join(spans.hint("shuffle_hash"), _DOC, "left").select(*rest, "spans", counted)
 
     def kept(each: Column) -> Column:
         start = lambda j: F.when(j == 0, F.lit(0)).otherwise(F.try_element_at("spans", j)["to_pos"] + 1)

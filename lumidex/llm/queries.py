@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumidex.llm import ann, bpe, chat, langid, licenses, linededup, mixing, sharding, simhash
+from lumidex.llm import ann, bpe, chat, ibf, langid, licenses, linededup, mixing, sharding, simhash
 from lumidex.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -45,11 +45,15 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_report(table(spark, sf_dir, "documents"))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ibf.version_report(table(spark, sf_dir, "documents"))
+
+
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbour_report(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = [op1_licenses, op2_sharding, op3_line_dedup, op4_byte_bpe, op5_mixing, op6_chat, op7_simhash, op8_language, op10_neighbours]
+QUERIES = [op1_licenses, op2_sharding, op3_line_dedup, op4_byte_bpe, op5_mixing, op6_chat, op7_simhash, op8_language, op9_fingerprints, op10_neighbours]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

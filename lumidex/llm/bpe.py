@@ -17,7 +17,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
+import unicodedata
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +31,9 @@ from lumidex.llm.common import short_batches
 
 LONG_WORD = 64
 KEPT_WORDS = 500_000
-#: Words that one recursive query takes.
-WORDS_AT_ONCE = 20_000
+#: Words that one recursive query takes, and characters of the texts that are split together.
+WORDS_AT_ONCE = 60_000
+CHARS_AT_ONCE = 4_000_000
 
 _RECURSIVE = """
 WITH RECURSIVE state AS (
@@ -82,6 +86,39 @@ def read_ranks(path: str) -> list[bytes]:
     return tokens
 
 
+def latin_pattern(pattern: str) -> str | None:
+    """The pattern with its classes spelled out for the first 256 characters, for the faster ``re``.
+
+    None if it has a property or escape other than letters, numbers and white space.
+    """
+    kinds = {r"\p{L}": "L", r"\p{N}": "N", r"\s": "s", r"\S": "S"}
+    rest = re.sub(r"\\p\{[LN]\}|\\[sS]", "", pattern)
+    if "\\" in rest:
+        return None
+    members = {"L": [], "N": [], "s": []}
+    for i in range(256):
+        kind = unicodedata.category(chr(i))[0]
+        if kind in "LN":
+            members[kind].append(i)
+        elif chr(i) in "\t\n\v\f\r \x85\xa0":
+            members["s"].append(i)
+    text = {k: "".join(f"\\x{i:02x}" for i in v) for k, v in members.items()}
+    out, inside, i = [], False, 0
+    while i < len(pattern):
+        kind = next((k for k in kinds if pattern.startswith(k, i)), None)
+        if kind is None:
+            inside = pattern[i] == "[" or inside and pattern[i] != "]"
+            out.append(pattern[i])
+            i += 1
+            continue
+        name = kinds[kind]
+        if name == "S" and inside:
+            return None
+        out.append(text[name] if inside else f"[^{text['s']}]" if name == "S" else f"[{text[name]}]")
+        i += len(kind)
+    return "".join(out)
+
+
 class DuckBpe:
     """Encodes and decodes batches of texts; holds a DuckDB connection with merges and vocabulary."""
 
@@ -91,6 +128,8 @@ class DuckBpe:
 
         self.tokens = tokens
         self.split = regex.compile(pattern).findall
+        latin = latin_pattern(pattern)
+        self.split_latin = re.compile(latin).findall if latin else None
         rank = {t: i for i, t in enumerate(tokens) if t}
         self.of_byte = np.array([rank.get(bytes([b]), 0) for b in range(256)], np.int32)
         pairs, ranks = [], []
@@ -112,18 +151,33 @@ class DuckBpe:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers; null as empty."""
-        out = []
-        for lo in range(0, len(texts), 64):
-            split = [self.split(t) if t else [] for t in texts[lo : lo + 64]]
-            missing = list(set().union(*split) - self.kept.keys())
+        out: list[bytes] = []
+        lo = 0
+        while lo < len(texts):
+            hi, chars = lo, 0
+            while hi < len(texts) and (hi == lo or chars < CHARS_AT_ONCE):
+                chars += len(texts[hi] or "")
+                hi += 1
+            split = [self._words(t) if t else [] for t in texts[lo:hi]]
+            missing = set(filterfalse(self.kept.__contains__, chain.from_iterable(split)))
             if missing and len(self.kept) + len(missing) > KEPT_WORDS:
                 self.kept.clear()
-                missing = list(set().union(*split))
-            self._learn(missing)
+                missing = set(chain.from_iterable(split))
+            self._learn(list(missing))
             found = self.kept.__getitem__
             out += [b"".join(map(found, words)) for words in split]
+            lo = hi
         return out
 
+    def _words(self, text: str) -> list[str]:
+        if self.split_latin is not None:
+            try:
+                text.encode("latin-1")
+                return self.split_latin(text)
+            except UnicodeEncodeError:
+                pass
+        return self.split(text)
+
     def _learn(self, words: list[str]) -> None:
         raw = [(w, w.encode("utf-8", "surrogatepass")) for w in words]
         short = [x for x in raw if len(x[1]) <= LONG_WORD]
@@ -159,10 +213,7 @@ class DuckBpe:
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """The bytes that each row of ids (little-endian unsigned 32-bit integers) stands for."""
-        ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
-        values = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
-        self._put("docs", pa.table({"d": pa.array(range(len(ids)), pa.int32()), "ids": lists}))
+        self._put("docs", pa.table({"d": pa.array(range(len(ids)), pa.int32()), "ids": _id_lists(ids)}))
         out = [b""] * len(ids)
         got = self.db.sql(_DECODE).to_arrow_table()
         for d, b in zip(got["d"].to_pylist(), got["bytes"].to_pylist()):
@@ -191,7 +242,7 @@ def _per_batch(df: DataFrame, path: str, pattern: str, columns: dict[str, pa.Dat
         for batch in batches:
             if batch.num_rows:
                 made = work(coder, batch)
-                arrays = [*(batch.column(n) for n in batch.schema.names if n not in columns), *(pa.array(made[n], t) for n, t in columns.items())]
+                arrays = [*(batch.column(n) for n in batch.schema.names if n not in columns), *(made[n] if isinstance(made[n], pa.Array) else pa.array(made[n], t) for n, t in columns.items())]
                 yield pa.RecordBatch.from_arrays(arrays, [*(n for n in batch.schema.names if n not in columns), *columns])
 
     left = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name not in columns)
@@ -206,7 +257,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
 
     def work(coder: DuckBpe, batch: pa.RecordBatch) -> dict:
         got = coder.encode(batch.column(text).to_pylist())
-        return {out: [np.frombuffer(x, "<u4").astype(np.int32) for x in got]}
+        return {out: _id_lists(got)}
 
     return _per_batch(df, path, pattern, {out: pa.list_(pa.int32())}, f"`{out}` array<int>", work)
 
@@ -237,3 +288,23 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> Da
 def round_trip_report(df: DataFrame, path: str, pattern: str) -> DataFrame:
     """The fixed result of the registered query."""
     return round_trip(df.select("doc_id", F.col("text")), path, pattern).drop("text")
+
+
+def tokenised(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """The rows with ``ids`` instead of the text, plus ``n_tokens`` and ``decoded_sha256`` of the text that the ids decode to.
+
+    Null and empty texts have no ids. Columns of those names are replaced, others passed on.
+    """
+
+    def work(coder: DuckBpe, batch: pa.RecordBatch) -> dict:
+        ids = coder.encode(batch.column(text).to_pylist())
+        back = coder.decode(ids)
+        return {"n_tokens": [len(x) // 4 for x in ids], "ids": _id_lists(ids), "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in back]}
+
+    columns = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "decoded_sha256": pa.string()}
+    return _per_batch(df, path, pattern, columns, "n_tokens long, ids array<int>, decoded_sha256 string", work).drop(text)
+
+
+def _id_lists(ids: list[bytes]) -> pa.ListArray:
+    ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32)))

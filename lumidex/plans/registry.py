@@ -1,15 +1,374 @@
-"""All registered queries of the photo index."""
+"""All registered queries of the photo index, over a collection derived from the test tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lumidex.functions import hashing, quality, text
+from lumidex.functions.numbers import mean, rounded
+from lumidex.operators import groups, index, ranking, similarity, transfer
+from lumidex.plans import photo_sql
+from lumidex.session import cut
+from lumidex.settings import METRICS, Settings
+from lumidex.sources.photo_index import analysed_index, photo_facts, photo_index, rounded_raw
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_FOUND: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    _FOUND[f.__name__] = f
+    return f
+
+
+def _ok(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return photo_index(spark, sf_dir).where("status = 'ok'")
+
+
+def _ranking(sort: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ranked = ranking.with_rank(_ok(spark, sf_dir), sort)
+        extra = ["score", text.grade(F.col("score")).alias("grade")] if sort == "score" else []
+        return ranked.select("id", "filename", *extra, "rank")
+
+    return run
+
+
+for _sort in photo_sql.ORDERS:
+    _FOUND[f"rank_{_sort}"] = _ranking(_sort)
+
+
+@query
+def search_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.select_photos(photo_index(spark, sf_dir), search="SRC1/", sort=None).select("id", "path")
+
+
+@query
+def search_wildcard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.select_photos(photo_index(spark, sf_dir), search="y_a", sort=None).select("id", "camera")
+
+
+@query
+def filter_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.select_photos(photo_index(spark, sf_dir), flag="noisy", sort=None).select("id", F.array_join("flags", ",").alias("flags"))
+
+
+@query
+def filter_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.select_photos(photo_index(spark, sf_dir), min_score=66, max_score=74, sort=None).select("id", "score")
+
+
+@query
+def filter_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.select_photos(photo_index(spark, sf_dir), mark="keep", sort=None).select("id", "mark")
+
+
+@query
+def topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.select_photos(photo_index(spark, sf_dir), limit=25).select("id", "score")
+
+
+@query
+def above_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.above_score(photo_index(spark, sf_dir), 75).select("id", "score")
+
+
+@query
+def lookup_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.by_id(photo_index(spark, sf_dir), 44).select("id", "path", "status")
+
+
+@query
+def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.signatures(photo_index(spark, sf_dir))
+
+
+@query
+def digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.digests(photo_index(spark, sf_dir))
+
+
+@query
+def stats_global(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.statistics(photo_index(spark, sf_dir)).withColumn("mean_score", rounded(F.col("mean_score"), 4))
+
+
+@query
+def stats_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.marks(photo_index(spark, sf_dir))
+
+
+@query
+def stats_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return photo_index(spark, sf_dir).agg(F.count("*").alias("photos"), F.count_if(F.col("status") == "ok").alias("usable"))
+
+
+@query
+def percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.percentiles(_ok(spark, sf_dir).select("id", "score")).select("id", "percentile")
+
+
+@query
+def grade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    score = F.col("score")
+    return _ok(spark, sf_dir).groupBy(text.grade(score).alias("grade"), text.band(score).alias("band")).agg(F.count("*").alias("n"))
+
+
+def _hash(name: str) -> Query:
+    return lambda spark, sf_dir: photo_index(spark, sf_dir).select("id", name)
+
+
+for _name in ("ahash", "dhash", "phash"):
+    _FOUND[_name] = _hash(_name)
+
+
+@query
+def color_sig(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ok(spark, sf_dir).select("id", F.array_join(F.transform("color_sig", lambda v: v.cast("string")), ",").alias("color_sig"))
+
+
+@query
+def luma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return photo_facts(spark, sf_dir).select("id", rounded(mean(quality.luma(F.col("red"), F.col("green"), F.col("blue")))).alias("luma"))
+
+
+@query
+def rotated_dhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return photo_facts(spark, sf_dir).select("id", hashing.turned(F.col("gray"), 1).alias("turned")).select("id", hashing.dhash(F.col("turned")).alias("dhash_90"))
+
+
+def _hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ok photos' hashes, materialised once for the several uses of a join."""
+    return cut(_ok(spark, sf_dir).select("id", "path", "filename", "sha256", "phash", "dhash", "color_sig", "score", "width", "height", "size", "mtime", "status"))
+
+
+def _pairs(radius: int) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = similarity.hashed(_hashes(spark, sf_dir))
+        return similarity.hamming_pairs(rows, rows, radius)
+
+    return run
+
+
+for _radius in (10, 15, 18):
+    _FOUND[f"hamming_pairs_t{_radius}"] = _pairs(_radius)
+
+
+@query
+def color_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    photos = _hashes(spark, sf_dir)
+    rows = similarity.hashed(photos)
+    pairs = similarity.hamming_pairs(rows, rows, 15)
+    facts = lambda i: photos.select(F.col("id").alias(i), hashing.halves(F.col("dhash")).alias(f"d{i}"), F.col("color_sig").alias(f"c{i}"))
+    both = pairs.join(facts("a"), "a").join(facts("b"), "b")
+    both = both.select("a", "b", "distance", hashing.hamming(F.col("da"), F.col("db")).alias("d_distance"), hashing.color_distance(F.col("ca"), F.col("cb")).alias("c"))
+    return both.where("d_distance <= 16 AND c <= 0.28").select("a", "b", "distance", "d_distance", rounded(F.col("c")).alias("c_distance"))
+
+
+@query
+def exact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ok(spark, sf_dir).groupBy("sha256").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
+
+
+def _grouped(spark: SparkSession, sf_dir: str, settings: Settings = photo_sql.WIDE) -> DataFrame:
+    return groups.duplicate_groups(_hashes(spark, sf_dir), settings)
+
+
+def _long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    photos = _hashes(spark, sf_dir)
+    return groups.with_members(groups.duplicate_groups(photos, photo_sql.WIDE), groups.group_members(photos, photo_sql.WIDE))
+
+
+@query
+def dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _grouped(spark, sf_dir, Settings())
+
+
+@query
+def dup_groups_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _grouped(spark, sf_dir)
+
+
+@query
+def group_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(spark, sf_dir)
+
+
+@query
+def group_keeper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _grouped(spark, sf_dir).select("root", "best_id")
+
+
+@query
+def group_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _grouped(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query
+def group_tightness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _grouped(spark, sf_dir).select("root", "tightness")
+
+
+@query
+def group_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups.group_statistics(_grouped(spark, sf_dir))
+
+
+@query
+def keepers_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups.keepers_only(_ok(spark, sf_dir).select("id"), _long(spark, sf_dir))
+
+
+@query
+def repaired_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long = _long(spark, sf_dir)
+    return groups.repaired(long, long.where("id % 4 = 1")).select("group_index", "id")
+
+
+@query
+def review_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups.marked_for_review(photo_index(spark, sf_dir), _long(spark, sf_dir)).select("id", "mark")
+
+
+@query
+def analyse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes, measures and scores from the planes, every time anew."""
+    return analysed_index(spark, sf_dir).select("id", "phash", "dhash", "ahash", "score", F.array_join("flags", ",").alias("flags"))
+
+
+@query
+def rescore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.rescored(photo_index(spark, sf_dir), photo_sql.OTHER_WEIGHTS).select("id", "score")
+
+
+@query
+def score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return photo_index(spark, sf_dir).select("id", "score")
+
+
+@query
+def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ok(spark, sf_dir).select("id", *[rounded(F.col(f"metrics.{m}")).alias(m) for m in METRICS])
+
+
+@query
+def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return photo_index(spark, sf_dir).select("id", F.array_join("flags", ",").alias("flags"))
+
+
+def _measure(*columns: str) -> Query:
+    return lambda spark, sf_dir: photo_index(spark, sf_dir).select("id", *[rounded_raw(c) for c in columns])
+
+
+_MEASURES = {"entropy": "entropy", "laplacian": "laplacian_variance", "edge": "edge_strength", "noise_sigma": "noise_sigma", "grain": "grain_ratio", "colorfulness": "colorfulness"}
+for _name, _column in _MEASURES.items():
+    _FOUND[_name] = _measure(_column)
+_FOUND["exposure"] = _measure("mean_luma", "shadow_clip", "highlight_clip", "contrast_std")
+
+
+@query
+def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third photo found changed, every fiftieth found under a new path."""
+    old = cut(photo_facts(spark, sf_dir).select("id", "path", "filename", "size", "mtime", "mark", "rating"))
+    changed = old.where("id % 3 = 0").selectExpr("path", "size + 7 AS size", "mtime + 60 AS mtime")
+    new = old.where("id % 50 = 1").selectExpr("concat('/photos/new/', filename) AS path", "size", "mtime")
+    return index.upsert(old.drop("filename"), changed.unionByName(new))
+
+
+@query
+def scan_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = photo_facts(spark, sf_dir).select("id", "path", "filename", "size", "mtime", "status")
+    found = old.selectExpr("if(id % 11 = 0, concat('/photos/new/', filename), path) AS path", "size + if(id % 6 = 0, 1, 0) AS size", "mtime")
+    return index.scan_difference(found, old)
+
+
+@query
+def prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan of one folder in which every other photo is gone."""
+    old = photo_facts(spark, sf_dir).select("id", "path")
+    return index.delete_paths(old, index.missing_paths(old, old.where("id % 2 = 1"), ["/photos/src1"]))
+
+
+@query
+def mark_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = photo_facts(spark, sf_dir).select("id", "mark")
+    return index.set_mark(old, old.where("id % 8 = 0"), "keep")
+
+
+@query
+def bulk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = photo_index(spark, sf_dir).select("id", "score")
+    return index.set_scores(old, old.where("id % 4 = 0").selectExpr("id", "cast(id % 100 AS double) AS score"))
+
+
+@query
+def delete_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = photo_facts(spark, sf_dir).select("id", "path")
+    return index.delete_paths(old, old.where("id % 9 = 4")).select("id")
+
+
+def _batch_and_known(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    photos = _hashes(spark, sf_dir)
+    new = (F.col("id") > 1_000_000) | (F.col("id") % 5 == 2)
+    return photos.where(new).withColumn("ord", F.col("id")), photos.where(~new)
+
+
+@query
+def import_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batch, known = _batch_and_known(spark, sf_dir)
+    return transfer.exact_import(batch.select("ord", "path", "sha256"), index.digests(known)).select("path", "outcome")
+
+
+@query
+def import_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batch, known = _batch_and_known(spark, sf_dir)
+    return transfer.similar_import(batch, known, photo_sql.WIDE).select("id", "outcome")
+
+
+@query
+def import_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plans = {"by_date": ("date", None), "by_source": ("source", "/data/photos"), "flat": ("flat", None)}
+    here = photo_facts(spark, sf_dir).withColumn("path", F.concat(F.lit("/data"), "path"))
+    return here.select("id", *[transfer.destination("/library", how, root).alias(name) for name, (how, root) in plans.items()])
+
+
+@query
+def free_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies take the names of their originals and have to give way."""
+    rows = photo_facts(spark, sf_dir).select("id", F.concat(F.lit("/out/"), F.format_string("%03d.jpg", F.col("id") % 300)).alias("target"))
+    return transfer.free_names(rows)
+
+
+@query
+def export_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = ranking.with_rank(_ok(spark, sf_dir))
+    return ranked.select("id", *[transfer.export_name(n).alias(f"by_{n}") for n in ("rank", "score", "date")])
+
+
+@query
+def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transfer.manifest(ranking.with_rank(_ok(spark, sf_dir)), _long(spark, sf_dir))
+
+
+@query
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size, width, height = F.col("size"), F.col("width"), F.col("height")
+    return photo_facts(spark, sf_dir).select(
+        "id",
+        rounded(text.megapixels(width, height)).alias("megapixels"),
+        text.human_size(size).alias("human_size"),
+        text.folder(F.col("path")).alias("folder"),
+        rounded(text.bytes_per_pixel(size, width, height), 9).alias("bytes_per_pixel"),
+        text.aspect(width, height).alias("aspect"),
+    )
+
+
+def queries() -> dict[str, Query]:
+    return dict(_FOUND)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in photo_sql.statements().items() if k in _FOUND}

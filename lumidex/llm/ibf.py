@@ -19,11 +19,14 @@ from pyspark.sql import functions as F
 from lumidex.llm.common import id_back, id_key
 from lumidex.session import cut
 
-#: Characters of a paragraph before a sentence end cuts it; cells of a fingerprint; rounds of peeling; largest retry is CELLS * 4^RETRIES cells.
+#: Characters of a paragraph before a sentence end cuts it; cells of a fingerprint; rounds of peeling; retries; spare cells of a retry;
+#: cells gathered before an append.
 PARAGRAPH = 96
 CELLS = 24
 ROUNDS = 30
-RETRIES = 9
+RETRIES = 6
+SPARE = 8
+BUFFER = 64
 _PIECES = rf"[^\n]{{{PARAGRAPH},}}?[.!?]+(?=\s|$)|[^\n]+"
 _CELL = "array<struct<c:int,n:bigint,k:bigint,h:bigint>>"
 _LOW32 = 0xFFFFFFFF
@@ -50,41 +53,65 @@ def _entries(digest: Column, sign: Column, cells: Column) -> Column:
 
 
 def _folded(entries: Column) -> Column:
-    """Entries added up by cell, in order of cell; cells that come out empty are left out."""
+    """Entries added up by cell, in order of cell; cells that come out empty are left out.
+
+    Finished cells gather in a short buffer before they are appended, as an append copies.
+    """
     nothing = F.struct(F.lit(-1).alias("c"), *[F.lit(0).cast("long").alias(x) for x in "nkh"])
-    start = F.struct(nothing.alias("open"), F.array().cast(_CELL).alias("out"))
+    none = F.array().cast(_CELL)
+    start = F.struct(nothing.alias("open"), none.alias("buffer"), none.alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         cell = acc["open"]
         sum_ = F.struct(x["c"].alias("c"), (cell["n"] + x["n"]).alias("n"), cell["k"].bitwiseXOR(x["k"]).alias("k"), cell["h"].bitwiseXOR(x["h"]).alias("h"))
-        closed = F.struct(x.alias("open"), F.concat(acc["out"], F.array(cell)).alias("out"))
-        return F.when(cell["c"] == x["c"], F.struct(sum_.alias("open"), acc["out"].alias("out"))).otherwise(closed)
+        more = F.struct(sum_.alias("open"), acc["buffer"].alias("buffer"), acc["out"].alias("out"))
+        closed = F.struct(x.alias("open"), F.concat(acc["buffer"], F.array(cell)).alias("buffer"), acc["out"].alias("out"))
+        flushed = F.struct(x.alias("open"), F.array(cell).alias("buffer"), F.concat(acc["out"], acc["buffer"]).alias("out"))
+        return F.when(cell["c"] == x["c"], more).when(F.size(acc["buffer"]) < BUFFER, closed).otherwise(flushed)
 
-    made = F.aggregate(F.array_sort(entries), start, step, lambda acc: F.concat(acc["out"], F.array(acc["open"])))
+    made = F.aggregate(F.array_sort(entries), start, step, lambda acc: F.concat(acc["out"], acc["buffer"], F.array(acc["open"])))
     return F.filter(made, lambda x: (x["n"] != 0) | (x["k"] != 0) | (x["h"] != 0))
 
 
-def sketch(digests: Column, cells: Column | int = CELLS) -> Column:
-    """The sparse sketch of distinct digests."""
-    cells = F.lit(cells) if isinstance(cells, int) else cells
-    return _folded(F.flatten(F.transform(digests, lambda d: _entries(d, F.lit(1), cells))).cast(_CELL))
+def sketch(digests: Column) -> Column:
+    """The fingerprint's sketch of distinct digests, of ``CELLS`` cells, which are few enough to be summed one by one."""
+    entries = F.flatten(F.transform(digests, lambda d: _entries(d, F.lit(1), F.lit(CELLS)))).cast(_CELL)
+    zero = F.struct(*[F.lit(0).cast("long").alias(x) for x in "nkh"])
+    add = lambda a, x: F.struct((a["n"] + x["n"]).alias("n"), a["k"].bitwiseXOR(x["k"]).alias("k"), a["h"].bitwiseXOR(x["h"]).alias("h"))
+    place = lambda c: lambda a: F.struct(c.alias("c"), a["n"].alias("n"), a["k"].alias("k"), a["h"].alias("h"))
+    cells = lambda e: F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda c: F.aggregate(F.filter(e, lambda x: x["c"] == c), zero, add, place(c)))
+    return F.filter(_let(entries, cells), lambda x: (x["n"] != 0) | (x["k"] != 0) | (x["h"] != 0))
+
 
+def _negated(cells: Column) -> Column:
+    return F.transform(cells, lambda x: F.struct(x["c"].alias("c"), (-x["n"]).alias("n"), x["k"].alias("k"), x["h"].alias("h")))
 
-def _minus(a: Column, b: Column) -> Column:
-    return _folded(F.concat(a, F.transform(b, lambda x: F.struct(x["c"].alias("c"), (-x["n"]).alias("n"), x["k"].alias("k"), x["h"].alias("h")))))
+
+def _difference(a: Column, b: Column, cells: Column) -> Column:
+    """The sketch of ``a`` less that of ``b``: sketches are sums, so the entries of ``b`` go in with their sign turned."""
+    entries = lambda digests, sign: F.flatten(F.transform(digests, lambda d: _entries(d, F.lit(sign), cells))).cast(_CELL)
+    return _folded(F.concat(entries(a, 1), entries(b, -1)))
 
 
 def _peeled(difference: Column, cells: Column) -> Column:
-    """``done, found``: whether peeling empties the sketch, and how many digests it takes out."""
+    """``done, found``: whether peeling empties the sketch, and how many digests it takes out.
+
+    A cell with one digest is empty without it, so only the other cells are added up again.
+    """
     start = F.struct(difference.alias("cells"), F.lit(0).alias("found"), (F.size(difference) > 0).alias("live"))
+    pure = lambda x: (F.abs(x["n"]) == 1) & (x["h"] == _check(x["k"]))
 
     def step(acc: Column, _: Column) -> Column:
-        pure = F.filter(acc["cells"], lambda x: (F.abs(x["n"]) == 1) & (x["h"] == _check(x["k"])))
-        keys = F.array_distinct(F.transform(pure, lambda x: F.struct(x["k"].alias("k"), x["n"].alias("n"))))
+        keys = F.array_distinct(F.transform(F.filter(acc["cells"], pure), lambda x: F.struct(x["k"].alias("k"), x["n"].alias("n"))))
 
         def taken(keys: Column) -> Column:
-            rest = _folded(F.concat(acc["cells"], F.flatten(F.transform(keys, lambda x: _entries(x["k"], -x["n"], cells))).cast(_CELL)))
-            return _let(rest, lambda r: F.struct(r.alias("cells"), (acc["found"] + F.size(keys)).alias("found"), ((F.size(keys) > 0) & (F.size(r) > 0)).alias("live")))
+            def left(rest: Column) -> Column:
+                places = F.transform(rest, lambda x: x["c"])
+                gone = F.flatten(F.transform(keys, lambda x: _entries(x["k"], -x["n"], cells))).cast(_CELL)
+                cells_ = F.when(F.size(rest) == 0, rest).otherwise(_let(places, lambda p: _folded(F.concat(rest, F.filter(gone, lambda x: F.array_contains(p, x["c"]))))))
+                return _let(cells_, lambda r: F.struct(r.alias("cells"), (acc["found"] + F.size(keys)).alias("found"), ((F.size(keys) > 0) & (F.size(r) > 0)).alias("live")))
+
+            return F.when(F.size(keys) == 0, F.struct(acc["cells"].alias("cells"), acc["found"].alias("found"), F.lit(False).alias("live"))).otherwise(_let(F.filter(acc["cells"], lambda x: ~pure(x)), left))
 
         return F.when(acc["live"], _let(keys, taken)).otherwise(acc)
 
@@ -94,34 +121,48 @@ def _peeled(difference: Column, cells: Column) -> Column:
 def with_likeness(df: DataFrame, out: str, a: str, b: str, sketch_a: str, sketch_b: str) -> DataFrame:
     """Adds the likeness of two columns of digests with their sketches: shared paragraphs among all, 0 to 1; 1 if there are none.
 
-    The given sketches are subtracted and peeled; where they are too small, both sides are sketched
-    again, four times larger each time.
+    The given sketches are subtracted and peeled. Where they are too small, their difference still
+    tells how much differs: the squares of its counts add up to three for each digest, and a part
+    that the sizes explain. Both sides are sketched again with ``3 SPARE`` cells for each digest
+    expected, and four times as many each time that this fails. Sketches are sparse, so the cells to spare
+    cost nothing and save rounds.
     """
     size_a, size_b = F.size(a), F.size(b)
-    first = _let(_minus(F.col(sketch_a), F.col(sketch_b)), lambda d: _peeled(d, F.lit(CELLS)))
+
+    def attempt(d: Column) -> Column:
+        squares = F.aggregate(d, F.lit(0.0), lambda s, x: s + x["n"] * x["n"])
+        return _let(_peeled(d, F.lit(CELLS)), lambda r: F.struct(r["done"].alias("done"), r["found"].alias("found"), squares.alias("squares")))
+
+    apart = (size_a - size_b).cast("double")
+    expected = (F.col("_first.squares") - 9 * apart * apart / CELLS) / 3
+    expected = F.least(F.greatest(expected, F.abs(apart), F.lit(8.0)), (size_a + size_b).cast("double"))
 
     def again(acc: Column, i: Column) -> Column:
-        cells = (F.lit(CELLS) * F.pow(F.lit(4), i)).cast("int")
-        enough = cells >= F.abs(size_a - size_b)  # a smaller one cannot hold the difference
-        tried = _let(_minus(sketch(F.col(a), cells), sketch(F.col(b), cells)), lambda d: _peeled(d, cells))
-        return F.when(acc["done"] | ~enough, acc).otherwise(tried)
-
-    rows = df.withColumn("_first", first)
-    larger = F.aggregate(F.sequence(F.lit(1), F.lit(RETRIES)), F.col("_first"), again)
-    rows = rows.withColumn("_tried", F.when(F.col("_first.done"), F.col("_first")).otherwise(larger))
+        cells = (3 * F.ceil(SPARE * F.col("_expected")) * F.pow(F.lit(4), i - 1)).cast("int")
+        tried = _let(_difference(F.col(a), F.col(b), cells), lambda d: _peeled(d, cells))
+        return F.when(acc["done"], acc).otherwise(tried)
+
+    rows = df.withColumn("_first", _let(_folded(F.concat(F.col(sketch_a), _negated(F.col(sketch_b)))), attempt)).withColumn("_expected", expected)
+    begun = F.struct(F.col("_first.done").alias("done"), F.col("_first.found").alias("found"))
+    larger = F.aggregate(F.sequence(F.lit(1), F.lit(RETRIES)), begun, again)
+    rows = rows.withColumn("_tried", F.when(F.col("_first.done"), begun).otherwise(larger))
     # no sketch of the ladder is ever too small in practice; the sets themselves settle it if one is
     exact = F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
     differ = F.when(F.col("_tried.done"), F.col("_tried.found")).otherwise(exact)
     rows = rows.withColumn("_differ", differ)
     both = size_a + size_b
     shared = F.when(both == 0, F.lit(1.0)).otherwise((both - F.col("_differ")) / (both + F.col("_differ")))
-    return rows.withColumn(out, shared).drop("_first", "_tried", "_differ")
+    return rows.withColumn(out, shared).drop("_first", "_expected", "_tried", "_differ")
 
 
 def written(digests: Column, cells: Column) -> Column:
-    """A fingerprint as text: the number of paragraphs, then each cell that is not empty in hexadecimal digits."""
-    part = lambda x, n: F.lpad(F.hex(x), n, "0")
-    return F.lower(F.concat(F.size(digests).cast("string"), F.lit(":"), F.array_join(F.transform(cells, lambda x: F.concat(part(x["c"], 2), part(x["n"], 4), part(x["k"], 16), part(x["h"], 8))), "")))
+    """A fingerprint as text: the number of paragraphs, then each cell that is not empty in 30 hexadecimal digits.
+
+    They are the cell's place (2), its count modulo 2^16 (4), the checksums (8) and the digests (16).
+    """
+    head = lambda x: F.shiftleft(x["c"].cast("long"), 48).bitwiseOR(F.shiftleft(x["n"].bitwiseAND(F.lit(0xFFFF)), 32)).bitwiseOR(x["h"])
+    digits = F.transform(cells, lambda x: F.concat(F.lpad(F.hex(head(x)), 14, "0"), F.lpad(F.hex(x["k"]), 16, "0")))
+    return F.lower(F.concat(F.size(digests).cast("string"), F.lit(":"), F.array_join(digits, "")))
 
 
 def with_fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:

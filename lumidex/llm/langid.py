@@ -27,6 +27,9 @@ HIDDEN = 8
 DOCS_PER_LANG = 400
 PIECES = 3
 PIECE_CHARS = 256
+#: Times the wanted documents that are ranked; languages up to which shares are told (beyond, all rows are ranked).
+MARGIN = 8
+LANGS = 10_000
 #: Windows that run side by side.
 SIDE_BY_SIDE = 2048
 UNKNOWN = "und"
@@ -60,8 +63,8 @@ def _run(w: dict[str, np.ndarray], side: str, columns: np.ndarray, keep: bool =
     """States of one direction, in that direction's order of steps: (steps, windows, hidden)."""
     az, ac, uz, uc = (w[side + k] for k in ("az", "ac", "uz", "uc"))
     steps, n = columns.shape
-    states = np.empty((steps, n, az.shape[1]), np.float32)
-    h = np.zeros((n, az.shape[1]), np.float32)
+    states = np.empty((steps, n, az.shape[1]), az.dtype)
+    h = np.zeros((n, az.shape[1]), az.dtype)
     z, c, u = np.empty_like(h), np.empty_like(h), np.empty_like(h)
     tape = []
     for t in range(steps):
@@ -178,12 +181,17 @@ def in_fold(id_col: str = "doc_id") -> Column:
 def training_pieces(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", docs_per_lang: int = DOCS_PER_LANG) -> DataFrame:
     """At most ``docs_per_lang`` documents of each language outside the fold, ``PIECES`` pieces of each: ``lang, pieces``.
 
-    Rows with a null id, language or text are no examples. The rank limit is partial before the
-    shuffle, so a language with most of the rows sends no more than the others.
+    Rows with a null id, language or text are no examples. From each language's count follows the
+    share of its documents that is ranked at all, ``MARGIN`` times what is wanted, so what meets in
+    a task does not grow with the input.
     """
-    rows = df.where(~in_fold(id_col) & F.col(id_col).isNotNull() & F.col(lang).isNotNull() & F.coalesce(F.length(text) > 0, F.lit(False)))
+    rows = df.where(~in_fold(id_col) & F.col(id_col).isNotNull() & F.col(lang).isNotNull()).select(F.col(id_col).cast("string").alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    counts = rows.groupBy("lang").count().limit(LANGS + 1).collect()
+    if 0 < len(counts) <= LANGS:
+        share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, MARGIN * docs_per_lang / r["count"]))])
+        rows = rows.where(F.pmod(F.xxhash64(F.lit(1), "key"), F.lit(2**30)) < F.try_element_at(share, F.col("lang")) * 2**30)
+    rows = rows.where(F.length("text") > 0)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
-    rows = rows.select(F.col(id_col).cast("string").alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     places = [F.substring("text", F.lit(1) + F.pmod(F.xxhash64("key", F.lit(i)), F.greatest(F.length("text") - PIECE_CHARS, F.lit(0)) + 1).cast("int"), F.lit(PIECE_CHARS)) for i in range(PIECES)]
     short = rows.select("key", "lang", F.array(*places).alias("pieces"))
     return short.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= docs_per_lang).select("lang", "pieces")
@@ -202,14 +210,16 @@ def identify(df: DataFrame, net: Network, text: str = "text") -> DataFrame:
     ``und`` with score 0 if the text is null, empty or has no letter, or no language is known.
     Existing columns of those names are replaced.
     """
+    if not net.langs:
+        return df.drop("lang_pred", "score").withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
     short_batches(df.sparkSession)
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             p = document_probabilities(net, [(t or "").encode("utf-8", "surrogatepass") for t in texts])
-            best = p.argmax(axis=1) if len(net.langs) else np.zeros(len(p), int)
-            yield pd.DataFrame({"lang_pred": [net.langs[i] for i in best] if len(net.langs) else UNKNOWN, "score": np.clip(p[np.arange(len(p)), best], 0, 1) if len(net.langs) else 0.0}, index=range(len(p)))
+            best = p.argmax(axis=1)
+            yield pd.DataFrame({"lang_pred": [net.langs[i] for i in best], "score": np.clip(p[np.arange(len(p)), best], 0, 1)})
 
     letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     known = df.drop("lang_pred", "score").withColumn("_letters", letters).withColumn("_found", predict(F.when(F.col("_letters"), F.col(text))))

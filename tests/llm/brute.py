@@ -23,3 +23,66 @@ def line_dedup(docs, min_words):
                         elif first[run] != (n, a):
                             dead.update((n, p) for p in range(at[a], [*at, len(lines)][b + 1]))
     return {key: "\n".join(x for p, x in enumerate(lines) if (n, p) not in dead) for n, (key, lines, _) in enumerate(seqs)}
+
+
+#: Rows that every operator has to stand: nulls in every column, empty and long texts, ties, repeated rows.
+AWKWARD = [
+    (1, "The quick brown fox jumps over the lazy dog. Under the MIT License.\nMore of it.", "en", "a", 1),
+    (2, None, None, None, None),
+    (3, "", "en", "a", 0),
+    (None, "An apache license, version 2 and CC BY-NC 4.0", "en", None, 5),
+    (4, "word " * 30000, "en", "b", 150000),
+    (5, "same text here", "en", "b", 14),
+    (6, "same text here", "de", "b", 14),
+    (6, "same text here", "de", "b", 14),
+    (None, None, "fr", "c", None),
+    (7, "x" * 60000, "fr", "", 60000),
+    (8, "12345 !!! \t\n\n  ", "fr", "c", 9),
+    (9, "été \U0001f600 中文 \u0085 \x1c end", "fr", "c", 20),
+]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def awkward(spark):
+    """With extra columns whose names operators use inside or give out."""
+    df = spark.createDataFrame(AWKWARD, SCHEMA)
+    return df.selectExpr("*", "1 AS key", "'x' AS fp", "2 AS shard", "'s' AS score", "3 AS copy", "'i' AS ids", "4 AS n_lines", "5 AS detections", "6 AS k0", "'f' AS fingerprint", "7 AS component")
+
+
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def xxh_fingerprint(text):
+    """Bit by bit, from the definition."""
+    import re
+
+    import xxhash
+
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", low)
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def components(ids, codes, radius):
+    """The least id reachable over codes within the radius, by comparing all of them."""
+    top = list(range(len(codes)))
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for i in range(len(codes)):
+        for j in range(i):
+            if (codes[i] ^ codes[j]).bit_count() <= radius:
+                a, b = find(i), find(j)
+                top[max(a, b)] = min(a, b)
+    least = {}
+    for i, x in enumerate(ids):
+        least[find(i)] = min(x, least.get(find(i), x))
+    return [least[find(i)] for i in range(len(codes))]

@@ -280,6 +280,17 @@ def statements() -> dict[str, str]:
     out["bulk_scores"] = full("SELECT id, CASE WHEN id % 4 = 0 THEN (id % 100)::DOUBLE ELSE score END AS score FROM photos")
     out["delete_paths"] = full("SELECT id FROM photos WHERE id % 9 != 4")
     out["import_exact"] = _import("SELECT b.path, CASE WHEN k.sha256 IS NOT NULL OR row_number() OVER (PARTITION BY b.sha256 ORDER BY b.id) > 1 THEN 'duplicate' ELSE 'import' END AS outcome FROM batch b LEFT JOIN (SELECT DISTINCT sha256 FROM known) k ON k.sha256 = b.sha256")
+    out["import_similar"] = full(
+        "SELECT id, outcome FROM go WHERE k > 0",
+        "near AS (" + _pairs(WIDE.phash_threshold).removeprefix("near AS (")[:-1] + ")",
+        f"linked AS (SELECT a, b FROM near WHERE d_distance <= {WIDE.dhash_threshold} AND c_distance <= {WIDE.color_threshold})",
+        "both_ways AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked)",
+        "fresh AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM photos WHERE status = 'ok' AND (id > 1000000 OR id % 5 = 2))",
+        "ties AS (SELECT f.id, f.k, coalesce(list(b.b) FILTER (WHERE b.b IS NOT NULL), []) AS around, coalesce(bool_or(o.id IS NULL AND b.b IS NOT NULL), false) AS known FROM fresh f LEFT JOIN both_ways b ON b.a = f.id LEFT JOIN fresh o ON o.id = b.b GROUP BY f.id, f.k)",
+        "go AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS taken, NULL::BIGINT AS id, NULL::VARCHAR AS outcome UNION ALL SELECT t.k, CASE WHEN t.known OR list_has_any(t.around, go.taken) THEN go.taken ELSE list_append(go.taken, t.id) END, t.id, CASE WHEN t.known OR list_has_any(t.around, go.taken) THEN 'similar' ELSE 'import' END FROM go JOIN ties t ON t.k = go.k + 1)",
+    )
+    nth = "row_number() OVER (PARTITION BY id % 300 ORDER BY id) - 1"
+    out["free_names"] = full(f"SELECT id, '/out/' || printf('%03d', id % 300) || CASE WHEN {nth} = 0 THEN '' ELSE '-' || ({nth})::VARCHAR END || '.jpg' AS target FROM facts")
     when = "coalesce(taken_at, make_timestamp((mtime * 1000000)::BIGINT))"
     out["import_paths"] = full(f"SELECT id, '/library/' || strftime({when}, '%Y') || '/' || strftime({when}, '%Y-%m') || '/' || filename AS by_date, '/library/photos' || substr(path, 8) AS by_source, '/library/' || filename AS flat FROM photos")
     out["export_names"] = full(f"SELECT id, printf('%04d_', (row_number() OVER (ORDER BY {ORDERS['score']}, id))::INTEGER) || filename AS by_rank, printf('%03d_', round_even(score, 0)::INTEGER) || filename AS by_score, strftime({when}, '%Y-%m-%d_') || filename AS by_date FROM photos WHERE {ok}")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumidex.functions import hashing
+from lumidex.session import cut
 from lumidex.settings import Settings
 
 SEGMENTS, WIDTH = 4, 16
@@ -57,7 +58,7 @@ def similar_pairs(df: DataFrame, settings: Settings | None = None) -> DataFrame:
     s = settings or Settings()
     rows = df.where("status = 'ok' AND phash != ''").select("id", "phash", "dhash", "color_sig")
     key = ["phash", "dhash", "color_sig"]
-    least = rows.groupBy(*key).agg(F.min("id").alias("rep"))
+    least = cut(rows.groupBy(*key).agg(F.min("id").alias("rep")))  # a join with it can then split a hot key
     named = least.select("rep", *[F.col(k).alias(f"_{k}") for k in key])
     same = rows.join(named, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]).select("id", "rep", "dhash", "color_sig")
     agrees = (hashing.hamming(hashing.halves(F.col("dhash")), hashing.halves(F.col("dhash"))) <= s.dhash_threshold) & (hashing.color_distance(F.col("color_sig"), F.col("color_sig")) <= s.color_threshold)
@@ -92,5 +93,5 @@ def rotated_pairs(df: DataFrame, settings: Settings | None = None) -> DataFrame:
 def exact_links(df: DataFrame) -> DataFrame:
     """``a, b``: each photo of equal bytes linked to the first, never pair by pair."""
     rows = df.where("status = 'ok' AND phash != '' AND sha256 != ''").select("id", "sha256")
-    first = rows.groupBy("sha256").agg(F.min("id").alias("a"))
+    first = cut(rows.groupBy("sha256").agg(F.min("id").alias("a")))
     return rows.join(first, "sha256").where("id != a").select("a", F.col("id").alias("b"))

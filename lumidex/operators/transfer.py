@@ -19,7 +19,7 @@ def outside_library(found: DataFrame, root: str) -> DataFrame:
 
 def exact_import(batch: DataFrame, known: DataFrame) -> DataFrame:
     """Adds ``outcome`` and ``match`` to a batch (``ord, path, sha256``): ``duplicate`` of the index or of an earlier row, else ``import``."""
-    first = batch.groupBy("sha256").agg(F.min(F.struct("ord", "path")).alias("first"))
+    first = cut(batch.groupBy("sha256").agg(F.min(F.struct("ord", "path")).alias("first")))
     rows = batch.join(known.select("sha256", F.col("path").alias("_known")), "sha256", "left").join(first, "sha256")
     earlier = F.when(F.col("first.ord") != F.col("ord"), F.col("first.path"))
     match = F.coalesce("_known", earlier)

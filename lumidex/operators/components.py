@@ -12,8 +12,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """``(node, root)`` for every node of an undirected edge table; root is the least node reached.
 
     Alternating large-star / small-star contraction (Kiveris et al., SoCC 2014). Minima are
-    partial aggregates, so a hub costs one row per map task; hub joins are left to AQE's skew
-    split. Edges with a null end and self-loops are ignored; an empty table gives no rows.
+    partial aggregates, so a hub costs one row per map task. They are materialised before their
+    joins, so that both sides of a join come from exchanges and a hub's rows can be split at
+    runtime. Edges with a null end and self-loops are ignored; an empty table gives no rows.
     """
     e = (
         edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
@@ -40,11 +41,12 @@ def _large_star(e: DataFrame) -> DataFrame:
     both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(
         e.select(F.col("v").alias("x"), F.col("u").alias("y"))
     )
-    least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
+    least = cut(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")))
     return both.where("y > x").join(least, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(e: DataFrame) -> DataFrame:
-    least = e.groupBy("u").agg(F.min("v").alias("m"))
+    e = cut(e)
+    least = cut(e.groupBy("u").agg(F.min("v").alias("m")))
     moved = e.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()

@@ -200,7 +200,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", r
     named = found.join(codes, found.node == codes.fp).select("fp", "root", "least")
     of_root = named.groupBy("root").agg(F.min("least").alias("component"))
     linked = named.join(of_root, "root").select("fp", "component")
-    every = codes.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component"))
+    # materialised, so that the join below has exchanges on both sides and a hot fingerprint can be split
+    every = cut(codes.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component")))
     return marked.join(every, "fp").select("key", "text_key", "fp", "component")
 
 

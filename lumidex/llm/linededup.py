@@ -182,3 +182,24 @@ def keep_deduplicated(df: DataFrame) -> DataFrame:
 def line_report(df: DataFrame) -> DataFrame:
     """The result of the registered query."""
     return dedup_lines(df.select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"), "text")
+
+
+def line_sql(min_words: int = MIN_WORDS) -> str:
+    """The registered query over the view ``documents`` (unique ids), as DuckDB SQL that compares the runs' lines themselves."""
+    return f"""
+WITH split AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents WHERE text IS NOT NULL),
+worded AS (SELECT *, len(regexp_extract_all(line, '[^ \\t\\n\\x0B\\f\\r]+')) AS words FROM split),
+numbered AS (SELECT *, row_number() OVER d AS i, coalesce(lead(pos) OVER d - 1, 1000000000) AS until, count(*) OVER (PARTITION BY line) AS n FROM worded WHERE words > 0
+    WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+live AS (SELECT *, i - row_number() OVER d AS seg, sum(words) OVER d AS upto FROM numbered WHERE n > 1 WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+pairs AS (SELECT a.doc_id, a.i AS s, b.i AS e FROM live a JOIN live b ON a.doc_id = b.doc_id AND a.seg = b.seg AND b.i >= a.i AND b.upto - a.upto + a.words >= {min_words}),
+runs AS (SELECT doc_id, s, min(e) AS e FROM pairs GROUP BY doc_id, s UNION SELECT doc_id, max(s), e FROM pairs GROUP BY doc_id, e),
+texts AS (SELECT r.doc_id, r.s, r.e, string_agg(l.line, chr(10) ORDER BY l.i) AS said, min(l.pos) AS from_pos, max(l.until) AS to_pos
+    FROM runs r JOIN live l ON l.doc_id = r.doc_id AND l.i BETWEEN r.s AND r.e GROUP BY ALL),
+firsts AS (SELECT said, e - s AS len, min({{'d': doc_id, 's': s}}) AS first FROM texts GROUP BY ALL),
+later AS (SELECT t.doc_id, t.from_pos, t.to_pos FROM texts t JOIN firsts f ON f.said = t.said AND f.len = t.e - t.s WHERE f.first != {{'d': t.doc_id, 's': t.s}}),
+fates AS (SELECT w.doc_id, w.line, w.pos, EXISTS (SELECT 1 FROM later x WHERE x.doc_id = w.doc_id AND w.pos BETWEEN x.from_pos AND x.to_pos) AS gone FROM split w),
+kept AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS text FROM fates GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(k.text) AS kept_sha256, k.text
+FROM documents d LEFT JOIN kept k USING (doc_id)
+"""

@@ -61,4 +61,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_licenses": licenses.license_sql(), "op5_mixing": mixing.mixing_sql(), "op6_chat": chat.chat_sql()}
+    return {"op1_licenses": licenses.license_sql(), "op3_line_dedup": linededup.line_sql(), "op5_mixing": mixing.mixing_sql(), "op6_chat": chat.chat_sql()}

@@ -140,3 +140,29 @@ def test_files_end_to_end(spark, tmp_path):
     plan = spark.createDataFrame([(str(shots / "b.png"), str(tmp_path / "out" / "b.png")), ("/absent.png", str(tmp_path / "out" / "x.png"))], "path string, target string")
     assert [f[0] for f in files.place_files(plan)] == ["/absent.png"] and (tmp_path / "out" / "b.png").exists()
     assert files.delete_files(plan.select("path")) == (1, [])
+
+
+def test_manifests(spark, tmp_path):
+    import json
+
+    rows = spark.createDataFrame([(2, "b.jpg", 1.5), (1, "a.jpg", 2.5)], "rank int, source string, score double")
+    files.write_manifest_csv(rows, str(tmp_path / "csv"))
+    text = next((tmp_path / "csv").glob("part-*.csv")).read_text().splitlines()
+    assert text == ["rank,source,score", "1,a.jpg,2.5", "2,b.jpg,1.5"]
+    files.write_manifest_json(rows, str(tmp_path / "m.json"), "rank", "copy", "now")
+    got = json.loads((tmp_path / "m.json").read_text())
+    assert got["count"] == 2 and [p["source"] for p in got["photos"]] == ["a.jpg", "b.jpg"]
+
+
+def test_destinations_and_export_names(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("/card/x/y/a.jpg", "a.jpg", "2024-05-06 01:02:03", 0.0, 66.5, 7), ("/card/b.jpg", "b?.jpg", None, 86400.0, 7.2, 12345), ("/other/c.jpg", None, None, 0.0, 0.0, 1)], "path string, filename string, t string, mtime double, score double, rank int")
+    df = df.withColumn("taken_at", F.col("t").cast("timestamp_ntz"))
+    plans = [r[0] for r in df.select(transfer.destination("/lib", "date")).collect()]
+    assert plans == ["/lib/2024/2024-05/a.jpg", "/lib/1970/1970-01/b.jpg", "/lib/1970/1970-01/c.jpg"]
+    assert [r[0] for r in df.select(transfer.destination("/lib", "source", "/card")).collect()] == ["/lib/card/x/y/a.jpg", "/lib/card/b.jpg", "/lib/card/c.jpg"]
+    names = df.select(*[transfer.export_name(n).alias(n) for n in ("rank", "score", "date", "original")]).collect()
+    assert tuple(names[0]) == ("0007_a.jpg", "066_a.jpg", "2024-05-06_a.jpg", "a.jpg")
+    assert tuple(names[1]) == ("12345_b_.jpg", "007_b_.jpg", "1970-01-02_b_.jpg", "b_.jpg") and names[2].original == "c.jpg"
+    assert [r[0] for r in df.select(transfer.group_folder(F.lit(7))).limit(1).collect()] == ["group-007"]

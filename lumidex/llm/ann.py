@@ -102,11 +102,9 @@ def _ranked(points: DataFrame, curves: int) -> DataFrame:
                 k = curve_keys(x / np.linalg.norm(x, axis=1, keepdims=True), curves)
                 yield pd.DataFrame({"curve": np.tile(np.arange(curves) + dim * curves, len(part)), "key": k.ravel(), "point": np.repeat(part["point"].to_numpy(), curves)})
 
-    spark = points.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["curve", "key", "point"]
     keyed = cut(points.select("point", "vec").mapInPandas(keys, "curve long, key long, point long"))
-    placed = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    placed = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = cut(placed.withColumn("run", F.spark_partition_id()).withColumn("nth", F.monotonically_increasing_id()))
     runs = placed.groupBy("curve", "run").agg(F.count("*").alias("n"), F.min("nth").alias("first"))
     before = Window.partitionBy("curve").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
@@ -165,7 +163,7 @@ def _with_points(rows: DataFrame) -> DataFrame:
     """Adds ``point``, the least id with an equal vector; a vector that many rows share is pre-aggregated, then joined back."""
     rows = rows.withColumn("v0", F.xxhash64("vec")).withColumn("v1", F.xxhash64(F.lit(1), "vec"))
     rows = cut(rows)
-    least = rows.groupBy("v0", "v1").agg(F.min("id").alias("point"))
+    least = cut(rows.groupBy("v0", "v1").agg(F.min("id").alias("point")))
     return rows.join(least, ["v0", "v1"]).select("id", "vec", "point")
 
 

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumidex.session import cut
+
 SEED = 17
 #: Target weight of a source: its bytes to this power. 1 keeps the natural mixture, 0 makes all equal.
 POWER = 0.5
@@ -69,8 +71,8 @@ def mix_sources(df: DataFrame, weights: dict[str, float] | None = None, epochs:
     """
     spark = df.sparkSession
     rest = [c for c in df.columns if c not in ("copy", "place")]
-    rates = with_tables(source_rates(df, weights, epochs, source, text, power)).withColumnRenamed("source", "_source")
-    if rates.select("_source").limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+    rates = cut(with_tables(source_rates(df, weights, epochs, source, text, power)).withColumnRenamed("source", "_source"))
+    if rates.count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     rows = df.select(*rest).withColumn("_source", F.coalesce(F.col(source), F.lit(""))).join(rates, "_source")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumidex.functions import quality
+from lumidex.session import cut
 from lumidex.settings import Weights
 
 #: What a scan never overwrites.
@@ -48,7 +49,7 @@ def upsert(index: DataFrame, facts: DataFrame) -> DataFrame:
 def _numbered(df: DataFrame, by: str, after: int) -> DataFrame:
     """Adds ``id``, counting on from ``after`` in order of ``by``: sorted ranges, each with the rows before it."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(parts, by).withColumn("_run", F.spark_partition_id())
+    placed = cut(df.repartitionByRange(parts, by).withColumn("_run", F.spark_partition_id()))
     runs = placed.groupBy("_run").count()
     before = F.coalesce(F.sum("count").over(Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     runs = runs.select("_run", before.alias("_before"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumidex.functions import text
 from lumidex.functions.numbers import rounded
+from lumidex.session import cut
 
 
 def _orders() -> dict[str, list[Column]]:
@@ -64,7 +65,8 @@ def with_rank(df: DataFrame, sort: str = "score", top: int | None = None, out: s
         rows = df.orderBy(*keys).limit(max(0, top))
         return rows.withColumn(out, F.row_number().over(Window.orderBy(*keys)))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(parts, *keys).withColumn("_run", F.spark_partition_id())
+    # ranges come from samples: stored, so that the counts and the rows see the same ones
+    placed = cut(df.repartitionByRange(parts, *keys).withColumn("_run", F.spark_partition_id()))
     counts = placed.groupBy("_run").count()
     before = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_run", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
@@ -79,7 +81,7 @@ def percentiles(df: DataFrame, score: str = "score", out: str = "percentile") ->
     """
     counts = df.groupBy(F.col(score).alias("_score")).count()
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = counts.repartitionByRange(parts, "_score").withColumn("_run", F.spark_partition_id())
+    placed = cut(counts.repartitionByRange(parts, "_score").withColumn("_run", F.spark_partition_id()))
     runs = placed.groupBy("_run").agg(F.sum("count").alias("_n"))
     before = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

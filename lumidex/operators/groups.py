@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lumidex.functions import hashing
 from lumidex.functions.numbers import rounded
 from lumidex.operators.components import connected_components
+from lumidex.operators.ranking import numbered
 from lumidex.operators.similarity import exact_links, rotated_pairs, similar_pairs
 from lumidex.settings import Settings
 
@@ -47,8 +48,7 @@ def duplicate_groups(df: DataFrame, settings: Settings | None = None) -> DataFra
         F.min(F.struct((-F.col("score")).alias("s"), "filename", "id")).alias("lead"),
     )
     groups = groups.withColumn("tightness", F.when(F.col("kind") == "exact", 100.0).otherwise(rounded(F.col("likeness"), 1))).withColumn("wasted", F.col("bytes") - F.col("best_size"))
-    order = Window.orderBy(F.desc("wasted"), F.desc("n"), F.asc("lead"))
-    return groups.withColumn("group_index", F.row_number().over(order)).select("group_index", "root", "kind", "best_id", "tightness", "n", "wasted")
+    return numbered(groups, [F.desc("wasted"), F.desc("n"), F.asc("lead")], "group_index").select("group_index", "root", "kind", "best_id", "tightness", "n", "wasted")
 
 
 def with_members(groups: DataFrame, members: DataFrame) -> DataFrame:
@@ -76,7 +76,7 @@ def repaired(long: DataFrame, removed: DataFrame) -> DataFrame:
     """Groups after photos are gone (``id``): those of one member or none vanish, the rest are numbered anew."""
     left = long.join(removed.select("id"), "id", "left_anti")
     counts = left.groupBy("group_index").count().where("count > 1")
-    numbers = counts.select("group_index", F.row_number().over(Window.orderBy("group_index")).alias("new_index"))
+    numbers = numbered(counts.select("group_index"), [F.asc("group_index")], "new_index")
     return left.join(numbers, "group_index").drop("group_index").withColumnRenamed("new_index", "group_index")
 
 

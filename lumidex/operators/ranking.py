@@ -54,16 +54,8 @@ def select_photos(
     return df.limit(limit) if limit > 0 else df
 
 
-def with_rank(df: DataFrame, sort: str = "score", top: int | None = None, out: str = "rank") -> DataFrame:
-    """Numbers the rows from 1 in a named order, all of them or the first ``top``.
-
-    A top is taken first, from each partition, so that one task numbers ``top`` rows only. All rows
-    are numbered by range: sorted partitions, each with the count of those before it.
-    """
-    keys = sort_keys(sort)
-    if top is not None:
-        rows = df.orderBy(*keys).limit(max(0, top))
-        return rows.withColumn(out, F.row_number().over(Window.orderBy(*keys)))
+def numbered(df: DataFrame, keys: list[Column], out: str) -> DataFrame:
+    """Numbers the rows from 1 in the order of ``keys``: sorted partitions, each with the count of those before it."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # ranges come from samples: stored, so that the counts and the rows see the same ones
     placed = cut(df.repartitionByRange(parts, *keys).withColumn("_run", F.spark_partition_id()))
@@ -74,6 +66,17 @@ def with_rank(df: DataFrame, sort: str = "score", top: int | None = None, out: s
     return placed.withColumn("_nth", within).join(offsets, "_run").withColumn(out, (F.col("_before") + F.col("_nth")).cast("int")).drop("_run", "_nth", "_before")
 
 
+def with_rank(df: DataFrame, sort: str = "score", top: int | None = None, out: str = "rank") -> DataFrame:
+    """Numbers the rows from 1 in a named order, all of them or the first ``top``.
+
+    A top is taken first, from each partition, so that one task numbers ``top`` rows only.
+    """
+    keys = sort_keys(sort)
+    if top is not None:
+        return df.orderBy(*keys).limit(max(0, top)).withColumn(out, F.row_number().over(Window.orderBy(*keys)))
+    return numbered(df, keys, out)
+
+
 def percentiles(df: DataFrame, score: str = "score", out: str = "percentile") -> DataFrame:
     """Adds the share of rows with a lower score, in percent to one digit half up.
 

@@ -43,8 +43,7 @@ def _let(value: Column, use) -> Column:
 
 def _ranked(classes: DataFrame, by: list[str]) -> DataFrame:
     """Adds ``rank``, a number that orders the rows by ``by``: sorted ranges, numbered within and across."""
-    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = classes.repartitionByRange(parts, *by).sortWithinPartitions(*by)
+    placed = classes.repartitionByRange(*by).sortWithinPartitions(*by)
     return cut(placed.withColumn("rank", F.monotonically_increasing_id()))
 
 
@@ -136,6 +135,7 @@ def repeated_runs(df: DataFrame, text: str = "text", min_words: int = MIN_WORDS)
     named = cut(named)
     name = ["length", "a", "b"]
     first = named.groupBy(*name).agg(F.min(F.struct(*_DOC, "i")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = cut(first)  # the join below can then split a run with very many copies
     later = named.join(first, name).where(F.col("first") != F.struct(*_DOC, "i")).select(*_DOC, "from_pos", "to_pos")
     order = Window.partitionBy(*_DOC).orderBy("from_pos", "to_pos")
     before = F.max("to_pos").over(order.rowsBetween(Window.unboundedPreceding, -1))

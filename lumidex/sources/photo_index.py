@@ -97,10 +97,15 @@ def _facts() -> dict[str, Column]:
 
 
 def analysed(df: DataFrame, weights: Weights | None = None) -> DataFrame:
-    """Adds hashes, measures, metrics, flags and score to rows with planes, ``width``, ``height`` and ``iso``. No shuffle."""
+    """Adds hashes, measures, metrics, flags and score to rows with planes, ``width``, ``height`` and ``iso``. No shuffle.
+
+    Hashes and measures are stored before they are scored, so that no plan repeats them; the planes
+    are left behind.
+    """
     gray, rgb = F.col("gray"), (F.col("red"), F.col("green"), F.col("blue"))
     raw = quality.raw_metrics(gray, *rgb, text.megapixels(F.col("width"), F.col("height")))
     rows = df.withColumns({"phash": hashing.phash(gray), "dhash": hashing.dhash(gray), "ahash": hashing.ahash(gray), "color_sig": hashing.color_signature(*rgb), "raw": F.struct(*[c.alias(k) for k, c in raw.items()])})
+    rows = cut(rows.drop("gray", "red", "green", "blue"))
     rows = rows.withColumn("metrics", F.struct(*[c.alias(k) for k, c in quality.metrics(F.col("raw")).items()]))
     return rows.withColumns({"flags": quality.flags(F.col("raw"), F.col("metrics"), F.col("iso")), "score": quality.score(F.col("metrics"), F.col("iso"), weights)})
 
@@ -126,8 +131,12 @@ def photo_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def analysed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The analysis itself. Rows of status ``error`` have no hashes and score 0."""
-    rows = analysed(photo_facts(spark, sf_dir))
+    """The analysis itself. Rows of status ``error`` have no hashes and score 0.
+
+    The tables are few files, while the analysis costs far more than moving a plane: rows are dealt
+    to all cores first.
+    """
+    rows = analysed(photo_facts(spark, sf_dir).repartition(2 * spark.sparkContext.defaultParallelism, "id"))
     ok = F.col("status") == "ok"
     return rows.select(
         "id", "path", "filename", "size", "mtime", "sha256", "width", "height", "format", "taken_at", "camera", "iso", "mark", "rating", "status",

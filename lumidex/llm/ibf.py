@@ -1,7 +1,8 @@
 """Document fingerprints as invertible Bloom lookup sketches of paragraph digests.
 
-A text is cut into paragraphs: its lines, long ones cut again at the first sentence end after
-``PARAGRAPH`` characters. Each distinct paragraph's digest is put in three cells of a sketch, one
+A text is cut into paragraphs: its lines, cut again at the first sentence end ``PARAGRAPH`` to ``LONGEST``
+characters on, where there is none at the end of the first word from ``SHORT`` characters on, and after
+``LONGEST`` characters at last, so that no paragraph is longer. Each distinct paragraph's digest is put in three cells of a sketch, one
 in each third of it; a cell holds the number of its digests, their XOR and the XOR of their
 checksums. The difference of two sketches, cell by cell, holds only the digests that the texts do
 not share. Peeling takes out cells with one digest and removes it from its other cells, round by
@@ -19,15 +20,19 @@ from pyspark.sql import functions as F
 from lumidex.llm.common import id_back, id_key
 from lumidex.session import cut
 
-#: Characters of a paragraph before a sentence end cuts it; cells of a fingerprint; rounds of peeling; retries; spare cells of a retry;
+#: Characters of a paragraph before a sentence end cuts it, at most, and before a word's end does if no sentence ends; cells of a fingerprint; rounds of peeling; retries; spare cells of a retry;
 #: cells gathered before an append.
 PARAGRAPH = 96
+LONGEST = 160
+SHORT = 24
 CELLS = 24
 ROUNDS = 30
 RETRIES = 6
 SPARE = 8
 BUFFER = 64
-_PIECES = rf"[^\n]{{{PARAGRAPH},}}?[.!?]+(?=\s|$)|[^\n]+"
+_SENTENCE = rf"[^\n]{{{PARAGRAPH},{LONGEST}}}?(?:[.!?]+(?=\s|$)|[。！？…।؟۔]+)"
+_WORDS = rf"[^\n]{{{SHORT},{PARAGRAPH}}}?[^\n\s.!?](?=\s)"
+_PIECES = rf"{_SENTENCE}|{_WORDS}|[^\n]{{1,{LONGEST}}}"
 _CELL = "array<struct<c:int,n:bigint,k:bigint,h:bigint>>"
 _LOW32 = 0xFFFFFFFF
 

@@ -102,8 +102,10 @@ def _ranked(points: DataFrame, curves: int) -> DataFrame:
                 k = curve_keys(x / np.linalg.norm(x, axis=1, keepdims=True), curves)
                 yield pd.DataFrame({"curve": np.tile(np.arange(curves) + dim * curves, len(part)), "key": k.ravel(), "point": np.repeat(part["point"].to_numpy(), curves)})
 
-    order = ["curve", "key", "point"]
-    keyed = cut(points.select("point", "vec").mapInPandas(keys, "curve long, key long, point long"))
+    # equal keys are dealt anew on each curve, so that the windows of nearly equal vectors differ
+    order = ["curve", "key", "turn", "point"]
+    keyed = points.select("point", "vec").mapInPandas(keys, "curve long, key long, point long")
+    keyed = cut(keyed.withColumn("turn", F.xxhash64("curve", "point")))
     placed = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = cut(placed.withColumn("run", F.spark_partition_id()).withColumn("nth", F.monotonically_increasing_id()))
     runs = placed.groupBy("curve", "run").agg(F.count("*").alias("n"), F.min("nth").alias("first"))

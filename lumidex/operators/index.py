@@ -21,13 +21,13 @@ def upsert(index: DataFrame, facts: DataFrame) -> DataFrame:
     """The index with new facts by path: known paths keep id, mark and rating, new ones get ids after the largest.
 
     ``facts`` has the index's columns but for the kept ones (a missing one becomes null); of rows
-    that repeat a path one counts, the one scanned last.
+    that repeat a path one counts whole: the one scanned last (``indexed_at``), then the one modified
+    last, then the largest in all its columns. Rows without a path are left out.
     """
     fresh = [c for c in index.columns if c not in KEPT and c in facts.columns]
-    if "indexed_at" in facts.columns:
-        facts = facts.groupBy("path").agg(*[F.max_by(c, "indexed_at").alias(c) for c in fresh if c != "path"])
-    else:
-        facts = facts.dropDuplicates(["path"])
+    last = [F.coalesce(F.col(c).cast("double"), F.lit(float("-inf"))) if c in facts.columns else F.lit(0.0) for c in ("indexed_at", "mtime")]
+    order = F.struct(*last, F.to_json(F.struct(*[c for c in fresh if c != "path"])))
+    facts = facts.where("path IS NOT NULL").groupBy("path").agg(F.max_by(F.struct(*fresh), order).alias("_row")).select("_row.*")
     renamed = facts.select(F.col("path").alias("_path"), *[F.col(c).alias(f"_new_{c}") for c in fresh if c != "path"])
     both = index.join(renamed, index["path"] == renamed["_path"], "full_outer")
     changed = F.col("_path").isNotNull()

@@ -18,9 +18,12 @@ def outside_library(found: DataFrame, root: str) -> DataFrame:
 
 
 def exact_import(batch: DataFrame, known: DataFrame) -> DataFrame:
-    """Adds ``outcome`` and ``match`` to a batch (``ord, path, sha256``): ``duplicate`` of the index or of an earlier row, else ``import``."""
-    first = cut(batch.groupBy("sha256").agg(F.min(F.struct("ord", "path")).alias("first")))
-    rows = batch.join(known.select("sha256", F.col("path").alias("_known")), "sha256", "left").join(first, "sha256")
+    """Adds ``outcome`` and ``match`` to a batch (``ord, path, sha256``): ``duplicate`` of the index or of an earlier row, else ``import``.
+
+    An empty or null digest equals none. ``known`` has one row for each digest (``operators.index.digests``).
+    """
+    first = cut(batch.where("sha256 != ''").groupBy("sha256").agg(F.min(F.struct("ord", "path")).alias("first")))
+    rows = batch.join(known.where("sha256 != ''").select("sha256", F.col("path").alias("_known")), "sha256", "left").join(first, "sha256", "left")
     earlier = F.when(F.col("first.ord") != F.col("ord"), F.col("first.path"))
     match = F.coalesce("_known", earlier)
     return rows.withColumn("match", match).withColumn("outcome", F.when(F.col("match").isNotNull(), "duplicate").otherwise("import")).drop("_known", "first")

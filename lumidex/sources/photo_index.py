@@ -35,22 +35,26 @@ def read_index(spark: SparkSession, root: str) -> DataFrame:
 
 
 def write_index(df: DataFrame, root: str) -> int:
-    """Writes the next version; what is being read stays as it is. Returns its number."""
+    """Writes the next version; what is being read stays as it is. Returns its number.
+
+    Numbers go above those of unfinished versions too: what a crashed write has left is never
+    written over or read, and does not stand in the way.
+    """
     spark = df.sparkSession
-    number = (_versions(spark, root) or [0])[-1] + 1
+    number = (_versions(spark, root, finished=False) or [0])[-1] + 1
     df.write.parquet(f"{root}/v{number:08d}")
     return number
 
 
-def _versions(spark: SparkSession, root: str) -> list[int]:
-    """Finished versions, told by the marker that Spark leaves after the last file."""
+def _versions(spark: SparkSession, root: str, finished: bool = True) -> list[int]:
+    """Versions, told as finished by the marker that Spark leaves after the last file."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path(root)
     fs = path.getFileSystem(conf)
     if not fs.exists(path):
         return []
     names = [s.getPath().getName() for s in fs.listStatus(path)]
-    done = [n for n in names if n[:1] == "v" and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{root}/{n}/_SUCCESS"))]
+    done = [n for n in names if n[:1] == "v" and n[1:].isdigit() and (not finished or fs.exists(jvm.org.apache.hadoop.fs.Path(f"{root}/{n}/_SUCCESS")))]
     return sorted(int(n[1:]) for n in done)
 
 

@@ -166,3 +166,28 @@ def test_destinations_and_export_names(spark):
     assert tuple(names[0]) == ("0007_a.jpg", "066_a.jpg", "2024-05-06_a.jpg", "a.jpg")
     assert tuple(names[1]) == ("12345_b_.jpg", "007_b_.jpg", "1970-01-02_b_.jpg", "b_.jpg") and names[2].original == "c.jpg"
     assert [r[0] for r in df.select(transfer.group_folder(F.lit(7))).limit(1).collect()] == ["group-007"]
+
+
+def test_of_rows_that_repeat_a_path_the_last_counts_whole(spark):
+    rows = [("/p/b.jpg", 1, 5.0), ("/p/b.jpg", None, 9.0), ("/p/b.jpg", 3, 7.0), (None, 4, 9.0)]
+    got = {r.path: (r.id, r.size, r.mtime) for r in index.upsert(small(spark), spark.createDataFrame(rows, "path string, size long, mtime double")).collect()}
+    assert got["/p/b.jpg"] == (2, None, 9.0) and None not in got
+    timed = [("/p/n.jpg", 1, 9.0, 1.0), ("/p/n.jpg", 2, 5.0, 2.0), ("/p/n.jpg", 3, 9.0, None)]
+    got = {r.path: (r.size, r.mtime) for r in index.upsert(small(spark).selectExpr("*", "0d AS indexed_at"), spark.createDataFrame(timed, "path string, size long, mtime double, indexed_at double")).collect()}
+    assert got["/p/n.jpg"] == (2, 5.0)
+
+
+def test_exact_import_keeps_every_row(spark):
+    batch = spark.createDataFrame([(1, "/a", None), (2, "/b", ""), (3, "/c", ""), (4, "/d", "x"), (5, "/e", "x"), (6, "/f", "k")], "ord int, path string, sha256 string")
+    known = spark.createDataFrame([("k", "/lib/k"), ("", "/lib/empty")], "sha256 string, path string")
+    got = {r.path: (r.outcome, r.match) for r in transfer.exact_import(batch, known).collect()}
+    assert got == {"/a": ("import", None), "/b": ("import", None), "/c": ("import", None), "/d": ("import", None), "/e": ("duplicate", "/d"), "/f": ("duplicate", "/lib/k")}
+
+
+def test_a_crashed_write_does_not_block_the_next(spark, tmp_path):
+    root = tmp_path / "index"
+    photo_index.write_index(photo_index.empty_index(spark), str(root))
+    (root / "v00000002").mkdir()
+    (root / "v00000002" / "part-0.parquet").write_bytes(b"half")
+    assert photo_index.write_index(photo_index.empty_index(spark), str(root)) == 3
+    assert photo_index.read_index(spark, str(root)).count() == 0

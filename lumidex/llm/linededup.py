@@ -9,11 +9,14 @@ longest-common-prefix values of L or more; it is named by two overlapping ranks,
 start, rank 2^t before the end) with 2^t <= L. An interval of two or more suffixes is a repeated
 run; the suffix that comes first by (document id, line) is its first copy.
 
-Blank lines belong to the line before them. A run counts from ``min_words`` words. A line is deleted if some repeated run that counts, of which
-this is a later copy, covers it. Every such run is the union of the shortest runs that count
-starting or ending at its lines, and those are repeated when it is, so only these shortest runs,
-two for each line at most, are looked up: together they cover what the maximal runs cover. Their
-length bounds the rounds: it is at most ``min_words`` lines.
+Blank lines belong to the line before them. A run counts from ``min_words`` words. A copy that
+overlaps the first one in the same document is no later copy: of a line said over and over, so many
+stay as make up a run that counts. A line is deleted if a later copy of some run that counts covers
+it; so the first occurrence of any line stays, and what is said twice is still said once. Every run is the
+union of the shortest runs that count starting or ending at its lines, and those are repeated,
+clear of their first copy, when it is, so only these shortest runs, two for each line at most, are
+looked up: together they cover what the maximal runs cover. Their length bounds the rounds: it is
+at most ``min_words`` lines.
 
 All of this is DataFrame expressions; sizes follow the number of repeated lines.
 """
@@ -28,12 +31,8 @@ from lumidex.session import cut
 
 MIN_WORDS = 40
 _DOC = ["k0", "k1"]
-#: Steps of the binary search in a document's lines: enough for 2^24 of them.
-_BITS = [1 << b for b in range(23, -1, -1)]
-
-
-#: Stands for the end of a document.
-_LAST = 2**30
+#: Stands for the end of a document, which no line reaches.
+_LAST = 2**31 - 16
 
 
 def _let(value: Column, use) -> Column:
@@ -48,18 +47,20 @@ def _ranked(classes: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _lines(df: DataFrame, text: str) -> DataFrame:
-    """``k0, k1, pos, i, d0, d1, words``: the lines of each document that hold a word; repeated rows once."""
-    each = df.select(*_DOC, F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
-    each = each.select(*_DOC, "pos", F.xxhash64("line").alias("d0"), F.xxhash64(F.lit(1), "line").alias("d1"), F.regexp_count("line", F.lit(r"\S+")).alias("words"))
-    return each.where("words > 0")
+    """``k0, k1, i, pos, end, words, d0, d1`` of the lines that hold a word; ``i`` counts them. A row each, so no shuffle."""
+    each = F.transform(F.split(text, "\n", -1), lambda x, n: F.struct(n.alias("pos"), x.alias("line"), F.regexp_count(x, F.lit(r"\S+")).alias("words")))
+
+    def numbered(rows: Column) -> Column:
+        end = lambda n: F.coalesce(F.try_element_at(rows, n + 2)["pos"] - 1, F.lit(_LAST))
+        return F.transform(rows, lambda x, n: F.struct(x["pos"].alias("pos"), end(n).alias("end"), x["words"].alias("words"), F.xxhash64(x["line"]).alias("d0"), F.xxhash64(F.lit(1), x["line"]).alias("d1")))
+
+    found = df.select(*_DOC, F.posexplode(_let(F.filter(each, lambda x: x["words"] > 0), numbered)).alias("i", "line"))
+    return found.select(*_DOC, "i", "line.*")
 
 
 def _live(df: DataFrame, text: str) -> DataFrame:
-    """``k0, k1, i, pos, words, rank`` of lines that occur more than once; ``i`` counts the lines that hold a word."""
-    each = _lines(df, text).repartition(*_DOC).dropDuplicates([*_DOC, "pos"])
-    order = Window.partitionBy(*_DOC).orderBy("pos")
-    each = each.withColumn("end", F.coalesce(F.lead("pos").over(order) - 1, F.lit(_LAST)))
-    each = cut(each.withColumn("i", F.row_number().over(order)))
+    """``k0, k1, i, pos, end, words, rank`` of lines that occur more than once."""
+    each = cut(_lines(df, text))
     classes = _ranked(each.groupBy("d0", "d1").count().where("count > 1").select("d0", "d1"), ["d0", "d1"])
     return cut(each.join(classes, ["d0", "d1"]).select(*_DOC, "i", "pos", "end", "words", "rank"))
 
@@ -69,7 +70,8 @@ def _windows(live: DataFrame, min_words: int) -> DataFrame:
     order = Window.partitionBy(*_DOC).orderBy("i")
     summed = live.withColumn("upto", F.sum("words").over(order))
     docs = summed.groupBy(*_DOC).agg(F.sort_array(F.collect_list(F.struct("i", "pos", "end", "words", "upto"))).alias("rows"))
-    bits = F.array(*[F.lit(b) for b in _BITS])
+    most = live.agg(F.max("i")).first()[0] or 0
+    bits = F.array(*[F.lit(1 << b) for b in range((most + 1).bit_length() - 1, -1, -1)])
 
     def first_place(rows: Column, goal: Column) -> Column:
         """How many rows have ``upto`` below the goal; the row after them reaches it."""
@@ -118,8 +120,10 @@ def _deeper(ranks: DataFrame, depth: int) -> DataFrame:
 def repeated_runs(df: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``k0, k1, spans``: for each document with later copies, the line spans to delete, merged and in order.
 
-    ``df`` has the key columns ``k0, k1`` of ``with_document_key``.
+    ``df`` has the key columns ``k0, k1``; rows that repeat both are one document.
     """
+    if not df.groupBy(*_DOC).count().where("count > 1").isEmpty():
+        df = df.dropDuplicates(_DOC)
     live = _live(df, text)
     runs = cut(_windows(live, min_words))
     longest = runs.agg(F.max("length")).first()[0] or 0
@@ -136,7 +140,8 @@ def repeated_runs(df: DataFrame, text: str = "text", min_words: int = MIN_WORDS)
     name = ["length", "a", "b"]
     first = named.groupBy(*name).agg(F.min(F.struct(*_DOC, "i")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     first = cut(first)  # the join below can then split a run with very many copies
-    later = named.join(first, name).where(F.col("first") != F.struct(*_DOC, "i")).select(*_DOC, "from_pos", "to_pos")
+    clear = (F.struct("first.k0", "first.k1") != F.struct(*_DOC)) | (F.col("i") >= F.col("first.i") + F.col("length"))
+    later = named.join(first, name).where(clear).select(*_DOC, "from_pos", "to_pos")
     order = Window.partitionBy(*_DOC).orderBy("from_pos", "to_pos")
     before = F.max("to_pos").over(order.rowsBetween(Window.unboundedPreceding, -1))
     islands = later.withColumn("new", F.coalesce(F.col("from_pos") > before, F.lit(True)).cast("int"))
@@ -154,7 +159,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_w
     ``n_removed`` are replaced; others are passed on.
     """
     rest = [c for c in df.columns if c not in ("n_lines", "n_removed")]
-    keyed = df.select(*rest, id_key(id_col).alias("__k0"), F.xxhash64(text).alias("__k1"))
+    keyed = df.select(*rest, id_key(df, id_col).alias("__k0"), F.xxhash64(text).alias("__k1"))
     spans = repeated_runs(keyed.select(F.col("__k0").alias("k0"), F.col("__k1").alias("k1"), F.col(text).alias("text")), "text", min_words)
     spans = spans.select(F.col("k0").alias("__k0"), F.col("k1").alias("__k1"), F.col("spans").alias("__spans"))
     lines = F.split(text, "\n", -1)
@@ -185,19 +190,18 @@ def line_report(df: DataFrame) -> DataFrame:
 
 
 def line_sql(min_words: int = MIN_WORDS) -> str:
-    """The registered query over the view ``documents`` (unique ids), as DuckDB SQL that compares the runs' lines themselves."""
+    """The registered query over the view ``documents`` (unique ids), as DuckDB SQL of another kind: every line is matched with every earlier equal one, and matches that go on line by line are runs."""
     return f"""
 WITH split AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents WHERE text IS NOT NULL),
 worded AS (SELECT *, len(regexp_extract_all(line, '[^ \\t\\n\\x0B\\f\\r]+')) AS words FROM split),
-numbered AS (SELECT *, row_number() OVER d AS i, coalesce(lead(pos) OVER d - 1, 1000000000) AS until, count(*) OVER (PARTITION BY line) AS n FROM worded WHERE words > 0
+numbered AS (SELECT *, row_number() OVER d AS i, coalesce(lead(pos) OVER d - 1, 1000000000) AS until, sum(words) OVER d AS upto FROM worded WHERE words > 0
     WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
-live AS (SELECT *, i - row_number() OVER d AS seg, sum(words) OVER d AS upto FROM numbered WHERE n > 1 WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
-pairs AS (SELECT a.doc_id, a.i AS s, b.i AS e FROM live a JOIN live b ON a.doc_id = b.doc_id AND a.seg = b.seg AND b.i >= a.i AND b.upto - a.upto + a.words >= {min_words}),
-runs AS (SELECT doc_id, s, min(e) AS e FROM pairs GROUP BY doc_id, s UNION SELECT doc_id, max(s), e FROM pairs GROUP BY doc_id, e),
-texts AS (SELECT r.doc_id, r.s, r.e, string_agg(l.line, chr(10) ORDER BY l.i) AS said, min(l.pos) AS from_pos, max(l.until) AS to_pos
-    FROM runs r JOIN live l ON l.doc_id = r.doc_id AND l.i BETWEEN r.s AND r.e GROUP BY ALL),
-firsts AS (SELECT said, e - s AS len, min({{'d': doc_id, 's': s}}) AS first FROM texts GROUP BY ALL),
-later AS (SELECT t.doc_id, t.from_pos, t.to_pos FROM texts t JOIN firsts f ON f.said = t.said AND f.len = t.e - t.s WHERE f.first != {{'d': t.doc_id, 's': t.s}}),
+matches AS (SELECT a.doc_id, a.i, b.doc_id AS source, a.i - b.i AS lag FROM numbered a JOIN numbered b ON a.line = b.line AND (b.doc_id < a.doc_id OR b.doc_id = a.doc_id AND b.i < a.i)),
+islands AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, source, lag ORDER BY i) AS island FROM matches),
+maximal AS (SELECT doc_id, min(i) AS s, max(i) AS e, CASE WHEN doc_id = source THEN lag ELSE 1000000000 END AS most FROM islands GROUP BY doc_id, source, lag, island),
+runs AS (SELECT DISTINCT doc_id, s, s + least(most, total) - 1 AS e FROM (SELECT doc_id, most, e - s + 1 AS total, unnest(range(s, greatest(e - most + 1, s) + 1)) AS s FROM maximal)),
+later AS (SELECT r.doc_id, a.pos AS from_pos, b.until AS to_pos FROM runs r JOIN numbered a ON a.doc_id = r.doc_id AND a.i = r.s JOIN numbered b ON b.doc_id = r.doc_id AND b.i = r.e
+    WHERE b.upto - a.upto + a.words >= {min_words}),
 fates AS (SELECT w.doc_id, w.line, w.pos, EXISTS (SELECT 1 FROM later x WHERE x.doc_id = w.doc_id AND w.pos BETWEEN x.from_pos AND x.to_pos) AS gone FROM split w),
 kept AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS text FROM fates GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(k.text) AS kept_sha256, k.text

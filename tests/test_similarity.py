@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from lumidex.operators import groups, similarity
+from lumidex.operators import components, groups, similarity
 from lumidex.operators.components import connected_components
 from lumidex.settings import Settings
 
@@ -86,3 +86,26 @@ def test_components(spark):
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: top(x) for x in list(parent)}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_components_in_one_task_or_in_rounds(spark, monkeypatch, few):
+    """Random graphs, a long path and a star, settled either way."""
+    monkeypatch.setattr(components, "FEW_EDGES", few)
+    rng = random.Random(few)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(120)]
+    edges += [(1000 + i, 1001 + i) for i in rng.sample(range(90), 90)] + [(2000 + i, 1999) for i in range(50)] + [(7, 7), (None, 5)]
+    top = {n: n for e in edges for n in e if n is not None}
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for a, b in edges:
+        if a is not None:
+            x, y = find(a), find(b)
+            top[max(x, y)] = min(x, y)
+    got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: find(n) for n in top if find(n) != n or any(find(m) == n for m in top if m != n)}
+    assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0

@@ -3,14 +3,19 @@
 Encoding: a text is split by a pattern; the distinct words of a batch become rows of token ids (at
 first one id for each byte). A recursive query joins each word's adjacent positions with the merge
 table, takes the leftmost pair of least rank and contracts it, until no word has a pair in the
-table. Words longer than ``LONG_WORD`` bytes run through the same contraction as a loop of
-statements over token-position rows, which contracts all places of a word's least pair at once
-(the ranks of a merge table only grow along its merges, so the result is the same) and keeps one
-state in memory instead of one for each step. Decoding: ids joined with the vocabulary, the bytes
-aggregated in order of position.
-
-Encoded words are kept for later batches of the same worker, up to ``KEPT_WORDS``; after that the
-store starts anew, which costs time only.
+table. Decoding: ids joined with the vocabulary, the bytes aggregated in order of position.
+
+A word of more than ``2 STRIDE`` bytes is encoded by the same query in pieces, which overlap by half. Where
+two neighbours hold the same token at the same place, the first one's tokens up to it and the
+second one's from it on are joined. This gives the word's own encoding: a sequence of tokens is
+the encoding of its bytes exactly if every two adjacent tokens are the encoding of theirs (the
+first contraction across a token's edge would be made in that pair, too, as the order of
+contractions in a part is that of the part alone), and every adjacent pair of the result stands in
+one of the pieces. Neighbours without a common token are encoded again as one longer piece, so
+the work is linear in the word but for such stretches (periods that do not divide ``STRIDE``).
+
+Encoded words are kept for later batches of the same task, up to ``KEPT_WORDS``; after that the
+store starts anew, which costs time only. A worker that waits for its next task keeps only the tables.
 """
 
 from __future__ import annotations
@@ -20,20 +25,29 @@ import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
-from itertools import chain, filterfalse
+from itertools import chain, filterfalse, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumidex.llm.common import short_batches
-
-LONG_WORD = 64
-KEPT_WORDS = 500_000
-#: Words that one recursive query takes, and characters of the texts that are split together.
-WORDS_AT_ONCE = 60_000
-CHARS_AT_ONCE = 4_000_000
+from lumidex.llm.common import give_back, short_batches
+
+#: Bytes from the start of one piece of a long word to that of the next; a piece has twice as many.
+STRIDE = 96
+#: Words that a task keeps at most.
+KEPT_WORDS = 250_000
+#: The states of one recursive query: token ids over all its steps, at most (a word of n bytes has n(n+1)/2), but for a single longer piece.
+STATES_AT_ONCE = 4_000_000
+#: Characters of the texts that are split together.
+CHARS_AT_ONCE = 1_000_000
+#: Words of a longer text that are encoded together.
+WORDS_AT_ONCE = 200_000
+#: Ids that one query decodes.
+IDS_AT_ONCE = 400_000
+#: What DuckDB may hold; it has nowhere to spill.
+MEMORY = "192MB"
 
 _RECURSIVE = """
 WITH RECURSIVE state AS (
@@ -52,23 +66,6 @@ WITH RECURSIVE state AS (
 SELECT w, arg_max(toks, step) AS toks FROM state GROUP BY w ORDER BY w
 """
 
-_LONG_STEP = """
-CREATE OR REPLACE TEMP TABLE stepped AS
-WITH pairs AS (
-    SELECT w, pos, tok, lead(tok) OVER o AS nxt FROM positions WINDOW o AS (PARTITION BY w ORDER BY pos)
-), ranked AS (
-    SELECT p.*, m.rank, min(m.rank) OVER (PARTITION BY w) AS best
-    FROM pairs p LEFT JOIN merges m ON m.pair = (p.tok::BIGINT << 20) | p.nxt
-), places AS (
-    SELECT *, coalesce(rank = best, false) AS hit, row_number() OVER (PARTITION BY w ORDER BY pos) AS n FROM ranked
-), runs AS (  -- overlapping places of one pair stand in a run; every other one of them is contracted
-    SELECT *, n - coalesce(max(CASE WHEN NOT hit THEN n END) OVER (PARTITION BY w ORDER BY pos), 0) AS nth FROM places
-), chosen AS (
-    SELECT *, hit AND nth % 2 = 1 AS taken, lag(hit AND nth % 2 = 1, 1, false) OVER (PARTITION BY w ORDER BY pos) AS gone FROM runs
-)
-SELECT w, pos, CASE WHEN taken THEN best ELSE tok END AS tok, best IS NOT NULL AS active FROM chosen WHERE NOT gone
-"""
-
 _DECODE = """
 SELECT d, unhex(string_agg(v.hex, '' ORDER BY pos)) AS bytes
 FROM (SELECT d, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM docs) JOIN vocab v USING (id)
@@ -127,10 +124,11 @@ class DuckBpe:
         import regex
 
         self.tokens = tokens
-        self.split = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
         latin = latin_pattern(pattern)
-        self.split_latin = re.compile(latin).findall if latin else None
+        self.latin = re.compile(latin) if latin else None
         rank = {t: i for i, t in enumerate(tokens) if t}
+        self.length = np.array([len(t) for t in tokens], np.int64)
         self.of_byte = np.array([rank.get(bytes([b]), 0) for b in range(256)], np.int32)
         pairs, ranks = [], []
         for token, r in rank.items():
@@ -139,7 +137,7 @@ class DuckBpe:
                 if a is not None and b is not None:
                     pairs.append((a << 20) | b)
                     ranks.append(r)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
         self._put("merges", pa.table({"pair": pa.array(pairs, pa.int64()), "rank": pa.array(ranks, pa.int32())}))
         self._put("vocab", pa.table({"id": pa.array(range(len(tokens)), pa.int32()), "hex": pa.array([t.hex() for t in tokens])}))
         self.kept: dict[str, bytes] = {}
@@ -155,70 +153,143 @@ class DuckBpe:
         lo = 0
         while lo < len(texts):
             hi, chars = lo, 0
-            while hi < len(texts) and (hi == lo or chars < CHARS_AT_ONCE):
+            while hi < len(texts) and (hi == lo or chars + len(texts[hi] or "") <= CHARS_AT_ONCE):
                 chars += len(texts[hi] or "")
                 hi += 1
-            split = [self._words(t) if t else [] for t in texts[lo:hi]]
-            missing = set(filterfalse(self.kept.__contains__, chain.from_iterable(split)))
-            if missing and len(self.kept) + len(missing) > KEPT_WORDS:
-                self.kept.clear()
-                missing = set(chain.from_iterable(split))
-            self._learn(list(missing))
-            found = self.kept.__getitem__
-            out += [b"".join(map(found, words)) for words in split]
+            if chars > CHARS_AT_ONCE:
+                out.append(b"".join(self._ids([run])[0] for run in self._runs(texts[lo])))
+            else:
+                out += self._ids([self._splitter(t).findall(t) if t else [] for t in texts[lo:hi]])
             lo = hi
         return out
 
-    def _words(self, text: str) -> list[str]:
-        if self.split_latin is not None:
+    def _splitter(self, text: str):
+        if self.latin is not None:
             try:
                 text.encode("latin-1")
-                return self.split_latin(text)
+                return self.latin
             except UnicodeEncodeError:
                 pass
-        return self.split(text)
+        return self.pattern
+
+    def _runs(self, text: str) -> Iterator[list[str]]:
+        """The words of a very long text, a bounded number at a time."""
+        words = (m.group() for m in self._splitter(text).finditer(text))
+        while run := list(islice(words, WORDS_AT_ONCE)):
+            yield run
+
+    def _ids(self, split: list[list[str]]) -> list[bytes]:
+        """The ids of each list of words."""
+        missing = set(filterfalse(self.kept.__contains__, chain.from_iterable(split)))
+        if missing and len(self.kept) + len(missing) > KEPT_WORDS:
+            self.kept.clear()
+            missing = set(chain.from_iterable(split))
+        self._learn(list(missing))
+        found = self.kept.__getitem__
+        out = [b"".join(map(found, words)) for words in split]
+        for w in missing:
+            if len(w) > STRIDE:
+                del self.kept[w]
+        return out
 
     def _learn(self, words: list[str]) -> None:
-        raw = [(w, w.encode("utf-8", "surrogatepass")) for w in words]
-        short = [x for x in raw if len(x[1]) <= LONG_WORD]
-        for lo in range(0, len(short), WORDS_AT_ONCE):
-            part = short[lo : lo + WORDS_AT_ONCE]
-            ends = np.cumsum([0, *(len(b) for _, b in part)], dtype=np.int32)
-            bytes_ = np.frombuffer(b"".join(b for _, b in part), np.uint8)
-            toks = pa.ListArray.from_arrays(pa.array(ends), pa.array(self.of_byte[bytes_]))
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        long = [i for i, b in enumerate(raw) if len(b) > 2 * STRIDE]
+        plain = [i for i, b in enumerate(raw) if len(b) <= 2 * STRIDE]
+        for i, ids in zip(plain, self._contracted([raw[i] for i in plain])):
+            self.kept[words[i]] = ids
+        for i, ids in zip(long, self._joined([raw[i] for i in long])):
+            self.kept[words[i]] = ids
+
+    def _contracted(self, words: list[bytes]) -> Iterator[bytes]:
+        """The ids of each word, by the recursive query."""
+        lo = 0
+        while lo < len(words):
+            hi, states = lo, 0
+            while hi < len(words) and (hi == lo or states < STATES_AT_ONCE):
+                states += len(words[hi]) * (len(words[hi]) + 1) // 2
+                hi += 1
+            part = words[lo:hi]
+            starts = np.cumsum([0, *map(len, part)], dtype=np.int32)
+            toks = pa.ListArray.from_arrays(pa.array(starts), pa.array(self.of_byte[np.frombuffer(b"".join(part), np.uint8)]))
             self._put("words", pa.table({"w": pa.array(range(len(part)), pa.int32()), "toks": toks}))
             got = self.db.sql(_RECURSIVE).to_arrow_table()["toks"].combine_chunks()
-            self._keep([w for w, _ in part], got)
-        for w, b in raw:
-            if len(b) > LONG_WORD:
-                self.kept[w] = self._long(b)
-
-    def _keep(self, words: list[str], toks: pa.ListArray) -> None:
-        ends = 4 * toks.offsets.to_numpy()
-        data = toks.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-        for w, lo, hi in zip(words, ends, ends[1:]):
-            self.kept[w] = data[lo:hi]
-
-    def _long(self, word: bytes) -> bytes:
-        toks = self.of_byte[np.frombuffer(word, np.uint8)]
-        self._put("positions", pa.table({"w": pa.array(np.zeros(len(toks), np.int32)), "pos": pa.array(np.arange(len(toks), dtype=np.int32)), "tok": pa.array(toks)}))
+            ends = 4 * got.offsets.to_numpy()
+            data = got.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()
+            for a, b in zip(ends, ends[1:]):
+                yield data[a:b]
+            lo = hi
+
+    def _joined(self, words: list[bytes]) -> list[bytes]:
+        """The ids of long words, from overlapping pieces: piece ``k`` reaches from its start to that of the next but one."""
+        starts = [list(range(0, max(1, len(w) - STRIDE), STRIDE)) for w in words]
+        known: list[dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]] = [{} for _ in words]
+        out: list[bytes | None] = [None] * len(words)
         while True:
-            self.db.execute(_LONG_STEP)
-            going = self.db.execute("SELECT bool_or(active) FROM stepped").fetchall()[0][0]
-            if not going:
-                break
-            self.db.execute("CREATE OR REPLACE TEMP TABLE positions AS SELECT w, pos, tok FROM stepped")
-        got = self.db.sql("SELECT tok FROM stepped ORDER BY pos").to_arrow_table()["tok"]
-        return got.to_numpy().astype("<u4").tobytes()
+            wanted = []
+            for n, w in enumerate(words):
+                if out[n] is None:
+                    ends = [*starts[n][2:], len(w), len(w)][: len(starts[n])]
+                    spans = list(zip(starts[n], ends))
+                    known[n] = {s: known[n][s] for s in spans if s in known[n]}
+                    wanted += [(n, s) for s in spans if s not in known[n]]
+            for (n, (a, b)), ids in zip(wanted, self._contracted([words[n][a:b] for n, (a, b) in wanted])):
+                toks = np.frombuffer(ids, "<u4")
+                known[n][a, b] = toks, a + np.cumsum([0, *self.length[toks]])[:-1]
+            for n in range(len(words)):
+                if out[n] is None:
+                    out[n], starts[n] = _stitched([known[n][s] for s in sorted(known[n])], starts[n])
+            if all(x is not None for x in out):
+                return out
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """The bytes that each row of ids (little-endian unsigned 32-bit integers) stands for."""
-        self._put("docs", pa.table({"d": pa.array(range(len(ids)), pa.int32()), "ids": _id_lists(ids)}))
-        out = [b""] * len(ids)
-        got = self.db.sql(_DECODE).to_arrow_table()
-        for d, b in zip(got["d"].to_pylist(), got["bytes"].to_pylist()):
-            out[d] = b
-        return out
+        step = 4 * IDS_AT_ONCE
+        parts = [(d, x[at : at + step]) for d, x in enumerate(ids) for at in range(0, len(x), step)]
+        out: list[list[bytes]] = [[] for _ in ids]
+        lo = 0
+        while lo < len(parts):
+            hi, size = lo, 0
+            while hi < len(parts) and (hi == lo or size + len(parts[hi][1]) <= step):
+                size += len(parts[hi][1])
+                hi += 1
+            self._put("docs", pa.table({"d": pa.array(range(lo, hi), pa.int32()), "ids": _id_lists([x for _, x in parts[lo:hi]])}))
+            got = self.db.sql(_DECODE).to_arrow_table()
+            for part, b in sorted(zip(got["d"].to_pylist(), got["bytes"].to_pylist())):
+                out[parts[part][0]].append(b)
+            lo = hi
+        return [b"".join(x) for x in out]
+
+    def rest(self) -> None:
+        """Between tasks only the tables of the vocabulary are held."""
+        self.kept.clear()
+        for name in ("words", "docs"):
+            self.db.execute(f"DROP TABLE IF EXISTS {name}")
+        give_back()
+
+
+def _stitched(pieces: list[tuple[np.ndarray, np.ndarray]], starts: list[int]) -> tuple[bytes | None, list[int]]:
+    """The tokens of neighbouring pieces (ids and places) joined where they agree; where they do not, none, and every other such start left out."""
+    parts, since, drop = [], 0, []
+    for k, (ids, at) in enumerate(pieces):
+        until = len(ids)
+        if k + 1 < len(pieces):
+            next_ids, next_at = pieces[k + 1]
+            # tokens of both, keyed by place and id; the first that both hold at or after the cut so far
+            mine = at[since:].astype(np.int64) << 24 | ids[since:]
+            both = np.intersect1d(mine, next_at.astype(np.int64) << 24 | next_ids, assume_unique=True)
+            if len(both):
+                until = since + int(np.searchsorted(mine, both[0]))
+                following = int(np.searchsorted(next_at, both[0] >> 24))
+            else:
+                if not drop or drop[-1] != k:
+                    drop.append(k + 1)
+                until = following = 0
+        parts.append(ids[since:until])
+        since = following if k + 1 < len(pieces) else 0
+    if drop:
+        return None, [s for k, s in enumerate(starts) if k not in set(drop)]
+    return np.concatenate(parts).astype("<u4").tobytes(), starts
 
 
 _WORKER: dict[bytes, DuckBpe] = {}
@@ -239,11 +310,14 @@ def _per_batch(df: DataFrame, path: str, pattern: str, columns: dict[str, pa.Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(shared.value, pattern)
-        for batch in batches:
-            if batch.num_rows:
-                made = work(coder, batch)
-                arrays = [*(batch.column(n) for n in batch.schema.names if n not in columns), *(made[n] if isinstance(made[n], pa.Array) else pa.array(made[n], t) for n, t in columns.items())]
-                yield pa.RecordBatch.from_arrays(arrays, [*(n for n in batch.schema.names if n not in columns), *columns])
+        try:
+            for batch in batches:
+                if batch.num_rows:
+                    made = work(coder, batch)
+                    arrays = [*(batch.column(n) for n in batch.schema.names if n not in columns), *(made[n] if isinstance(made[n], pa.Array) else pa.array(made[n], t) for n, t in columns.items())]
+                    yield pa.RecordBatch.from_arrays(arrays, [*(n for n in batch.schema.names if n not in columns), *columns])
+        finally:
+            coder.rest()
 
     left = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name not in columns)
     return df.mapInArrow(run, f"{left}, {schema}" if left else schema)

@@ -2,29 +2,112 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: Stands for a null identifier wherever rows are ordered or joined by it; it sorts before every other one.
 NO_ID = -(2**63)
-#: Rows in one Arrow batch that goes to Python: whole texts are large, so batches are short.
+_MARK = "\x01"
+#: Rows and bytes in one Arrow batch that goes to Python: whole texts are large, so batches are short; a single longer text is a batch.
 BATCH_ROWS = 500
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def id_key(column: str) -> Column:
-    return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
+def _whole(df: DataFrame, column: str) -> bool:
+    return isinstance(df.schema[column].dataType, IntegralType)
+
+
+def id_key(df: DataFrame, column: str) -> Column:
+    """The identifier as a key without nulls, a null one first: whole numbers as longs, anything else as a string behind a mark.
+
+    The least long of all (-2^63) is read as null.
+    """
+    if _whole(df, column):
+        return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
+    return F.coalesce(F.concat(F.lit(_MARK), F.col(column).cast("string")), F.lit(""))
+
+
+def id_back(df: DataFrame, column: str, key: str) -> Column:
+    """The identifier that ``key`` stands for: a long or a string."""
+    if _whole(df, column):
+        return F.nullif(F.col(key), F.lit(NO_ID))
+    return F.when(F.col(key) != "", F.substring(F.col(key), F.lit(2), F.length(key)))
+
+
+def groups_of(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, list[int]]]:
+    """Frames of whole groups, with the places where groups start and the end: for batches of a partition that is sorted by ``keys``."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        key = pdf[keys].to_numpy()
+        turns = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+        if held and not (held[-1][keys].iloc[-1].to_numpy() == key[0]).all():
+            turns = np.concatenate([[0], turns])
+        if not len(turns):
+            held.append(pdf)
+            continue
+        whole = pd.concat([*held, pdf.iloc[: turns[-1]]], ignore_index=True) if held else pdf.iloc[: turns[-1]].reset_index(drop=True)
+        if len(whole):
+            before = len(whole) - int(turns[-1])
+            yield whole, [*dict.fromkeys([0, *(int(t) + before for t in turns)])]
+        held = [pdf.iloc[turns[-1] :]]
+    if held:
+        whole = pd.concat(held, ignore_index=True)
+        yield whole, [0, len(whole)]
+
 
+def let(value: Column, use) -> Column:
+    """Evaluates ``value`` once and hands it on as a variable."""
+    return F.transform(F.array(value), use)[0]
 
-def id_back(column: Column) -> Column:
-    return F.nullif(column, F.lit(NO_ID))
+
+def states_before(values: Column, zero: Column, step, kind: str) -> Column:
+    """For each value of an array the state that ``step(state, value)`` has reached before it; ``kind`` is the state's type.
+
+    Works through runs of the cube root of the length: an append copies an array of references,
+    and that balances appends within a run against those of runs.
+    """
+    none, nones = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+
+    def whole(values: Column) -> Column:
+        width = F.ceil(F.cbrt(F.size(values))).cast("int")
+
+        def run(acc: Column, at: Column) -> Column:
+            one = lambda a, i: F.struct(step(a["state"], values[i]).alias("state"), F.concat(a["out"], F.array(a["state"])).alias("out"))
+            places = F.sequence(at, F.least(at + width, F.size(values)) - 1)  # a slice would copy the whole array
+            inner = F.aggregate(places, F.struct(acc["state"].alias("state"), none.alias("out")), one)
+            return let(inner, lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+        begun = F.struct(zero.cast(kind).alias("state"), nones.alias("out"))
+        made = F.aggregate(F.sequence(F.lit(0), F.size(values) - 1, width), begun, run, lambda acc: F.flatten(acc["out"]))
+        return F.when(F.size(values) == 0, none).otherwise(made)
+
+    return let(values, whole)
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch, so that a batch of long texts fits a Python worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > BATCH_ROWS or int(spark.conf.get(key, "10000")) <= 0:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Bound the rows and bytes of an Arrow batch, so that a batch of long texts fits a Python worker. Lower bounds of the session stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key).lower().removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
+def give_back() -> None:
+    """Returns memory that a Python worker has freed to the machine, before the worker waits for its next task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)

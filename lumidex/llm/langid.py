@@ -1,12 +1,14 @@
 """Language identification with a bidirectional gated recurrent network over bytes, in numpy.
 
-A text's UTF-8 bytes are cut into windows of ``WINDOW`` bytes. In each direction a gated unit runs
-over a window: ``z = s(A_z[byte] + h U_z)``, ``c = tanh(A_c[byte] + h U_c)``, ``h += z (c - h)``
-(a GRU without reset gate). The two states of a position give a distribution over the languages;
-the mean over all positions of all windows is the document's distribution. Every byte of a text is
-read. The network is trained by backpropagation through time, with every position labelled by its
-document's language, on at most ``docs_per_lang`` labelled documents of each language and
-``PIECES`` pieces of each, so that the fit costs the same at any size.
+In each direction a gated recurrent unit runs over a text's UTF-8 bytes: ``z = s(A_z[byte] + h U_z)``,
+``r = s(A_r[byte] + h U_r)``, ``c = tanh(A_c[byte] + (r h) U_c)``, ``h += z (c - h)``. The two states
+of a position give a distribution over the languages; the mean over all positions is the
+document's distribution. Every byte of a text is read. Texts of up to ``WINDOW`` bytes run as they are. Of
+longer ones ``WINDOW`` bytes at a time run side by side, and each direction starts ``LEAD`` bytes
+before the first position that it labels, so that its state holds what stands there. The network is trained by
+backpropagation through time, with every position labelled by its document's language, on at most
+``docs_per_lang`` labelled documents of each language and ``PIECES`` pieces of each, so that the
+fit costs the same at any size.
 """
 
 from __future__ import annotations
@@ -16,22 +18,28 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumidex.llm.common import short_batches
+from lumidex.llm.common import give_back, short_batches
 
-WINDOW = 64
+WINDOW = 256
+LEAD = 32
 HIDDEN = 8
-#: Labelled documents of each language that the fit reads at most, pieces of each, and characters of a piece.
+#: Labelled documents that the fit reads at most: of each language, and of all together (but one of each language at least).
 DOCS_PER_LANG = 400
+DOCS = 40_000
+#: Pieces of each, characters of a piece, and bytes of a window in training.
 PIECES = 3
 PIECE_CHARS = 256
-#: Times the wanted documents that are ranked; languages up to which shares are told (beyond, all rows are ranked).
+TRAIN_WINDOW = 64
+#: Languages up to which their table (under 100 bytes a row) is broadcast; more are joined by a shuffle, with the same result.
+BROADCAST_LANGS = 10_000
+#: Times the wanted documents that are ranked.
 MARGIN = 8
-LANGS = 10_000
-#: Windows that run side by side.
-SIDE_BY_SIDE = 2048
+#: Numbers that the states or the probabilities of the windows that run side by side take at most.
+NUMBERS = 3_000_000
 UNKNOWN = "und"
 
 
@@ -41,58 +49,66 @@ class Network:
     weights: dict[str, np.ndarray]
 
 
-def windows_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of bytes (padded with zero), the bytes in each, and the text each is of."""
-    counts = np.array([-(-len(t) // WINDOW) for t in texts], np.int64)
-    block = b"".join(t + b"\0" * (-len(t) % WINDOW) for t in texts)
-    rows = np.frombuffer(block, np.uint8).reshape(-1, WINDOW)
+def pieces_of(texts: list[bytes], window: int = TRAIN_WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Separate windows of bytes (padded with zero), the bytes in each, and the text each is of."""
+    counts = np.array([-(-len(t) // window) for t in texts], np.int64)
+    block = b"".join(t + b"\0" * (-len(t) % window) for t in texts)
+    rows = np.frombuffer(block, np.uint8).reshape(-1, window)
     owner = np.repeat(np.arange(len(texts)), counts)
-    filled = np.full(len(rows), WINDOW, np.int64)
+    filled = np.full(len(rows), window, np.int64)
     lengths = np.array([len(t) for t in texts], np.int64)
     last = np.cumsum(counts) - 1
     some = counts > 0
-    filled[last[some]] = lengths[some] - (counts[some] - 1) * WINDOW
+    filled[last[some]] = lengths[some] - (counts[some] - 1) * window
     return rows, filled, owner
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (np.tanh(0.5 * x) + 1)
+def _sigmoid_in_place(x: np.ndarray) -> None:
+    x *= 0.5
+    np.tanh(x, out=x)
+    x += 1
+    x *= 0.5
 
 
-def _run(w: dict[str, np.ndarray], side: str, columns: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
-    """States of one direction, in that direction's order of steps: (steps, windows, hidden)."""
-    az, ac, uz, uc = (w[side + k] for k in ("az", "ac", "uz", "uc"))
+def _run(w: dict[str, np.ndarray], side: str, columns: np.ndarray, keep: bool = False, live: np.ndarray | None = None) -> tuple[np.ndarray, list]:
+    """States of one direction, in that direction's order of steps: (steps, windows, hidden).
+
+    Where ``live`` (steps, windows) is false the state stays as it is, zero at the start.
+    """
+    ag, ac, ug, uc = (w[side + k] for k in ("ag", "ac", "ug", "uc"))
+    hidden = ac.shape[1]
     steps, n = columns.shape
-    states = np.empty((steps, n, az.shape[1]), az.dtype)
-    h = np.zeros((n, az.shape[1]), az.dtype)
-    z, c, u = np.empty_like(h), np.empty_like(h), np.empty_like(h)
+    states = np.empty((steps, n, hidden), ac.dtype)
+    h = np.zeros((n, hidden), ac.dtype)
+    g, u, c, m = (np.empty((n, k * hidden), ac.dtype) for k in (2, 2, 1, 1))
     tape = []
     for t in range(steps):
         if keep:
-            z, c, u = np.empty_like(h), np.empty_like(h), np.empty_like(h)
-        np.take(az, columns[t], axis=0, out=z, mode="clip")
-        np.dot(h, uz, out=u)
-        z += u
-        z *= 0.5
-        np.tanh(z, out=z)
-        z += 1
-        z *= 0.5
+            g, c = np.empty_like(g), np.empty_like(c)
+        np.take(ag, columns[t], axis=0, out=g, mode="clip")
+        np.dot(h, ug, out=u)
+        g += u
+        _sigmoid_in_place(g)
+        z, r = g[:, :hidden], g[:, hidden:]
         np.take(ac, columns[t], axis=0, out=c, mode="clip")
-        np.dot(h, uc, out=u)
-        c += u
+        np.multiply(r, h, out=m)
+        c += m @ uc
         np.tanh(c, out=c)
         if keep:
-            tape.append((h, z, c))
-        np.subtract(c, h, out=u)
-        u *= z
-        np.add(h, u, out=states[t])
+            tape.append((h, z, r, c))
+        np.subtract(c, h, out=m)
+        m *= z
+        if live is not None:
+            m *= live[t][:, None]
+        np.add(h, m, out=states[t])
         h = states[t]
     return states, tape
 
 
 def _position_probabilities(w: dict[str, np.ndarray], forward: np.ndarray, backward: np.ndarray) -> np.ndarray:
+    """``forward`` and ``backward`` are the states of the same positions, in order of the text."""
     logits = forward @ w["vf"]
-    logits += backward[::-1] @ w["vb"]
+    logits += backward @ w["vb"]
     logits += w["b"]
     logits -= logits.max(axis=-1, keepdims=True)
     np.exp(logits, out=logits)
@@ -103,16 +119,33 @@ def _position_probabilities(w: dict[str, np.ndarray], forward: np.ndarray, backw
 def document_probabilities(net: Network, texts: list[bytes]) -> np.ndarray:
     """The mean over all positions of each text; zeros for an empty text."""
     total = np.zeros((len(texts), len(net.langs)))
-    rows, filled, owner = windows_of(texts)
-    for lo in range(0, len(rows), SIDE_BY_SIDE):
-        columns = np.ascontiguousarray(rows[lo : lo + SIDE_BY_SIDE].T)
-        forward, _ = _run(net.weights, "f", columns)
-        backward, _ = _run(net.weights, "r", columns[::-1])
-        p = _position_probabilities(net.weights, forward, backward)
-        n = filled[lo : lo + SIDE_BY_SIDE]
-        if (n < WINDOW).any():
-            p[np.arange(WINDOW)[:, None] >= n[None, :]] = 0
-        np.add.at(total, owner[lo : lo + SIDE_BY_SIDE], p.sum(axis=0, dtype=np.float64))
+    # (text, from, to) of the positions that each window labels, by length, so that little is padded
+    spans = sorted(((i, lo, min(lo + WINDOW, len(t))) for i, t in enumerate(texts) for lo in range(0, len(t), WINDOW)), key=lambda s: s[1] - s[2])
+    at_once = max(1, NUMBERS // ((WINDOW + 2 * LEAD) * max(2 * HIDDEN, len(net.langs))))
+    for lo in range(0, len(spans), at_once):
+        part = spans[lo : lo + at_once]
+        longest = part[0][2] - part[0][1]
+        steps = LEAD + longest
+        size = np.array([b - a for _, a, b in part])
+        before = np.array([min(LEAD, a) for _, a, _ in part])
+        after = np.array([min(LEAD, len(texts[i]) - b) for i, _, b in part])
+        # forward: the lead ends where the labelled positions start; backward: likewise from the other end
+        there = b"".join(bytes(LEAD - p) + texts[i][a - p : b] + bytes(longest - (b - a)) for (i, a, b), p in zip(part, before.tolist()))
+        back = b"".join(bytes(longest - (b - a)) + texts[i][a : b + q] + bytes(LEAD - q) for (i, a, b), q in zip(part, after.tolist()))
+        there = np.ascontiguousarray(np.frombuffer(there, np.uint8).reshape(-1, steps).T)
+        back = np.ascontiguousarray(np.frombuffer(back, np.uint8).reshape(-1, steps).T[::-1])
+        step = np.arange(steps)[:, None]
+        forward, _ = _run(net.weights, "f", there, live=step >= LEAD - before)
+        backward, _ = _run(net.weights, "r", back, live=step >= LEAD - after)
+        # backward states in order of the text end together; those of shorter windows are moved to where the forward ones are
+        backward = backward[LEAD:][::-1]
+        if size[-1] < longest:
+            at = np.minimum(np.arange(longest)[:, None] + (longest - size)[None, :], longest - 1)
+            backward = np.take_along_axis(backward, at[:, :, None], axis=0)
+        p = _position_probabilities(net.weights, forward[LEAD:], backward)
+        if size[-1] < longest:
+            p[np.arange(longest)[:, None] >= size[None, :]] = 0
+        np.add.at(total, [i for i, _, _ in part], p.sum(axis=0, dtype=np.float64))
     lengths = np.array([max(1, len(t)) for t in texts])
     return total / lengths[:, None]
 
@@ -122,9 +155,9 @@ def train(texts: list[bytes], labels: list[str], steps: int = 400, batch: int =
     langs = sorted(set(labels))
     rng = np.random.default_rng(seed)
     init = lambda *shape: (rng.standard_normal(shape) * 0.3).astype(np.float32)
-    w = {s + k: init(256, HIDDEN) for s in "fr" for k in ("az", "ac")} | {s + k: init(HIDDEN, HIDDEN) for s in "fr" for k in ("uz", "uc")}
+    w = {s + k: init(n, m * HIDDEN) for s in "fr" for k, n, m in (("ag", 256, 2), ("ac", 256, 1), ("ug", HIDDEN, 2), ("uc", HIDDEN, 1))}
     w |= {"vf": init(HIDDEN, len(langs)), "vb": init(HIDDEN, len(langs)), "b": np.zeros(len(langs), np.float32)}
-    rows, filled, owner = windows_of(texts)
+    rows, filled, owner = pieces_of(texts)
     if not len(rows):
         return Network(langs, w)
     target = np.array([langs.index(x) for x in labels])[owner]
@@ -145,12 +178,15 @@ def train(texts: list[bytes], labels: list[str], steps: int = 400, batch: int =
 
 
 def _gradients(w: dict[str, np.ndarray], rows: np.ndarray, filled: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
+    steps = rows.shape[1]
     columns = np.ascontiguousarray(rows.T)
-    runs = {"f": columns, "r": columns[::-1]}
-    out = {s: _run(w, s, c, keep=True) for s, c in runs.items()}
-    d = _position_probabilities(w, out["f"][0], out["r"][0])
+    live = np.arange(steps)[:, None] < filled[None, :]
+    # the padding comes after the text; backward it comes first and leaves the state at zero
+    runs, lives = {"f": columns, "r": columns[::-1]}, {"f": live, "r": live[::-1]}
+    out = {s: _run(w, s, c, keep=True, live=lives[s]) for s, c in runs.items()}
+    d = _position_probabilities(w, out["f"][0], out["r"][0][::-1])
     d[:, np.arange(len(target)), target] -= 1
-    d[np.arange(WINDOW)[:, None] >= filled[None, :]] = 0
+    d[~live] = 0
     d /= filled.sum()
     grads = {k: np.zeros_like(v) for k, v in w.items()}
     grads["b"] = d.sum(axis=(0, 1))
@@ -159,16 +195,19 @@ def _gradients(w: dict[str, np.ndarray], rows: np.ndarray, filled: np.ndarray, t
         states, tape = out[s]
         grads[v] = np.einsum("tbh,tbl->hl", states, ds)
         dh = np.zeros_like(states[0])
-        gate, cand = np.empty_like(states), np.empty_like(states)
-        for t in range(WINDOW - 1, -1, -1):
-            h, z, c = tape[t]
+        gates, cand = np.empty((*states.shape[:2], 2 * HIDDEN), states.dtype), np.empty_like(states)
+        for t in range(steps - 1, -1, -1):
+            h, z, r, c = tape[t]
+            on = lives[s][t][:, None]
             dh = dh + ds[t] @ w[v].T
-            gate[t] = dh * (c - h) * z * (1 - z)
-            cand[t] = dh * z * (1 - c * c)
-            grads[s + "uz"] += h.T @ gate[t]
-            grads[s + "uc"] += h.T @ cand[t]
-            dh = dh * (1 - z) + gate[t] @ w[s + "uz"].T + cand[t] @ w[s + "uc"].T
-        np.add.at(grads[s + "az"], runs[s].ravel(), gate.reshape(-1, HIDDEN))
+            cand[t] = dh * z * (1 - c * c) * on
+            dm = cand[t] @ w[s + "uc"].T  # of r h
+            gates[t, :, :HIDDEN] = dh * (c - h) * z * (1 - z) * on
+            gates[t, :, HIDDEN:] = dm * h * r * (1 - r)
+            grads[s + "ug"] += h.T @ gates[t]
+            grads[s + "uc"] += (r * h).T @ cand[t]
+            dh = dh * (1 - z * on) + dm * r + gates[t] @ w[s + "ug"].T
+        np.add.at(grads[s + "ag"], runs[s].ravel(), gates.reshape(-1, 2 * HIDDEN))
         np.add.at(grads[s + "ac"], runs[s].ravel(), cand.reshape(-1, HIDDEN))
     return grads
 
@@ -179,22 +218,22 @@ def in_fold(id_col: str = "doc_id") -> Column:
 
 
 def training_pieces(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", docs_per_lang: int = DOCS_PER_LANG) -> DataFrame:
-    """At most ``docs_per_lang`` documents of each language outside the fold, ``PIECES`` pieces of each: ``lang, pieces``.
+    """At most ``docs_per_lang`` documents of each language outside the fold, and at most ``DOCS`` of all but for one of each, ``PIECES`` pieces of each: ``lang, pieces``.
 
-    Rows with a null id, language or text are no examples. From each language's count follows the
+    Rows with a null id, null or empty text or null language are no examples. From each language's count follows the
     share of its documents that is ranked at all, ``MARGIN`` times what is wanted, so what meets in
-    a task does not grow with the input.
+    a task does not grow with the input. The languages are counted on the driver, which holds an output of the network for each.
     """
-    rows = df.where(~in_fold(id_col) & F.col(id_col).isNotNull() & F.col(lang).isNotNull()).select(F.col(id_col).cast("string").alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    counts = rows.groupBy("lang").count().limit(LANGS + 1).collect()
-    if 0 < len(counts) <= LANGS:
-        share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, MARGIN * docs_per_lang / r["count"]))])
-        rows = rows.where(F.pmod(F.xxhash64(F.lit(1), "key"), F.lit(2**30)) < F.try_element_at(share, F.col("lang")) * 2**30)
-    rows = rows.where(F.length("text") > 0)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
+    rows = df.where(~in_fold(id_col) & F.col(id_col).isNotNull() & F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(id_col).cast("string").alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    counts = rows.groupBy("lang").count().collect()
+    wanted = min(docs_per_lang, max(1, DOCS // max(1, len(counts))))
+    shares = df.sparkSession.createDataFrame(pa.table({"lang": pa.array([r["lang"] for r in counts], pa.string()), "share": pa.array([min(1.0, MARGIN * wanted / r["count"]) * 2**30 for r in counts], pa.float64())}))
     places = [F.substring("text", F.lit(1) + F.pmod(F.xxhash64("key", F.lit(i)), F.greatest(F.length("text") - PIECE_CHARS, F.lit(0)) + 1).cast("int"), F.lit(PIECE_CHARS)) for i in range(PIECES)]
-    short = rows.select("key", "lang", F.array(*places).alias("pieces"))
-    return short.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= docs_per_lang).select("lang", "pieces")
+    shares = F.broadcast(shares) if len(counts) <= BROADCAST_LANGS else shares
+    short = rows.select("key", "lang", F.array(*places).alias("pieces")).join(shares, "lang")
+    short = short.where(F.pmod(F.xxhash64(F.lit(1), "key"), F.lit(2**30)) < F.col("share"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
+    return short.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= wanted).select("lang", "pieces")
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", docs_per_lang: int = DOCS_PER_LANG) -> Network:
@@ -216,10 +255,13 @@ def identify(df: DataFrame, net: Network, text: str = "text") -> DataFrame:
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            p = document_probabilities(net, [(t or "").encode("utf-8", "surrogatepass") for t in texts])
-            best = p.argmax(axis=1)
-            yield pd.DataFrame({"lang_pred": [net.langs[i] for i in best], "score": np.clip(p[np.arange(len(p)), best], 0, 1)})
+        try:
+            for texts in batches:
+                p = document_probabilities(net, [(t or "").encode("utf-8", "surrogatepass") for t in texts])
+                best = p.argmax(axis=1)
+                yield pd.DataFrame({"lang_pred": [net.langs[i] for i in best], "score": np.clip(p[np.arange(len(p)), best], 0, 1)})
+        finally:
+            give_back()
 
     letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     known = df.drop("lang_pred", "score").withColumn("_letters", letters).withColumn("_found", predict(F.when(F.col("_letters"), F.col(text))))

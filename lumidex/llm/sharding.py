@@ -102,7 +102,7 @@ def assign_shards(df: DataFrame, id_col: str = "doc_id", text: str = "text", sha
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = df.select(
-        id_key(id_col).alias("key"),
+        id_key(df, id_col).alias("key"),
         (F.octet_length(whole) + 1).cast("long").alias("size"),
         F.crc32(whole.cast("binary")).alias("text_crc32"),
         F.xxhash64(whole).alias("g0"),
@@ -124,5 +124,5 @@ def assign_shards(df: DataFrame, id_col: str = "doc_id", text: str = "text", sha
 def shard_report(df: DataFrame) -> DataFrame:
     """The fixed result of the registered query."""
     return assign_shards(df).select(
-        id_back(F.col("key")).alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int"), "slot", F.lit(None).cast("int").alias("grown_shard")
+        id_back(df, "doc_id", "key").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int"), "slot", F.lit(None).cast("int").alias("grown_shard")
     )

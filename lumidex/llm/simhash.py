@@ -194,7 +194,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", r
     zero and link like any other; a null id sorts before every other; repeated rows are kept and
     share a component. Other columns of the input are not read.
     """
-    marked = cut(fingerprints(df.select(id_key(id_col).alias("key"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text")), "text", "fp").select("key", "text_key", "fp"))
+    marked = cut(fingerprints(df.select(id_key(df, id_col).alias("key"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text")), "text", "fp").select("key", "text_key", "fp"))
     codes = cut(marked.groupBy("fp").agg(F.min("key").alias("least")))
     found = connected_components(links(codes.select("fp"), codes.count(), radius))
     named = found.join(codes, found.node == codes.fp).select("fp", "root", "least")
@@ -213,14 +213,14 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", radius:
     found = near_duplicates(df, id_col, text, radius)
     best = found.groupBy("component").agg(F.min(F.struct("key", "text_key")).alias("best"))
     best = best.select(F.col("best.key").alias("_key"), F.col("best.text_key").alias("_text_key"))
-    rows = df.withColumn("_key", id_key(id_col)).withColumn("_text_key", F.xxhash64(text))
+    rows = df.withColumn("_key", id_key(df, id_col)).withColumn("_text_key", F.xxhash64(text))
     return rows.join(best, ["_key", "_text_key"], "left_semi").dropDuplicates(["_key", "_text_key"]).select(*df.columns)
 
 
 def near_duplicate_report(df: DataFrame) -> DataFrame:
     """The fixed result of the registered query."""
     return near_duplicates(df).select(
-        id_back(F.col("key")).alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), id_back(F.col("component")).alias("component_id")
+        id_back(df, "doc_id", "key").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), id_back(df, "doc_id", "component").alias("component_id")
     )
 
 

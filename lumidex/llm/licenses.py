@@ -16,6 +16,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumidex.llm.common import let, states_before
 from lumidex.llm.license_rules import rules
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -25,10 +26,6 @@ _MARK = "\x01"
 _DETECTION = "array<struct<first:int,last:int,priority:int,rule:int,label:string,confidence:double,base:boolean>>"
 
 
-def _let(value: Column, use) -> Column:
-    return F.transform(F.array(value), use)[0]
-
-
 def _spaced(pattern: str) -> str:
     """The rule's pattern over words that have two spaces between them, and one at either end."""
     return f" (?:{pattern.replace(' ', '  ')}) "
@@ -61,14 +58,15 @@ def _rule_table() -> Column:
 def _places(words: Column, rule: Column) -> Column:
     """The detections of one rule: marked in the text, which is then cut at the marks; every second piece is a match."""
     pieces = F.split(F.regexp_replace(words, rule["pattern"], F.lit(f"{_MARK}$0{_MARK}")), F.lit(_MARK), F.lit(-1))
-    start = F.struct(F.lit(0).alias("seen"), F.lit(False).alias("match"), F.array().cast(_DETECTION).alias("found"))
 
-    def step(acc: Column, piece: Column) -> Column:
-        until = acc["seen"] + word_count(piece)
-        here = F.struct(acc["seen"].alias("first"), (until - 1).alias("last"), rule["priority"].alias("priority"), rule["rule"].alias("rule"), rule["label"].alias("label"), rule["confidence"].alias("confidence"), rule["base"].alias("base"))
-        return F.struct(until.alias("seen"), (~acc["match"]).alias("match"), F.when(acc["match"], F.concat(acc["found"], F.array(here))).otherwise(acc["found"]).alias("found"))
+    def found(sizes: Column) -> Column:
+        def at(seen: Column) -> Column:
+            here = lambda i: F.struct(seen[i].alias("first"), (seen[i] + sizes[i] - 1).alias("last"), rule["priority"].alias("priority"), rule["rule"].alias("rule"), rule["label"].alias("label"), rule["confidence"].alias("confidence"), rule["base"].alias("base"))
+            return F.transform(F.sequence(F.lit(1), F.size(sizes) - 2, F.lit(2)), here)
 
-    return F.aggregate(pieces, start, step, lambda acc: acc["found"])
+        return F.when(F.size(sizes) < 3, F.array().cast(_DETECTION)).otherwise(let(states_before(sizes, F.lit(0), lambda seen, n: seen + n, "int"), at))
+
+    return let(F.transform(pieces, word_count), found)
 
 
 def _surviving(found: Column) -> Column:
@@ -78,16 +76,17 @@ def _surviving(found: Column) -> Column:
     all that can contain a detection come before it.
     """
     levels = 1 + max(r.priority for r in rules())
-    order = F.array_sort(F.transform(found, lambda d: F.struct(d["first"].alias("first"), (-d["last"]).alias("back"), d["priority"].alias("priority"), d["rule"].alias("rule"), d.alias("d"))))
-    start = F.struct(F.array_repeat(F.lit(-1), levels).alias("reach"), F.array().cast(_DETECTION).alias("kept"))
+    order = F.sort_array(F.transform(found, lambda d: F.struct(d["first"].alias("first"), (-d["last"]).alias("back"), d["priority"].alias("priority"), d["rule"].alias("rule"), d.alias("d"))))
+
+    def step(reach: Column, x: Column) -> Column:
+        return F.transform(reach, lambda v, p: F.when(p >= x["priority"], F.greatest(v, -x["back"])).otherwise(v))
 
-    def step(acc: Column, x: Column) -> Column:
-        last = -x["back"]
-        stays = x["d"]["base"] | (acc["reach"][x["priority"]] < last)
-        reach = F.transform(acc["reach"], lambda v, p: F.when(p >= x["priority"], F.greatest(v, last)).otherwise(v))
-        return F.struct(reach.alias("reach"), F.when(stays, F.concat(acc["kept"], F.array(x["d"]))).otherwise(acc["kept"]).alias("kept"))
+    def kept(order: Column) -> Column:
+        before = states_before(order, F.array_repeat(F.lit(-1), levels), step, "array<int>")
+        stays = lambda reach: F.filter(order, lambda x, i: x["d"]["base"] | (reach[i][x["priority"]] < -x["back"]))
+        return F.transform(let(before, stays), lambda x: x["d"])
 
-    return F.aggregate(order, start, step, lambda acc: acc["kept"])
+    return let(order, kept)
 
 
 def scan_licenses(df: DataFrame, text: str = "text") -> DataFrame:
@@ -102,7 +101,7 @@ def scan_licenses(df: DataFrame, text: str = "text") -> DataFrame:
     chosen = F.filter(_rule_table(), lambda r: F.array_contains(F.col("_keywords"), r["keyword"]))
     found = F.flatten(F.transform(chosen, lambda r: _places(F.col("_words"), r)))
     none = F.array().cast(_DETECTION)
-    found = F.when(F.size("_keywords") == 0, none).otherwise(_let(found, _surviving))
+    found = F.when(F.size("_keywords") == 0, none).otherwise(_surviving(found))
     return rows.select(*rest, word_count(F.col("_words")).cast("long").alias("n_words"), found.alias("detections"))
 
 

@@ -70,30 +70,35 @@ def groups_of(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tupl
 
 
 def let(value: Column, use) -> Column:
-    """Evaluates ``value`` once and hands it on as a variable."""
+    """Evaluates ``value`` once and hands it on as a variable. The result is copied, so it should be short."""
     return F.transform(F.array(value), use)[0]
 
 
 def states_before(values: Column, zero: Column, step, kind: str) -> Column:
     """For each value of an array the state that ``step(state, value)`` has reached before it; ``kind`` is the state's type.
 
-    Works through runs of the cube root of the length: an append copies an array of references,
-    and that balances appends within a run against those of runs.
+    An aggregation copies what it holds at every step, so states are gathered in runs, and these in
+    runs of runs, of the cube root of the length each: no step copies many times more than it adds.
     """
     none, nones = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
 
-    def whole(values: Column) -> Column:
-        width = F.ceil(F.cbrt(F.size(values))).cast("int")
+    def gathered(v: Column, at: Column, until: Column, state: Column, widths: list[Column]) -> Column:
+        """``state, out``: the state after ``v[at]`` to ``v[until - 1]``, and those before each of them."""
+        if not widths:
+            one = lambda a, i: F.struct(step(a["state"], v[i]).alias("state"), F.concat(a["out"], F.array(a["state"])).alias("out"))
+            return F.aggregate(F.sequence(at, until - 1), F.struct(state.alias("state"), none.alias("out")), one)
 
-        def run(acc: Column, at: Column) -> Column:
-            one = lambda a, i: F.struct(step(a["state"], values[i]).alias("state"), F.concat(a["out"], F.array(a["state"])).alias("out"))
-            places = F.sequence(at, F.least(at + width, F.size(values)) - 1)  # a slice would copy the whole array
-            inner = F.aggregate(places, F.struct(acc["state"].alias("state"), none.alias("out")), one)
-            return let(inner, lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+        def run(acc: Column, first: Column) -> Column:
+            last = gathered(v, first, F.least(first + widths[0], until), acc["last"]["state"], widths[1:])
+            return F.struct(last.alias("last"), F.concat(acc["outs"], F.array(acc["last"]["out"])).alias("outs"))
 
-        begun = F.struct(zero.cast(kind).alias("state"), nones.alias("out"))
-        made = F.aggregate(F.sequence(F.lit(0), F.size(values) - 1, width), begun, run, lambda acc: F.flatten(acc["out"]))
-        return F.when(F.size(values) == 0, none).otherwise(made)
+        begun = F.struct(F.struct(state.alias("state"), none.alias("out")).alias("last"), nones.alias("outs"))
+        done = lambda acc: F.struct(acc["last"]["state"].alias("state"), F.flatten(F.concat(acc["outs"], F.array(acc["last"]["out"]))).alias("out"))
+        return F.aggregate(F.sequence(at, until - 1, widths[0]), begun, run, done)
+
+    def whole(v: Column) -> Column:
+        root = F.ceil(F.cbrt(F.size(v))).cast("int")
+        return F.when(F.size(v) == 0, none).otherwise(gathered(v, F.lit(0), F.size(v), zero.cast(kind), [root * root, root])["out"])
 
     return let(values, whole)
 

@@ -17,11 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumidex.llm.common import id_back, id_key
+from lumidex.llm.common import id_back, id_key, let
 from lumidex.session import cut
 
-#: Characters of a paragraph before a sentence end cuts it, at most, and before a word's end does if no sentence ends; cells of a fingerprint; rounds of peeling; retries; spare cells of a retry;
-#: cells gathered before an append.
+#: Characters of a paragraph before a sentence end cuts it, at most, and before a word's end does if no sentence ends; cells of a fingerprint; rounds of peeling; retries; spare cells of a retry.
 PARAGRAPH = 96
 LONGEST = 160
 SHORT = 24
@@ -29,7 +28,8 @@ CELLS = 24
 ROUNDS = 30
 RETRIES = 6
 SPARE = 8
-BUFFER = 64
+#: Places of a retry at most: for each paragraph that a text can have (its characters fit 31 bits) there are more than it needs.
+MOST_CELLS = 3 << 29
 _SENTENCE = rf"[^\n]{{{PARAGRAPH},{LONGEST}}}?(?:[.!?]+(?=\s|$)|[。！？…।؟۔]+)"
 _WORDS = rf"[^\n]{{{SHORT},{PARAGRAPH}}}?[^\n\s.!?](?=\s)"
 _PIECES = rf"{_SENTENCE}|{_WORDS}|[^\n]{{1,{LONGEST}}}"
@@ -37,11 +37,6 @@ _CELL = "array<struct<c:int,n:bigint,k:bigint,h:bigint>>"
 _LOW32 = 0xFFFFFFFF
 
 
-def _let(value: Column, use) -> Column:
-    """Evaluates ``value`` once and hands it on as a variable."""
-    return F.transform(F.array(value), use)[0]
-
-
 def paragraph_digests(text: Column) -> Column:
     """The distinct digests of a text's paragraphs; none for null and empty texts."""
     return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_PIECES), F.lit(0)), lambda p: F.xxhash64(p)))
@@ -58,24 +53,19 @@ def _entries(digest: Column, sign: Column, cells: Column) -> Column:
 
 
 def _folded(entries: Column) -> Column:
-    """Entries added up by cell, in order of cell; cells that come out empty are left out.
+    """Entries added up by cell, in order of cell; cells that come out empty are left out. Linear but for the sort."""
 
-    Finished cells gather in a short buffer before they are appended, as an append copies.
-    """
-    nothing = F.struct(F.lit(-1).alias("c"), *[F.lit(0).cast("long").alias(x) for x in "nkh"])
-    none = F.array().cast(_CELL)
-    start = F.struct(nothing.alias("open"), none.alias("buffer"), none.alias("out"))
+    def added(e: Column, first: Column, until: Column) -> Column:
+        start = F.struct(*[e[first][x].alias(x) for x in "cnkh"])
+        step = lambda a, i: F.struct(a["c"].alias("c"), (a["n"] + e[i]["n"]).alias("n"), a["k"].bitwiseXOR(e[i]["k"]).alias("k"), a["h"].bitwiseXOR(e[i]["h"]).alias("h"))
+        return F.when(until - first == 1, start).otherwise(F.aggregate(F.sequence(first + 1, F.greatest(until - 1, first + 1)), start, step))
 
-    def step(acc: Column, x: Column) -> Column:
-        cell = acc["open"]
-        sum_ = F.struct(x["c"].alias("c"), (cell["n"] + x["n"]).alias("n"), cell["k"].bitwiseXOR(x["k"]).alias("k"), cell["h"].bitwiseXOR(x["h"]).alias("h"))
-        more = F.struct(sum_.alias("open"), acc["buffer"].alias("buffer"), acc["out"].alias("out"))
-        closed = F.struct(x.alias("open"), F.concat(acc["buffer"], F.array(cell)).alias("buffer"), acc["out"].alias("out"))
-        flushed = F.struct(x.alias("open"), F.array(cell).alias("buffer"), F.concat(acc["out"], acc["buffer"]).alias("out"))
-        return F.when(cell["c"] == x["c"], more).when(F.size(acc["buffer"]) < BUFFER, closed).otherwise(flushed)
+    def cells(e: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(0), F.size(e) - 1), lambda i: (i == 0) | (e[i]["c"] != e[F.greatest(i - 1, F.lit(0))]["c"]))
+        made = let(places, lambda p: F.transform(p, lambda first, j: added(e, first, F.when(j + 1 < F.size(p), F.get(p, j + 1)).otherwise(F.size(e)))))
+        return F.filter(made, lambda x: (x["n"] != 0) | (x["k"] != 0) | (x["h"] != 0))
 
-    made = F.aggregate(F.array_sort(entries), start, step, lambda acc: F.concat(acc["out"], acc["buffer"], F.array(acc["open"])))
-    return F.filter(made, lambda x: (x["n"] != 0) | (x["k"] != 0) | (x["h"] != 0))
+    return let(F.sort_array(entries), lambda e: F.when(F.size(e) == 0, F.array().cast(_CELL)).otherwise(cells(e)))
 
 
 def sketch(digests: Column) -> Column:
@@ -85,7 +75,7 @@ def sketch(digests: Column) -> Column:
     add = lambda a, x: F.struct((a["n"] + x["n"]).alias("n"), a["k"].bitwiseXOR(x["k"]).alias("k"), a["h"].bitwiseXOR(x["h"]).alias("h"))
     place = lambda c: lambda a: F.struct(c.alias("c"), a["n"].alias("n"), a["k"].alias("k"), a["h"].alias("h"))
     cells = lambda e: F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda c: F.aggregate(F.filter(e, lambda x: x["c"] == c), zero, add, place(c)))
-    return F.filter(_let(entries, cells), lambda x: (x["n"] != 0) | (x["k"] != 0) | (x["h"] != 0))
+    return F.filter(let(entries, cells), lambda x: (x["n"] != 0) | (x["k"] != 0) | (x["h"] != 0))
 
 
 def _negated(cells: Column) -> Column:
@@ -99,26 +89,21 @@ def _difference(a: Column, b: Column, cells: Column) -> Column:
 
 
 def _peeled(difference: Column, cells: Column) -> Column:
-    """``done, found``: whether peeling empties the sketch, and how many digests it takes out.
-
-    A cell with one digest is empty without it, so only the other cells are added up again.
-    """
+    """``done, found``: whether peeling empties the sketch, and how many digests it takes out."""
     start = F.struct(difference.alias("cells"), F.lit(0).alias("found"), (F.size(difference) > 0).alias("live"))
-    pure = lambda x: (F.abs(x["n"]) == 1) & (x["h"] == _check(x["k"]))
+    pure = lambda x, n: (x["n"] == n) & (x["h"] == _check(x["k"]))
 
     def step(acc: Column, _: Column) -> Column:
-        keys = F.array_distinct(F.transform(F.filter(acc["cells"], pure), lambda x: F.struct(x["k"].alias("k"), x["n"].alias("n"))))
+        keys = lambda n: F.array_distinct(F.transform(F.filter(acc["cells"], lambda x: pure(x, n)), lambda x: x["k"]))
 
         def taken(keys: Column) -> Column:
-            def left(rest: Column) -> Column:
-                places = F.transform(rest, lambda x: x["c"])
-                gone = F.flatten(F.transform(keys, lambda x: _entries(x["k"], -x["n"], cells))).cast(_CELL)
-                cells_ = F.when(F.size(rest) == 0, rest).otherwise(_let(places, lambda p: _folded(F.concat(rest, F.filter(gone, lambda x: F.array_contains(p, x["c"]))))))
-                return _let(cells_, lambda r: F.struct(r.alias("cells"), (acc["found"] + F.size(keys)).alias("found"), ((F.size(keys) > 0) & (F.size(r) > 0)).alias("live")))
-
-            return F.when(F.size(keys) == 0, F.struct(acc["cells"].alias("cells"), acc["found"].alias("found"), F.lit(False).alias("live"))).otherwise(_let(F.filter(acc["cells"], lambda x: ~pure(x)), left))
+            size = F.size(keys["more"]) + F.size(keys["less"])
+            gone = lambda side, sign: F.flatten(F.transform(keys[side], lambda k: _entries(k, F.lit(sign), cells))).cast(_CELL)
+            left = _folded(F.concat(acc["cells"], gone("more", -1), gone("less", 1)))
+            some = let(left, lambda r: F.struct(r.alias("cells"), (acc["found"] + size).alias("found"), (F.size(r) > 0).alias("live")))
+            return F.when(size == 0, F.struct(acc["cells"].alias("cells"), acc["found"].alias("found"), F.lit(False).alias("live"))).otherwise(some)
 
-        return F.when(acc["live"], _let(keys, taken)).otherwise(acc)
+        return F.when(acc["live"], let(F.struct(keys(1).alias("more"), keys(-1).alias("less")), taken)).otherwise(acc)
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda acc: F.struct((F.size(acc["cells"]) == 0).alias("done"), acc["found"].alias("found")))
 
@@ -136,18 +121,18 @@ def with_likeness(df: DataFrame, out: str, a: str, b: str, sketch_a: str, sketch
 
     def attempt(d: Column) -> Column:
         squares = F.aggregate(d, F.lit(0.0), lambda s, x: s + x["n"] * x["n"])
-        return _let(_peeled(d, F.lit(CELLS)), lambda r: F.struct(r["done"].alias("done"), r["found"].alias("found"), squares.alias("squares")))
+        return let(_peeled(d, F.lit(CELLS)), lambda r: F.struct(r["done"].alias("done"), r["found"].alias("found"), squares.alias("squares")))
 
     apart = (size_a - size_b).cast("double")
     expected = (F.col("_first.squares") - 9 * apart * apart / CELLS) / 3
     expected = F.least(F.greatest(expected, F.abs(apart), F.lit(8.0)), (size_a + size_b).cast("double"))
 
     def again(acc: Column, i: Column) -> Column:
-        cells = (3 * F.ceil(SPARE * F.col("_expected")) * F.pow(F.lit(4), i - 1)).cast("int")
-        tried = _let(_difference(F.col(a), F.col(b), cells), lambda d: _peeled(d, cells))
+        cells = F.least(3 * F.ceil(SPARE * F.col("_expected")) * F.pow(F.lit(4), i - 1), F.lit(float(MOST_CELLS))).cast("int")
+        tried = let(_difference(F.col(a), F.col(b), cells), lambda d: _peeled(d, cells))
         return F.when(acc["done"], acc).otherwise(tried)
 
-    rows = df.withColumn("_first", _let(_folded(F.concat(F.col(sketch_a), _negated(F.col(sketch_b)))), attempt)).withColumn("_expected", expected)
+    rows = df.withColumn("_first", let(_folded(F.concat(F.col(sketch_a), _negated(F.col(sketch_b)))), attempt)).withColumn("_expected", expected)
     begun = F.struct(F.col("_first.done").alias("done"), F.col("_first.found").alias("found"))
     larger = F.aggregate(F.sequence(F.lit(1), F.lit(RETRIES)), begun, again)
     rows = rows.withColumn("_tried", F.when(F.col("_first.done"), begun).otherwise(larger))
@@ -161,18 +146,18 @@ def with_likeness(df: DataFrame, out: str, a: str, b: str, sketch_a: str, sketch
 
 
 def written(digests: Column, cells: Column) -> Column:
-    """A fingerprint as text: the number of paragraphs, then each cell that is not empty in 30 hexadecimal digits.
+    """A fingerprint as text: the number of paragraphs, then each cell that is not empty in 34 hexadecimal digits.
 
-    They are the cell's place (2), its count modulo 2^16 (4), the checksums (8) and the digests (16).
+    They are the cell's place (2), its count (8), the checksums (8) and the digests (16).
     """
-    head = lambda x: F.shiftleft(x["c"].cast("long"), 48).bitwiseOR(F.shiftleft(x["n"].bitwiseAND(F.lit(0xFFFF)), 32)).bitwiseOR(x["h"])
-    digits = F.transform(cells, lambda x: F.concat(F.lpad(F.hex(head(x)), 14, "0"), F.lpad(F.hex(x["k"]), 16, "0")))
+    part = lambda x, digits: F.lpad(F.hex(x), digits, "0")
+    digits = F.transform(cells, lambda x: F.concat(part(x["c"], 2), part(x["n"], 8), part(x["h"], 8), part(x["k"], 16)))
     return F.lower(F.concat(F.size(digests).cast("string"), F.lit(":"), F.array_join(digits, "")))
 
 
 def with_fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
     """Adds the fingerprint of the whole text (null: as empty) as a string; equal texts have equal ones."""
-    made = _let(paragraph_digests(F.col(text)), lambda d: written(d, sketch(d)))
+    made = let(paragraph_digests(F.col(text)), lambda d: written(d, sketch(d)))
     return df.withColumn(out, made)
 
 
@@ -191,7 +176,7 @@ def _successions(docs: DataFrame) -> DataFrame:
     final = ends.agg(F.max("last")).first()[0]
     if final is None:
         return each.select("k0", "k1", "n", "m", row.alias("prev"))
-    wrap = F.struct(*[F.lit(final[c]).cast("int" if c == "m" else "long").alias(c) for c in ("k0", "k1", "n", "m")])
+    wrap = F.struct(*[F.lit(final[c]).cast(each.schema[c].dataType).alias(c) for c in ("k0", "k1", "n", "m")])
     ends = ends.select("run", F.coalesce(F.lag("last").over(across), wrap).alias("before"))
     linked = each.withColumn("own", F.lag(row).over(within)).join(ends, "run")
     return cut(linked.select("k0", "k1", "n", "m", F.coalesce("own", "before").alias("prev")))
@@ -202,7 +187,7 @@ def version_report(df: DataFrame) -> DataFrame:
 
     The order is by id, a null id first, then by text hash; rows that repeat both follow each other.
     """
-    docs = df.select(id_key("doc_id").alias("k0"), F.coalesce("text", F.lit("")).alias("text")).select("k0", F.xxhash64("text").alias("k1"), "text")
+    docs = df.select(id_key(df, "doc_id").alias("k0"), F.coalesce("text", F.lit("")).alias("text")).select("k0", F.xxhash64("text").alias("k1"), "text")
     after = _successions(docs)
     if (after.agg(F.max("m")).first()[0] or 1) > 1:
         docs = docs.dropDuplicates(["k0", "k1"])
@@ -223,7 +208,7 @@ def version_report(df: DataFrame) -> DataFrame:
     rows = with_likeness(rows, "near_edited", "digests", "edited_digests", "cells", "edited_cells")
     rows = with_likeness(rows, "near_next", "digests", "next_digests", "cells", "next_cells")
     made = rows.select(
-        id_back(F.col("k0")).alias("doc_id"),
+        id_back(df, "doc_id", "k0").alias("doc_id"),
         F.col("n").cast("long").alias("n_chars"),
         "edited_sha256",
         written(F.col("digests"), F.col("cells")).alias("fingerprint"),

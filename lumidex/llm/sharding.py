@@ -3,8 +3,9 @@
 Documents of equal text are one group. Groups are dealt into buckets by their hash; in each bucket
 differencing repeatedly takes the two partial partitions of largest spread and combines them,
 largest sum with smallest, until one partition of the bucket into ``shards`` parts is left. The
-buckets' partitions, each only ``shards`` sums, are combined the same way on the driver (there are
-``GROUPS_IN_BUCKET`` times fewer than groups), which places every part of every bucket in a shard.
+buckets' partitions, each only ``shards`` sums, are combined the same way: up to ``AT_ONCE`` of them in one
+place, more in bundles of ``AT_ONCE``, then their bundles, until one is left. That places every part of
+every bucket in a shard.
 A group too large to be balanced just fills its shard. Texts are never moved: only digests, sizes
 and ids are.
 """
@@ -25,6 +26,8 @@ SHARDS = 8
 #: Groups that one task differences at most, about; there are at least LEAST_BUCKETS buckets.
 GROUPS_IN_BUCKET = 100_000
 LEAST_BUCKETS = 256
+#: Partial partitions that are combined in one place.
+AT_ONCE = 4096
 #: Rows that one task numbers, about.
 ROWS_IN_RUN = 50_000
 
@@ -83,16 +86,34 @@ def _groups_to_shards(groups: DataFrame, n: int, shards: int) -> DataFrame:
 
     dealt = groups.withColumn("bucket", F.pmod("g0", F.lit(buckets)).cast("int"))
     parts = cut(dealt.groupBy("bucket").applyInPandas(bucket, "g0 long, g1 long, bytes long, bucket int, part int"))
-    sums: dict[int, list[int]] = {}
-    for r in parts.groupBy("bucket", "part").agg(F.sum("bytes").alias("bytes")).collect():
-        sums.setdefault(r.bucket, [0] * shards)[r.part] = r.bytes
-    order = sorted(sums)
-    placed = difference([sums[b] for b in order])
-    rows = [(b, part, shard) for b, to in zip(order, placed) for part, shard in enumerate(to)]
-    to_shard = groups.sparkSession.createDataFrame(rows, "bucket int, part int, shard int")
+    sums = parts.groupBy("bucket").agg(*[F.sum(F.when(F.col("part") == j, F.col("bytes")).otherwise(0)).alias(f"s{j}") for j in range(shards)])
+    to_shard = _combined(sums.withColumnRenamed("bucket", "unit"), shards).select(F.col("unit").alias("bucket"), F.posexplode("places").alias("part", "shard"))
     return parts.join(to_shard, ["bucket", "part"]).select("g0", "g1", "shard")
 
 
+def _combined(sums: DataFrame, shards: int) -> DataFrame:
+    """``unit, places``: the shard of each part of each unit's partition (sums ``s0``, ``s1``, ...), all units combined by differencing."""
+    names = [f"s{j}" for j in range(shards)]
+    sums = cut(sums)
+    n = sums.count()
+
+    def placed(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("unit", ignore_index=True)
+        to = difference(pdf[names].to_numpy().tolist())
+        return pd.DataFrame({"unit": pdf["unit"], "bundle": pdf["bundle"], "places": to})
+
+    bundles = max(1, math.ceil(n / AT_ONCE))
+    dealt = sums.withColumn("bundle", F.pmod("unit", F.lit(bundles)).cast("int"))
+    places = dealt.groupBy("bundle").applyInPandas(placed, "unit int, bundle int, places array<int>")
+    if bundles == 1:
+        return places.select("unit", "places")
+    places = cut(places)
+    each = dealt.select("unit", "bundle", F.posexplode(F.array(*names)).alias("part", "bytes")).join(places.select("unit", F.posexplode("places").alias("part", "to")), ["unit", "part"])
+    above = each.groupBy("bundle").agg(*[F.sum(F.when(F.col("to") == j, F.col("bytes")).otherwise(0)).alias(f"s{j}") for j in range(shards)])
+    whole = _combined(above.withColumnRenamed("bundle", "unit"), shards).select(F.col("unit").alias("bundle"), F.col("places").alias("_whole"))
+    return places.join(whole, "bundle").select("unit", F.transform("places", lambda p: F.col("_whole")[p]).alias("places"))
+
+
 def assign_shards(df: DataFrame, id_col: str = "doc_id", text: str = "text", shards: int = SHARDS) -> DataFrame:
     """One row for each row: ``key`` (its id, ``NO_ID`` for null), ``size``, ``text_crc32``, ``shard``, ``slot``.
 

@@ -7,10 +7,11 @@ BK-tree (children keyed by the integer Hamming distance to their parent) is sear
 fingerprints of the shard, following only edges ``e`` with ``|e - d| <= radius``. The number of
 blocks follows the number of fingerprints, so that the mean shard stays small at any size.
 
-A shard of more than ``TREE_NODES`` fingerprints is cut into trees of about that many nodes, and
-each such tree goes to all fingerprints of its shard, as a task of its own: nothing is capped.
-A task emits links to one member of each local cluster, never all pairs; the clusters are then
-joined by distributed connected components.
+A shard of more than ``TREE_NODES`` fingerprints is cut into parts of about that many, and every two
+parts meet: the tree of the one is searched for the other. So a task holds two parts at most, and
+nothing is capped. (A tree is not broadcast to all executors, as its size has no bound; it goes to the tasks
+that search it.) A task emits links to one member of each local cluster, never all pairs; the
+clusters are then joined by distributed connected components.
 """
 
 from __future__ import annotations
@@ -24,15 +25,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumidex.llm.common import NO_ID, id_back, id_key, short_batches
+from lumidex.llm.common import NO_ID, groups_of, id_back, id_key, short_batches
 from lumidex.operators.components import connected_components
 from lumidex.session import cut
 
 RADIUS = 4
 SHINGLE = 4
 SEED = 42
-#: Nodes of one tree; larger shards become several trees.
-TREE_NODES = 2048
+#: Nodes of one tree, about; larger shards are cut into several. The links found do not depend on it.
+TREE_NODES = 8192
 #: Mean fingerprints in a shard that the choice of blocks aims at.
 SHARD_MEAN = 64
 
@@ -103,19 +104,21 @@ class BKTree:
 
 
 def shard_links(tree: np.ndarray, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links ``(code, representative)`` that join what the tree's links join, at most one for each code.
+    """Links ``(code, representative)`` that join what the links between tree and queries join, at most one for each code.
 
-    Both arrays are sorted and hold distinct codes; every code of the tree is among the queries.
+    Each array holds distinct codes in order.
     """
-    label = np.arange(len(queries))
+    codes = np.union1d(tree, queries)
+    label = np.arange(len(codes))
+    place = np.searchsorted(codes, queries)
     for code, near in BKTree(tree).within(queries, radius):
-        own = label[np.searchsorted(queries, code)]
-        found = np.unique(label[near])
+        own = label[np.searchsorted(codes, code)]
+        found = np.unique(label[place[near]])
         if len(found) > 1 or found[0] != own:
             found = np.union1d(found, [own])
             label[np.isin(label, found[1:])] = found[0]
-    moved = np.flatnonzero(label != np.arange(len(queries)))
-    return queries[moved], queries[label[moved]]
+    moved = np.flatnonzero(label != np.arange(len(codes)))
+    return codes[moved], codes[label[moved]]
 
 
 def block_masks(n: int, radius: int = RADIUS) -> list[int]:
@@ -136,53 +139,33 @@ def links(codes: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
     shards = codes.select(
         "fp", F.explode(F.array(*[F.struct(F.lit(i).alias("run"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(masks)])).alias("s")
     ).select("fp", "s.run", "s.bits")
-    large = shards.groupBy("run", "bits").count().where(F.col("count") > TREE_NODES).select("run", "bits", F.ceil(F.col("count") / TREE_NODES).cast("int").alias("trees"))
+    large = cut(shards.groupBy("run", "bits").count().where(F.col("count") > TREE_NODES).select("run", "bits", F.ceil(F.col("count") / TREE_NODES).cast("int").alias("parts")))
+    keys = ["run", "bits", "tree", "ask"]
     dealt = (
         shards.join(large, ["run", "bits"], "left")
-        .withColumn("trees", F.coalesce("trees", F.lit(1)))
-        .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int"))
-        .withColumn("tree", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)))
-        .select("run", "bits", "tree", "fp", (F.col("own") == F.col("tree")).alias("node"))
+        .withColumn("parts", F.coalesce("parts", F.lit(1)))
+        .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select("run", "bits", F.least("own", "with").alias("tree"), F.greatest("own", "with").alias("ask"), "own", "fp")
     )
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = dealt.repartition(parts, "run", "bits", "tree").sortWithinPartitions("run", "bits", "tree")
+    dealt = dealt.repartition(parts, *keys).sortWithinPartitions(*keys, "own", "fp")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            keys = pdf[["run", "bits", "tree"]].to_numpy()
-            turns = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-            if held and (held[-1][["run", "bits", "tree"]].iloc[-1].to_numpy() == keys[0]).all():
-                first = turns[0] if len(turns) else len(pdf)
-                held.append(pdf.iloc[:first])
-                if not len(turns):
-                    continue
-                yield from one(pd.concat(held), [0])
-                pdf, turns = pdf.iloc[first:], turns[1:] - first
-            elif held:
-                yield from one(pd.concat(held), [0])
-            last = turns[-1] if len(turns) else 0
-            held = [pdf.iloc[last:]]
-            if last:
-                yield from one(pdf.iloc[:last], [0, *turns[:-1]])
-        if held:
-            yield from one(pd.concat(held), [0])
-
-    def one(pdf: pd.DataFrame, starts: list[int]) -> Iterator[pd.DataFrame]:
-        code, node = pdf["fp"].to_numpy().view(np.uint64), pdf["node"].to_numpy(dtype=bool)
-        a, b = [], []
-        for lo, hi in zip(starts, [*starts[1:], len(pdf)]):
-            if hi - lo > 1:
-                order = np.argsort(code[lo:hi])
-                queries, inside = code[lo:hi][order], node[lo:hi][order]
-                if inside.any():
-                    x, y = shard_links(queries[inside], queries, radius)
-                    a.append(x)
-                    b.append(y)
-        if a:
-            yield pd.DataFrame({"a": np.concatenate(a).view(np.int64), "b": np.concatenate(b).view(np.int64)})
+        for pdf, ends in groups_of(batches, keys):
+            code, own = pdf["fp"].to_numpy().view(np.uint64), pdf["own"].to_numpy()
+            first = pdf[["tree", "ask"]].to_numpy()[ends[:-1]].tolist()
+            a, b = [], []
+            for lo, hi, (tree, ask) in zip(ends, ends[1:], first):
+                if hi - lo > 1:
+                    nodes = np.sort(code[lo:hi][own[lo:hi] == tree])
+                    queries = nodes if tree == ask else np.sort(code[lo:hi][own[lo:hi] == ask])
+                    if len(nodes) and len(queries):
+                        x, y = shard_links(nodes, queries, radius)
+                        a.append(x)
+                        b.append(y)
+            if a:
+                yield pd.DataFrame({"a": np.concatenate(a).view(np.int64), "b": np.concatenate(b).view(np.int64)})
 
     return dealt.mapInPandas(search, "a long, b long")
 

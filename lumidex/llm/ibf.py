@@ -27,7 +27,7 @@ SHORT = 24
 CELLS = 24
 ROUNDS = 30
 RETRIES = 6
-SPARE = 8
+SPARE = 1024
 #: Places of a retry at most: for each paragraph that a text can have (its characters fit 31 bits) there are more than it needs.
 MOST_CELLS = 3 << 29
 _SENTENCE = rf"[^\n]{{{PARAGRAPH},{LONGEST}}}?(?:[.!?]+(?=\s|$)|[。！？…।؟۔]+)"
@@ -46,64 +46,104 @@ def _check(digest: Column) -> Column:
     return F.xxhash64(digest, F.lit(3)).bitwiseAND(F.lit(_LOW32))
 
 
-def _entries(digest: Column, sign: Column, cells: Column) -> Column:
-    """What one digest adds to its three cells."""
+def _entry(digest: Column, sign: Column, place: Column) -> Column:
+    """What one digest adds to a cell."""
+    return F.struct(place.cast("int").alias("c"), sign.cast("long").alias("n"), digest.alias("k"), _check(digest).alias("h"))
+
+
+def _places(digest: Column, cells: Column) -> Column:
+    """The digest's three cells."""
     third = (cells / 3).cast("int")
-    return F.array(*[F.struct((F.lit(j) * third + F.pmod(F.xxhash64(digest, F.lit(j)), third).cast("int")).alias("c"), sign.cast("long").alias("n"), digest.alias("k"), _check(digest).alias("h")) for j in range(3)])
+    return F.array(*[F.lit(j) * third + F.pmod(F.xxhash64(digest, F.lit(j)), third).cast("int") for j in range(3)])
+
+
+def _sum(a: Column, b: Column) -> Column:
+    return F.struct(a["c"].alias("c"), (a["n"] + b["n"]).alias("n"), a["k"].bitwiseXOR(b["k"]).alias("k"), a["h"].bitwiseXOR(b["h"]).alias("h"))
+
 
+def _full(cell: Column) -> Column:
+    return (cell["n"] != 0) | (cell["k"] != 0) | (cell["h"] != 0)
 
-def _folded(entries: Column) -> Column:
-    """Entries added up by cell, in order of cell; cells that come out empty are left out. Linear but for the sort."""
 
-    def added(e: Column, first: Column, until: Column) -> Column:
-        start = F.struct(*[e[first][x].alias(x) for x in "cnkh"])
-        step = lambda a, i: F.struct(a["c"].alias("c"), (a["n"] + e[i]["n"]).alias("n"), a["k"].bitwiseXOR(e[i]["k"]).alias("k"), a["h"].bitwiseXOR(e[i]["h"]).alias("h"))
-        return F.when(until - first == 1, start).otherwise(F.aggregate(F.sequence(first + 1, F.greatest(until - 1, first + 1)), start, step))
+def _added(entries: Column, entry, needs: Column | None = None) -> Column:
+    """Cells that are not empty, from entries written as longs: the place above 32 bits, below them a number that ``entry(place, number)`` looks up.
+
+    Longs sort far faster than cells. Only places whose least number is below ``needs`` count, if it is given. Linear but for the sort.
+    """
+    place, number = (lambda x: F.shiftright(x, 32)), (lambda x: x.bitwiseAND(F.lit(_LOW32)))
 
     def cells(e: Column) -> Column:
-        places = F.filter(F.sequence(F.lit(0), F.size(e) - 1), lambda i: (i == 0) | (e[i]["c"] != e[F.greatest(i - 1, F.lit(0))]["c"]))
-        made = let(places, lambda p: F.transform(p, lambda first, j: added(e, first, F.when(j + 1 < F.size(p), F.get(p, j + 1)).otherwise(F.size(e)))))
-        return F.filter(made, lambda x: (x["n"] != 0) | (x["k"] != 0) | (x["h"] != 0))
+        one = lambda i: entry(place(e[i]), number(e[i]))
+
+        def cell(first: Column, until: Column) -> Column:
+            several = F.aggregate(F.sequence(first + 1, F.greatest(until - 1, first + 1)), one(first), lambda a, i: _sum(a, one(i)))
+            made = F.when(until - first == 1, one(first)).otherwise(several)
+            return made if needs is None else F.when(number(e[first]) < needs, made)
+
+        firsts = F.filter(F.sequence(F.lit(0), F.size(e) - 1), lambda i: (i == 0) | (place(e[i]) != place(e[F.greatest(i - 1, F.lit(0))])))
+        made = let(firsts, lambda p: F.transform(p, lambda first, j: cell(first, F.when(j + 1 < F.size(p), F.get(p, j + 1)).otherwise(F.size(e)))))
+        return F.filter(made, lambda x: x.isNotNull() & _full(x))
 
     return let(F.sort_array(entries), lambda e: F.when(F.size(e) == 0, F.array().cast(_CELL)).otherwise(cells(e)))
 
 
-def sketch(digests: Column) -> Column:
-    """The fingerprint's sketch of distinct digests, of ``CELLS`` cells, which are few enough to be summed one by one."""
-    entries = F.flatten(F.transform(digests, lambda d: _entries(d, F.lit(1), F.lit(CELLS)))).cast(_CELL)
-    zero = F.struct(*[F.lit(0).cast("long").alias(x) for x in "nkh"])
-    add = lambda a, x: F.struct((a["n"] + x["n"]).alias("n"), a["k"].bitwiseXOR(x["k"]).alias("k"), a["h"].bitwiseXOR(x["h"]).alias("h"))
-    place = lambda c: lambda a: F.struct(c.alias("c"), a["n"].alias("n"), a["k"].alias("k"), a["h"].alias("h"))
-    cells = lambda e: F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda c: F.aggregate(F.filter(e, lambda x: x["c"] == c), zero, add, place(c)))
-    return F.filter(let(entries, cells), lambda x: (x["n"] != 0) | (x["k"] != 0) | (x["h"] != 0))
+def _numbered(digests: Column, cells: Column, after: Column) -> Column:
+    """The entries of digests in all their places, numbered on from ``after``."""
+    return F.flatten(F.transform(digests, lambda d, i: F.transform(_places(d, cells), lambda c: F.shiftleft(c.cast("long"), 32).bitwiseOR((after + i).cast("long")))))
 
 
-def _negated(cells: Column) -> Column:
-    return F.transform(cells, lambda x: F.struct(x["c"].alias("c"), (-x["n"]).alias("n"), x["k"].alias("k"), x["h"].alias("h")))
+def _subtracted(a: Column, b: Column) -> Column:
+    """The difference of two sketches given as cells."""
+    both = F.concat(a, F.transform(b, lambda x: F.struct(x["c"].alias("c"), (-x["n"]).alias("n"), x["k"].alias("k"), x["h"].alias("h"))))
+    return let(both, lambda x: _added(F.transform(x, lambda y, i: F.shiftleft(y["c"].cast("long"), 32).bitwiseOR(i.cast("long"))), lambda _, n: x[n.cast("int")]))
+
+
+def sketch(digests: Column) -> Column:
+    """The fingerprint's sketch of distinct digests, of ``CELLS`` cells."""
+    return let(digests, lambda d: _added(_numbered(d, F.lit(CELLS), F.lit(0)), lambda c, n: _entry(d[n.cast("int")], F.lit(1), c)))
 
 
 def _difference(a: Column, b: Column, cells: Column) -> Column:
     """The sketch of ``a`` less that of ``b``: sketches are sums, so the entries of ``b`` go in with their sign turned."""
-    entries = lambda digests, sign: F.flatten(F.transform(digests, lambda d: _entries(d, F.lit(sign), cells))).cast(_CELL)
-    return _folded(F.concat(entries(a, 1), entries(b, -1)))
+    size = F.size(a)
+
+    def made(both: Column) -> Column:
+        entry = lambda c, n: _entry(both[n.cast("int")], F.when(n < size, 1).otherwise(-1), c)
+        return _added(_numbered(both, cells, F.lit(0)), entry)
+
+    return let(F.concat(a, b), made)
 
 
 def _peeled(difference: Column, cells: Column) -> Column:
-    """``done, found``: whether peeling empties the sketch, and how many digests it takes out."""
+    """``done, found``: whether peeling empties the sketch, and how many digests it takes out.
+
+    A cell with one digest is empty without it, so only the other cells are added up again.
+    """
     start = F.struct(difference.alias("cells"), F.lit(0).alias("found"), (F.size(difference) > 0).alias("live"))
-    pure = lambda x, n: (x["n"] == n) & (x["h"] == _check(x["k"]))
+    pure = lambda x: (F.abs(x["n"]) == 1) & (x["h"] == _check(x["k"]))
 
     def step(acc: Column, _: Column) -> Column:
-        keys = lambda n: F.array_distinct(F.transform(F.filter(acc["cells"], lambda x: pure(x, n)), lambda x: x["k"]))
+        def parted(single: Column) -> Column:
+            keys = lambda n: F.array_distinct(F.transform(F.filter(single, lambda x: x["n"] == n), lambda x: x["k"]))
+            rest = F.when(F.size(single) == F.size(acc["cells"]), F.array().cast(_CELL)).otherwise(F.filter(acc["cells"], lambda x: ~pure(x)))
+            return F.struct(rest.alias("rest"), keys(1).alias("more"), keys(-1).alias("less"))
+
+        found = let(F.filter(acc["cells"], pure), parted)
+
+        def taken(f: Column) -> Column:
+            n_rest, n_more = F.size(f["rest"]), F.size(f["more"])
+            size = n_more + F.size(f["less"])
+
+            def left(keys: Column) -> Column:
+                held = F.transform(f["rest"], lambda x, i: F.shiftleft(x["c"].cast("long"), 32).bitwiseOR(i.cast("long")))
+                gone = lambda c, i: _entry(keys[i], F.when(i < n_more, -1).otherwise(1), c)
+                entry = lambda c, n: F.when(n < n_rest, f["rest"][F.least(n.cast("int"), n_rest - 1)]).otherwise(gone(c, F.greatest(n.cast("int") - n_rest, F.lit(0))))
+                return _added(F.concat(held, _numbered(keys, cells, n_rest)), entry, n_rest)
 
-        def taken(keys: Column) -> Column:
-            size = F.size(keys["more"]) + F.size(keys["less"])
-            gone = lambda side, sign: F.flatten(F.transform(keys[side], lambda k: _entries(k, F.lit(sign), cells))).cast(_CELL)
-            left = _folded(F.concat(acc["cells"], gone("more", -1), gone("less", 1)))
-            some = let(left, lambda r: F.struct(r.alias("cells"), (acc["found"] + size).alias("found"), (F.size(r) > 0).alias("live")))
-            return F.when(size == 0, F.struct(acc["cells"].alias("cells"), acc["found"].alias("found"), F.lit(False).alias("live"))).otherwise(some)
+            cells_ = F.when((n_rest == 0) | (size == 0), f["rest"]).otherwise(let(F.concat(f["more"], f["less"]), left))
+            return let(cells_, lambda r: F.struct(r.alias("cells"), (acc["found"] + size).alias("found"), ((size > 0) & (F.size(r) > 0)).alias("live")))
 
-        return F.when(acc["live"], let(F.struct(keys(1).alias("more"), keys(-1).alias("less")), taken)).otherwise(acc)
+        return F.when(acc["live"], let(found, taken)).otherwise(acc)
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda acc: F.struct((F.size(acc["cells"]) == 0).alias("done"), acc["found"].alias("found")))
 
@@ -115,7 +155,7 @@ def with_likeness(df: DataFrame, out: str, a: str, b: str, sketch_a: str, sketch
     tells how much differs: the squares of its counts add up to three for each digest, and a part
     that the sizes explain. Both sides are sketched again with ``3 SPARE`` cells for each digest
     expected, and four times as many each time that this fails. Sketches are sparse, so the cells to spare
-    cost nothing and save rounds.
+    cost nothing, and with so many most differences are peeled in one round.
     """
     size_a, size_b = F.size(a), F.size(b)
 
@@ -132,7 +172,7 @@ def with_likeness(df: DataFrame, out: str, a: str, b: str, sketch_a: str, sketch
         tried = let(_difference(F.col(a), F.col(b), cells), lambda d: _peeled(d, cells))
         return F.when(acc["done"], acc).otherwise(tried)
 
-    rows = df.withColumn("_first", let(_folded(F.concat(F.col(sketch_a), _negated(F.col(sketch_b)))), attempt)).withColumn("_expected", expected)
+    rows = df.withColumn("_first", let(_subtracted(F.col(sketch_a), F.col(sketch_b)), attempt)).withColumn("_expected", expected)
     begun = F.struct(F.col("_first.done").alias("done"), F.col("_first.found").alias("found"))
     larger = F.aggregate(F.sequence(F.lit(1), F.lit(RETRIES)), begun, again)
     rows = rows.withColumn("_tried", F.when(F.col("_first.done"), begun).otherwise(larger))

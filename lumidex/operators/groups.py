@@ -32,10 +32,10 @@ def group_members(df: DataFrame, settings: Settings | None = None) -> DataFrame:
     return found.join(facts, "id").withColumn("place", F.row_number().over(order)).withColumn("first_phash", F.first("phash").over(order))
 
 
-def duplicate_groups(df: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """One row for each group, numbered by bytes wasted, then members, then the best-placed member."""
+def duplicate_groups(df: DataFrame, settings: Settings | None = None, members: DataFrame | None = None) -> DataFrame:
+    """One row for each group, numbered by bytes wasted, then members, then the best-placed member. ``members`` (of ``group_members``) saves searching for them again."""
     s = settings or Settings()
-    members = group_members(df, s)
+    members = group_members(df, s) if members is None else members
     distance = hashing.hamming(hashing.halves(F.col("first_phash")), hashing.halves(F.col("phash")))
     exact = (F.count_distinct("sha256") == 1) & (F.min("sha256") != "") if s.group_exact else F.lit(False)
     groups = members.groupBy("root").agg(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from itertools import combinations
+from math import ceil, comb
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,9 @@ from lumidex.settings import Settings
 SEGMENTS, WIDTH = 4, 16
 #: Up to so many rows (of under 100 bytes) one side is broadcast and every pair is tested; beyond, candidates meet by segment.
 BROADCAST_ROWS = 20_000
+#: Flips of a segment that are looked under at most; beyond (a radius over 15) sides are compared in tiles of so many rows.
+MASKS = 1000
+TILE_ROWS = 8192
 
 
 def flip_masks(radius: int, width: int = WIDTH) -> list[int]:
@@ -26,26 +30,34 @@ def hashed(df: DataFrame, hash_: str = "phash") -> DataFrame:
     return df.select("id", hashing.halves(F.col(hash_)).alias("bits")).where("bits is not null")
 
 
-def hamming_pairs(probe: DataFrame, build: DataFrame, radius: int, rows: int | None = None) -> DataFrame:
-    """``a, b, distance`` of ``probe`` and ``build`` rows (``id, bits``) at most ``radius`` apart, ``a < b`` where both are the same table.
+def hamming_pairs(probe: DataFrame, build: DataFrame, radius: int, rows: int | None = None, ordered: bool = True) -> DataFrame:
+    """``a, b, distance`` of ``probe`` and ``build`` rows (``id, bits``) at most ``radius`` apart; ``a < b`` if ``ordered``, as for a table with itself.
 
     Small tables are compared outright against a broadcast side. Larger ones meet by segment: of
     four 16-bit segments one differs in at most ``radius // 4`` bits, so each probe row looks under
-    its segments with up to that many bits flipped, and finds the partners exactly.
+    its segments with up to that many bits flipped, and finds the partners exactly. Where more
+    than ``MASKS`` flips would be looked under, that costs more than comparing tiles: both sides are dealt
+    to parts of a bounded size, and every two parts meet once.
     """
     radius = min(64, max(0, radius))
     rows = build.count() if rows is None else rows
     p, b = probe.select(F.col("id").alias("a"), F.col("bits").alias("pa")), build.select(F.col("id").alias("b"), F.col("bits").alias("pb"))
     distance = hashing.hamming(F.col("pa"), F.col("pb"))
-    if rows <= BROADCAST_ROWS or radius // SEGMENTS >= WIDTH:
-        if rows <= BROADCAST_ROWS:
-            b = F.broadcast(b)
-        return p.join(b, (F.col("a") < F.col("b")) & (distance <= radius)).select("a", "b", distance.alias("distance"))
+    near = (F.col("a") < F.col("b")) & (distance <= radius) if ordered else distance <= radius
+    if rows <= BROADCAST_ROWS:
+        return p.join(F.broadcast(b), near).select("a", "b", distance.alias("distance"))
+    flips = sum(comb(WIDTH, n) for n in range(radius // SEGMENTS + 1))
+    if radius // SEGMENTS >= WIDTH or flips > MASKS:
+        parts = ceil(rows / TILE_ROWS)
+        tile = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
+        left = p.withColumn("i", tile("a")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        met = left.join(b.withColumn("j", tile("b")), "j").where(near)
+        return met.select("a", "b", distance.alias("distance"))
     segments = lambda bits: F.array(*[F.shiftright(F.col(f"{bits}.{half}"), by).bitwiseAND(F.lit(0xFFFF)).cast("int") for half in ("hi", "lo") for by in (16, 0)])
     masks = F.array(*[F.lit(m) for m in flip_masks(radius // SEGMENTS)])
     looked = p.select("a", "pa", F.posexplode(segments("pa")).alias("k", "seg")).select("a", "pa", "k", F.explode(F.transform(masks, lambda m: F.col("seg").bitwiseXOR(m))).alias("seg"))
     placed = b.select("b", "pb", F.posexplode(segments("pb")).alias("k", "seg"))
-    met = looked.join(placed, ["k", "seg"]).where((F.col("a") < F.col("b")) & (distance <= radius))
+    met = looked.join(placed, ["k", "seg"]).where(near)
     return met.select("a", "b", distance.alias("distance")).distinct()
 
 

@@ -30,34 +30,50 @@ def exact_import(batch: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def similar_import(batch: DataFrame, index: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """Adds ``outcome``: ``similar`` if a row looks like an indexed photo or like an earlier row that is accepted itself.
-
-    ``batch`` has ``ord, id, phash, dhash, color_sig``; ids differ from those of the index. The rule is sequential; here rows are settled in rounds: one is accepted when all its
-    earlier look-alikes are rejected, and rejected when one of them is accepted. Each round settles
-    the first open row of every chain at least, so the rounds are at most the longest chain.
+    """Adds ``outcome`` and ``match``: ``similar`` if a row looks like an indexed photo or like an earlier row that is accepted itself, and the id of that one.
+
+    ``batch`` has ``ord, id, phash, dhash, color_sig``; ids differ from those of the index. The match is the
+    indexed photo of the highest score (then least id), or else the earliest accepted row. Only the
+    batch probes the index. The rule is sequential; here rows are settled in rounds: one is
+    accepted when all its earlier look-alikes are rejected, and rejected when one of them is
+    accepted. Each round settles the first open row of every chain at least, so the rounds are at
+    most the longest chain.
     """
     s = settings or Settings()
     cols = ["id", "phash", "dhash", "color_sig"]
-    both = index.where("status = 'ok'").select(*cols).unionByName(batch.select(*cols))
-    new = hashed(batch)
-    old = hashed(index.where("status = 'ok'"))
-    everything = old.unionByName(new)
-    n = everything.count()
-    pairs = verified(hamming_pairs(everything, everything, s.phash_threshold, n), both, s)
+    ok = index.where("status = 'ok'")
+    new, old = hashed(batch), hashed(ok)
+    facts = ok.select(*cols).unionByName(batch.select(*cols))
+    known = verified(hamming_pairs(new, old, s.phash_threshold, ordered=False), facts, s)
+    score = ok.select(F.col("id").alias("b"), *([F.col("score").alias("_score")] if "score" in ok.columns else [F.lit(0.0).alias("_score")]))
+    in_index = known.join(score, "b").groupBy(F.col("a").alias("id")).agg(F.max_by("b", F.struct(F.col("_score"), -F.col("b"))).alias("_known"))
+    pairs = verified(hamming_pairs(new, new, s.phash_threshold), batch.select(*cols), s)
     order = batch.select("id", "ord")
     a, b = order.select(F.col("id").alias("a"), F.col("ord").alias("oa")), order.select(F.col("id").alias("b"), F.col("ord").alias("ob"))
-    linked = pairs.join(a, "a", "left").join(b, "b", "left")
-    with_index = linked.where("oa IS NULL AND ob IS NOT NULL").select(F.col("b").alias("id")).unionByName(linked.where("ob IS NULL AND oa IS NOT NULL").select(F.col("a").alias("id"))).distinct()
-    inside = linked.where("oa IS NOT NULL AND ob IS NOT NULL").select(F.when(F.col("oa") < F.col("ob"), F.col("a")).otherwise(F.col("b")).alias("early"), F.when(F.col("oa") < F.col("ob"), F.col("b")).otherwise(F.col("a")).alias("late"))
-    inside = cut(inside)
-    state = cut(batch.select("id").join(with_index.withColumn("_hit", F.lit(True)), "id", "left").select("id", F.when(F.col("_hit"), "similar").alias("outcome")))
+    inside = pairs.join(a, "a").join(b, "b")
+    inside = cut(inside.select(F.when(F.col("oa") < F.col("ob"), F.col("a")).otherwise(F.col("b")).alias("early"), F.when(F.col("oa") < F.col("ob"), F.col("b")).otherwise(F.col("a")).alias("late"), F.least("oa", "ob").alias("early_ord")))
+    state = cut(batch.select("id").join(in_index, "id", "left").select("id", F.when(F.col("_known").isNotNull(), "similar").alias("outcome"), F.col("_known").alias("match")))
     while True:
-        early = inside.join(state.withColumnRenamed("id", "early"), "early").groupBy("late").agg(F.bool_or(F.coalesce(F.col("outcome") == "import", F.lit(False))).alias("taken"), F.bool_or(F.col("outcome").isNull()).alias("open"))
-        settled = F.when(F.col("outcome").isNotNull(), F.col("outcome")).when(F.col("taken"), "similar").when(F.col("open"), F.lit(None)).otherwise("import")
-        state = cut(state.join(early, state["id"] == early["late"], "left").select("id", settled.alias("outcome")))
-        if not state.where("outcome IS NULL").limit(1).count():
+        early = inside.join(state.select(F.col("id").alias("early"), "outcome"), "early").groupBy("late").agg(F.min(F.when(F.col("outcome") == "import", F.struct("early_ord", "early"))).alias("taken"), F.bool_or(F.col("outcome").isNull()).alias("open"))
+        settled = F.when(F.col("outcome").isNotNull(), F.col("outcome")).when(F.col("taken").isNotNull(), "similar").when(F.col("open"), F.lit(None)).otherwise("import")
+        # the earliest look-alike may still be open; the match is told when it is settled
+        state = cut(state.join(early, state["id"] == early["late"], "left").select("id", settled.alias("outcome"), "match"))
+        if state.where("outcome IS NULL").isEmpty():
             break
-    return batch.join(state, "id")
+    first = inside.join(state.where("outcome = 'import'").select(F.col("id").alias("early")), "early").groupBy(F.col("late").alias("id")).agg(F.min(F.struct("early_ord", "early")).alias("_first"))
+    told = state.join(first, "id", "left").select("id", "outcome", F.when(F.col("outcome") == "similar", F.coalesce("match", "_first.early")).alias("match"))
+    return batch.join(told, "id")
+
+
+def present_at_destination(plan: DataFrame, files: DataFrame) -> DataFrame:
+    """Adds ``outcome`` and ``match``: ``duplicate`` of the file that stands where a row wants to go, if its bytes are equal, else ``import``.
+
+    ``plan`` has ``target, sha256``; ``files`` has ``path, sha256`` of what is in the library, indexed
+    or not. An empty or null digest equals none.
+    """
+    there = files.where("sha256 != ''").select(F.col("path").alias("target"), F.col("sha256").alias("_there"))
+    same = F.coalesce(F.col("_there") == F.col("sha256"), F.lit(False))
+    return plan.join(there, "target", "left").withColumns({"outcome": F.when(same, "duplicate").otherwise("import"), "match": F.when(same, F.col("target"))}).drop("_there")
 
 
 def destination(root: str, organise: str, source_root: str | None = None) -> Column:
@@ -77,24 +93,37 @@ def destination(root: str, organise: str, source_root: str | None = None) -> Col
 def free_names(plan: DataFrame, taken: DataFrame | None = None, order: str = "id", target: str = "target") -> DataFrame:
     """Gives every row its own ``target``: later rows of one name get ``-1``, ``-2`` before the suffix, passing over taken names.
 
-    A suffixed name can meet another row's own name; rounds go on until none does.
+    Each name's free numbers are told at once: of as many as its rows and the taken names of its
+    kind need, those that are not taken, in order. Only where two wishes can make the same name
+    (``a-1.jpg`` is wished for itself and by the second ``a.jpg``) another round follows, for those rows alone.
     """
     stem, suffix = F.regexp_extract(F.col("_wish"), r"^(.*?)(\.[^./]*)?$", 1), F.regexp_extract(F.col("_wish"), r"^(.*?)(\.[^./]*)?$", 2)
+    wish = lambda c: F.regexp_replace(c, r"-[0-9]+(\.[^./]*)?$", "$1")
+    number = lambda c: F.try_element_at(F.regexp_extract_all(c, F.lit(r"-([1-9][0-9]{0,8})(?:\.[^./]*)?$"), F.lit(1)), F.lit(1)).cast("int")
     name = F.when(F.col("_n") == 0, F.col("_wish")).otherwise(F.concat(stem, F.lit("-"), F.col("_n").cast("string"), suffix))
-    open_ = plan.withColumnRenamed(target, "_wish").withColumn("_n", (F.row_number().over(Window.partitionBy("_wish").orderBy(order)) - 1).cast("int"))
+    open_ = plan.withColumnRenamed(target, "_wish")
     used = taken.select(F.col("path").alias("_used")).distinct() if taken is not None else plan.select(F.lit("").alias("_used")).limit(0)
     done = None
     while True:
-        tried = open_.withColumn(target, name)
+        wishes = open_.groupBy("_wish").agg(F.count("*").alias("_rows"))
+        zero = used.select(F.col("_used").alias("_wish"), F.lit(0).alias("_number"))
+        later = used.select(wish("_used").alias("_wish"), number("_used").alias("_number")).where("_number IS NOT NULL")
+        gone = zero.unionByName(later).join(wishes.select("_wish"), "_wish", "left_semi").groupBy("_wish").agg(F.collect_set("_number").alias("_gone"))
+        free = wishes.join(gone, "_wish", "left").withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>")))
+        numbers = F.array_except(F.sequence(F.lit(0).cast("int"), (F.col("_rows") + F.size("_gone")).cast("int")), F.col("_gone"))
+        free = free.select("_wish", F.posexplode(F.slice(numbers, F.lit(1), F.col("_rows").cast("int"))).alias("_nth", "_n"))
+        ranked = open_.withColumn("_nth", F.row_number().over(Window.partitionBy("_wish").orderBy(order)) - 1)
+        tried = cut(ranked.join(free, ["_wish", "_nth"]).withColumn(target, name))
+        # a wish goes before a name that was made up
         first = Window.partitionBy(target).orderBy("_n", order)
-        tried = cut(tried.withColumn("_k", F.row_number().over(first)).join(used.withColumn("_hit", F.lit(True)), F.col(target) == F.col("_used"), "left"))
-        fine = tried.where("_k = 1 AND _hit IS NULL").drop("_k", "_hit", "_used")
+        tried = cut(tried.withColumn("_k", F.row_number().over(first)))
+        fine = tried.where("_k = 1").drop("_k", "_nth", "_n")
         done = fine if done is None else done.unionByName(fine)
-        rest = tried.where("_k > 1 OR _hit IS NOT NULL")
-        if not rest.limit(1).count():
-            return done.drop("_wish", "_n")
+        rest = tried.where("_k > 1")
+        if rest.isEmpty():
+            return done.drop("_wish")
         used = cut(used.unionByName(fine.select(F.col(target).alias("_used"))))
-        open_ = rest.drop("_k", "_hit", "_used", target).withColumn("_n", F.col("_n") + 1)
+        open_ = rest.drop("_k", "_nth", "_n", target)
 
 
 def export_name(naming: str) -> Column:
@@ -118,8 +147,11 @@ def export_selection(ranked: DataFrame, long: DataFrame | None = None, best_only
     return ranked.orderBy(F.desc("score"), F.asc("id")).limit(max(0, top)) if top is not None else ranked
 
 
-def manifest(photos: DataFrame, long: DataFrame | None = None, naming: str = "rank") -> DataFrame:
-    """One row for each exported photo (with ``rank``): 17 fixed columns, then the metrics; blanks where nothing is known."""
+def manifest(photos: DataFrame, long: DataFrame | None = None, naming: str = "original", target: str | None = None) -> DataFrame:
+    """One row for each exported photo (with ``rank``): 17 fixed columns, then the metrics; blanks where nothing is known.
+
+    The name is that of the column ``target``, where a photo was placed, or else that of the naming.
+    """
     if long is None:
         rows = photos.withColumns({"_group": F.lit(None).cast("int"), "_best": F.lit(None).cast("boolean")})
     else:
@@ -127,7 +159,7 @@ def manifest(photos: DataFrame, long: DataFrame | None = None, naming: str = "ra
     blank = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     fixed = {
         "rank": F.col("rank"),
-        "exported_as": export_name(naming),
+        "exported_as": export_name(naming) if target is None else text.basename(F.col(target)),
         "source": F.col("path"),
         "score": rounded(F.col("score"), 2),
         "grade": text.grade(F.col("score")),
@@ -148,5 +180,15 @@ def manifest(photos: DataFrame, long: DataFrame | None = None, naming: str = "ra
     return rows.select(*[c.alias(k) for k, c in {**fixed, **measured}.items()])
 
 
+def export_plan(ranked: DataFrame, root: str, naming: str = "original", folders: DataFrame | None = None) -> DataFrame:
+    """``id, path, target`` of each photo of a ranking, under names that differ; with ``folders`` (``id, group_index``) members of a group stand in the group's own folder."""
+    base = F.lit(root.rstrip("/"))
+    if folders is not None:
+        ranked = ranked.join(folders.select("id", "group_index"), "id", "left")
+        base = F.when(F.col("group_index").isNull(), base).otherwise(F.concat_ws("/", base, group_folder(F.col("group_index"))))
+    wanted = ranked.select("id", "path", "rank", F.concat_ws("/", base, export_name(naming)).alias("target"))
+    return free_names(wanted, order="rank").select("id", "path", "target")
+
+
 def group_folder(index: Column) -> Column:
     return F.format_string("group-%03d", index.cast("long"))

@@ -6,6 +6,21 @@ import json
 import os
 from dataclasses import asdict, dataclass, field, fields
 
+# Suffixes of pictures, and of raw files, which are read only if asked for.
+IMAGE_EXTENSIONS = (".jpg", ".jpeg", ".jpe", ".jfif", ".png", ".gif", ".bmp", ".webp", ".tif", ".tiff", ".heic", ".heif", ".avif", ".ppm", ".pgm", ".tga", ".ico")
+RAW_EXTENSIONS = (".cr2", ".cr3", ".nef", ".arw", ".dng", ".orf", ".rw2", ".raf", ".pef", ".srw")
+#: What settings take: the least and most of numbers, the choices of names.
+RANGES = {"phash_threshold": (0, 64), "dhash_threshold": (0, 64), "color_threshold": (0, 1), "min_file_bytes": (0, 2**63 - 1), "export_max_edge": (0, 2**31 - 1)}
+CHOICES = {"import_mode": ("copy", "move"), "import_organise": ("flat", "date", "source"), "export_mode": ("copy", "move", "symlink"), "export_naming": ("original", "rank", "score", "date"), "export_manifest": ("none", "csv", "json")}
+#: Other names by which a settings file can call a key.
+_ALSO = {"similarity_threshold": "phash_threshold", "detect_rotations": "match_rotations", "group_exact_duplicates": "group_exact"}
+
+
+def _fits(name: str, value) -> bool:
+    low, high = RANGES.get(name, (value, value))
+    return value in CHOICES.get(name, (value,)) and low <= value <= high
+
+
 METRICS = ["sharpness", "exposure", "contrast", "colorfulness", "noise", "resolution", "detail"]
 
 
@@ -37,34 +52,50 @@ class Settings:
     match_rotations: bool = False
     group_exact: bool = True
     prefer_larger_on_tie: bool = True
+    library_root: str = ""
+    watched_folders: tuple[str, ...] = ()
     min_file_bytes: int = 4096
-    extensions: tuple[str, ...] = (".jpg", ".jpeg", ".png", ".webp", ".bmp", ".tif", ".tiff", ".gif", ".heic", ".heif")
+    include_raw: bool = False
     include_hidden: bool = False
+    follow_symlinks: bool = False
+    import_mode: str = "copy"
     import_organise: str = "date"
-    export_naming: str = "rank"
+    import_skip_exact: bool = True
+    import_skip_similar: bool = False
+    export_mode: str = "copy"
+    export_naming: str = "original"
+    export_manifest: str = "csv"
+    export_group_folders: bool = False
+    export_max_edge: int = 0
+
+    @property
+    def extensions(self) -> tuple[str, ...]:
+        return IMAGE_EXTENSIONS + RAW_EXTENSIONS if self.include_raw else IMAGE_EXTENSIONS
 
     def to_json(self) -> str:
         return json.dumps(asdict(self), indent=2)
 
     @classmethod
     def from_json(cls, text: str) -> Settings:
-        """Unknown keys, keys of the wrong type and text that is no JSON object leave the defaults."""
+        """Unknown keys, keys of the wrong type, values out of their range and text that is no JSON object leave the defaults."""
         try:
             given = json.loads(text)
         except ValueError:
             return cls()
         if not isinstance(given, dict):
             return cls()
+        given = {_ALSO.get(k, k): v for k, v in given.items()}
         base, found = cls(), {}
         for f in fields(cls):
             value = given.get(f.name)
             if f.name == "weights" and isinstance(value, dict):
                 found["weights"] = Weights(**{k: float(v) for k, v in value.items() if k in METRICS and isinstance(v, (int, float)) and not isinstance(v, bool)})
-            elif f.name == "extensions" and isinstance(value, list):
+            elif f.name == "watched_folders" and isinstance(value, list):
                 found[f.name] = tuple(str(x) for x in value)
-            elif f.name in given and f.name not in ("weights", "extensions"):
+            elif f.name in given and f.name not in ("weights", "watched_folders"):
                 default = getattr(base, f.name)
-                if isinstance(value, bool) == isinstance(default, bool) and isinstance(value, (type(default), int) if isinstance(default, float) else type(default)):
+                kind = isinstance(value, bool) == isinstance(default, bool) and isinstance(value, (type(default), int) if isinstance(default, float) else type(default))
+                if kind and _fits(f.name, value):
                     found[f.name] = type(default)(value)
         return cls(**found)
 

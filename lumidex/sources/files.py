@@ -1,27 +1,34 @@
-"""Files in and out: listing, digests, decoding, manifests and placement.
+"""Files in and out: listing, digests, decoding, capture facts, manifests and placement.
 
-Decoding uses Spark's image source, so it reads what that reads (JPEG, PNG, GIF, BMP); there is no
-EXIF, no HEIC, WebP or TIFF and no writing of thumbnails or resized copies without an imaging
-library, which this environment does not have.
+Decoding uses Spark's image source, so it reads what that reads (JPEG, PNG, GIF, BMP); capture
+facts are read from the bytes of JPEG, TIFF and PNG files. There is no HEIC, WebP or AVIF and no
+writing of thumbnails or resized copies without an imaging library, which this environment does
+not have.
 """
 
 from __future__ import annotations
 
+import csv
+import filecmp
 import json
+import os
 import shutil
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumidex.functions import kernels, quality, text
+from lumidex.session import cut
 from lumidex.settings import Settings
+from lumidex.sources import exif
 
-#: Folders that are never entered: version control, packages, caches of thumbnails, system bins.
-SKIPPED_FOLDERS = (".git", ".svn", "node_modules", "__pycache__", ".thumbnails", ".cache", "@eaDir", "$RECYCLE.BIN", "System Volume Information", ".Trash")
+# Folders that hold no photos of their own.
+SKIPPED_FOLDERS = (".git", ".svn", ".hg", "__pycache__", "node_modules", ".thumbnails", ".cache", ".Trash", ".Trash-1000", "$RECYCLE.BIN", "System Volume Information", ".photo-dupe", ".dtrash")
 #: Types of a file's facts after analysis; the index adds ids, marks and ratings.
 _ANALYSED = (
     "path string, sha256 string, width int, height int, phash string, dhash string, ahash string, color_sig array<int>, rotations array<string>, "
@@ -33,8 +40,10 @@ def list_files(spark: SparkSession, roots: list[str], settings: Settings | None
     """``path, size, mtime`` of image files under the roots; a file may be a root itself, and roots that do not exist are passed over.
 
     Listing is Spark's, in parallel over folders; suffixes are compared in lower case and sizes are
-    pushed down to the source. Overlapping roots give a file once. Names that begin with ``.`` (and,
-    with this source, ``_``) are left out.
+    pushed down to the source. A physical file is given once, by its first path, even if roots
+    overlap or several names are linked to it (on file systems that tell). Names that begin with
+    ``.`` (and, with this source, ``_``) are left out. Files whose names are symbolic links stand for
+    what they point to; unless ``follow_symlinks`` is set, folders that are links are not entered.
     """
     s = settings or Settings()
     there = [r for r in roots if _exists(spark, r)]
@@ -51,7 +60,34 @@ def list_files(spark: SparkSession, roots: list[str], settings: Settings | None
         for root in there:
             inside = F.coalesce(inside, F.when(F.startswith("path", F.lit(root.rstrip("/") + "/")), F.substring("path", F.lit(len(root.rstrip("/")) + 1), F.length("path"))))
         rows = rows.where(~F.coalesce(inside.rlike(r"/\."), F.lit(False)))
-    return rows.dropDuplicates(["path"])
+    rows = rows.dropDuplicates(["path"]).withColumn("_file", _identity(F.col("path"), F.array(*[F.lit(r) for r in there]), F.lit(s.follow_symlinks)))
+    rows = rows.where("_file != ''")
+    first = rows.groupBy("_file").agg(F.min(F.struct("path", "size", "mtime")).alias("_first"))
+    return first.select("_first.*")
+
+
+def _identity(path: Column, roots: Column, follow: Column) -> Column:
+    """What tells a physical file: device and number, or the path on file systems that tell no such thing; empty for files behind a linked folder that is not followed."""
+
+    def one(p: str, among: list[str], followed: bool) -> str:
+        if not followed:
+            root = next((r.rstrip("/") for r in among if p.startswith(r.rstrip("/") + "/")), "")
+            folder = os.path.dirname(p)
+            while len(folder) > len(root) and folder != "/":
+                if os.path.islink(folder):
+                    return ""
+                folder = os.path.dirname(folder)
+        try:
+            found = os.stat(p)
+        except (OSError, ValueError):  # a store that only Spark reads
+            return f"path {p}"
+        return f"{found.st_dev} {found.st_ino}" if found.st_ino else f"path {p}"
+
+    @F.pandas_udf("string")
+    def of(paths: pd.Series, among: pd.Series, followed: pd.Series) -> pd.Series:
+        return pd.Series([one(p, list(r), bool(f)) for p, r, f in zip(paths, among, followed)], dtype=object)
+
+    return of(path, roots, follow)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -63,23 +99,40 @@ def count_files(spark: SparkSession, roots: list[str], settings: Settings | None
     return list_files(spark, roots, settings).count()
 
 
+def digests(spark: SparkSession, paths: DataFrame) -> DataFrame:
+    """``path, sha256`` of the files in ``paths``."""
+    paths = cut(paths.select("path"))
+    folders = [r.folder for r in paths.select(text.folder(F.col("path")).alias("folder")).distinct().toLocalIterator()]
+    if not folders:
+        return spark.createDataFrame([], "path string, sha256 string")
+    contents = spark.read.format("binaryFile").load(folders)
+    return contents.select(F.regexp_replace(F.col("path"), "^file:/+", "/").alias("path"), "content").join(paths, "path", "left_semi").select("path", F.sha2("content", 256).alias("sha256"))
+
+
 def analyse_files(spark: SparkSession, paths: DataFrame, settings: Settings | None = None) -> DataFrame:
     """Facts of the files in ``paths`` (``path, size, mtime``), ready for ``operators.index.upsert``.
 
-    Bytes are read once for the digest and once, decoded, for hashes and measures, in Arrow
-    batches of a few pictures. A file that cannot be decoded becomes a row of status ``error``.
+    Bytes are read once for digest and capture facts and once, decoded, for hashes and measures, in
+    Arrow batches of a few pictures, which are turned upright first. A file that cannot be decoded
+    becomes a row of status ``error``. Only the names of folders come to the driver.
     """
     s = settings or Settings()
-    names = [r.path for r in paths.select("path").toLocalIterator()]
-    if not names:
+    paths = cut(paths)
+    folders = [r.folder for r in paths.select(text.folder(F.col("path")).alias("folder")).distinct().toLocalIterator()]
+    if not folders:
         return spark.createDataFrame([], _ANALYSED)
-    clean = lambda c: F.regexp_replace(c, "^file:/+", "/")
-    digests = spark.read.format("binaryFile").load(names).select(clean(F.col("path")).alias("path"), F.sha2("content", 256).alias("sha256"))
-    pictures = spark.read.format("image").load(names).select(clean(F.col("image.origin")).alias("path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    wanted = paths.select("path")
+    contents = spark.read.format("binaryFile").load(folders).select(plain(F.col("path")).alias("path"), "content").join(wanted, "path", "left_semi")
+    facts = contents.select("path", F.sha2("content", 256).alias("sha256"), exif.capture(F.col("content")).alias("_capture"))
+    pictures = spark.read.format("image").load(folders).select(plain(F.col("image.origin")).alias("path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
+    facts = cut(facts)
+    pictures = pictures.join(facts.select("path", F.col("_capture.orientation").alias("orientation")), "path")
     measured = pictures.mapInPandas(_analyse_batch, _ANALYSED.replace("sha256 string, ", ""))
-    rows = paths.join(digests, "path", "left").join(measured, "path", "left")
+    rows = paths.join(facts, "path", "left").join(measured, "path", "left")
+    rows = rows.withColumns({"camera": text.camera_label(F.col("_capture.make"), F.col("_capture.model")), "iso": F.col("_capture.iso"), "taken_at": F.col("_capture.taken_at")}).drop("_capture")
     raw = F.struct(*[F.coalesce(F.col("raw_metrics")[k], F.lit(0.0)).alias(k) for k in ("edge_strength", "laplacian_variance", "mean_luma", "shadow_clip", "highlight_clip", "contrast_std", "colorfulness", "noise_sigma", "grain_ratio", "megapixels", "entropy")])
-    rows = rows.withColumn("_raw", raw).withColumn("iso", F.lit(None).cast("int"))
+    rows = rows.withColumn("_raw", raw)
     rows = rows.withColumn("metrics", F.struct(*[c.alias(k) for k, c in quality.metrics(F.col("_raw")).items()]))
     ok = F.coalesce(F.col("status") == "ok", F.lit(False))
     return rows.withColumns(
@@ -97,25 +150,32 @@ def analyse_files(spark: SparkSession, paths: DataFrame, settings: Settings | No
 
 def _analyse_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pd.DataFrame([_analyse_one(*r) for r in zip(pdf["path"], pdf["height"], pdf["width"], pdf["channels"], pdf["data"])], columns=["path", "width", "height", "phash", "dhash", "ahash", "color_sig", "rotations", "raw_metrics", "status", "error"])
+        yield pd.DataFrame([_analyse_one(*r) for r in zip(pdf["path"], pdf["height"], pdf["width"], pdf["channels"], pdf["data"], pdf["orientation"])], columns=["path", "width", "height", "phash", "dhash", "ahash", "color_sig", "rotations", "raw_metrics", "status", "error"])
 
 
-def _analyse_one(path: str, height: int, width: int, channels: int, data: bytes) -> tuple:
+def _analyse_one(path: str, height: int, width: int, channels: int, data: bytes, orientation: float | None = None) -> tuple:
     blank = ("", "", "", None, None, None)
     if height is None or height <= 0 or width <= 0 or channels not in (1, 3, 4):
         return (path, 0, 0, *blank, "error", "cannot be decoded")
     pixels = np.frombuffer(bytes(data), np.uint8).reshape(height, width, channels)
     # the image source stores blue, green, red (and opacity)
     rgb = np.repeat(pixels, 3, axis=2) if channels == 1 else pixels[..., 2::-1]
+    mirrored, quarters = exif.upright_steps(None if orientation is None or orientation != orientation else int(orientation))
+    rgb = np.ascontiguousarray(np.rot90(rgb[:, ::-1] if mirrored else rgb, quarters))
+    height, width = rgb.shape[:2]
     rgb = kernels.scaled(rgb.astype(np.float64) / 255)
     gray = kernels.luminance(rgb)
     f = kernels.fingerprint(gray, rgb)
     return (path, width, height, f["phash"], f["dhash"], f["ahash"], f["color_sig"], f["rotations"], kernels.measure(gray, rgb, width * height / 1e6), "ok", "")
 
 
-def write_manifest_csv(rows: DataFrame, folder: str) -> None:
-    """One CSV file with a header; a manifest is as long as an export, which one task can write."""
-    rows.coalesce(1).sortWithinPartitions("rank").write.option("header", True).mode("overwrite").csv(folder)
+def write_manifest_csv(rows: DataFrame, target: str) -> None:
+    """One CSV file with a header, streamed row by row."""
+    Path(target).parent.mkdir(parents=True, exist_ok=True)
+    with open(target, "w", encoding="utf-8", newline="") as f:
+        out = csv.writer(f)
+        out.writerow(rows.columns)
+        out.writerows(rows.orderBy("rank").toLocalIterator())
 
 
 def write_manifest_json(rows: DataFrame, target: str, naming: str, mode: str, generated_at: str) -> None:
@@ -129,35 +189,68 @@ def write_manifest_json(rows: DataFrame, target: str, naming: str, mode: str, ge
         f.write("]}")
 
 
-def place_files(plan: DataFrame, mode: str = "copy") -> list[tuple[str, str]]:
-    """Carries out a plan (``path, target``) by copy, move or symlink; returns the failures with their reasons."""
-    failures = []
-    for row in plan.select("path", "target").toLocalIterator():
-        target = Path(row.target)
-        try:
-            target.parent.mkdir(parents=True, exist_ok=True)
-            if mode == "symlink":
-                target.symlink_to(row.path)
-            elif mode == "move":
-                shutil.move(row.path, target)
-            else:
-                shutil.copy2(row.path, target)
-        except OSError as e:
-            failures.append((row.path, str(e)))
-    return failures
+def place_files(plan: DataFrame, mode: str = "copy", max_edge: int = 0) -> DataFrame:
+    """Carries out a plan (``path, target``) by copy, move or symlink: ``path, target, bytes, error``, one row for each, error empty where it went well.
+
+    Tasks place files side by side, as targets differ; run again after a lost executor, a file that
+    is there already counts as placed. Nothing is written over. Copies with a bounded edge need an
+    imaging library and fail; a link cannot be resized at all.
+    """
+    refused = ""
+    if max_edge > 0:
+        refused = "cannot resize when exporting as symbolic links" if mode == "symlink" else "cannot resize without an imaging library"
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(p, t, *_place_one(p, t, mode, refused)) for p, t in zip(pdf["path"], pdf["target"])]
+            yield pd.DataFrame(rows, columns=["path", "target", "bytes", "error"])
+
+    return cut(plan.select("path", "target").mapInPandas(place, "path string, target string, bytes long, error string"))
+
+
+def _place_one(path: str, target: str, mode: str, refused: str) -> tuple[int, str]:
+    if refused:
+        return 0, refused
+    to = Path(target)
+    try:
+        to.parent.mkdir(parents=True, exist_ok=True)
+        if mode == "symlink":
+            source = os.path.realpath(path)
+            if not (to.is_symlink() and os.readlink(to) == source):
+                to.symlink_to(source)
+        elif to.exists():
+            if mode == "move" and not Path(path).exists():
+                return to.stat().st_size, ""
+            if mode == "move" or not filecmp.cmp(path, to, shallow=False):
+                return 0, "something else stands at the target"
+        else:
+            # beside the target first, so that half a file never has its name
+            half = to.with_name(f".{to.name}.{uuid.uuid4().hex}")
+            shutil.copy2(path, half)
+            os.replace(half, to)
+            if mode == "move":
+                os.remove(path)
+        return to.stat().st_size, ""
+    except OSError as e:
+        return 0, str(e)
 
 
 def delete_files(paths: DataFrame) -> tuple[int, list[tuple[str, str]]]:
     """Unlinks files; returns how many went and what failed. A file that is gone already counts as neither."""
-    gone, failures = 0, []
-    for row in paths.select("path").toLocalIterator():
-        try:
-            Path(row.path).unlink()
-            gone += 1
-        except FileNotFoundError:
-            pass
-        except OSError as e:
-            failures.append((row.path, str(e)))
-    return gone, failures
 
+    def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            fates = []
+            for p in pdf["path"]:
+                try:
+                    Path(p).unlink()
+                    fates.append((p, ""))
+                except FileNotFoundError:
+                    fates.append((p, None))
+                except OSError as e:
+                    fates.append((p, str(e)))
+            yield pd.DataFrame(fates, columns=["path", "error"])
 
+    fates = cut(paths.select("path").mapInPandas(remove, "path string, error string"))
+    failed = [(r.path, r.error) for r in fates.where("error != ''").collect()]
+    return fates.where("error = ''").count(), failed

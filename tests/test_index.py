@@ -117,7 +117,7 @@ def png(path, pixels):
 
 
 def test_files_end_to_end(spark, tmp_path):
-    from lumidex.cli import scan
+    from lumidex.workflows import scan
 
     shots = tmp_path / "shots"
     (shots / "node_modules").mkdir(parents=True)
@@ -131,14 +131,17 @@ def test_files_end_to_end(spark, tmp_path):
     assert listed == {"a.PNG", "b.png", "broken.png"}
     assert files.count_files(spark, [str(shots / "b.png")], settings) == 1
     root = str(tmp_path / "index")
-    assert scan(spark, root, [str(shots)], settings) == {"scanned": 3, "indexed": 2, "failed": 1, "skipped": 0, "removed": 0}
+    counts = lambda r: (r.scanned, r.indexed, r.failed, r.skipped, r.removed)
+    assert counts(scan(spark, root, [str(shots)], settings)) == (3, 2, 1, 0, 0)
     rows = {r.filename: r for r in photo_index.read_index(spark, root).collect()}
     assert rows["a.PNG"].sha256 == rows["b.png"].sha256 and rows["a.PNG"].phash == rows["b.png"].phash and (rows["a.PNG"].width, rows["a.PNG"].height) == (32, 24)
     assert rows["broken.png"].status == "error"
     (shots / "a.PNG").unlink()
-    assert scan(spark, root, [str(shots)], settings) == {"scanned": 2, "indexed": 0, "failed": 1, "skipped": 1, "removed": 1}
+    assert counts(scan(spark, root, [str(shots)], settings)) == (2, 0, 1, 1, 1)
     plan = spark.createDataFrame([(str(shots / "b.png"), str(tmp_path / "out" / "b.png")), ("/absent.png", str(tmp_path / "out" / "x.png"))], "path string, target string")
-    assert [f[0] for f in files.place_files(plan)] == ["/absent.png"] and (tmp_path / "out" / "b.png").exists()
+    for _ in range(2):  # placing again changes nothing
+        assert [(r.path, r.bytes) for r in files.place_files(plan).where("error != ''").collect()] == [("/absent.png", 0)]
+    assert (tmp_path / "out" / "b.png").read_bytes() == (shots / "b.png").read_bytes()
     assert files.delete_files(plan.select("path")) == (1, [])
 
 
@@ -146,8 +149,8 @@ def test_manifests(spark, tmp_path):
     import json
 
     rows = spark.createDataFrame([(2, "b.jpg", 1.5), (1, "a.jpg", 2.5)], "rank int, source string, score double")
-    files.write_manifest_csv(rows, str(tmp_path / "csv"))
-    text = next((tmp_path / "csv").glob("part-*.csv")).read_text().splitlines()
+    files.write_manifest_csv(rows, str(tmp_path / "m.csv"))
+    text = (tmp_path / "m.csv").read_text().splitlines()
     assert text == ["rank,source,score", "1,a.jpg,2.5", "2,b.jpg,1.5"]
     files.write_manifest_json(rows, str(tmp_path / "m.json"), "rank", "copy", "now")
     got = json.loads((tmp_path / "m.json").read_text())

@@ -66,7 +66,7 @@ def phash(gray: Column) -> Column:
 
     def bits(c: Column) -> Column:
         rest = F.concat(F.array(F.lit(0.0)), F.slice(c, 2, 63))
-        middle = let(F.array_sort(rest), lambda s: (F.get(s, F.lit(31)) + F.get(s, F.lit(32))) / 2)
+        middle = let(F.sort_array(rest), lambda s: (F.get(s, F.lit(31)) + F.get(s, F.lit(32))) / 2)
         return let(middle, lambda m: bits_to_hex(F.transform(c, lambda v: v > m)))
 
     return let(low_frequencies(gray), bits)

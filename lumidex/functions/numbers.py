@@ -39,16 +39,19 @@ def total(values: Column) -> Column:
 
 
 def mean(values: Column) -> Column:
-    return F.when(F.size(values) > 0, total(values) / F.size(values)).otherwise(0.0)
+    return let(values, lambda v: F.when(F.size(v) > 0, total(v) / F.size(v)).otherwise(0.0))
 
 
 def variance(values: Column) -> Column:
     """Population variance; 0 for no values."""
-    return let(mean(values), lambda m: mean(F.transform(values, lambda x: (x - m) * (x - m))))
+    return let(values, lambda v: let(mean(v), lambda m: mean(F.transform(v, lambda x: (x - m) * (x - m)))))
 
 
 def median(values: Column) -> Column:
     """Mean of the middle two where their number is even; 0 for no values."""
-    n = F.size(values)
-    middle = lambda s: (F.try_element_at(s, F.floor((n + 1) / 2).cast("int")) + F.try_element_at(s, F.floor((n + 2) / 2).cast("int"))) / 2
-    return F.when(n > 0, let(F.array_sort(values), middle)).otherwise(0.0)
+
+    def middle(s: Column) -> Column:
+        n = F.size(s)
+        return F.when(n > 0, (F.try_element_at(s, F.floor((n + 1) / 2).cast("int")) + F.try_element_at(s, F.floor((n + 2) / 2).cast("int"))) / 2).otherwise(0.0)
+
+    return let(F.sort_array(values), middle)

@@ -42,8 +42,8 @@ def laplacian_variance(gray: Column, side: int = 8) -> Column:
 
 def edge_strength(gray: Column, side: int = 8) -> Column:
     """Edge energy against contrast."""
-    energy = laplacian_variance(gray, side)
-    return F.when(energy > 0, F.sqrt(energy) / F.greatest(F.sqrt(variance(gray)), F.lit(0.06))).otherwise(0.0)
+    strength = lambda energy: F.when(energy > 0, F.sqrt(energy) / F.greatest(F.sqrt(variance(gray)), F.lit(0.06))).otherwise(0.0)
+    return let(laplacian_variance(gray, side), strength)
 
 
 def _blocks(gray: Column, side: int, one) -> Column:
@@ -71,27 +71,29 @@ def halved(gray: Column, side: int = 8) -> Column:
 
 def grain_ratio(gray: Column, side: int = 8) -> Column:
     """Finest detail against the edges that survive halving; 0 where there is neither."""
-    fine, structure = noise_sigma(gray, side), F.sqrt(laplacian_variance(halved(gray, side), side // 2))
-    return F.when((fine > 0) & (structure > 1e-5), fine / structure).otherwise(0.0)
+    measured = F.struct(noise_sigma(gray, side).alias("fine"), F.sqrt(laplacian_variance(halved(gray, side), side // 2)).alias("structure"))
+    return let(measured, lambda m: F.when((m["fine"] > 0) & (m["structure"] > 1e-5), m["fine"] / m["structure"]).otherwise(0.0))
 
 
 def colorfulness(red: Column, green: Column, blue: Column) -> Column:
     rg = F.zip_with(red, green, lambda r, g: r * 255 - g * 255)
     half = F.zip_with(red, green, lambda r, g: 0.5 * (r * 255 + g * 255))
     yb = F.zip_with(half, blue, lambda s, b: s - b * 255)
-    return F.sqrt(variance(rg) + variance(yb)) + 0.3 * F.sqrt(mean(rg) * mean(rg) + mean(yb) * mean(yb))
+    square = lambda x: x * x
+    both = F.struct(rg.alias("rg"), yb.alias("yb"))
+    strength = lambda c: F.sqrt(variance(c["rg"]) + variance(c["yb"])) + 0.3 * F.sqrt(let(mean(c["rg"]), square) + let(mean(c["yb"]), square))
+    return let(both, strength)
 
 
 def entropy(gray: Column) -> Column:
     """Bits of the 64-bin histogram over 0..1; values outside do not count, 1 is in the last bin."""
-    inside = F.filter(gray, lambda v: (v >= 0) & (v <= 1))
-    bins = F.transform(inside, lambda v: F.least(F.lit(BINS - 1), F.floor(v * BINS).cast("int")))
+    bins = F.transform(F.filter(gray, lambda v: (v >= 0) & (v <= 1)), lambda v: F.least(F.lit(BINS - 1), F.floor(v * BINS).cast("int")))
 
     def bits(b: Column) -> Column:
         share = lambda k: F.size(F.filter(b, lambda x: x == k)) / F.size(b)
-        return F.aggregate(F.array_sort(F.array_distinct(b)), F.lit(0.0), lambda s, k: s - share(k) * F.log2(share(k)))
+        return F.aggregate(F.sort_array(F.array_distinct(b)), F.lit(0.0), lambda s, k: s - share(k) * F.log2(share(k)))
 
-    return F.when(F.size(inside) > 0, let(bins, bits)).otherwise(0.0)
+    return let(bins, bits)
 
 
 def share(gray: Column, test) -> Column:

@@ -103,8 +103,8 @@ def taken_or_modified(taken_at: Column, mtime: Column) -> Column:
 
 
 def parsed_time(text: Column) -> Column:
-    """The three forms that cameras write; null for others."""
-    forms = ("yyyy:MM:dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss")
+    """The three forms that cameras write, and that of manifests; null for others."""
+    forms = ("yyyy:MM:dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy:MM:dd", "yyyy-MM-dd'T'HH:mm:ss")
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in forms])
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from lumidex.functions import hashing
 from lumidex.settings import METRICS, Settings, Weights
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -42,8 +41,10 @@ def _plateau(x: str, low: float, high: float, falloff: float) -> str:
     return _unit(f"1.0 - greatest({low} - {x}, {x} - {high}, 0.0) / {falloff}")
 
 
-_M = "[" + ", ".join("[" + ", ".join(f"{v!r}::DOUBLE" for v in row) + "]" for row in hashing.transform_matrix()) + "]"
-_L, _R = ([str(c) for c in x] for x in (hashing.WIDENED[:-1], hashing.WIDENED[1:]))
+#: The cosine transform of 32 points, folded for cells that are repeated four times, from its definition.
+_M = "list_transform(range(0, 8), lambda k: list_transform(range(0, 8), lambda c: (CASE WHEN k = 0 THEN sqrt(1 / 32.0::DOUBLE) ELSE sqrt(2 / 32.0::DOUBLE) END) * (" + " + ".join(f"cos(pi() * (2 * (4 * c + {x}) + 1) * k / 64)" for x in range(4)) + ")))"
+#: Bits of ``g`` that are brighter than their left neighbour, on rows of eight widened to nine by repeating cells.
+_DBITS = "list_transform(range(0, 64), lambda i: ({g}[(i // 8) * 8 + (i % 8 + 1) * 8 // 9 + 1] > {g}[(i // 8) * 8 + (i % 8) * 8 // 9 + 1])::INTEGER)"
 _BLOCK = lambda p, side: [f"{p}[2 * (i // {side // 2}) * {side} + 2 * (i % {side // 2}) + {k}]" for k in (1, 2, side + 1, side + 2)]
 
 
@@ -88,7 +89,7 @@ h2 AS (SELECT *, list_transform(range(0, 64), lambda i: {_sum('list_transform(ra
 h3 AS (SELECT *, list_sort([0.0::DOUBLE] || freq[2:64]) AS ordered FROM h2),
 h4 AS (SELECT *, list_transform(freq, lambda v: (v > (ordered[32] + ordered[33]) / 2)::INTEGER) AS pbits,
     list_transform(gray, lambda v: (v > mean_luma)::INTEGER) AS abits,
-    list_transform(range(0, 64), lambda i: (gray[(i // 8) * 8 + [{', '.join(_R)}][i % 8 + 1] + 1] > gray[(i // 8) * 8 + [{', '.join(_L)}][i % 8 + 1] + 1])::INTEGER) AS dbits,
+    {_DBITS.format(g='gray')} AS dbits,
     {_laplacian('gray', 8)} AS lap,
     list_transform(list_transform(range(0, 16), lambda i: ({' '.join(s + x for s, x in zip(('', '- ', '- ', '+ '), _BLOCK('gray', 8)))}) / 2), lambda v: abs(v)) AS band,
     list_transform(range(0, 16), lambda i: ({' + '.join(_BLOCK('gray', 8))}) / 4) AS small,
@@ -119,11 +120,16 @@ photos AS (SELECT * EXCLUDE (color_sig), CASE WHEN status = 'ok' THEN color_sig
     CASE WHEN status = 'ok' THEN floor(SCORE) / 100 ELSE 0.0 END AS score FROM h10)"""
 
 
-def _weighted(weights: Weights) -> str:
-    return "(" + " + ".join(f"{s!r}::DOUBLE * m_{m}" for m, s in weights.normalised().items()) + ")"
+#: The weights of a score, and another choice of them.
+_WEIGHTS = {"sharpness": 3.0, "exposure": 2.0, "contrast": 1.5, "colorfulness": 1.0, "noise": 1.5, "resolution": 1.5, "detail": 1.0}
+_OTHER = {"sharpness": 1.0, "exposure": 0.0, "contrast": 2.0, "colorfulness": 5.0, "noise": 0.0, "resolution": 4.0, "detail": 0.5}
 
 
-_SCORE = _unit(f"{_weighted(Weights())} * CASE WHEN iso > 3200 THEN 0.97::DOUBLE ELSE 1.0 END") + " * 100 * 100 + 0.5"
+def _weighted(weights: dict[str, float]) -> str:
+    return "(" + " + ".join(f"({w}::DOUBLE / {sum(weights.values())}::DOUBLE) * m_{m}" for m, w in weights.items()) + ")"
+
+
+_SCORE = _unit(f"{_weighted(_WEIGHTS)} * CASE WHEN iso > 3200 THEN 0.97::DOUBLE ELSE 1.0 END") + " * 100 * 100 + 0.5"
 ANALYSED = ANALYSED.replace("floor(SCORE)", f"floor({_SCORE})")
 
 #: The named orders.
@@ -193,7 +199,7 @@ def _manifest(rank: str) -> str:
 
 GRADE = "CASE WHEN score >= 85 THEN 'A' WHEN score >= 72 THEN 'B' WHEN score >= 58 THEN 'C' WHEN score >= 42 THEN 'D' WHEN score >= 25 THEN 'E' ELSE 'F' END"
 #: Another choice of weights, for the queries that score anew.
-OTHER_WEIGHTS = Weights(sharpness=1, exposure=0, contrast=2, colorfulness=5, noise=0, resolution=4, detail=0.5)
+OTHER_WEIGHTS = Weights(**_OTHER)
 #: A wider radius, at which the edited copies meet.
 WIDE = Settings(phash_threshold=15)
 
@@ -234,7 +240,7 @@ def statements() -> dict[str, str]:
     out["rotated_dhash"] = full(
         f"SELECT id, {_hex('dbits')} AS dhash_90 FROM b",
         f"t AS (SELECT id, {turn.format(p='gray')} AS g FROM facts)",
-        f"b AS (SELECT id, list_transform(range(0, 64), lambda i: (g[(i // 8) * 8 + [{', '.join(_R)}][i % 8 + 1] + 1] > g[(i // 8) * 8 + [{', '.join(_L)}][i % 8 + 1] + 1])::INTEGER) AS dbits FROM t)",
+        f"b AS (SELECT id, {_DBITS.format(g='g')} AS dbits FROM t)",
     )
     for t in (10, 15, 18):
         out[f"hamming_pairs_t{t}"] = full("SELECT a, b, distance FROM near", _pairs(t))
@@ -256,7 +262,7 @@ def statements() -> dict[str, str]:
         _groups(WIDE), "left_ AS (SELECT group_index, id FROM groups JOIN members USING (root) WHERE id % 4 != 1)",
     )
     out["review_marks"] = full("SELECT id, CASE WHEN best_id IS NULL THEN mark WHEN best_id = id THEN 'none' ELSE 'delete' END AS mark FROM photos LEFT JOIN (SELECT id, best_id FROM members JOIN groups USING (root)) USING (id)", _groups(WIDE))
-    score = f"floor({_unit(_weighted(OTHER_WEIGHTS))} * 100 * 100 + 0.5) / 100"
+    score = f"floor({_unit(_weighted(_OTHER))} * 100 * 100 + 0.5) / 100"
     out["rescore"] = full(f"SELECT id, CASE WHEN {ok} THEN {score} ELSE score END AS score FROM photos")
     out["analyse"] = full("SELECT id, phash, dhash, ahash, score, array_to_string(flags, ',') AS flags FROM photos")
     out["score"] = full("SELECT id, score FROM photos")
@@ -298,4 +304,40 @@ def statements() -> dict[str, str]:
         _manifest(f"(row_number() OVER (ORDER BY {ORDERS['score']}, id))::INTEGER") + f" FROM photos LEFT JOIN (SELECT id, group_index, best_id FROM members JOIN groups USING (root)) USING (id) WHERE {ok}", _groups(WIDE)
     )
     out["labels"] = full(f"SELECT id, {r('width::BIGINT * height / 1e6')} AS megapixels, CASE WHEN size >= 1024 THEN CASE WHEN size >= 102400 THEN ((size * 2 + 1024) // 2048)::VARCHAR || ' KB' ELSE ((size * 20 + 1024) // 2048 // 10)::VARCHAR || '.' || ((size * 20 + 1024) // 2048 % 10)::VARCHAR || ' KB' END ELSE printf('%d B', size) END AS human_size, regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, {r('size / (width::BIGINT * height)', 9)} AS bytes_per_pixel, CASE WHEN width // gcd(width, height) > 30 OR height // gcd(width, height) > 30 THEN printf('%d.%02d:1', (width * 200 + height) // (height * 2) // 100, (width * 200 + height) // (height * 2) % 100) ELSE (width // gcd(width, height))::VARCHAR || ':' || (height // gcd(width, height))::VARCHAR END AS aspect FROM photos")
+    # hashes of turned planes: (id, q) for q quarters
+    frame = lambda source: [
+        f"q0 AS ({source})",
+        f"q1 AS (SELECT id, 0 AS q, g FROM q0 UNION ALL SELECT id, 1, {turn.format(p='g')} FROM q0)",
+        f"q2 AS (SELECT id, q, g FROM q1 UNION ALL SELECT id, q + 2, {turn.format(p=turn.format(p='g').replace('lambda i', 'lambda j').replace('i ', 'j '))} FROM q1)",
+        f"q3 AS (SELECT id, q, {_M} AS m, g FROM q2)",
+        f"q4 AS (SELECT id, q, m, list_transform(range(0, 64), lambda i: {_sum('list_transform(range(0, 8), lambda y: m[i // 8 + 1][y + 1] * g[y * 8 + i % 8 + 1])')}) AS half FROM q3)",
+        f"q5 AS (SELECT id, q, list_transform(range(0, 64), lambda i: {_sum('list_transform(range(0, 8), lambda x: half[(i // 8) * 8 + x + 1] * m[i % 8 + 1][x + 1])')}) AS freq FROM q4)",
+        "q6 AS (SELECT id, q, freq, list_sort([0.0::DOUBLE] || freq[2:64]) AS ordered FROM q5)",
+        "q7 AS (SELECT id, q, list_transform(freq, lambda v: (v > (ordered[32] + ordered[33]) / 2)::INTEGER) AS bits FROM q6)",
+        f"turned AS (SELECT id, q, {_hex('bits')} AS h FROM q7)",
+    ]
+    out["rotated_phash"] = full("SELECT id, max(h) FILTER (WHERE q = 1) AS phash_90, max(h) FILTER (WHERE q = 2) AS phash_180, max(h) FILTER (WHERE q = 3) AS phash_270 FROM turned GROUP BY id", *frame("SELECT id, gray AS g FROM facts"))
+    out["rotated_pairs"] = full(
+        f"SELECT x.id AS a, y.id AS b, min(bit_count(xor({_halves('x.h')}, {_halves('y.h')})))::INTEGER AS distance FROM turned x JOIN turned y ON x.id < y.id AND (x.q = 0 OR y.q = 0) AND bit_count(xor({_halves('x.h')}, {_halves('y.h')})) <= 6 GROUP BY ALL",
+        *frame(f"SELECT id, gray AS g FROM facts WHERE {ok} AND id <= 1000000 UNION ALL SELECT id + 5000000, {turn.format(p='gray')} FROM facts WHERE {ok} AND id <= 1000000 AND id % 7 = 0"),
+    )
+    out["import_matches"] = full(
+        "SELECT id, match FROM (SELECT fresh AS id, old AS match, row_number() OVER (PARTITION BY fresh ORDER BY score DESC, old) AS nth FROM met) WHERE nth = 1",
+        _pairs(WIDE.phash_threshold),
+        f"alike AS (SELECT a, b FROM near WHERE d_distance <= {WIDE.dhash_threshold} AND c_distance <= {WIDE.color_threshold})",
+        "sides AS (SELECT a AS fresh, b AS old FROM alike UNION ALL SELECT b, a FROM alike)",
+        "met AS (SELECT fresh, old, p.score FROM sides JOIN photos p ON p.id = old WHERE (fresh > 1000000 OR fresh % 5 = 2) AND NOT (old > 1000000 OR old % 5 = 2))",
+    )
+    out["import_present"] = full("SELECT id, CASE WHEN id % 6 = 0 THEN 'duplicate' ELSE 'import' END AS outcome, CASE WHEN id % 6 = 0 THEN '/library/' || filename END AS match FROM facts")
+    out["outside_library"] = full("SELECT id FROM facts WHERE NOT starts_with(path, '/photos/src1/')")
+    out["export_folders"] = full(
+        f"SELECT p.id, '/out/' || CASE WHEN group_index IS NULL THEN '' ELSE printf('group-%03d/', group_index) END || printf('%04d_', (row_number() OVER (ORDER BY {ORDERS['score'].replace('filename', 'p.filename').replace('score', 'p.score')}, p.id))::INTEGER) || p.filename AS target FROM photos p LEFT JOIN (SELECT id, group_index FROM members JOIN groups USING (root)) g ON g.id = p.id WHERE p.status = 'ok'",
+        _groups(WIDE),
+    )
+    out["export_preview"] = full(f"SELECT count(*) AS photos, coalesce(sum(size), 0)::BIGINT AS bytes, {r('coalesce(sum(width::BIGINT * height / 1e6), 0)')} AS megapixels, {r('coalesce(avg(score), 0)', 4)} AS mean_score FROM photos WHERE score >= 70")
+    out["captions"] = full("""SELECT id, camera AS label, concat_ws('  ', width || 'x' || height || '  ' || printf('%.1f MP', width::BIGINT * height / 1e6), nullif(camera, ''), strftime(taken_at, '%Y-%m-%d')) AS summary,
+        CASE WHEN id % 4 IN (0, 1) THEN strftime(taken_at, '%Y-%m-%d %H:%M:%S') WHEN id % 4 = 2 THEN strftime(taken_at, '%Y-%m-%d 00:00:00') END AS parsed,
+        sha1(path || '|256|' || floor(mtime)::BIGINT) AS thumbnail FROM facts""")
+    out["all_paths"] = full("SELECT path FROM photos")
+    out["edited_rows"] = full("SELECT id, CASE WHEN id = 7 THEN '/moved/new.jpg' ELSE path END AS path, CASE WHEN id = 7 THEN 'new.jpg' ELSE filename END AS filename, CASE WHEN id = 3 THEN 'keep' ELSE 'none' END AS mark, CASE id WHEN 5 THEN 5 WHEN 6 THEN 0 ELSE rating END::INTEGER AS rating FROM facts")
     return out

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumidex import workflows
 from lumidex.functions import hashing, quality, text
 from lumidex.functions.numbers import mean, rounded
 from lumidex.operators import groups, index, ranking, similarity, transfer
@@ -140,6 +141,20 @@ def rotated_dhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return photo_facts(spark, sf_dir).select("id", hashing.turned(F.col("gray"), 1).alias("turned")).select("id", hashing.dhash(F.col("turned")).alias("dhash_90"))
 
 
+@query
+def rotated_phash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return photo_facts(spark, sf_dir).select("id", *[hashing.phash(hashing.turned(F.col("gray"), q)).alias(f"phash_{90 * q}") for q in (1, 2, 3)])
+
+
+@query
+def rotated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh photo also stands turned by a quarter; the other checks are left open."""
+    base = photo_facts(spark, sf_dir).where("status = 'ok' AND id <= 1000000").select("id", "gray")
+    turned = base.where("id % 7 = 0").select((F.col("id") + 5_000_000).alias("id"), hashing.turned(F.col("gray"), 1).alias("gray"))
+    rows = base.unionByName(turned).select("id", F.lit("ok").alias("status"), hashing.phash(F.col("gray")).alias("phash"), F.lit("0" * 16).alias("dhash"), F.array_repeat(F.lit(0), 48).alias("color_sig"), hashing.rotations(F.col("gray")).alias("rotations"))
+    return similarity.rotated_pairs(cut(rows), Settings(match_rotations=True, phash_threshold=6))
+
+
 def _hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ok photos' hashes, materialised once for the several uses of a join."""
     return cut(_ok(spark, sf_dir).select("id", "path", "filename", "sha256", "phash", "dhash", "color_sig", "score", "width", "height", "size", "mtime", "status"))
@@ -179,7 +194,8 @@ def _grouped(spark: SparkSession, sf_dir: str, settings: Settings = photo_sql.WI
 
 def _long(spark: SparkSession, sf_dir: str) -> DataFrame:
     photos = _hashes(spark, sf_dir)
-    return groups.with_members(groups.duplicate_groups(photos, photo_sql.WIDE), groups.group_members(photos, photo_sql.WIDE))
+    members = cut(groups.group_members(photos, photo_sql.WIDE))
+    return groups.with_members(groups.duplicate_groups(photos, photo_sql.WIDE, members), members)
 
 
 @query
@@ -328,6 +344,40 @@ def import_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transfer.similar_import(batch, known, photo_sql.WIDE).select("id", "outcome")
 
 
+@query
+def import_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Look-alikes in the index: the one of the highest score is the match."""
+    batch, known = _batch_and_known(spark, sf_dir)
+    told = transfer.similar_import(batch, known, photo_sql.WIDE).where("outcome = 'similar'").select("id", "match")
+    return told.join(known.select(F.col("id").alias("match")), "match", "left_semi").select("id", "match")
+
+
+@query
+def import_present(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files at the destination: those of every third photo, of which every other one has other bytes."""
+    photos = photo_facts(spark, sf_dir).select("id", "sha256", transfer.destination("/library", "flat").alias("target"))
+    there = photos.where("id % 3 = 0").selectExpr("target AS path", "if(id % 2 = 0, sha256, sha2(sha256, 256)) AS sha256")
+    return transfer.present_at_destination(photos, there).select("id", "outcome", "match")
+
+
+@query
+def outside_library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transfer.outside_library(photo_facts(spark, sf_dir).select("id", "path"), "/photos/src1/").select("id")
+
+
+@query
+def export_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An export in folders of groups, under names that differ."""
+    ranked = ranking.with_rank(_ok(spark, sf_dir))
+    return transfer.export_plan(ranked, "/out/", "rank", _long(spark, sf_dir)).select("id", "target")
+
+
+@query
+def export_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    totals = workflows.preview(ranking.above_score(photo_index(spark, sf_dir), 70))
+    return totals.withColumns({"megapixels": rounded(F.col("megapixels")), "mean_score": rounded(F.col("mean_score"), 4)})
+
+
 @query
 def import_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     plans = {"by_date": ("date", None), "by_source": ("source", "/data/photos"), "flat": ("flat", None)}
@@ -350,7 +400,7 @@ def export_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transfer.manifest(ranking.with_rank(_ok(spark, sf_dir)), _long(spark, sf_dir))
+    return transfer.manifest(ranking.with_rank(_ok(spark, sf_dir)), _long(spark, sf_dir), "rank")
 
 
 @query
@@ -366,6 +416,34 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a photo is labelled with: camera, summary, parsed time, the key of its thumbnail."""
+    told = photo_facts(spark, sf_dir).withColumn("told", F.when(F.col("id") % 4 == 0, F.date_format("taken_at", "yyyy:MM:dd HH:mm:ss")).when(F.col("id") % 4 == 1, F.date_format("taken_at", "yyyy-MM-dd HH:mm:ss")).when(F.col("id") % 4 == 2, F.date_format("taken_at", "yyyy:MM:dd")).otherwise("once"))
+    return told.select(
+        "id",
+        text.camera_label(F.element_at(F.split("camera", "[ _]"), 1), F.col("camera")).alias("label"),
+        text.summary(F.col("width"), F.col("height"), F.col("camera"), F.col("taken_at")).alias("summary"),
+        F.date_format(text.parsed_time(F.col("told")), "yyyy-MM-dd HH:mm:ss").alias("parsed"),
+        text.thumbnail_key(F.col("path"), 256, F.col("mtime")).alias("thumbnail"),
+    )
+
+
+@query
+def all_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return photo_index(spark, sf_dir).select("path")
+
+
+@query
+def edited_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single edits one after the other: marks cleared, one set and one set back, ratings held to their range, a file renamed."""
+    rows = index.clear_marks(photo_facts(spark, sf_dir).select("id", "path", "filename", "mark", "rating"))
+    rows = index.toggle_mark(index.toggle_mark(index.toggle_mark(rows, 3, "keep"), 4, "delete"), 4, "delete")
+    rows = index.set_rating(index.set_rating(rows, 5, 99), 6, -3)
+    name = rows.where("id = 7").select("path").first()
+    return index.rename_path(rows, name[0] if name else "", "/moved/new.jpg")
+
+
 def queries() -> dict[str, Query]:
     return dict(_FOUND)
 

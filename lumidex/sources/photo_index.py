@@ -120,15 +120,27 @@ def photo_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*[c.alias(k) for k, c in _facts().items()], "gray", "red", "green", "blue")
 
 
-_STORED: dict[tuple[str, str], DataFrame] = {}
+_STORED: dict[tuple, DataFrame] = {}
+
+
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """What tells the tables' files: names, lengths and times of change."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for name in ("embeddings", "documents"):
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        fs = path.getFileSystem(conf)
+        if fs.exists(path):
+            out += sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(path))
+    return tuple(out)
 
 
 def photo_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The derived collection, analysed once for each session and stored, as an index is.
+    """The derived collection, analysed once for each session and state of the tables' files, and stored, as an index is.
 
     Queries read stored hashes, measures and scores; no plan holds the analysis itself.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, _state(spark, sf_dir))
     if key not in _STORED:
         _STORED[key] = cut(analysed_index(spark, sf_dir))
     return _STORED[key]

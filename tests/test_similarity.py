@@ -21,7 +21,7 @@ def found(df, **settings):
     return [r.asDict() for r in groups.duplicate_groups(df, Settings(**settings)).orderBy("group_index").collect()]
 
 
-@pytest.mark.parametrize("radius", [0, 3, 8, 10, 15, 18])
+@pytest.mark.parametrize("radius", [0, 1, 4, 8, 10, 11, 12, 15, 16, 18, 24, 32, 64])
 def test_segments_find_what_brute_force_finds(spark, monkeypatch, radius):
     rng = random.Random(radius)
     codes = [rng.getrandbits(64) for _ in range(120)]
@@ -30,7 +30,10 @@ def test_segments_find_what_brute_force_finds(spark, monkeypatch, radius):
     want = {(a, b) for a in range(len(codes)) for b in range(a + 1, len(codes)) if (codes[a] ^ codes[b]).bit_count() <= radius}
     assert {(r.a, r.b) for r in similarity.hamming_pairs(df, df, radius).collect()} == want
     monkeypatch.setattr(similarity, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(similarity, "TILE_ROWS", 50)
     assert {(r.a, r.b) for r in similarity.hamming_pairs(df, df, radius).collect()} == want
+    probe = df.where("id < 20")
+    assert {(r.a, r.b) for r in similarity.hamming_pairs(probe, df, radius, ordered=False).collect()} == {p for a, b in want for p in ((a, b), (b, a)) if p[0] < 20} | {(a, a) for a in range(20)}
 
 
 def test_vetoes(spark):

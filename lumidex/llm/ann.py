@@ -10,7 +10,7 @@ are found by one pass over all vectors, and the window is what brings ``SHARE_FO
 reach on some curve. Vectors with structure need a few hundred places; vectors without any need a
 share of all points, and then the work grows with the square of their number (see README).
 
-Vectors move once: they are cut into blocks of ``BLOCK`` neighbours on the first curve, each point with its
+Vectors move once: they are cut into blocks of neighbours on the first curve, each point with its
 place on every curve. A query goes to the blocks that hold candidates of it, as a table of which blocks
 stand in which stretch of each curve tells. A task holds one block and a bounded part of its
 queries, reranks by the exact cosine in double precision and passes on a few best.
@@ -21,13 +21,14 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumidex.llm.common import give_back
+from lumidex.llm.common import give_back, short_batches
 from lumidex.session import cut, shared_folder
 
 CURVES = 8
@@ -37,9 +38,9 @@ BITS = 12
 SAMPLE = 256
 SHARE_FOUND = 0.97
 LEAST_WINDOW = 256
-#: Points of one block, queries of it that one task takes, and queries that it compares at a time.
-BLOCK = 8192
-QUERIES = 16_384
+#: Numbers in the vectors of one block, queries of it that one task takes (in blocks), and queries that it compares at a time.
+BLOCK_NUMBERS = 1 << 19
+QUERY_BLOCKS = 2
 AT_ONCE = 256
 SEED = 5
 
@@ -75,18 +76,22 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=64)
+def _frames(dim: int, curves: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The directions and the shift of each curve."""
+    rng, m = np.random.default_rng((seed, dim)), min(DIRECTIONS, dim)
+    return [(np.linalg.qr(rng.standard_normal((dim, m)))[0], rng.random(m) / 2) for _ in range(curves)]
+
+
 def curve_keys(unit: np.ndarray, curves: int = CURVES, seed: int = SEED) -> np.ndarray:
     """The Hilbert index of each unit vector (row) on each curve (column)."""
     n, dim = unit.shape
-    rng = np.random.default_rng((seed, dim))
-    m = min(DIRECTIONS, dim)
     keys = np.empty((n, curves), np.int64)
-    for c in range(curves):
-        directions = np.linalg.qr(rng.standard_normal((dim, m)))[0]
+    for c, (directions, shift) in enumerate(_frames(dim, curves, seed)):
         spread = unit @ directions * math.sqrt(dim)
         # a logistic stand-in for the normal distribution function evens the cells out
         even = 1 / (1 + np.exp(-1.702 * spread))
-        cells = ((even + rng.random(m) / 2) / 1.5 * (1 << BITS)).astype(np.int64)
+        cells = ((even + shift) / 1.5 * (1 << BITS)).astype(np.int64)
         keys[:, c] = hilbert_index(np.clip(cells, 0, (1 << BITS) - 1), BITS)
     return keys
 
@@ -203,12 +208,14 @@ def _window(rows: DataFrame, named: DataFrame, ranks: DataFrame, every: int, k:
     return max([LEAST_WINDOW, *([math.ceil(np.quantile(gaps, SHARE_FOUND))] if gaps else [])])
 
 
-def neighbours(df: DataFrame, every: int, k: int, id_col: str = "vec_id", vector: str = "embedding", curves: int = CURVES, window: int | None = None, block: int = BLOCK) -> DataFrame:
+def neighbours(df: DataFrame, every: int, k: int, id_col: str = "vec_id", vector: str = "embedding", curves: int = CURVES, window: int | None = None, block: int | None = None) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the ``k`` nearest found for each query: rows whose id is divisible by ``every``.
 
     Ties go to the smaller id. Fewer than ``k`` candidates give fewer rows, an empty table none.
-    Vectors of different lengths are no candidates of one another. ``window`` is measured unless given.
+    Vectors of different lengths are no candidates of one another. ``window`` is measured unless
+    given, ``block`` (points of a block) follows from the longest vector.
     """
+    short_batches(df.sparkSession)
     tables = _Tables(df.sparkSession)
     rows = valid_vectors(df, id_col, vector)
     keyed = tables.stored(_keys(rows, curves), "keys")
@@ -216,6 +223,7 @@ def neighbours(df: DataFrame, every: int, k: int, id_col: str = "vec_id", vector
     named = cut(keyed.select("id", "v0", "v1").join(least, ["v0", "v1"]).select("id", "point"))
     ranks = _ranked(tables, keyed.join(least.select(F.col("point").alias("id")), "id", "left_semi"))
     window = _window(rows, named, ranks, every, k) if window is None else window
+    block = max(1, BLOCK_NUMBERS // (ranks.agg(F.max("dim")).first()[0] or 1)) if block is None else block
 
     nth = F.row_number().over(Window.partitionBy("point").orderBy("id"))
     ids = named.withColumn("nth", nth).where(F.col("nth") <= k + 1).groupBy("point").agg(F.sort_array(F.collect_list("id")).alias("ids"))
@@ -233,7 +241,7 @@ def neighbours(df: DataFrame, every: int, k: int, id_col: str = "vec_id", vector
 
     # queries of a block are dealt to parts of a bounded size, and the block goes to each of them
     routes = tables.stored(routes, "routes")
-    parts = routes.groupBy("block", F.lit(0).alias("_")).count().select("block", F.ceil(F.col("count") / QUERIES).cast("int").alias("parts"))
+    parts = routes.groupBy("block", F.lit(0).alias("_")).count().select("block", F.ceil(F.col("count") / (QUERY_BLOCKS * block)).cast("int").alias("parts"))
     parts = cut(parts)
     inside = points.join(parts, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("dim", "block", "part", "point", "ranks", "vec", F.lit(False).alias("asks"))
     dealt = routes.join(parts, "block").select("point", F.col("block").alias("to"), F.pmod(F.xxhash64("point"), F.col("parts")).cast("int").alias("part"))

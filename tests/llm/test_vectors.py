@@ -63,7 +63,7 @@ def test_blocks_parts_and_windows_lose_nothing(spark, monkeypatch):
     whole = found(ann.neighbours(df, 10, 4, window=700))
     fine = np.flatnonzero(np.abs(x).sum(axis=1) > 0)
     assert len(whole ^ exact(fine, x[fine], 10, 4)) <= 8  # rounding of equal cosines
-    monkeypatch.setattr(ann, "QUERIES", 7)
+    monkeypatch.setattr(ann, "QUERY_BLOCKS", 0.14)
     monkeypatch.setattr(ann, "AT_ONCE", 3)
     assert found(ann.neighbours(df, 10, 4, window=700, block=50)) == whole
     near = found(ann.neighbours(df, 10, 4, window=40, block=50))

@@ -145,6 +145,16 @@ def flags(raw: Column, measured: Column, iso: Column) -> Column:
     return F.array_compact(F.array(*[F.when(test, text) for test, text in said]))
 
 
+def metrics_json(measured: Column) -> Column:
+    """The metrics as a JSON object; an empty one where there are none."""
+    return F.coalesce(F.to_json(measured), F.lit("{}"))
+
+
+def metrics_from_json(text: Column) -> Column:
+    """Metrics of a JSON object; those that are missing or no numbers, or all of a text that is no object, are null."""
+    return F.from_json(text, "struct<" + ",".join(f"{m}:double" for m in METRICS) + ">")
+
+
 def weighted(measured: Column, weights: Weights) -> Column:
     """The weighted sum of metrics, a missing one as 0, in their fixed order."""
     shares = weights.normalised()

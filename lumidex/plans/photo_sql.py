@@ -338,6 +338,13 @@ def statements() -> dict[str, str]:
     out["captions"] = full("""SELECT id, camera AS label, concat_ws('  ', width || 'x' || height || '  ' || printf('%.1f MP', width::BIGINT * height / 1e6), nullif(camera, ''), strftime(taken_at, '%Y-%m-%d')) AS summary,
         CASE WHEN id % 4 IN (0, 1) THEN strftime(taken_at, '%Y-%m-%d %H:%M:%S') WHEN id % 4 = 2 THEN strftime(taken_at, '%Y-%m-%d 00:00:00') END AS parsed,
         sha1(path || '|256|' || floor(mtime)::BIGINT) AS thumbnail FROM facts""")
+    out["metrics_json"] = out["metrics"]
+
+    def boxes(height: int, width: int) -> str:
+        cell = f"flatten(list_transform(range((i // {width}) * 8 // {height}, (i // {width} + 1) * 8 // {height}), lambda y: list_transform(range((i % {width}) * 8 // {width}, (i % {width} + 1) * 8 // {width}), lambda x: gray[y * 8 + x + 1])))"
+        return f"array_to_string(list_transform(range(0, {height * width}), lambda i: floor(list_avg({cell}) * 1e6 + 0.5)::BIGINT), ',')"
+
+    out["area_resize"] = full(f"SELECT id, {boxes(5, 3)} AS tall, {boxes(2, 7)} AS wide FROM facts")
     out["all_paths"] = full("SELECT path FROM photos")
     out["edited_rows"] = full("SELECT id, CASE WHEN id = 7 THEN '/moved/new.jpg' ELSE path END AS path, CASE WHEN id = 7 THEN 'new.jpg' ELSE filename END AS filename, CASE WHEN id = 3 THEN 'keep' ELSE 'none' END AS mark, CASE id WHEN 5 THEN 5 WHEN 6 THEN 0 ELSE rating END::INTEGER AS rating FROM facts")
     return out

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumidex import workflows
-from lumidex.functions import hashing, quality, text
+from lumidex.functions import hashing, kernels, quality, text
 from lumidex.functions.numbers import mean, rounded
 from lumidex.operators import groups, index, ranking, similarity, transfer
 from lumidex.plans import photo_sql
@@ -270,6 +272,27 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ok(spark, sf_dir).select("id", *[rounded(F.col(f"metrics.{m}")).alias(m) for m in METRICS])
 
 
+@query
+def metrics_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics written as JSON and read back."""
+    back = _ok(spark, sf_dir).select("id", quality.metrics_from_json(quality.metrics_json(F.col("metrics"))).alias("m"))
+    return back.select("id", *[rounded(F.col(f"m.{m}")).alias(m) for m in METRICS])
+
+
+@query
+def area_resize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planes by box means at sizes that do not divide theirs, in numpy."""
+
+    def resize(batches):
+        for pdf in batches:
+            planes = [np.array(g).reshape(8, 8) for g in pdf["gray"]]
+            yield pd.DataFrame({"id": pdf["id"], "tall": [kernels.area_resize(p, 5, 3).ravel().tolist() for p in planes], "wide": [kernels.area_resize(p, 2, 7).ravel().tolist() for p in planes]})
+
+    made = photo_facts(spark, sf_dir).select("id", "gray").mapInPandas(resize, "id long, tall array<double>, wide array<double>")
+    written = lambda c: F.array_join(F.transform(c, lambda v: F.floor(v * 1e6 + 0.5).cast("string")), ",").alias(c)
+    return made.select("id", written("tall"), written("wide"))
+
+
 @query
 def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return photo_index(spark, sf_dir).select("id", F.array_join("flags", ",").alias("flags"))

@@ -69,3 +69,12 @@ def test_summary_and_keys(spark):
     df = spark.createDataFrame([(4000, 3000, "X", "2024-05-06 00:00:00"), (0, 0, "", None)], "w int, h int, c string, t string").withColumn("t", F.col("t").cast("timestamp_ntz"))
     assert [r[0] for r in df.select(text.summary(F.col("w"), F.col("h"), F.col("c"), F.col("t"))).collect()] == ["4000x3000  12.0 MP  X  2024-05-06", ""]
     assert len(df.select(text.thumbnail_key(F.lit("/a"), 256, F.lit(1.5))).first()[0]) == 40
+
+
+def test_metrics_as_json(spark):
+    df = spark.createDataFrame([('{"sharpness": 0.5, "noise": "x", "other": 1}',), ("[]",), ("no",), (None,)], "t string")
+    rows = [r.m for r in df.select(quality.metrics_from_json(F.col("t")).alias("m")).collect()]
+    assert rows[0] is None or (rows[0].noise is None and rows[0].detail is None)
+    assert all(r is None or all(v is None for v in r) for r in rows[1:])
+    back = df.limit(1).select(quality.metrics_json(F.struct(F.lit(0.25).alias("sharpness"))).alias("j"), quality.metrics_json(F.lit(None).cast("struct<sharpness:double>")).alias("n")).first()
+    assert back.j == '{"sharpness":0.25}' and back.n == "{}"

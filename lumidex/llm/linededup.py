@@ -41,9 +41,12 @@ def _let(value: Column, use) -> Column:
 
 
 def _ranked(classes: DataFrame, by: list[str]) -> DataFrame:
-    """Adds ``rank``, a number that orders the rows by ``by``: sorted ranges, numbered within and across."""
+    """Adds ``rank``, a number that orders the rows by ``by``: sorted ranges, numbered within and across.
+
+    Rows are distinct in ``by``, so a range that is computed again gets the same numbers.
+    """
     placed = classes.repartitionByRange(*by).sortWithinPartitions(*by)
-    return cut(placed.withColumn("rank", F.monotonically_increasing_id()))
+    return placed.withColumn("rank", F.monotonically_increasing_id())
 
 
 def _lines(df: DataFrame, text: str) -> DataFrame:

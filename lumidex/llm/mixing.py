@@ -82,7 +82,8 @@ def _numbered(rows: DataFrame, repeated: DataFrame, key: list[str]) -> DataFrame
     before = Window.partitionBy(*key).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*key, "_run", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
     within = Window.partitionBy(*key, "_run").orderBy(F.lit(0))
-    placed = several.withColumn("_in", F.row_number().over(within) - 1).join(offsets, [*key, "_run"])
+    # materialised: which of equal rows has which number is settled once, also for a task that runs again
+    placed = cut(several.withColumn("_in", F.row_number().over(within) - 1).join(offsets, [*key, "_run"]))
     return alone.unionByName(placed.withColumn("_nth", F.col("_before") + F.col("_in")).drop("_run", "_runs", "_before", "_in"))
 
 

@@ -14,8 +14,8 @@ contractions in a part is that of the part alone), and every adjacent pair of th
 one of the pieces. Neighbours without a common token are encoded again as one longer piece, so
 the work is linear in the word but for such stretches (periods that do not divide ``STRIDE``).
 
-Encoded words are kept for later batches of the same task, up to ``KEPT_WORDS``; after that the
-store starts anew, which costs time only. A worker that waits for its next task keeps only the tables.
+Encoded words are kept for later batches, up to ``KEPT_WORDS`` of them; then, and between tasks, only the ones
+met first stay, which costs time only.
 """
 
 from __future__ import annotations
@@ -36,16 +36,17 @@ from lumidex.llm.common import give_back, short_batches
 
 #: Bytes from the start of one piece of a long word to that of the next; a piece has twice as many.
 STRIDE = 96
-#: Words that a task keeps at most.
-KEPT_WORDS = 250_000
+#: Encoded words that a task keeps at most, and that stay beyond it: those met first, which are the frequent ones.
+KEPT_WORDS = 400_000
+STAYING_WORDS = 200_000
 #: The states of one recursive query: token ids over all its steps, at most (a word of n bytes has n(n+1)/2), but for a single longer piece.
 STATES_AT_ONCE = 4_000_000
 #: Characters of the texts that are split together.
-CHARS_AT_ONCE = 1_000_000
+CHARS_AT_ONCE = 4_000_000
 #: Words of a longer text that are encoded together.
 WORDS_AT_ONCE = 200_000
 #: Ids that one query decodes.
-IDS_AT_ONCE = 400_000
+IDS_AT_ONCE = 600_000
 #: What DuckDB may hold; it has nowhere to spill.
 MEMORY = "192MB"
 
@@ -182,8 +183,8 @@ class DuckBpe:
         """The ids of each list of words."""
         missing = set(filterfalse(self.kept.__contains__, chain.from_iterable(split)))
         if missing and len(self.kept) + len(missing) > KEPT_WORDS:
-            self.kept.clear()
-            missing = set(chain.from_iterable(split))
+            self._thin()
+            missing = set(filterfalse(self.kept.__contains__, chain.from_iterable(split)))
         self._learn(list(missing))
         found = self.kept.__getitem__
         out = [b"".join(map(found, words)) for words in split]
@@ -260,9 +261,13 @@ class DuckBpe:
             lo = hi
         return [b"".join(x) for x in out]
 
+    def _thin(self) -> None:
+        if len(self.kept) > STAYING_WORDS:
+            self.kept = dict(islice(self.kept.items(), STAYING_WORDS))
+
     def rest(self) -> None:
-        """Between tasks only the tables of the vocabulary are held."""
-        self.kept.clear()
+        """Between tasks only the tables of the vocabulary and frequent words are held."""
+        self._thin()
         for name in ("words", "docs"):
             self.db.execute(f"DROP TABLE IF EXISTS {name}")
         give_back()

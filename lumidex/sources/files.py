@@ -28,7 +28,7 @@ from lumidex.settings import Settings
 from lumidex.sources import exif
 
 # Folders that hold no photos of their own.
-SKIPPED_FOLDERS = (".git", ".svn", ".hg", "__pycache__", "node_modules", ".thumbnails", ".cache", ".Trash", ".Trash-1000", "$RECYCLE.BIN", "System Volume Information", ".photo-dupe", ".dtrash")
+SKIPPED_FOLDERS = (".git", ".svn", ".hg", "__pycache__", "node_modules", ".thumbnails", ".cache", ".Trash", ".Trash-1000", "$RECYCLE.BIN", "System Volume Information", ".dtrash")
 #: Types of a file's facts after analysis; the index adds ids, marks and ratings.
 _ANALYSED = (
     "path string, sha256 string, width int, height int, phash string, dhash string, ahash string, color_sig array<int>, rotations array<string>, "

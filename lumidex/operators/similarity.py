@@ -14,7 +14,9 @@ from lumidex.settings import Settings
 
 SEGMENTS, WIDTH = 4, 16
 #: Up to so many rows (of under 100 bytes) one side is broadcast and every pair is tested; beyond, candidates meet by segment.
+#: A table that is compared with itself may have so many times that: neither side is larger then.
 BROADCAST_ROWS = 20_000
+WITH_ITSELF = 5
 #: Flips of a segment that are looked under at most; beyond (a radius over 15) sides are compared in tiles of so many rows.
 MASKS = 1000
 TILE_ROWS = 8192
@@ -44,7 +46,9 @@ def hamming_pairs(probe: DataFrame, build: DataFrame, radius: int, rows: int | N
     p, b = probe.select(F.col("id").alias("a"), F.col("bits").alias("pa")), build.select(F.col("id").alias("b"), F.col("bits").alias("pb"))
     distance = hashing.hamming(F.col("pa"), F.col("pb"))
     near = (F.col("a") < F.col("b")) & (distance <= radius) if ordered else distance <= radius
-    if rows <= BROADCAST_ROWS:
+    if rows <= BROADCAST_ROWS * (WITH_ITSELF if ordered else 1):
+        if ordered:  # a small table is one partition, while comparing it with itself is work for all cores
+            p = p.repartition(2 * probe.sparkSession.sparkContext.defaultParallelism)
         return p.join(F.broadcast(b), near).select("a", "b", distance.alias("distance"))
     flips = sum(comb(WIDTH, n) for n in range(radius // SEGMENTS + 1))
     if radius // SEGMENTS >= WIDTH or flips > MASKS:

@@ -109,7 +109,8 @@ def parsed_time(text: Column) -> Column:
 
 
 def summary(width: Column, height: Column, camera: Column, taken_at: Column) -> Column:
-    size = F.when((width > 0) & (height > 0), F.concat(width.cast("string"), F.lit("x"), height.cast("string"), F.lit("  "), F.format_string("%.1f MP", megapixels(width, height))))
+    # one decimal of the exact value, half even, as printf has it; Java's own formats round what they print half up
+    size = F.when((width > 0) & (height > 0), F.concat(width.cast("string"), F.lit("x"), height.cast("string"), F.lit("  "), F.replace(F.format_number(megapixels(width, height), 1), F.lit(","), F.lit("")), F.lit(" MP")))
     return F.concat_ws("  ", size, F.when(camera != "", camera), F.date_format(taken_at, "yyyy-MM-dd"))
 
 

@@ -29,6 +29,23 @@ def _whole(df: DataFrame, column: str) -> bool:
     return isinstance(df.schema[column].dataType, IntegralType)
 
 
+def without(df: DataFrame, *names: str) -> list[str]:
+    """The columns of ``df`` but for those names, which are compared as Spark does: without regard to case."""
+    gone = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in gone]
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns, lengthened until no column of ``df`` has them in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def id_key(df: DataFrame, column: str) -> Column:
     """The identifier as a key without nulls, a null one first: whole numbers as longs, anything else as a string behind a mark.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumidex.llm import ann, bpe, chat, ibf, langid, licenses, linededup, mixing, sharding, simhash
+from lumidex.llm import ann, bpe, chat, chatrepair, ibf, langid, licenses, linededup, mixing, sharding, simhash, urlfilter, veccodes
 from lumidex.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -53,7 +53,19 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbour_report(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = [op1_licenses, op2_sharding, op3_line_dedup, op4_byte_bpe, op5_mixing, op6_chat, op7_simhash, op8_language, op9_fingerprints, op10_neighbours]
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chatrepair.repair_report(table(spark, sf_dir, "conversations"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return veccodes.code_report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.url_report(table(spark, sf_dir, "pages"))
+
+
+QUERIES = [op1_licenses, op2_sharding, op3_line_dedup, op4_byte_bpe, op5_mixing, op6_chat, op7_simhash, op8_language, op9_fingerprints, op10_neighbours, op11_repair, op12_vector_codes, op13_url_filter]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -61,4 +73,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_licenses": licenses.license_sql(), "op3_line_dedup": linededup.line_sql(), "op5_mixing": mixing.mixing_sql(), "op6_chat": chat.chat_sql()}
+    return {
+        "op1_licenses": licenses.license_sql(),
+        "op3_line_dedup": linededup.line_sql(),
+        "op5_mixing": mixing.mixing_sql(),
+        "op6_chat": chat.chat_sql(),
+        "op12_vector_codes": veccodes.code_sql(),
+        "op13_url_filter": urlfilter.url_sql(),
+    }

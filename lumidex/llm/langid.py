@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumidex.llm.common import give_back, short_batches
+from lumidex.llm.common import give_back, short_batches, unused, without
 
 WINDOW = 256
 LEAD = 32
@@ -249,8 +249,9 @@ def identify(df: DataFrame, net: Network, text: str = "text") -> DataFrame:
     ``und`` with score 0 if the text is null, empty or has no letter, or no language is known.
     Existing columns of those names are replaced.
     """
+    rest = without(df, "lang_pred", "score")
     if not net.langs:
-        return df.drop("lang_pred", "score").withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
+        return df.select(*rest, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     short_batches(df.sparkSession)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -263,12 +264,13 @@ def identify(df: DataFrame, net: Network, text: str = "text") -> DataFrame:
         finally:
             give_back()
 
-    letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    known = df.drop("lang_pred", "score").withColumn("_letters", letters).withColumn("_found", predict(F.when(F.col("_letters"), F.col(text))))
+    letters, found = unused(df, "letters", "found")
+    known = df.select(*rest, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias(letters))
+    known = known.withColumn(found, predict(F.when(F.col(letters), F.col(text))))
     return known.select(
-        *[c for c in df.columns if c not in ("lang_pred", "score")],
-        F.when(F.col("_letters"), F.col("_found.lang_pred")).otherwise(UNKNOWN).alias("lang_pred"),
-        F.when(F.col("_letters"), F.col("_found.score")).otherwise(0.0).alias("score"),
+        *rest,
+        F.when(F.col(letters), F.col(f"{found}.lang_pred")).otherwise(UNKNOWN).alias("lang_pred"),
+        F.when(F.col(letters), F.col(f"{found}.score")).otherwise(0.0).alias("score"),
     )
 
 
@@ -278,7 +280,8 @@ LEAST_SCORE = 0.4
 
 def keep_identified(df: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """The documents whose language is told with at least that probability; columns unchanged."""
-    return identify(df, fit(df)).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*df.columns)
+    marked = identify(df.select(F.struct(*df.columns).alias("row"), "text"), fit(df))
+    return marked.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")
 
 
 def language_report(df: DataFrame) -> DataFrame:

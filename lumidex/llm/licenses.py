@@ -16,7 +16,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumidex.llm.common import let, states_before
+from lumidex.llm.common import let, states_before, unused, without
 from lumidex.llm.license_rules import rules
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -95,14 +95,15 @@ def scan_licenses(df: DataFrame, text: str = "text") -> DataFrame:
     Null and empty texts have no words and no detections. Rows are independent: repeated rows give
     the same result twice. Existing columns of those names are replaced.
     """
-    rest = [c for c in df.columns if c not in ("n_words", "detections")]
-    rows = df.select(*rest).withColumn("_words", canonical_words(F.col(text)))
-    rows = rows.withColumn("_keywords", F.array_distinct(F.regexp_extract_all("_words", F.lit(_keyword_pattern()), F.lit(1))))
-    chosen = F.filter(_rule_table(), lambda r: F.array_contains(F.col("_keywords"), r["keyword"]))
-    found = F.flatten(F.transform(chosen, lambda r: _places(F.col("_words"), r)))
+    rest = without(df, "n_words", "detections")
+    words, keywords = unused(df, "words", "keywords")
+    rows = df.select(*rest, canonical_words(F.col(text)).alias(words))
+    rows = rows.withColumn(keywords, F.array_distinct(F.regexp_extract_all(words, F.lit(_keyword_pattern()), F.lit(1))))
+    chosen = F.filter(_rule_table(), lambda r: F.array_contains(F.col(keywords), r["keyword"]))
+    found = F.flatten(F.transform(chosen, lambda r: _places(F.col(words), r)))
     none = F.array().cast(_DETECTION)
-    found = F.when(F.size("_keywords") == 0, none).otherwise(_surviving(found))
-    return rows.select(*rest, word_count(F.col("_words")).cast("long").alias("n_words"), found.alias("detections"))
+    found = F.when(F.size(keywords) == 0, none).otherwise(_surviving(found))
+    return rows.select(*rest, word_count(F.col(words)).cast("long").alias("n_words"), found.alias("detections"))
 
 
 def _labels(detections: Column) -> Column:

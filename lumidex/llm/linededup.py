@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumidex.llm.common import id_key
+from lumidex.llm.common import id_key, unused, without
 from lumidex.session import cut
 
 MIN_WORDS = 40
@@ -161,22 +161,23 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_w
     text. Blank lines go or stay with the line before them. Columns named ``n_lines`` or
     ``n_removed`` are replaced; others are passed on.
     """
-    rest = [c for c in df.columns if c not in ("n_lines", "n_removed")]
-    keyed = df.select(*rest, id_key(df, id_col).alias("__k0"), F.xxhash64(text).alias("__k1"))
-    spans = repeated_runs(keyed.select(F.col("__k0").alias("k0"), F.col("__k1").alias("k1"), F.col(text).alias("text")), "text", min_words)
-    spans = spans.select(F.col("k0").alias("__k0"), F.col("k1").alias("__k1"), F.col("spans").alias("__spans"))
+    rest = without(df, "n_lines", "n_removed")
+    k0, k1, cuts = unused(df, "k0", "k1", "spans")
+    keyed = df.select(*rest, id_key(df, id_col).alias(k0), F.xxhash64(text).alias(k1))
+    spans = repeated_runs(df.select(id_key(df, id_col).alias("k0"), F.xxhash64(text).alias("k1"), F.col(text).alias("text")), "text", min_words)
+    spans = spans.select(F.col("k0").alias(k0), F.col("k1").alias(k1), F.col("spans").alias(cuts))
     lines = F.split(text, "\n", -1)
     counted = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines")
     # the spans of a partition are built into a hash table, so that texts stream past unsorted
-    joined = keyed.join(spans.hint("shuffle_hash"), ["__k0", "__k1"], "left").select(*rest, "__spans", counted)
+    joined = keyed.join(spans.hint("shuffle_hash"), [k0, k1], "left").select(*rest, cuts, counted)
 
     def kept(each: Column) -> Column:
-        start = lambda j: F.when(j == 0, F.lit(0)).otherwise(F.try_element_at("__spans", j)["to_pos"] + 1)
-        stop = lambda j: F.coalesce(F.try_element_at("__spans", j + 1)["from_pos"], F.size(each))
-        return F.flatten(F.transform(F.sequence(F.lit(0), F.size("__spans")), lambda j: F.slice(each, start(j) + 1, F.greatest(stop(j) - start(j), F.lit(0)))))
+        start = lambda j: F.when(j == 0, F.lit(0)).otherwise(F.try_element_at(cuts, j)["to_pos"] + 1)
+        stop = lambda j: F.coalesce(F.try_element_at(cuts, j + 1)["from_pos"], F.size(each))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(cuts)), lambda j: F.slice(each, start(j) + 1, F.greatest(stop(j) - start(j), F.lit(0)))))
 
-    removed = F.aggregate("__spans", F.lit(0).cast("long"), lambda n, s: n + F.least(s["to_pos"] + 1, F.col("n_lines")) - s["from_pos"])
-    changed = F.col("__spans").isNotNull()
+    removed = F.aggregate(cuts, F.lit(0).cast("long"), lambda n, s: n + F.least(s["to_pos"] + 1, F.col("n_lines")) - s["from_pos"])
+    changed = F.col(cuts).isNotNull()
     joined = joined.withColumn("n_removed", F.when(changed, removed).otherwise(F.lit(0).cast("long")))
     joined = joined.withColumn(text, F.when(changed, F.array_join(_let(lines, kept), "\n")).otherwise(F.col(text)))
     return joined.select(*rest, "n_lines", "n_removed")
@@ -184,7 +185,9 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_w
 
 def keep_deduplicated(df: DataFrame) -> DataFrame:
     """The input without later copies of line runs; documents of which no word is left go. Columns unchanged."""
-    return dedup_lines(df).where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S")).select(*df.columns)
+    row = df.select(F.struct(*without(df, "text")).alias("row"), "doc_id", "text")
+    kept = dedup_lines(row).where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
+    return kept.select(*[F.col("text") if c.lower() == "text" else F.col("row")[c].alias(c) for c in df.columns])
 
 
 def line_report(df: DataFrame) -> DataFrame:

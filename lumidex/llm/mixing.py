@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumidex.llm.common import without
 from lumidex.session import cut
 
 SEED = 17
@@ -95,11 +96,12 @@ def mix_sources(df: DataFrame, weights: dict[str, float] | None = None, epochs:
     a great many of them still make up their share. Existing columns of the two names are replaced.
     """
     spark = df.sparkSession
-    rest = [c for c in df.columns if c not in ("copy", "place")]
     whole, key = F.coalesce(F.col(text), F.lit("")), ["_key", "_source"]
-    rows = df.select(*rest).withColumns({"_source": F.coalesce(F.col(source), F.lit("")), "_key": F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.md5(whole))})
+    named = F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.md5(whole))
+    # the input's columns stand in one struct, so that none meets a helper's name
+    rows = df.select(F.struct(*without(df, "copy", "place")).alias("row"), F.coalesce(F.col(source), F.lit("")).alias("_source"), named.alias("_key"))
     size = F.greatest(F.octet_length(whole), F.lit(1)).cast("long")
-    known = cut(rows.select(F.xxhash64(*key).alias("h"), "_source", size.alias("bytes")))
+    known = cut(df.select(F.xxhash64(named, F.coalesce(F.col(source), F.lit(""))).alias("h"), F.coalesce(F.col(source), F.lit("")).alias("_source"), size.alias("bytes")))
     rates = cut(with_tables(_rates(known.groupBy(F.col("_source").alias("source")).agg(F.sum("bytes").alias("bytes")), weights, epochs, power)).withColumnRenamed("source", "_source"))
     # digests that stand alone name no repeated row; only the others are looked at in full
     if known.groupBy("h").count().where("count > 1").isEmpty():
@@ -113,15 +115,15 @@ def mix_sources(df: DataFrame, weights: dict[str, float] | None = None, epochs:
     name = F.concat_ws("|", "_key", "_source", F.nullif(F.col("_nth"), F.lit(0)).cast("string"))
     one = lambda j: F.size(F.filter("below", lambda c: c < _uniform(F.lit(str(seed)), F.col("_name"), j.cast("string"))))
     counted = rows.withColumn("_name", name).withColumn("_count", F.aggregate(F.sequence(F.lit(0), F.col("draws") - 1), F.lit(0), lambda n, j: n + one(j)))
-    copies = counted.where("_count > 0").select(*rest, "_name", F.explode(F.sequence(F.lit(0), F.col("_count") - 1)).alias("copy"))
+    copies = counted.where("_count > 0").select("row", "_name", F.explode(F.sequence(F.lit(0), F.col("_count") - 1)).alias("copy"))
     placed = copies.withColumn("place", F.md5(F.concat_ws("|", F.lit(f"{seed} place"), "_name", F.col("copy").cast("string")))).drop("_name")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return placed.repartition(parts, "place").sortWithinPartitions("place").select(*rest, "copy", "place")
+    return placed.repartition(parts, "place").sortWithinPartitions("place").select("row.*", "copy", "place")
 
 
 def keep_mixed(df: DataFrame) -> DataFrame:
     """The mixture with the input's columns: documents of over-weighted sources repeat, of others some are left out."""
-    return mix_sources(df).select(*df.columns)
+    return mix_sources(df.select(F.struct(*df.columns).alias("row"), "doc_id", "source", "text")).select("row.*")
 
 
 def mixing_sql() -> str:

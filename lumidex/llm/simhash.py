@@ -195,9 +195,9 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", radius:
     """
     found = near_duplicates(df, id_col, text, radius)
     best = found.groupBy("component").agg(F.min(F.struct("key", "text_key")).alias("best"))
-    best = best.select(F.col("best.key").alias("_key"), F.col("best.text_key").alias("_text_key"))
-    rows = df.withColumn("_key", id_key(df, id_col)).withColumn("_text_key", F.xxhash64(text))
-    return rows.join(best, ["_key", "_text_key"], "left_semi").dropDuplicates(["_key", "_text_key"]).select(*df.columns)
+    best = best.select("best.key", "best.text_key")
+    rows = df.select(F.struct(*df.columns).alias("row"), id_key(df, id_col).alias("key"), F.xxhash64(text).alias("text_key"))
+    return rows.join(best, ["key", "text_key"], "left_semi").dropDuplicates(["key", "text_key"]).select("row.*")
 
 
 def near_duplicate_report(df: DataFrame) -> DataFrame:

@@ -13,6 +13,15 @@ from lumidex.operators.similarity import exact_links, rotated_pairs, similar_pai
 from lumidex.settings import Settings
 
 
+GROUP_SCHEMA = "group_index int, root bigint, kind string, best_id bigint, tightness double, n bigint, wasted bigint"
+MEMBER_SCHEMA = "group_index int, kind string, id bigint, place int, is_best boolean"
+
+
+def label(kind: Column, n: Column) -> Column:
+    """What a group is called."""
+    return F.concat(F.when(kind == "exact", "Identical").otherwise("Similar"), F.lit(" - "), n.cast("string"), F.lit(" photos"))
+
+
 def keeper_key(prefer_larger: bool = True) -> Column:
     """The best photo has the largest: score to two digits, then pixels, then bytes (0 unless preferred), then age, then least id."""
     pixels = F.col("width").cast("long") * F.col("height").cast("long")

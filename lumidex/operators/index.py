@@ -6,6 +6,8 @@ makes it the next version.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,13 +132,22 @@ def scan_difference(found: DataFrame, index: DataFrame, force: bool = False) ->
 
 
 def missing_paths(index: DataFrame, found: DataFrame, roots: list[str]) -> DataFrame:
-    """``path`` of indexed files under the scanned roots that were not found; rows outside the roots are left alone."""
+    """``path`` of indexed files under the scanned roots that were not found; rows outside the roots are left alone.
+
+    A file may be there and yet not found, as one that has become too small for the settings:
+    ``sources.folders.absent`` tells which are gone.
+    """
     under = F.lit(False)
     for root in roots:
         under = under | F.startswith(F.col("path"), F.lit(root.rstrip("/") + "/")) | (F.col("path") == root)
     return index.where(under).join(found.select("path"), "path", "left_anti").select("path")
 
 
+def prune(index: DataFrame, found: DataFrame, roots: list[str], absent: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The index without files under the roots that a scan did not find and of which ``absent`` says that they are gone."""
+    return delete_paths(index, absent(missing_paths(index, found, roots)))
+
+
 def with_meta(meta: DataFrame, key: str, value: str) -> DataFrame:
     """The key/value table with one entry set."""
     spark = meta.sparkSession

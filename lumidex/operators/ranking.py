@@ -54,7 +54,7 @@ def select_photos(
     return df.limit(limit) if limit > 0 else df
 
 
-def numbered(df: DataFrame, keys: list[Column], out: str) -> DataFrame:
+def numbered(df: DataFrame, keys: list[Column], out: str, kind: str = "int") -> DataFrame:
     """Numbers the rows from 1 in the order of ``keys``: sorted partitions, each with the count of those before it."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # ranges come from samples: stored, so that the counts and the rows see the same ones
@@ -63,7 +63,14 @@ def numbered(df: DataFrame, keys: list[Column], out: str) -> DataFrame:
     before = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_run", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
     within = F.row_number().over(Window.partitionBy("_run").orderBy(*keys))
-    return placed.withColumn("_nth", within).join(offsets, "_run").withColumn(out, (F.col("_before") + F.col("_nth")).cast("int")).drop("_run", "_nth", "_before")
+    return placed.withColumn("_nth", within).join(offsets, "_run").withColumn(out, (F.col("_before") + F.col("_nth")).cast(kind)).drop("_run", "_nth", "_before")
+
+
+def numbered_within(df: DataFrame, key: str, order: list[Column], out: str) -> DataFrame:
+    """Numbers the rows of each key from 0 in an order, as a long. Rows are numbered by sorted ranges of all keys together, so a hot key is spread out."""
+    every = cut(numbered(df, [F.asc(key), *order], out, "bigint"))
+    first = cut(every.groupBy(F.col(key).alias("_key")).agg(F.min(out).alias("_first")))  # the join can then split a hot key
+    return every.join(first, every[key].eqNullSafe(first["_key"])).withColumn(out, F.col(out) - F.col("_first")).drop("_key", "_first")
 
 
 def with_rank(df: DataFrame, sort: str = "score", top: int | None = None, out: str = "rank") -> DataFrame:

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumidex.functions import text
 from lumidex.functions.numbers import rounded
+from lumidex.operators.components import connected_components
+from lumidex.operators.ranking import numbered_within
 from lumidex.operators.similarity import hamming_pairs, hashed, verified
 from lumidex.session import cut
 from lumidex.settings import METRICS, Settings
 
+#: Links of a component that one task settles at most; it holds the ids of those turned away.
+LARGE = 2_000_000
 
 def outside_library(found: DataFrame, root: str) -> DataFrame:
     """Sources that are not inside the library already."""
@@ -29,15 +36,14 @@ def exact_import(batch: DataFrame, known: DataFrame) -> DataFrame:
     return rows.withColumn("match", match).withColumn("outcome", F.when(F.col("match").isNotNull(), "duplicate").otherwise("import")).drop("_known", "first")
 
 
-def similar_import(batch: DataFrame, index: DataFrame, settings: Settings | None = None) -> DataFrame:
+def similar_import(batch: DataFrame, index: DataFrame, settings: Settings | None = None, large: int = LARGE) -> DataFrame:
     """Adds ``outcome`` and ``match``: ``similar`` if a row looks like an indexed photo or like an earlier row that is accepted itself, and the id of that one.
 
     ``batch`` has ``ord, id, phash, dhash, color_sig``; ids differ from those of the index. The match is the
     indexed photo of the highest score (then least id), or else the earliest accepted row. Only the
-    batch probes the index. The rule is sequential; here rows are settled in rounds: one is
-    accepted when all its earlier look-alikes are rejected, and rejected when one of them is
-    accepted. Each round settles the first open row of every chain at least, so the rounds are at
-    most the longest chain.
+    batch probes the index. The rule is sequential, but only within components of rows that look alike: a task gets a
+    component's links in the order of their later rows and settles them as they stream past, however long a chain
+    is. Components of more than ``large`` links are settled in rounds instead, so that no task holds one.
     """
     s = settings or Settings()
     cols = ["id", "phash", "dhash", "color_sig"]
@@ -46,23 +52,59 @@ def similar_import(batch: DataFrame, index: DataFrame, settings: Settings | None
     facts = ok.select(*cols).unionByName(batch.select(*cols))
     known = verified(hamming_pairs(new, old, s.phash_threshold, ordered=False), facts, s)
     score = ok.select(F.col("id").alias("b"), *([F.col("score").alias("_score")] if "score" in ok.columns else [F.lit(0.0).alias("_score")]))
-    in_index = known.join(score, "b").groupBy(F.col("a").alias("id")).agg(F.max_by("b", F.struct(F.col("_score"), -F.col("b"))).alias("_known"))
+    in_index = cut(known.join(score, "b").groupBy(F.col("a").alias("id")).agg(F.max_by("b", F.struct(F.col("_score"), -F.col("b"))).alias("_known")))
     pairs = verified(hamming_pairs(new, new, s.phash_threshold), batch.select(*cols), s)
-    order = batch.select("id", "ord")
-    a, b = order.select(F.col("id").alias("a"), F.col("ord").alias("oa")), order.select(F.col("id").alias("b"), F.col("ord").alias("ob"))
-    inside = pairs.join(a, "a").join(b, "b")
-    inside = cut(inside.select(F.when(F.col("oa") < F.col("ob"), F.col("a")).otherwise(F.col("b")).alias("early"), F.when(F.col("oa") < F.col("ob"), F.col("b")).otherwise(F.col("a")).alias("late"), F.least("oa", "ob").alias("early_ord")))
-    state = cut(batch.select("id").join(in_index, "id", "left").select("id", F.when(F.col("_known").isNotNull(), "similar").alias("outcome"), F.col("_known").alias("match")))
-    while True:
-        early = inside.join(state.select(F.col("id").alias("early"), "outcome"), "early").groupBy("late").agg(F.min(F.when(F.col("outcome") == "import", F.struct("early_ord", "early"))).alias("taken"), F.bool_or(F.col("outcome").isNull()).alias("open"))
-        settled = F.when(F.col("outcome").isNotNull(), F.col("outcome")).when(F.col("taken").isNotNull(), "similar").when(F.col("open"), F.lit(None)).otherwise("import")
-        # the earliest look-alike may still be open; the match is told when it is settled
-        state = cut(state.join(early, state["id"] == early["late"], "left").select("id", settled.alias("outcome"), "match"))
-        if state.where("outcome IS NULL").isEmpty():
-            break
-    first = inside.join(state.where("outcome = 'import'").select(F.col("id").alias("early")), "early").groupBy(F.col("late").alias("id")).agg(F.min(F.struct("early_ord", "early")).alias("_first"))
-    told = state.join(first, "id", "left").select("id", "outcome", F.when(F.col("outcome") == "similar", F.coalesce("match", "_first.early")).alias("match"))
-    return batch.join(told, "id")
+    # rows like the index are out, and turn no other row away
+    order = batch.select("id", F.struct("ord", "id").alias("o")).join(in_index, "id", "left_anti")
+    a, b = order.select(F.col("id").alias("a"), F.col("o").alias("oa")), order.select(F.col("id").alias("b"), F.col("o").alias("ob"))
+    inside = pairs.join(a, "a").join(b, "b").select(F.least("oa", "ob").alias("early"), F.greatest("oa", "ob").alias("late"))
+    inside = cut(inside)
+    turned_away = _settled(inside, large).select(F.col("late").alias("id"), F.col("early").alias("_early"))
+    told = batch.join(in_index, "id", "left").join(turned_away, "id", "left").withColumn("match", F.coalesce("_known", "_early"))
+    return told.withColumn("outcome", F.when(F.col("match").isNotNull(), "similar").otherwise("import")).drop("_known", "_early")
+
+
+def _settled(links: DataFrame, large: int) -> DataFrame:
+    """``early, late``: the rows (ids) that are turned away, with the earliest accepted row that each looks like. ``links`` holds structs ``ord, id``."""
+    spark = links.sparkSession
+    roots = cut(connected_components(links.select(F.col("early.id").alias("a"), F.col("late.id").alias("b"))))
+    rooted = links.join(roots, links["late.id"] == roots["node"]).select("root", "early", "late")
+    sizes = cut(rooted.groupBy("root").count())
+    small = rooted.join(sizes.where(F.col("count") <= large).select("root"), "root", "left_semi")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = small.repartition(parts, "root").sortWithinPartitions("root", "late", "early").select("root", F.col("early.id").alias("early"), F.col("late.id").alias("late"))
+    out = sorted_.mapInPandas(_first_come, "early long, late long")
+    many = sizes.where(F.col("count") > large)
+    return out if many.isEmpty() else out.unionByName(_in_rounds(cut(rooted.join(many.select("root"), "root", "left_semi").select("early", "late"))))
+
+
+def _first_come(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links of whole components, by their later rows: all links in which a row is the later one come before those in which it is the earlier."""
+    root, away, last = None, set(), None
+    for pdf in batches:
+        found = []
+        for r, early, late in zip(pdf["root"].tolist(), pdf["early"].tolist(), pdf["late"].tolist()):
+            if r != root:
+                root, away, last = r, set(), None
+            if late != last and early not in away:
+                away.add(late)
+                last = late
+                found.append((early, late))
+        yield pd.DataFrame(found, columns=["early", "late"])
+
+
+def _in_rounds(links: DataFrame) -> DataFrame:
+    """The same for large components: a row is accepted when all its earlier look-alikes are turned away, and turned away when one of them is accepted."""
+    rows = links.select(F.col("early.id").alias("id")).unionByName(links.select(F.col("late.id").alias("id"))).distinct()
+    state = cut(rows.withColumn("fate", F.lit(None).cast("string")))
+    while not state.where("fate IS NULL").isEmpty():
+        met = links.join(state.select(F.col("id").alias("_early"), "fate"), F.col("early.id") == F.col("_early"))
+        early = met.groupBy(F.col("late.id").alias("_late")).agg(F.bool_or(F.coalesce(F.col("fate") == "in", F.lit(False))).alias("taken"), F.bool_or(F.col("fate").isNull()).alias("open"))
+        fate = F.coalesce("fate", F.when(F.col("taken"), "out"), F.when(F.col("open"), None).otherwise("in"))
+        state = cut(state.join(early, state["id"] == early["_late"], "left").select("id", fate.alias("fate")))
+    accepted = state.where("fate = 'in'").select("id")
+    first = links.join(accepted, F.col("early.id") == F.col("id"), "left_semi").groupBy(F.col("late.id").alias("late")).agg(F.min("early").alias("first"))
+    return first.select("first.id", "late").withColumnRenamed("id", "early")
 
 
 def present_at_destination(plan: DataFrame, files: DataFrame) -> DataFrame:
@@ -93,33 +135,34 @@ def destination(root: str, organise: str, source_root: str | None = None) -> Col
 def free_names(plan: DataFrame, taken: DataFrame | None = None, order: str = "id", target: str = "target") -> DataFrame:
     """Gives every row its own ``target``: later rows of one name get ``-1``, ``-2`` before the suffix, passing over taken names.
 
-    Each name's free numbers are told at once: of as many as its rows and the taken names of its
-    kind need, those that are not taken, in order. Only where two wishes can make the same name
-    (``a-1.jpg`` is wished for itself and by the second ``a.jpg``) another round follows, for those rows alone.
+    The k-th row of a name gets the k-th free number. With taken numbers ``t0 < t1 < ...``, ``tj - j`` numbers
+    are free below ``tj``: sorted among the rows by that, the taken ones push each row to the number that is its place in the
+    common order. So numbers are places in sorted ranges, and a name that very many rows wish for is spread
+    out like any other. Only where two wishes can make the same name (``a-1.jpg`` is wished for
+    itself and by the second ``a.jpg``) another round follows, for those rows alone.
     """
     stem, suffix = F.regexp_extract(F.col("_wish"), r"^(.*?)(\.[^./]*)?$", 1), F.regexp_extract(F.col("_wish"), r"^(.*?)(\.[^./]*)?$", 2)
     wish = lambda c: F.regexp_replace(c, r"-[0-9]+(\.[^./]*)?$", "$1")
-    number = lambda c: F.try_element_at(F.regexp_extract_all(c, F.lit(r"-([1-9][0-9]{0,8})(?:\.[^./]*)?$"), F.lit(1)), F.lit(1)).cast("int")
+    number = lambda c: F.try_element_at(F.regexp_extract_all(c, F.lit(r"-([1-9][0-9]{0,8})(?:\.[^./]*)?$"), F.lit(1)), F.lit(1)).cast("long")
     name = F.when(F.col("_n") == 0, F.col("_wish")).otherwise(F.concat(stem, F.lit("-"), F.col("_n").cast("string"), suffix))
     open_ = plan.withColumnRenamed(target, "_wish")
     used = taken.select(F.col("path").alias("_used")).distinct() if taken is not None else plan.select(F.lit("").alias("_used")).limit(0)
     done = None
     while True:
-        wishes = open_.groupBy("_wish").agg(F.count("*").alias("_rows"))
-        zero = used.select(F.col("_used").alias("_wish"), F.lit(0).alias("_number"))
+        zero = used.select(F.col("_used").alias("_wish"), F.lit(0).cast("long").alias("_number"))
         later = used.select(wish("_used").alias("_wish"), number("_used").alias("_number")).where("_number IS NOT NULL")
-        gone = zero.unionByName(later).join(wishes.select("_wish"), "_wish", "left_semi").groupBy("_wish").agg(F.collect_set("_number").alias("_gone"))
-        free = wishes.join(gone, "_wish", "left").withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>")))
-        numbers = F.array_except(F.sequence(F.lit(0).cast("int"), (F.col("_rows") + F.size("_gone")).cast("int")), F.col("_gone"))
-        free = free.select("_wish", F.posexplode(F.slice(numbers, F.lit(1), F.col("_rows").cast("int"))).alias("_nth", "_n"))
-        ranked = open_.withColumn("_nth", F.row_number().over(Window.partitionBy("_wish").orderBy(order)) - 1)
-        tried = cut(ranked.join(free, ["_wish", "_nth"]).withColumn(target, name))
-        # a wish goes before a name that was made up
+        gone = zero.unionByName(later).join(open_.select("_wish").distinct(), "_wish", "left_semi").distinct()
+        below = numbered_within(gone, "_wish", [F.asc("_number")], "_j").select("_wish", (F.col("_number") - F.col("_j")).alias("_k"), F.lit(0).alias("_row"))
+        ranked = cut(numbered_within(open_, "_wish", [F.asc(order)], "_k"))
+        places = below.unionByName(ranked.select("_wish", "_k", F.lit(1).alias("_row")))
+        merged = numbered_within(places, "_wish", [F.asc("_k"), F.asc("_row")], "_n").where("_row = 1").drop("_row")
+        tried = cut(ranked.join(cut(merged), ["_wish", "_k"]).withColumn(target, name))
+        # a wish goes before a name that was made up; rows that meet in a name are as many as wishes that make it
         first = Window.partitionBy(target).orderBy("_n", order)
-        tried = cut(tried.withColumn("_k", F.row_number().over(first)))
-        fine = tried.where("_k = 1").drop("_k", "_nth", "_n")
+        tried = cut(tried.withColumn("_nth", F.row_number().over(first)))
+        fine = tried.where("_nth = 1").drop("_k", "_nth", "_n")
         done = fine if done is None else done.unionByName(fine)
-        rest = tried.where("_k > 1")
+        rest = tried.where("_nth > 1")
         if rest.isEmpty():
             return done.drop("_wish")
         used = cut(used.unionByName(fine.select(F.col(target).alias("_used"))))

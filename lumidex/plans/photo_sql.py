@@ -244,6 +244,7 @@ def statements() -> dict[str, str]:
     )
     for t in (10, 15, 18):
         out[f"hamming_pairs_t{t}"] = full("SELECT a, b, distance FROM near", _pairs(t))
+    out["hamming_pairs_segments"] = out["hamming_pairs_t10"]
     out["color_verify"] = full(f"SELECT a, b, distance, d_distance, {r('c_distance')} AS c_distance FROM near WHERE d_distance <= 16 AND c_distance <= 0.28", _pairs(15))
     out["exact_groups"] = full(f"SELECT sha256, min(id) AS first_id, count(*) AS n FROM photos WHERE {ok} GROUP BY sha256 HAVING count(*) > 1")
     columns = "group_index, root, kind, best_id, tightness, n, wasted"
@@ -281,7 +282,7 @@ def statements() -> dict[str, str]:
         f"SELECT f.path, f.size, f.mtime, CASE WHEN p.status = 'ok' AND p.size = f.size AND abs(p.mtime - f.mtime) < 1e-6 THEN 'skip' WHEN p.path IS NOT NULL THEN 'update' ELSE 'add' END AS action FROM found f LEFT JOIN photos p ON p.path = f.path",
         "found AS (SELECT CASE WHEN id % 11 = 0 THEN '/photos/new/' || filename ELSE path END AS path, size + CASE WHEN id % 6 = 0 THEN 1 ELSE 0 END AS size, mtime FROM photos)",
     )
-    out["prune"] = full("SELECT id, path FROM photos WHERE NOT (starts_with(path, '/photos/src1/') AND id % 2 = 0)")
+    out["prune"] = full("SELECT id, path FROM photos WHERE NOT (starts_with(path, '/photos/src1/') AND id % 2 = 0 AND id % 3 != 0)")
     out["mark_ids"] = full("SELECT id, CASE WHEN id % 8 = 0 THEN 'keep' ELSE mark END AS mark FROM photos")
     out["bulk_scores"] = full("SELECT id, CASE WHEN id % 4 = 0 THEN (id % 100)::DOUBLE ELSE score END AS score FROM photos")
     out["delete_paths"] = full("SELECT id FROM photos WHERE id % 9 != 4")
@@ -345,6 +346,35 @@ def statements() -> dict[str, str]:
         return f"array_to_string(list_transform(range(0, {height * width}), lambda i: floor(list_avg({cell}) * 1e6 + 0.5)::BIGINT), ',')"
 
     out["area_resize"] = full(f"SELECT id, {boxes(5, 3)} AS tall, {boxes(2, 7)} AS wide FROM facts")
+
+    def filtered(plane: str, before: int, after: int, kernel: str, reach: int) -> str:
+        """Weights of a filter between two sizes, from its definition: ``o`` the new cell, ``i`` the old one."""
+        step, stretch = f"({before} / {after}.0::DOUBLE)", f"greatest(1.0::DOUBLE, {before} / {after}.0::DOUBLE)"
+        x = f"abs((i + 0.5 - (o + 0.5) * {step}) / {stretch})"
+        inside = f"i >= floor((o + 0.5) * {step} - {reach} * {stretch} + 0.5) AND i < floor((o + 0.5) * {step} + {reach} * {stretch} + 0.5)"
+        return f"{plane} AS (SELECT o, i, w / sum(w) OVER (PARTITION BY o) AS w FROM (SELECT o, i, {kernel.format(x=x)} AS w FROM range(0, {after}) a(o), range(0, {before}) b(i) WHERE {inside}))"
+
+    sinc = lambda x: f"(CASE WHEN {x} = 0 THEN 1.0 ELSE sin(pi() * {x}) / (pi() * {x}) END)"
+    kernels = {
+        "triangle": ("greatest(0.0, 1 - {x})", 1),
+        "cubic": ("(CASE WHEN {x} < 1 THEN 1.5 * {x} ** 3 - 2.5 * {x} ** 2 + 1 WHEN {x} < 2 THEN -0.5 * ({x} ** 3 - 5 * {x} ** 2 + 8 * {x} - 4) ELSE 0.0 END)", 2),
+        "lanczos": (f"(CASE WHEN {{x}} < 3 THEN {sinc('{x}')} * {sinc('({x} / 3)')} ELSE 0.0 END)", 3),
+    }
+
+    def resized(name: str, height: int, width: int, kernel: str) -> list[str]:
+        wide = f"{name}_across AS (SELECT id, y, c.o AS x, sum(c.w * gray[y * 8 + c.i + 1]) AS v FROM facts, range(0, 8) r(y), {name}_x c GROUP BY ALL)"
+        tall = f"{name}_down AS (SELECT id, d.o AS y, x, sum(d.w * v) AS v FROM {name}_across a JOIN {name}_y d ON d.i = a.y GROUP BY ALL)"
+        row = f"{name} AS (SELECT id, string_agg(floor(v * 1e6 + 0.5)::BIGINT::VARCHAR, ',' ORDER BY y, x) AS {name} FROM {name}_down GROUP BY id)"
+        return [filtered(f"{name}_x", 8, width, *kernels[kernel]), filtered(f"{name}_y", 8, height, *kernels[kernel]), wide, tall, row]
+
+    out["resample"] = full("SELECT id, smaller, shrunk, larger FROM smaller JOIN shrunk USING (id) JOIN larger USING (id)", *resized("smaller", 5, 3, "triangle"), *resized("shrunk", 3, 4, "lanczos"), *resized("larger", 11, 13, "cubic"))
+    out["group_labels"] = full("SELECT root, CASE kind WHEN 'exact' THEN 'Identical' ELSE 'Similar' END || ' - ' || n || ' photos' AS label FROM groups", _groups(WIDE))
+    out["free_names_taken"] = full(
+        "SELECT w.id, '/out/' || w.k || CASE WHEN f.n = 0 THEN '' ELSE '-' || f.n END || '.jpg' AS target FROM wishes w JOIN free f ON f.k = w.k AND f.nth = w.nth",
+        "wishes AS (SELECT id, id % 3 AS k, row_number() OVER (PARTITION BY id % 3 ORDER BY id) AS nth FROM facts)",
+        "taken AS (SELECT DISTINCT id % 3 AS k, CASE WHEN id % 8 = 1 THEN 0 ELSE id % 1000 END AS n FROM facts WHERE id % 4 = 1)",
+        "free AS (SELECT k, n, row_number() OVER (PARTITION BY k ORDER BY n) AS nth FROM (SELECT k, n FROM range(0, 3) x(k), range(0, (SELECT count(*) FROM facts) + 1001) y(n)) a ANTI JOIN taken USING (k, n))",
+    )
     out["all_paths"] = full("SELECT path FROM photos")
     out["edited_rows"] = full("SELECT id, CASE WHEN id = 7 THEN '/moved/new.jpg' ELSE path END AS path, CASE WHEN id = 7 THEN 'new.jpg' ELSE filename END AS filename, CASE WHEN id = 3 THEN 'keep' ELSE 'none' END AS mark, CASE id WHEN 5 THEN 5 WHEN 6 THEN 0 ELSE rating END::INTEGER AS rating FROM facts")
     return out

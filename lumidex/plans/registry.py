@@ -162,16 +162,19 @@ def _hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(_ok(spark, sf_dir).select("id", "path", "filename", "sha256", "phash", "dhash", "color_sig", "score", "width", "height", "size", "mtime", "status"))
 
 
-def _pairs(radius: int) -> Query:
+def _pairs(radius: int, outright: int | None = None) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = similarity.hashed(_hashes(spark, sf_dir))
-        return similarity.hamming_pairs(rows, rows, radius)
+        return similarity.hamming_pairs(rows, rows, radius, outright=outright)
 
     return run
 
 
-for _radius in (10, 15, 18):
+for _radius in (10, 15):
     _FOUND[f"hamming_pairs_t{_radius}"] = _pairs(_radius)
+#: The ways of larger tables: segments, and tiles searched by a metric tree.
+_FOUND["hamming_pairs_segments"] = _pairs(10, outright=0)
+_FOUND["hamming_pairs_t18"] = _pairs(18, outright=0)
 
 
 @query
@@ -293,6 +296,34 @@ def area_resize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("id", written("tall"), written("wide"))
 
 
+@query
+def resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planes at other sizes: smaller by the triangle and Lanczos filters, larger by the cubic one, in numpy."""
+    sizes = {"smaller": (5, 3, kernels.triangle), "shrunk": (3, 4, kernels.lanczos), "larger": (11, 13, kernels.cubic)}
+
+    def resize(batches):
+        for pdf in batches:
+            planes = [np.array(g).reshape(8, 8) for g in pdf["gray"]]
+            yield pd.DataFrame({"id": pdf["id"], **{k: [kernels.resample(p, h, w, kernel).ravel().tolist() for p in planes] for k, (h, w, kernel) in sizes.items()}})
+
+    made = photo_facts(spark, sf_dir).select("id", "gray").mapInPandas(resize, "id long, smaller array<double>, shrunk array<double>, larger array<double>")
+    written = lambda c: F.array_join(F.transform(c, lambda v: F.floor(v * 1e6 + 0.5).cast("string")), ",").alias(c)
+    return made.select("id", *[written(k) for k in sizes])
+
+
+@query
+def group_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _grouped(spark, sf_dir).select("root", groups.label(F.col("kind"), F.col("n")).alias("label"))
+
+
+@query
+def free_names_taken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Very many wishes for few names, of which many numbers are taken."""
+    rows = photo_facts(spark, sf_dir).select("id", F.concat(F.lit("/out/"), F.col("id") % 3, F.lit(".jpg")).alias("target"))
+    taken = rows.where("id % 4 = 1").select(F.concat(F.lit("/out/"), F.col("id") % 3, F.when(F.col("id") % 8 == 1, F.lit("")).otherwise(F.concat(F.lit("-"), F.col("id") % 1000)), F.lit(".jpg")).alias("path"))
+    return transfer.free_names(rows, taken)
+
+
 @query
 def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return photo_index(spark, sf_dir).select("id", F.array_join("flags", ",").alias("flags"))
@@ -326,9 +357,10 @@ def scan_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def prune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A scan of one folder in which every other photo is gone."""
+    """A scan of one folder that finds every other photo; of those not found every third is still there."""
     old = photo_facts(spark, sf_dir).select("id", "path")
-    return index.delete_paths(old, index.missing_paths(old, old.where("id % 2 = 1"), ["/photos/src1"]))
+    still = old.where("id % 6 = 0").select("path")
+    return index.prune(old, old.where("id % 2 = 1"), ["/photos/src1"], lambda lost: lost.join(still, "path", "left_anti"))
 
 
 @query

@@ -6,22 +6,25 @@ import datetime
 import struct
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+import pyarrow as pa
 
 # Fixed values of the EXIF standard: the fields that are read, and bytes of each type of value.
 MAKE, MODEL, ORIENTATION, CHANGED, EXIF_IFD, ISO, TAKEN = 271, 272, 274, 306, 34665, 34855, 36867
+EXPOSURE, F_NUMBER, SHUTTER, FOCAL, MODE, LENS = 33434, 33437, 37377, 37386, 41986, 42036
 _BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 _WHOLE = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i"}
+_REAL = {11: "f", 12: "d"}
 _TIMES = ("%Y:%m:%d %H:%M:%S", "%Y-%m-%d %H:%M:%S", "%Y:%m:%d")
-FACTS = "struct<make:string,model:string,iso:int,orientation:int,taken_at:timestamp_ntz>"
+#: The facts with their types, for Spark and for Arrow.
+_TYPES = {"make": "string", "model": "string", "iso": "int", "orientation": "int", "taken_at": "timestamp_ntz", "exposure_time": "double", "f_number": "double", "shutter_speed": "double", "focal_length": "double", "exposure_mode": "int", "lens": "string"}
+FACTS = "struct<" + ",".join(f"{k}:{t}" for k, t in _TYPES.items()) + ">"
+ARROW = pa.struct([(k, {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "timestamp_ntz": pa.timestamp("us")}[t]) for k, t in _TYPES.items()])
 
 
 def block(data: bytes) -> bytes | None:
     """The TIFF structure with the EXIF fields, if the file has one."""
     if data[:4] in (b"II*\0", b"MM\0*"):
-        return data
+        return data  # offsets count from the file's start
     if data[:8] == b"\x89PNG\r\n\x1a\n":
         return next((body for kind, body in _png_chunks(data) if kind == b"eXIf"), None)
     if data[:2] == b"\xff\xd8":
@@ -71,9 +74,11 @@ def _fields(tiff: bytes, order: str, at: int) -> dict[int, object]:
             out[tag] = tiff[place : place + size].split(b"\0")[0].decode("utf-8", "replace").strip()
         elif kind in _WHOLE:
             out[tag] = struct.unpack_from(order + _WHOLE[kind], tiff, place)[0]
-        elif kind == 5:
-            top, bottom = struct.unpack_from(order + "II", tiff, place)
-            out[tag] = top / bottom if bottom else 0
+        elif kind in (5, 10):
+            top, bottom = struct.unpack_from(order + ("II" if kind == 5 else "ii"), tiff, place)
+            out[tag] = top / bottom if bottom else None
+        elif kind in _REAL:
+            out[tag] = struct.unpack_from(order + _REAL[kind], tiff, place)[0]
     return out
 
 
@@ -87,7 +92,10 @@ def _time(value: object) -> datetime.datetime | None:
 
 
 def capture_facts(data: bytes) -> dict:
-    """``make, model, iso, orientation, taken_at`` of a file's bytes; what is missing or cannot be read is empty or None."""
+    """The facts of ``FACTS`` from a file's bytes; what is missing or cannot be read is empty or None.
+
+    Exposure and shutter speed, aperture and focal length are numbers as they stand in the block.
+    """
     fields: dict[int, object] = {}
     tiff = block(data)
     if tiff is not None and len(tiff) >= 8 and tiff[:2] in (b"II", b"MM"):
@@ -97,20 +105,22 @@ def capture_facts(data: bytes) -> dict:
         if isinstance(deeper, int):
             fields = _fields(tiff, order, deeper) | fields
     text = lambda tag: fields[tag] if isinstance(fields.get(tag), str) else ""
+    measured = lambda tag: float(fields[tag]) if isinstance(fields.get(tag), (int, float)) else None
     number = lambda tag: int(fields[tag]) if isinstance(fields.get(tag), (int, float)) and 0 < fields[tag] < 2**31 else None
-    return {"make": text(MAKE), "model": text(MODEL), "iso": number(ISO), "orientation": number(ORIENTATION), "taken_at": _time(fields.get(TAKEN)) or _time(fields.get(CHANGED))}
-
-
-def capture(content: Column) -> Column:
-    """The facts of a column of file contents, as a struct; Arrow batches of a few files."""
-
-    @F.pandas_udf(FACTS)
-    def of(files: pd.Series) -> pd.DataFrame:
-        rows = [capture_facts(bytes(f)) for f in files]
-        out = pd.DataFrame(rows, columns=["make", "model", "iso", "orientation", "taken_at"])
-        return out.astype({"iso": "Int32", "orientation": "Int32", "taken_at": "datetime64[us]"})
-
-    return of(content)
+    mode = fields.get(MODE)
+    return {
+        "make": text(MAKE),
+        "model": text(MODEL),
+        "iso": number(ISO),
+        "orientation": number(ORIENTATION),
+        "taken_at": _time(fields.get(TAKEN)) or _time(fields.get(CHANGED)),
+        "exposure_time": measured(EXPOSURE),
+        "f_number": measured(F_NUMBER),
+        "shutter_speed": measured(SHUTTER),
+        "focal_length": measured(FOCAL),
+        "exposure_mode": mode if isinstance(mode, int) and abs(mode) < 2**31 else None,
+        "lens": text(LENS),
+    }
 
 
 def upright_steps(orientation: int | None) -> tuple[bool, int]:

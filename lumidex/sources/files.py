@@ -1,34 +1,37 @@
-"""Files in and out: listing, digests, decoding, capture facts, manifests and placement.
+"""Files in and out: digests, decoding and placement.
 
-Decoding uses Spark's image source, so it reads what that reads (JPEG, PNG, GIF, BMP); capture
-facts are read from the bytes of JPEG, TIFF and PNG files. There is no HEIC, WebP or AVIF and no
-writing of thumbnails or resized copies without an imaging library, which this environment does
+Decoding uses Spark's image source, so it reads what that reads (JPEG, PNG, GIF, BMP). There is no
+HEIC, WebP or AVIF, and of the formats only PNG is written, without an imaging library, which this environment does
 not have.
 """
 
 from __future__ import annotations
 
-import csv
+import contextlib
 import filecmp
-import json
 import os
+import re
 import shutil
 import uuid
 from collections.abc import Iterator
+from itertools import islice
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumidex.functions import kernels, quality, text
-from lumidex.session import cut
+from lumidex.session import cut, shared_folder
 from lumidex.settings import Settings
 from lumidex.sources import exif
+from lumidex.sources.folders import entry, is_store, list_files, read_facts, suffix
+from lumidex.sources.manifests import write_manifest_csv, write_manifest_json
 
-# Folders that hold no photos of their own.
-SKIPPED_FOLDERS = (".git", ".svn", ".hg", "__pycache__", "node_modules", ".thumbnails", ".cache", ".Trash", ".Trash-1000", "$RECYCLE.BIN", "System Volume Information", ".dtrash")
+#: Pictures that are decoded by one read of Spark's image source: so many paths come to the driver at once.
+PICTURES = 20_000
 #: Types of a file's facts after analysis; the index adds ids, marks and ratings.
 _ANALYSED = (
     "path string, sha256 string, width int, height int, phash string, dhash string, ahash string, color_sig array<int>, rotations array<string>, "
@@ -36,101 +39,76 @@ _ANALYSED = (
 )
 
 
-def list_files(spark: SparkSession, roots: list[str], settings: Settings | None = None) -> DataFrame:
-    """``path, size, mtime`` of image files under the roots; a file may be a root itself, and roots that do not exist are passed over.
+def count_files(spark: SparkSession, roots: list[str], settings: Settings | None = None) -> int:
+    return list_files(spark, roots, settings).count()
 
-    Listing is Spark's, in parallel over folders; suffixes are compared in lower case and sizes are
-    pushed down to the source. A physical file is given once, by its first path, even if roots
-    overlap or several names are linked to it (on file systems that tell). Names that begin with
-    ``.`` (and, with this source, ``_``) are left out. Files whose names are symbolic links stand for
-    what they point to; unless ``follow_symlinks`` is set, folders that are links are not entered.
-    """
-    s = settings or Settings()
-    there = [r for r in roots if _exists(spark, r)]
-    if not there:
-        return spark.createDataFrame([], "path string, size long, mtime double")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(there)
-    path = F.regexp_replace(F.col("path"), "^file:/+", "/")
-    rows = files.select(path.alias("path"), F.col("length").alias("size"), (F.unix_millis("modificationTime") / 1000.0).alias("mtime"))
-    rows = rows.where((F.col("size") >= s.min_file_bytes) & text.extension(F.col("path")).isin(*s.extensions))
-    parts = F.split("path", "/")
-    rows = rows.where(~F.arrays_overlap(parts, F.array(*[F.lit(x) for x in SKIPPED_FOLDERS])))
-    if not s.include_hidden:
-        inside = F.lit(None).cast("string")
-        for root in there:
-            inside = F.coalesce(inside, F.when(F.startswith("path", F.lit(root.rstrip("/") + "/")), F.substring("path", F.lit(len(root.rstrip("/")) + 1), F.length("path"))))
-        rows = rows.where(~F.coalesce(inside.rlike(r"/\."), F.lit(False)))
-    rows = rows.dropDuplicates(["path"]).withColumn("_file", _identity(F.col("path"), F.array(*[F.lit(r) for r in there]), F.lit(s.follow_symlinks)))
-    rows = rows.where("_file != ''")
-    first = rows.groupBy("_file").agg(F.min(F.struct("path", "size", "mtime")).alias("_first"))
-    return first.select("_first.*")
-
-
-def _identity(path: Column, roots: Column, follow: Column) -> Column:
-    """What tells a physical file: device and number, or the path on file systems that tell no such thing; empty for files behind a linked folder that is not followed."""
-
-    def one(p: str, among: list[str], followed: bool) -> str:
-        if not followed:
-            root = next((r.rstrip("/") for r in among if p.startswith(r.rstrip("/") + "/")), "")
-            folder = os.path.dirname(p)
-            while len(folder) > len(root) and folder != "/":
-                if os.path.islink(folder):
-                    return ""
-                folder = os.path.dirname(folder)
-        try:
-            found = os.stat(p)
-        except (OSError, ValueError):  # a store that only Spark reads
-            return f"path {p}"
-        return f"{found.st_dev} {found.st_ino}" if found.st_ino else f"path {p}"
 
-    @F.pandas_udf("string")
-    def of(paths: pd.Series, among: pd.Series, followed: pd.Series) -> pd.Series:
-        return pd.Series([one(p, list(r), bool(f)) for p, r, f in zip(paths, among, followed)], dtype=object)
+def digests(spark: SparkSession, paths: DataFrame) -> DataFrame:
+    """``path, sha256`` of the files in ``paths`` that can be read; no other file is opened."""
+    return read_facts(paths, facts=False).where("unread = ''").select("path", "sha256")
 
-    return of(path, roots, follow)
 
+def _set_aside(names: list[str], folder: str) -> dict[str, str]:
+    """Copies of files whose names Spark's sources pass over, under names that they read: by copy, the path."""
+    os.makedirs(folder, exist_ok=True)
+    out = {}
+    for n, path in enumerate(names):
+        with contextlib.suppress(OSError):
+            out[shutil.copyfile(path, os.path.join(folder, f"{n}{suffix(path)}"))] = path
+    return out
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
+def _verbatim(path: str) -> str:
+    """The path as a pattern that matches nothing else."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
 
-def count_files(spark: SparkSession, roots: list[str], settings: Settings | None = None) -> int:
-    return list_files(spark, roots, settings).count()
 
+def _pictures(spark: SparkSession, paths: DataFrame) -> DataFrame:
+    """``path, height, width, channels, data`` of the pictures at ``paths``, decoded by Spark's image source, which is given these paths alone.
 
-def digests(spark: SparkSession, paths: DataFrame) -> DataFrame:
-    """``path, sha256`` of the files in ``paths``."""
-    paths = cut(paths.select("path"))
-    folders = [r.folder for r in paths.select(text.folder(F.col("path")).alias("folder")).distinct().toLocalIterator()]
-    if not folders:
-        return spark.createDataFrame([], "path string, sha256 string")
-    contents = spark.read.format("binaryFile").load(folders)
-    return contents.select(F.regexp_replace(F.col("path"), "^file:/+", "/").alias("path"), "content").join(paths, "path", "left_semi").select("path", F.sha2("content", 256).alias("sha256"))
+    Paths come to the driver ``PICTURES`` at a time, as a source wants them. Files that cannot be decoded or are gone give no row. The source passes
+    over names that begin with ``_`` or ``.``: such files are copied to the shared folder under other names.
+    """
+    # the source writes paths as URIs, in which a plus is no space
+    plain = lambda c: F.regexp_replace(F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
+    seen = lambda c: F.coalesce(F.try_element_at(c, F.col("path")), F.col("path"))
+    out = spark.createDataFrame([], "path string, height int, width int, channels int, data binary")
+    names = (r.path for r in paths.select("path").distinct().toLocalIterator())
+    while some := list(islice(names, PICTURES)):
+        passed = [n for n in some if os.path.basename(n)[:1] in ("_", ".") and not is_store(n)]
+        aside = _set_aside(passed, f"{shared_folder(spark)}/aside-{uuid.uuid4().hex}") if passed else {}
+        wanted = [*(n for n in some if n not in aside.values()), *aside]
+        source = spark.read.format("image").option("dropInvalid", True).option("ignoreMissingFiles", True)
+        try:
+            read = source.load(list(map(_verbatim, wanted)))
+        except AnalysisException:  # some have gone meanwhile
+            there = [n for n in wanted if entry(n) is not None]
+            if not there:
+                continue
+            read = source.load(list(map(_verbatim, there)))
+        rows = read.select(plain(F.col("image.origin")).alias("path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
+        if aside:
+            rows = rows.withColumn("path", seen(F.create_map(*[F.lit(x) for pair in aside.items() for x in pair])))
+        out = out.unionByName(rows)
+    return out
 
 
 def analyse_files(spark: SparkSession, paths: DataFrame, settings: Settings | None = None) -> DataFrame:
     """Facts of the files in ``paths`` (``path, size, mtime``), ready for ``operators.index.upsert``.
 
-    Bytes are read once for digest and capture facts and once, decoded, for hashes and measures, in
-    Arrow batches of a few pictures, which are turned upright first. A file that cannot be decoded
-    becomes a row of status ``error``. Only the names of folders come to the driver.
+    Only these files are opened: once by tasks for digest and capture facts and once, decoded, for hashes and
+    measures, in Arrow batches of a few pictures, which are turned upright first. A file that cannot be read or decoded
+    becomes a row of status ``error``.
     """
     s = settings or Settings()
     paths = cut(paths)
-    folders = [r.folder for r in paths.select(text.folder(F.col("path")).alias("folder")).distinct().toLocalIterator()]
-    if not folders:
+    if paths.isEmpty():
         return spark.createDataFrame([], _ANALYSED)
-    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
-    wanted = paths.select("path")
-    contents = spark.read.format("binaryFile").load(folders).select(plain(F.col("path")).alias("path"), "content").join(wanted, "path", "left_semi")
-    facts = contents.select("path", F.sha2("content", 256).alias("sha256"), exif.capture(F.col("content")).alias("_capture"))
-    pictures = spark.read.format("image").load(folders).select(plain(F.col("image.origin")).alias("path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
-    facts = cut(facts)
-    pictures = pictures.join(facts.select("path", F.col("_capture.orientation").alias("orientation")), "path")
+    facts = cut(read_facts(paths))
+    pictures = _pictures(spark, facts.where("unread = ''")).join(facts.select("path", F.col("capture.orientation").alias("orientation")), "path")
     measured = pictures.mapInPandas(_analyse_batch, _ANALYSED.replace("sha256 string, ", ""))
     rows = paths.join(facts, "path", "left").join(measured, "path", "left")
-    rows = rows.withColumns({"camera": text.camera_label(F.col("_capture.make"), F.col("_capture.model")), "iso": F.col("_capture.iso"), "taken_at": F.col("_capture.taken_at")}).drop("_capture")
+    rows = rows.withColumns({"camera": text.camera_label(F.col("capture.make"), F.col("capture.model")), "iso": F.col("capture.iso"), "taken_at": F.col("capture.taken_at")}).drop("capture")
     raw = F.struct(*[F.coalesce(F.col("raw_metrics")[k], F.lit(0.0)).alias(k) for k in ("edge_strength", "laplacian_variance", "mean_luma", "shadow_clip", "highlight_clip", "contrast_std", "colorfulness", "noise_sigma", "grain_ratio", "megapixels", "entropy")])
     rows = rows.withColumn("_raw", raw)
     rows = rows.withColumn("metrics", F.struct(*[c.alias(k) for k, c in quality.metrics(F.col("_raw")).items()]))
@@ -143,9 +121,9 @@ def analyse_files(spark: SparkSession, paths: DataFrame, settings: Settings | No
             "score": F.when(ok, quality.score(F.col("metrics"), F.col("iso"), s.weights)).otherwise(0.0),
             "metrics": F.when(ok, F.col("metrics")),
             "status": F.when(ok, "ok").otherwise("error"),
-            "error": F.when(ok, "").otherwise(F.coalesce("error", F.lit("cannot be decoded"))),
+            "error": F.when(ok, "").otherwise(F.coalesce(F.nullif(F.col("unread"), F.lit("")), "error", F.lit("cannot be decoded"))),
         }
-    ).drop("_raw")
+    ).drop("_raw", "unread")
 
 
 def _analyse_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -157,60 +135,93 @@ def _analyse_one(path: str, height: int, width: int, channels: int, data: bytes,
     blank = ("", "", "", None, None, None)
     if height is None or height <= 0 or width <= 0 or channels not in (1, 3, 4):
         return (path, 0, 0, *blank, "error", "cannot be decoded")
-    pixels = np.frombuffer(bytes(data), np.uint8).reshape(height, width, channels)
-    # the image source stores blue, green, red (and opacity)
-    rgb = np.repeat(pixels, 3, axis=2) if channels == 1 else pixels[..., 2::-1]
-    mirrored, quarters = exif.upright_steps(None if orientation is None or orientation != orientation else int(orientation))
-    rgb = np.ascontiguousarray(np.rot90(rgb[:, ::-1] if mirrored else rgb, quarters))
+    rgb = _pixels(height, width, channels, data, orientation)
     height, width = rgb.shape[:2]
-    rgb = kernels.scaled(rgb.astype(np.float64) / 255)
+    rgb = kernels.scaled(rgb) / 255.0
     gray = kernels.luminance(rgb)
     f = kernels.fingerprint(gray, rgb)
     return (path, width, height, f["phash"], f["dhash"], f["ahash"], f["color_sig"], f["rotations"], kernels.measure(gray, rgb, width * height / 1e6), "ok", "")
 
 
-def write_manifest_csv(rows: DataFrame, target: str) -> None:
-    """One CSV file with a header, streamed row by row."""
-    Path(target).parent.mkdir(parents=True, exist_ok=True)
-    with open(target, "w", encoding="utf-8", newline="") as f:
-        out = csv.writer(f)
-        out.writerow(rows.columns)
-        out.writerows(rows.orderBy("rank").toLocalIterator())
-
-
-def write_manifest_json(rows: DataFrame, target: str, naming: str, mode: str, generated_at: str) -> None:
-    """One document with the exported photos, streamed row by row."""
-    count = rows.count()
-    head = {"generated_by": "lumidex", "generated_at": generated_at, "count": count, "naming": naming, "mode": mode}
-    with open(target, "w", encoding="utf-8") as f:
-        f.write(json.dumps(head)[:-1] + ', "photos": [')
-        for i, row in enumerate(rows.orderBy("rank").toLocalIterator()):
-            f.write((", " if i else "") + json.dumps(row.asDict(), default=str))
-        f.write("]}")
+def _pixels(height: int, width: int, channels: int, data: bytes, orientation: float | None) -> np.ndarray:
+    """Upright red, green and blue of a decoded picture, 0 to 255."""
+    pixels = np.frombuffer(bytes(data), np.uint8).reshape(int(height), int(width), int(channels))
+    # the image source stores blue, green, red (and opacity)
+    rgb = np.repeat(pixels, 3, axis=2) if channels == 1 else pixels[..., 2::-1]
+    mirrored, quarters = exif.upright_steps(None if orientation is None or orientation != orientation else int(orientation))
+    return np.ascontiguousarray(np.rot90(rgb[:, ::-1] if mirrored else rgb, quarters))
 
 
 def place_files(plan: DataFrame, mode: str = "copy", max_edge: int = 0) -> DataFrame:
     """Carries out a plan (``path, target``) by copy, move or symlink: ``path, target, bytes, error``, one row for each, error empty where it went well.
 
     Tasks place files side by side, as targets differ; run again after a lost executor, a file that
-    is there already counts as placed. Nothing is written over. Copies with a bounded edge need an
-    imaging library and fail; a link cannot be resized at all.
+    is there already counts as placed. Nothing is written over. With ``max_edge`` copies are written anew, upright, with no edge longer than that, as
+    PNG; other formats want an encoder that is not there and fail, and a link cannot be resized at all.
     """
-    refused = ""
-    if max_edge > 0:
-        refused = "cannot resize when exporting as symbolic links" if mode == "symlink" else "cannot resize without an imaging library"
+    if max_edge > 0 and mode != "symlink":
+        return _place_resized(plan, mode, max_edge)
+    refused = "cannot resize when exporting as symbolic links" if max_edge > 0 else ""
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(p, t, *_place_one(p, t, mode, refused)) for p, t in zip(pdf["path"], pdf["target"])]
+            rows = [(p, t, *((0, refused) if refused else _place_one(p, t, mode))) for p, t in zip(pdf["path"], pdf["target"])]
             yield pd.DataFrame(rows, columns=["path", "target", "bytes", "error"])
 
     return cut(plan.select("path", "target").mapInPandas(place, "path string, target string, bytes long, error string"))
 
 
-def _place_one(path: str, target: str, mode: str, refused: str) -> tuple[int, str]:
-    if refused:
-        return 0, refused
+def placed_so_far(plan: DataFrame) -> DataFrame:
+    """What of a plan stands at its target, as ``place_files`` tells it: after a run that was stopped, whose rows are not known."""
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(p, t, os.stat(t).st_size, "") for p, t in zip(pdf["path"], pdf["target"]) if os.path.lexists(t) and os.path.exists(t)]
+            yield pd.DataFrame(rows, columns=["path", "target", "bytes", "error"])
+
+    return cut(plan.select("path", "target").mapInPandas(look, "path string, target string, bytes long, error string"))
+
+
+def _place_resized(plan: DataFrame, mode: str, max_edge: int) -> DataFrame:
+    spark, schema = plan.sparkSession, "path string, target string, bytes long, error string"
+    plan = cut(plan.select("path", "target").withColumn("png", text.extension(F.col("target")) == ".png"))
+    facts = cut(read_facts(plan.where("png").select("path").distinct()).where("unread = ''").select("path", F.col("capture.orientation").alias("orientation")))
+    pictures = _pictures(spark, facts).join(facts, "path")
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for p, t, png, height, width, channels, data, orientation in zip(*(pdf[c] for c in ("path", "target", "png", "height", "width", "channels", "data", "orientation"))):
+                if not png:
+                    rows.append((p, t, 0, "only PNG files can be written anew"))
+                elif data is None:
+                    rows.append((p, t, 0, "cannot be decoded" if os.path.exists(p) else f"No such file: {p}"))
+                else:
+                    rows.append((p, t, *_written(p, t, mode, _pixels(height, width, channels, data, orientation), max_edge)))
+            yield pd.DataFrame(rows, columns=["path", "target", "bytes", "error"])
+
+    return cut(plan.join(pictures, "path", "left").mapInPandas(place, schema))
+
+
+def _written(path: str, target: str, mode: str, rgb: np.ndarray, max_edge: int) -> tuple[int, str]:
+    try:
+        made = kernels.png(kernels.within(rgb, max_edge))
+        to = Path(target)
+        to.parent.mkdir(parents=True, exist_ok=True)
+        if to.exists() and to.read_bytes() != made:
+            return 0, "something else stands at the target"
+        half = to.with_name(f".{to.name}.{uuid.uuid4().hex}")
+        half.write_bytes(made)
+        os.replace(half, to)
+        if mode == "move":
+            with contextlib.suppress(FileNotFoundError):
+                os.remove(path)
+        return len(made), ""
+    except OSError as e:
+        return 0, str(e)
+
+
+def _place_one(path: str, target: str, mode: str) -> tuple[int, str]:
     to = Path(target)
     try:
         to.parent.mkdir(parents=True, exist_ok=True)
@@ -254,3 +265,6 @@ def delete_files(paths: DataFrame) -> tuple[int, list[tuple[str, str]]]:
     fates = cut(paths.select("path").mapInPandas(remove, "path string, error string"))
     failed = [(r.path, r.error) for r in fates.where("error != ''").collect()]
     return fates.where("error = ''").count(), failed
+
+
+__all__ = ["analyse_files", "count_files", "delete_files", "digests", "list_files", "place_files", "placed_so_far", "read_facts", "write_manifest_csv", "write_manifest_json"]

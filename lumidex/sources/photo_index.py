@@ -1,11 +1,19 @@
 """The photo index: its schema, its files, and a derived collection over the test tables.
 
 The index is a directory of versions, each a Parquet table; a new version is written beside the
-old one and becomes current when its marker file lies next to it, so readers never see a half.
+old ones and becomes current when its commit file is there, so readers never see a half. A commit
+file appears whole, under the number after the version that the writer has read, or not at all if that number is
+taken: of two writers that start from one version the second is told so, and starts again from the
+first one's version (``update_index``). The file also tells which batch of each stream is in the index.
 """
 
 from __future__ import annotations
 
+import json
+import os
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,34 +36,121 @@ def empty_index(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], SCHEMA)
 
 
-def read_index(spark: SparkSession, root: str) -> DataFrame:
-    """The current version, or an empty index."""
-    version = _versions(spark, root)
-    return spark.read.schema(SCHEMA).parquet(f"{root}/v{version[-1]:08d}") if version else empty_index(spark)
+class Conflict(RuntimeError):
+    """Another writer has made a new version meanwhile."""
+
+
+def read_index(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+    """The current version, or that one; an empty index if there is none."""
+    version = current_version(spark, root) if version is None else version
+    return spark.read.schema(SCHEMA).parquet(_commit(spark, root, version)["data"]) if version else empty_index(spark)
+
 
+def current_version(spark: SparkSession, root: str) -> int:
+    """The number of the last finished version, 0 if there is none."""
+    return max(_numbers(spark, root)[0], default=0)
 
-def write_index(df: DataFrame, root: str) -> int:
-    """Writes the next version; what is being read stays as it is. Returns its number.
 
-    Numbers go above those of unfinished versions too: what a crashed write has left is never
-    written over or read, and does not stand in the way.
+def write_index(df: DataFrame, root: str, base: int | None = None, batch: tuple[str, int] | None = None) -> int:
+    """Writes the next version and returns its number; what is being read stays as it is.
+
+    ``base`` is the version that ``df`` was made from: if it is not the current one any more, that is
+    a ``Conflict`` and nothing changes. Without it the version goes on top of whatever is there. ``batch``
+    names a stream and the number of its batch that is in ``df``. Numbers go above those of unfinished
+    versions too: what a crashed write has left is never written over or read, and does not stand in
+    the way.
     """
     spark = df.sparkSession
-    number = (_versions(spark, root, finished=False) or [0])[-1] + 1
-    df.write.parquet(f"{root}/v{number:08d}")
-    return number
+    data = f"{root}/data-{uuid.uuid4().hex}"
+    if base is not None and base != current_version(spark, root):
+        raise Conflict(f"version {base} is not the current one")
+    df.write.parquet(data)
+    while True:
+        done, every = _numbers(spark, root)
+        current, number = max(done, default=0), max(every, default=0) + 1
+        if base is not None and base != current:
+            break
+        batches = _commit(spark, root, current).get("batches", {}) | (dict([batch]) if batch else {})
+        if _appears(spark, f"{root}/v{number:08d}.json", json.dumps({"data": os.path.basename(data), "batches": batches})):
+            return number
+    _path(spark, data)[0].delete(_path(spark, data)[1], True)
+    raise Conflict(f"version {base} is not the current one")
+
+
+def update_index(spark: SparkSession, root: str, change: Callable[[DataFrame], DataFrame], batch: tuple[str, int] | None = None, tries: int = 20) -> int:
+    """Makes the next version from the current one by ``change``, again from the new one as long as other writers come first; so no writer's change is lost.
+
+    A batch of a stream that is in the index already changes nothing.
+    """
+    for _ in range(tries):
+        base = current_version(spark, root)
+        if batch is not None and batch[1] <= _commit(spark, root, base).get("batches", {}).get(batch[0], -1):
+            return base
+        try:
+            return write_index(change(read_index(spark, root, base)), root, base, batch)
+        except Conflict:
+            continue
+    raise Conflict(f"{tries} tries, and other writers came first each time")
 
 
-def _versions(spark: SparkSession, root: str, finished: bool = True) -> list[int]:
-    """Versions, told as finished by the marker that Spark leaves after the last file."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(conf)
+def _path(spark: SparkSession, name: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def _numbers(spark: SparkSession, root: str) -> tuple[list[int], list[int]]:
+    """Numbers of finished versions, and of all that something is left of. Without a commit file a version is a folder that is finished by Spark's marker."""
+    fs, path = _path(spark, root)
     if not fs.exists(path):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(path)]
-    done = [n for n in names if n[:1] == "v" and n[1:].isdigit() and (not finished or fs.exists(jvm.org.apache.hadoop.fs.Path(f"{root}/{n}/_SUCCESS")))]
-    return sorted(int(n[1:]) for n in done)
+        return [], []
+    names = {s.getPath().getName() for s in fs.listStatus(path)}
+    every = {int(n[1:9]): n for n in sorted(names) if n[:1] == "v" and n[1:9].isdigit() and n[9:] in ("", ".json")}
+    done = [k for k, n in every.items() if n.endswith(".json") or fs.exists(_path(spark, f"{root}/{n}/_SUCCESS")[1])]
+    return sorted(done), sorted(every)
+
+
+def _commit(spark: SparkSession, root: str, version: int) -> dict:
+    """What a version's commit file tells, its data with their place."""
+    if not version:
+        return {}
+    name = f"{root}/v{version:08d}"
+    fs, path = _path(spark, name + ".json")
+    if not fs.exists(path):
+        return {"data": name}
+    held = fs.open(path)
+    try:
+        told = json.loads(bytes(held.readAllBytes()))
+    finally:
+        held.close()
+    return told | {"data": f"{root}/{told['data']}"}
+
+
+def _appears(spark: SparkSession, name: str, said: str) -> bool:
+    """Whether a file with that content now stands under the name, where none stood: whole, and for one writer only.
+
+    On a local file system by a hard link, else by a rename, which a store like HDFS refuses if the name is taken.
+    """
+    fs, path = _path(spark, name)
+    beside = f"{os.path.dirname(name)}/.{uuid.uuid4().hex}"
+    if fs.getScheme() == "file":
+        plain = lambda n: _path(spark, n)[1].toUri().getPath()
+        os.makedirs(os.path.dirname(plain(name)), exist_ok=True)
+        with open(plain(beside), "w", encoding="utf-8") as f:
+            f.write(said)
+        try:
+            os.link(plain(beside), plain(name))
+        except FileExistsError:
+            return False
+        finally:
+            os.remove(plain(beside))
+        return True
+    out = fs.create(_path(spark, beside)[1], False)
+    out.write(bytearray(said.encode()))
+    out.close()
+    if not fs.exists(path) and fs.rename(_path(spark, beside)[1], path):
+        return True
+    fs.delete(_path(spark, beside)[1], False)
+    return False
 
 
 def planes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,24 +15,27 @@ from lumidex.sources import exif, files, photo_index
 SMALL = Settings(min_file_bytes=20)
 
 
-def tiff(order="<", make="Canon", model="Canon EOS R5", iso=400, orientation=6, taken="2024:05:06 07:08:09"):
-    """A TIFF block with two directories."""
+def tiff(order="<", make="Canon", model="Canon EOS R5", iso=400, orientation=6, taken="2024:05:06 07:08:09", **more):
+    """A TIFF block with two directories; ``more`` adds measured values to the inner one."""
     pack = lambda form, *x: struct.pack(order + form, *x)
-    texts, outer, inner = b"", [], []
-    base = 8 + 2 + 12 * 4 + 4 + 2 + 12 * 2 + 4
+    held, outer, inner = b"", [], []
+    base = 8 + 2 + 12 * 4 + 4 + 2 + 12 * (2 + len(more)) + 4
 
-    def ascii_(tag, value):
-        nonlocal texts
-        raw = value.encode() + b"\0"
-        entry = (tag, 2, len(raw), pack("I", base + len(texts)) if len(raw) > 4 else raw.ljust(4, b"\0"))
-        texts += raw if len(raw) > 4 else b""
-        return entry
+    def entry(tag, kind, count, raw):
+        nonlocal held
+        value = pack("I", base + len(held)) if len(raw) > 4 else raw.ljust(4, b"\0")
+        held += raw if len(raw) > 4 else b""
+        return (tag, kind, count, value)
 
+    ascii_ = lambda tag, value: entry(tag, 2, len(value.encode()) + 1, value.encode() + b"\0")
     short = lambda tag, value: (tag, 3, 1, pack("HH", value, 0))
     outer = [ascii_(271, make), ascii_(272, model), short(274, orientation), (34665, 4, 1, pack("I", 8 + 2 + 12 * 4 + 4))]
     inner = [short(34855, iso), ascii_(36867, taken)]
+    kinds = {"exposure_time": (33434, 5, "II"), "f_number": (33437, 5, "II"), "shutter_speed": (37377, 10, "ii"), "focal_length": (37386, 5, "II")}
+    for name, value in more.items():
+        inner.append(ascii_(42036, value) if name == "lens" else short(41986, value) if name == "exposure_mode" else entry(*kinds[name][:2], 1, pack(kinds[name][2], *value)))
     entries = lambda rows: pack("H", len(rows)) + b"".join(pack("HHI", t, k, n) + v for t, k, n, v in rows) + pack("I", 0)
-    return (b"II*\0" if order == "<" else b"MM\0*") + pack("I", 8) + entries(outer) + entries(inner) + texts
+    return (b"II*\0" if order == "<" else b"MM\0*") + pack("I", 8) + entries(outer) + entries(inner) + held
 
 
 def jpeg(block):
@@ -50,11 +53,15 @@ def png(path, seed, w=32, h=24, block=b"", blur=0):
 
 @pytest.mark.parametrize("order", "<>")
 def test_capture_facts(order):
-    want = {"make": "Canon", "model": "Canon EOS R5", "iso": 400, "orientation": 6, "taken_at": datetime.datetime(2024, 5, 6, 7, 8, 9)}
+    more = {"exposure_time": None, "f_number": None, "shutter_speed": None, "focal_length": None, "exposure_mode": None, "lens": ""}
+    want = {"make": "Canon", "model": "Canon EOS R5", "iso": 400, "orientation": 6, "taken_at": datetime.datetime(2024, 5, 6, 7, 8, 9)} | more
+    measured = tiff(order, exposure_time=(1, 250), f_number=(28, 10), shutter_speed=(-3, 2), focal_length=(50, 1), exposure_mode=1, lens="RF 50mm F1.2")
+    assert exif.capture_facts(measured) == want | {"exposure_time": 1 / 250, "f_number": 2.8, "shutter_speed": -1.5, "focal_length": 50.0, "exposure_mode": 1, "lens": "RF 50mm F1.2"}
+    assert exif.capture_facts(tiff(order, f_number=(1, 0)))["f_number"] is None
     block = tiff(order)
     assert exif.capture_facts(block) == exif.capture_facts(jpeg(block)) == want
     assert exif.capture_facts(tiff(order, taken="not a time"))["taken_at"] is None
-    nothing = {"make": "", "model": "", "iso": None, "orientation": None, "taken_at": None}
+    nothing = {"make": "", "model": "", "iso": None, "orientation": None, "taken_at": None} | more
     for broken in (b"", b"\xff\xd8", jpeg(b"II*\0"), b"II*\0\xff\xff\xff\x7f", b"MM\0*", b"\x89PNG\r\n\x1a\n\0\0", b"text" * 9):
         assert exif.capture_facts(broken) == nothing
     for cut in range(len(block)):
@@ -65,7 +72,7 @@ def test_scan_reads_capture_facts_and_turns_pictures(spark, tmp_path):
     png(tmp_path / "s" / "up.png", 3, w=30, h=20)
     png(tmp_path / "s" / "turned.png", 3, w=30, h=20, block=tiff(">"))
     result = workflows.scan(spark, str(tmp_path / "i"), [str(tmp_path / "s")], SMALL)
-    assert (result.indexed, result.failed) == (2, 0) and "2 of 2" in result.summary()
+    assert (result.indexed, result.failed) == (2, 0) and result.summary().startswith("2 photos: 2 analysed, 0 unchanged in ")
     rows = {r.filename: r for r in photo_index.read_index(spark, str(tmp_path / "i")).collect()}
     up, turned = rows["up.png"], rows["turned.png"]
     assert (up.width, up.height, turned.width, turned.height) == (30, 20, 20, 30)

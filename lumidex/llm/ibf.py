@@ -6,7 +6,8 @@ characters on, where there is none at the end of the first word from ``SHORT`` c
 in each third of it; a cell holds the number of its digests, their XOR and the XOR of their
 checksums. The difference of two sketches, cell by cell, holds only the digests that the texts do
 not share. Peeling takes out cells with one digest and removes it from its other cells, round by
-round, until nothing is left; if something stays, both texts are sketched again four times larger.
+round, until nothing is left; if something stays, both texts are sketched again, with ``EACH`` cells
+for each digest that the failed sketch tells to differ, and then twice as large each time.
 The digests recovered give the likeness: shared paragraphs among all paragraphs of the two.
 
 Sketches are kept sparse, as cells in order of place, and every step is an expression on one row.
@@ -17,17 +18,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumidex.llm.common import id_back, id_key, let
+from lumidex.llm.common import id_back, id_key, let, unused
 from lumidex.session import cut
 
-#: Characters of a paragraph before a sentence end cuts it, at most, and before a word's end does if no sentence ends; cells of a fingerprint; rounds of peeling; retries; spare cells of a retry.
+#: Characters of a paragraph before a sentence end cuts it, at most, and before a word's end does if no sentence ends; cells of a fingerprint; rounds of peeling; retries; cells of the first retry for each digest expected (peeling wants 1.23).
 PARAGRAPH = 96
 LONGEST = 160
 SHORT = 24
 CELLS = 24
 ROUNDS = 30
-RETRIES = 6
-SPARE = 1024
+RETRIES = 12
+EACH = 3
 #: Places of a retry at most: for each paragraph that a text can have (its characters fit 31 bits) there are more than it needs.
 MOST_CELLS = 3 << 29
 _SENTENCE = rf"[^\n]{{{PARAGRAPH},{LONGEST}}}?(?:[.!?]+(?=\s|$)|[。！？…।؟۔]+)"
@@ -148,15 +149,16 @@ def _peeled(difference: Column, cells: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda acc: F.struct((F.size(acc["cells"]) == 0).alias("done"), acc["found"].alias("found")))
 
 
-def with_likeness(df: DataFrame, out: str, a: str, b: str, sketch_a: str, sketch_b: str) -> DataFrame:
+def with_likeness(df: DataFrame, out: str, a: str, b: str, sketch_a: str, sketch_b: str, attempts: str | None = None) -> DataFrame:
     """Adds the likeness of two columns of digests with their sketches: shared paragraphs among all, 0 to 1; 1 if there are none.
 
     The given sketches are subtracted and peeled. Where they are too small, their difference still
     tells how much differs: the squares of its counts add up to three for each digest, and a part
-    that the sizes explain. Both sides are sketched again with ``3 SPARE`` cells for each digest
-    expected, and four times as many each time that this fails. Sketches are sparse, so the cells to spare
-    cost nothing, and with so many most differences are peeled in one round.
+    that the sizes explain. Both sides are sketched again with ``EACH`` cells for each digest
+    expected, and with twice as many each time that peeling leaves something. ``attempts`` names a column that tells how many
+    sketches it took: 1 for the given ones, and ``RETRIES + 2`` where the sets themselves settled it.
     """
+    first, expected, tried, differ = unused(df, "first", "expected", "tried", "differ")
     size_a, size_b = F.size(a), F.size(b)
 
     def attempt(d: Column) -> Column:
@@ -164,25 +166,27 @@ def with_likeness(df: DataFrame, out: str, a: str, b: str, sketch_a: str, sketch
         return let(_peeled(d, F.lit(CELLS)), lambda r: F.struct(r["done"].alias("done"), r["found"].alias("found"), squares.alias("squares")))
 
     apart = (size_a - size_b).cast("double")
-    expected = (F.col("_first.squares") - 9 * apart * apart / CELLS) / 3
-    expected = F.least(F.greatest(expected, F.abs(apart), F.lit(8.0)), (size_a + size_b).cast("double"))
+    guess = (F.col(f"{first}.squares") - 9 * apart * apart / CELLS) / 3
+    guess = F.least(F.greatest(guess, F.abs(apart), F.lit(8.0)), (size_a + size_b).cast("double"))
 
     def again(acc: Column, i: Column) -> Column:
-        cells = F.least(3 * F.ceil(SPARE * F.col("_expected")) * F.pow(F.lit(4), i - 1), F.lit(float(MOST_CELLS))).cast("int")
-        tried = let(_difference(F.col(a), F.col(b), cells), lambda d: _peeled(d, cells))
-        return F.when(acc["done"], acc).otherwise(tried)
+        cells = F.least(3 * F.ceil(EACH * F.col(expected) / 3) * F.pow(F.lit(2), i - 1), F.lit(float(MOST_CELLS))).cast("int")
+        peeled = let(_difference(F.col(a), F.col(b), cells), lambda d: _peeled(d, cells))
+        return F.when(acc["done"], acc).otherwise(let(peeled, lambda r: F.struct(r["done"].alias("done"), r["found"].alias("found"), (i + 1).alias("sketches"))))
 
-    rows = df.withColumn("_first", let(_subtracted(F.col(sketch_a), F.col(sketch_b)), attempt)).withColumn("_expected", expected)
-    begun = F.struct(F.col("_first.done").alias("done"), F.col("_first.found").alias("found"))
+    rows = df.withColumn(first, let(_subtracted(F.col(sketch_a), F.col(sketch_b)), attempt)).withColumn(expected, guess)
+    begun = F.struct(F.col(f"{first}.done").alias("done"), F.col(f"{first}.found").alias("found"), F.lit(1).alias("sketches"))
     larger = F.aggregate(F.sequence(F.lit(1), F.lit(RETRIES)), begun, again)
-    rows = rows.withColumn("_tried", F.when(F.col("_first.done"), begun).otherwise(larger))
+    rows = rows.withColumn(tried, F.when(F.col(f"{first}.done"), begun).otherwise(larger))
     # no sketch of the ladder is ever too small in practice; the sets themselves settle it if one is
     exact = F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
-    differ = F.when(F.col("_tried.done"), F.col("_tried.found")).otherwise(exact)
-    rows = rows.withColumn("_differ", differ)
+    rows = rows.withColumn(differ, F.when(F.col(f"{tried}.done"), F.col(f"{tried}.found")).otherwise(exact))
     both = size_a + size_b
-    shared = F.when(both == 0, F.lit(1.0)).otherwise((both - F.col("_differ")) / (both + F.col("_differ")))
-    return rows.withColumn(out, shared).drop("_first", "_expected", "_tried", "_differ")
+    shared = F.when(both == 0, F.lit(1.0)).otherwise((both - F.col(differ)) / (both + F.col(differ)))
+    rows = rows.withColumn(out, shared)
+    if attempts:
+        rows = rows.withColumn(attempts, F.when(F.col(f"{tried}.done"), F.col(f"{tried}.sketches")).otherwise(RETRIES + 2))
+    return rows.drop(first, expected, tried, differ)
 
 
 def written(digests: Column, cells: Column) -> Column:
@@ -245,8 +249,8 @@ def version_report(df: DataFrame) -> DataFrame:
     rows = rows.select("k0", "n", "digests", F.concat(F.substring("text", F.lit(1), F.col("n") - quarter), "v.head").alias("edited"), "v.next_digests", "v.times")
     rows = rows.select("k0", "n", "digests", "next_digests", "times", F.sha2("edited", 256).alias("edited_sha256"), paragraph_digests(F.col("edited")).alias("edited_digests"))
     rows = rows.withColumns({"cells": sketch(F.col("digests")), "edited_cells": sketch(F.col("edited_digests")), "next_cells": sketch(F.col("next_digests"))})
-    rows = with_likeness(rows, "near_edited", "digests", "edited_digests", "cells", "edited_cells")
-    rows = with_likeness(rows, "near_next", "digests", "next_digests", "cells", "next_cells")
+    rows = with_likeness(rows, "near_edited", "digests", "edited_digests", "cells", "edited_cells", "sketches_edited")
+    rows = with_likeness(rows, "near_next", "digests", "next_digests", "cells", "next_cells", "sketches_next")
     made = rows.select(
         id_back(df, "doc_id", "k0").alias("doc_id"),
         F.col("n").cast("long").alias("n_chars"),
@@ -255,6 +259,8 @@ def version_report(df: DataFrame) -> DataFrame:
         written(F.col("edited_digests"), F.col("edited_cells")).alias("edited_fingerprint"),
         "near_edited",
         "near_next",
+        "sketches_edited",
+        "sketches_next",
         "times",
     )
     return made.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).drop("_copy", "times")

@@ -28,7 +28,7 @@ SHORT = 24
 CELLS = 24
 ROUNDS = 30
 RETRIES = 12
-EACH = 3
+EACH = 24
 #: Places of a retry at most: for each paragraph that a text can have (its characters fit 31 bits) there are more than it needs.
 MOST_CELLS = 3 << 29
 _SENTENCE = rf"[^\n]{{{PARAGRAPH},{LONGEST}}}?(?:[.!?]+(?=\s|$)|[。！？…।؟۔]+)"
@@ -118,7 +118,8 @@ def _difference(a: Column, b: Column, cells: Column) -> Column:
 def _peeled(difference: Column, cells: Column) -> Column:
     """``done, found``: whether peeling empties the sketch, and how many digests it takes out.
 
-    A cell with one digest is empty without it, so only the other cells are added up again.
+    A cell with one digest is empty without it, so only the other cells are added up again; and not even those
+    if all cells add up to what was taken out, each digest thrice: then nothing else is left in them.
     """
     start = F.struct(difference.alias("cells"), F.lit(0).alias("found"), (F.size(difference) > 0).alias("live"))
     pure = lambda x: (F.abs(x["n"]) == 1) & (x["h"] == _check(x["k"]))
@@ -141,7 +142,16 @@ def _peeled(difference: Column, cells: Column) -> Column:
                 entry = lambda c, n: F.when(n < n_rest, f["rest"][F.least(n.cast("int"), n_rest - 1)]).otherwise(gone(c, F.greatest(n.cast("int") - n_rest, F.lit(0))))
                 return _added(F.concat(held, _numbered(keys, cells, n_rest)), entry, n_rest)
 
-            cells_ = F.when((n_rest == 0) | (size == 0), f["rest"]).otherwise(let(F.concat(f["more"], f["less"]), left))
+            def remaining(keys: Column) -> Column:
+                zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("h"))
+                add = lambda t, n, k, h: F.struct((t["n"] + n).alias("n"), t["k"].bitwiseXOR(k).alias("k"), t["h"].bitwiseXOR(h).alias("h"))
+                held = F.aggregate(acc["cells"], zero, lambda t, x: add(t, x["n"], x["k"], x["h"]))
+                taken_out = F.aggregate(keys, zero, lambda t, k: add(t, F.lit(0).cast("long"), k, _check(k)))
+                counted = (3 * (n_more - F.size(f["less"]))).cast("long")
+                all_out = let(F.struct(held.alias("a"), taken_out.alias("b")), lambda x: (x["a"]["k"] == x["b"]["k"]) & (x["a"]["h"] == x["b"]["h"]) & (x["a"]["n"] == counted))
+                return F.when(all_out, F.array().cast(_CELL)).otherwise(left(keys))
+
+            cells_ = F.when((n_rest == 0) | (size == 0), f["rest"]).otherwise(let(F.concat(f["more"], f["less"]), remaining))
             return let(cells_, lambda r: F.struct(r.alias("cells"), (acc["found"] + size).alias("found"), ((size > 0) & (F.size(r) > 0)).alias("live")))
 
         return F.when(acc["live"], let(found, taken)).otherwise(acc)

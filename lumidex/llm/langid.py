@@ -3,12 +3,17 @@
 In each direction a gated recurrent unit runs over a text's UTF-8 bytes: ``z = s(A_z[byte] + h U_z)``,
 ``r = s(A_r[byte] + h U_r)``, ``c = tanh(A_c[byte] + (r h) U_c)``, ``h += z (c - h)``. The two states
 of a position give a distribution over the languages; the mean over all positions is the
-document's distribution. Every byte of a text is read. Texts of up to ``WINDOW`` bytes run as they are. Of
-longer ones ``WINDOW`` bytes at a time run side by side, and each direction starts ``LEAD`` bytes
-before the first position that it labels, so that its state holds what stands there. The network is trained by
-backpropagation through time, with every position labelled by its document's language, on at most
-``docs_per_lang`` labelled documents of each language and ``PIECES`` pieces of each, so that the
-fit costs the same at any size.
+document's distribution. Every byte of a text is read, and each state follows from all bytes before it.
+
+Texts are cut into windows that run side by side, first from a state of zero. Then each
+window starts again from the last state of the one before it, and goes on until its states are those that it had; where they differ up to its
+end, the next window starts once more. So the states are those of a run from end to end, within ``NEAR``, for texts of any length, while
+few steps are done twice, as a unit forgets. Of texts too long to be held a strip is done at once, with ``OVER`` windows on
+either side.
+
+The network is trained by backpropagation through time, with every position labelled by its document's language,
+on at most ``docs_per_lang`` labelled documents of each language. Of their whole texts, cut into pieces, at most ``PIECES_PER_LANG``
+are drawn, each as likely as any other, so that the fit costs the same at any size.
 """
 
 from __future__ import annotations
@@ -24,14 +29,19 @@ from pyspark.sql import functions as F
 
 from lumidex.llm.common import give_back, short_batches, unused, without
 
-WINDOW = 256
-LEAD = 32
+WINDOW = 512
+#: Steps after which a window that starts again is compared with what it was, and how near states are equal.
+CHECKED = 32
+NEAR = 1e-3
+#: Windows on either side of a strip of a very long text.
+OVER = 8
 HIDDEN = 8
 #: Labelled documents that the fit reads at most: of each language, and of all together (but one of each language at least).
 DOCS_PER_LANG = 400
 DOCS = 40_000
-#: Pieces of each, characters of a piece, and bytes of a window in training.
-PIECES = 3
+#: Pieces of their texts that it draws at most, likewise, characters of a piece, and bytes of a window in training.
+PIECES_PER_LANG = 5_000
+PIECES = 100_000
 PIECE_CHARS = 256
 TRAIN_WINDOW = 64
 #: Languages up to which their table (under 100 bytes a row) is broadcast; more are joined by a shuffle, with the same result.
@@ -39,7 +49,7 @@ BROADCAST_LANGS = 10_000
 #: Times the wanted documents that are ranked.
 MARGIN = 8
 #: Numbers that the states or the probabilities of the windows that run side by side take at most.
-NUMBERS = 3_000_000
+NUMBERS = 12_000_000
 UNKNOWN = "und"
 
 
@@ -70,16 +80,16 @@ def _sigmoid_in_place(x: np.ndarray) -> None:
     x *= 0.5
 
 
-def _run(w: dict[str, np.ndarray], side: str, columns: np.ndarray, keep: bool = False, live: np.ndarray | None = None) -> tuple[np.ndarray, list]:
+def _run(w: dict[str, np.ndarray], side: str, columns: np.ndarray, keep: bool = False, live: np.ndarray | None = None, start: np.ndarray | None = None) -> tuple[np.ndarray, list]:
     """States of one direction, in that direction's order of steps: (steps, windows, hidden).
 
-    Where ``live`` (steps, windows) is false the state stays as it is, zero at the start.
+    Where ``live`` (steps, windows) is false the state stays as it is, ``start`` (else zero) at first.
     """
     ag, ac, ug, uc = (w[side + k] for k in ("ag", "ac", "ug", "uc"))
     hidden = ac.shape[1]
     steps, n = columns.shape
     states = np.empty((steps, n, hidden), ac.dtype)
-    h = np.zeros((n, hidden), ac.dtype)
+    h = np.zeros((n, hidden), ac.dtype) if start is None else start
     g, u, c, m = (np.empty((n, k * hidden), ac.dtype) for k in (2, 2, 1, 1))
     tape = []
     for t in range(steps):
@@ -116,40 +126,67 @@ def _position_probabilities(w: dict[str, np.ndarray], forward: np.ndarray, backw
     return logits
 
 
+def _carried(w: dict[str, np.ndarray], side: str, columns: np.ndarray, live: np.ndarray | None, after: np.ndarray) -> np.ndarray:
+    """States of one direction as ``_run`` gives them, each window begun with the last state of the one before it: ``after`` names the next window, -1 if there is none."""
+    states, _ = _run(w, side, columns, live=live)
+    ends = np.flatnonzero(after >= 0)
+    while len(ends):  # windows whose last state is news to the next one
+        at, h = after[ends], states[-1][ends]
+        for t in range(0, len(columns), CHECKED):
+            until = min(t + CHECKED, len(columns))
+            again, _ = _run(w, side, columns[t:until, at], live=None if live is None else live[t:until, at], start=h)
+            moved = np.abs(again[-1] - states[until - 1, at]).max(axis=1) > NEAR
+            states[t:until, at] = again
+            at, h = at[moved], again[-1][moved]
+            if not len(at):
+                break
+        ends = at[after[at] >= 0]
+    return states
+
+
 def document_probabilities(net: Network, texts: list[bytes]) -> np.ndarray:
     """The mean over all positions of each text; zeros for an empty text."""
     total = np.zeros((len(texts), len(net.langs)))
-    # (text, from, to) of the positions that each window labels, by length, so that little is padded
-    spans = sorted(((i, lo, min(lo + WINDOW, len(t))) for i, t in enumerate(texts) for lo in range(0, len(t), WINDOW)), key=lambda s: s[1] - s[2])
-    at_once = max(1, NUMBERS // ((WINDOW + 2 * LEAD) * max(2 * HIDDEN, len(net.langs))))
-    for lo in range(0, len(spans), at_once):
-        part = spans[lo : lo + at_once]
-        longest = part[0][2] - part[0][1]
-        steps = LEAD + longest
-        size = np.array([b - a for _, a, b in part])
-        before = np.array([min(LEAD, a) for _, a, _ in part])
-        after = np.array([min(LEAD, len(texts[i]) - b) for i, _, b in part])
-        # forward: the lead ends where the labelled positions start; backward: likewise from the other end
-        there = b"".join(bytes(LEAD - p) + texts[i][a - p : b] + bytes(longest - (b - a)) for (i, a, b), p in zip(part, before.tolist()))
-        back = b"".join(bytes(longest - (b - a)) + texts[i][a : b + q] + bytes(LEAD - q) for (i, a, b), q in zip(part, after.tolist()))
-        there = np.ascontiguousarray(np.frombuffer(there, np.uint8).reshape(-1, steps).T)
-        back = np.ascontiguousarray(np.frombuffer(back, np.uint8).reshape(-1, steps).T[::-1])
-        step = np.arange(steps)[:, None]
-        forward, _ = _run(net.weights, "f", there, live=step >= LEAD - before)
-        backward, _ = _run(net.weights, "r", back, live=step >= LEAD - after)
-        # backward states in order of the text end together; those of shorter windows are moved to where the forward ones are
-        backward = backward[LEAD:][::-1]
-        if size[-1] < longest:
-            at = np.minimum(np.arange(longest)[:, None] + (longest - size)[None, :], longest - 1)
-            backward = np.take_along_axis(backward, at[:, :, None], axis=0)
-        p = _position_probabilities(net.weights, forward[LEAD:], backward)
-        if size[-1] < longest:
-            p[np.arange(longest)[:, None] >= size[None, :]] = 0
-        np.add.at(total, [i for i, _, _ in part], p.sum(axis=0, dtype=np.float64))
+    at_once = max(4 * OVER, NUMBERS // (WINDOW * max(2 * HIDDEN, len(net.langs))))
+    # (text, from, to, first and last byte that count): whole texts, or strips of them
+    strips = []
+    for i, t in enumerate(texts):
+        step = (at_once - 2 * OVER) * WINDOW if len(t) > at_once * WINDOW else max(1, len(t))
+        strips += [(i, max(0, lo - OVER * WINDOW), min(len(t), lo + step + OVER * WINDOW), lo, min(len(t), lo + step)) for lo in range(0, len(t), step)]
+    strips.sort(key=lambda s: s[2] - s[1])
+    windows = lambda s: -(-(s[2] - s[1]) // WINDOW)
+    while strips:
+        part, held = [], 0
+        while strips and (not part or held + windows(strips[-1]) <= at_once):
+            part.append(strips.pop())
+            held += windows(part[-1])
+        _add_strips(net, texts, part, total)
     lengths = np.array([max(1, len(t)) for t in texts])
     return total / lengths[:, None]
 
 
+def _add_strips(net: Network, texts: list[bytes], part: list[tuple[int, int, int, int, int]], total: np.ndarray) -> None:
+    """Adds up the distributions of the strips' positions that count; strips are in order of length, the longest first."""
+    steps = min(WINDOW, part[0][2] - part[0][1])
+    spans = [(k, lo, min(lo + steps, s[2])) for k, s in enumerate(part) for lo in range(s[1], s[2], steps)]
+    owner = np.array([k for k, _, _ in spans])
+    lo, hi = (np.array([x[j] for x in spans]) for j in (1, 2))
+    columns = np.frombuffer(b"".join(texts[part[k][0]][a:b].ljust(steps, b"\0") for k, a, b in spans), np.uint8).reshape(-1, steps).T
+    step = np.arange(steps)[:, None]
+    live = None if (hi - lo == steps).all() else step < (hi - lo)[None, :]
+    same = owner[1:] == owner[:-1]
+    follows = np.where(np.r_[same, False], np.arange(1, len(spans) + 1), -1)
+    leads = np.where(np.r_[False, same], np.arange(-1, len(spans) - 1), -1)
+    forward = _carried(net.weights, "f", np.ascontiguousarray(columns), live, follows)
+    # the padding of a last window comes first backward, and leaves the state at zero
+    backward = _carried(net.weights, "r", np.ascontiguousarray(columns[::-1]), None if live is None else live[::-1], leads)
+    p = _position_probabilities(net.weights, forward, backward[::-1])
+    first, last = (np.array([part[k][j] for k in owner]) for j in (3, 4))
+    place = lo[None, :] + step
+    p[(place < first) | (place >= np.minimum(last, hi))] = 0
+    np.add.at(total, [part[k][0] for k in owner], p.sum(axis=0, dtype=np.float64))
+
+
 def train(texts: list[bytes], labels: list[str], steps: int = 400, batch: int = 256, rate: float = 0.02, seed: int = 7) -> Network:
     """Fits by Adam on position labels. No text at all gives a network that knows no language."""
     langs = sorted(set(labels))
@@ -218,28 +255,31 @@ def in_fold(id_col: str = "doc_id") -> Column:
 
 
 def training_pieces(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", docs_per_lang: int = DOCS_PER_LANG) -> DataFrame:
-    """At most ``docs_per_lang`` documents of each language outside the fold, and at most ``DOCS`` of all but for one of each, ``PIECES`` pieces of each: ``lang, pieces``.
+    """``lang, piece``: pieces of at most ``docs_per_lang`` documents of each language outside the fold, and at most ``DOCS`` of all but for one of each.
 
     Rows with a null id, null or empty text or null language are no examples. From each language's count follows the
     share of its documents that is ranked at all, ``MARGIN`` times what is wanted, so what meets in
-    a task does not grow with the input. The languages are counted on the driver, which holds an output of the network for each.
+    a task does not grow with the input. The chosen texts are cut up whole, and of a language's pieces those with the least hashes
+    are drawn, ``PIECES_PER_LANG`` at most. The languages are counted on the driver, which holds an output of the network for each.
     """
     rows = df.where(~in_fold(id_col) & F.col(id_col).isNotNull() & F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(id_col).cast("string").alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     counts = rows.groupBy("lang").count().collect()
     wanted = min(docs_per_lang, max(1, DOCS // max(1, len(counts))))
     shares = df.sparkSession.createDataFrame(pa.table({"lang": pa.array([r["lang"] for r in counts], pa.string()), "share": pa.array([min(1.0, MARGIN * wanted / r["count"]) * 2**30 for r in counts], pa.float64())}))
-    places = [F.substring("text", F.lit(1) + F.pmod(F.xxhash64("key", F.lit(i)), F.greatest(F.length("text") - PIECE_CHARS, F.lit(0)) + 1).cast("int"), F.lit(PIECE_CHARS)) for i in range(PIECES)]
     shares = F.broadcast(shares) if len(counts) <= BROADCAST_LANGS else shares
-    short = rows.select("key", "lang", F.array(*places).alias("pieces")).join(shares, "lang")
-    short = short.where(F.pmod(F.xxhash64(F.lit(1), "key"), F.lit(2**30)) < F.col("share"))
+    some = rows.join(shares, "lang").where(F.pmod(F.xxhash64(F.lit(1), "key"), F.lit(2**30)) < F.col("share"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
-    return short.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= wanted).select("lang", "pieces")
+    chosen = some.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= wanted)
+    starts = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / PIECE_CHARS).cast("int"))
+    each = chosen.select("lang", "key", F.posexplode(F.transform(starts, lambda i: F.substring("text", i * PIECE_CHARS + 1, F.lit(PIECE_CHARS)))).alias("at", "piece"))
+    drawn = Window.partitionBy("lang").orderBy(F.xxhash64("key", "at"), "key", "at", "piece")
+    pieces = min(PIECES_PER_LANG, max(1, PIECES // max(1, len(counts))))
+    return each.withColumn("nth", F.row_number().over(drawn)).where(F.col("nth") <= pieces).select("lang", "piece")
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", docs_per_lang: int = DOCS_PER_LANG) -> Network:
     """Trains on the bounded sample of ``training_pieces``."""
-    rows = training_pieces(df, id_col, text, lang, docs_per_lang).collect()
-    rows = sorted((r.lang, p) for r in rows for p in dict.fromkeys(r.pieces))
+    rows = sorted((r.lang, r.piece) for r in training_pieces(df, id_col, text, lang, docs_per_lang).collect())
     return train([p.encode("utf-8", "surrogatepass") for _, p in rows], [x for x, _ in rows])
 
 

@@ -411,24 +411,49 @@ def test_gradients():
             assert abs((up - down) / (2 * step) - grads[k][at]) < 1e-6, k
 
 
-def test_network_is_the_plain_one():
-    """Side by side in windows against one position after the other; a text of one window has no approximation in it."""
+@pytest.mark.parametrize("numbers", [langid.NUMBERS, 1])
+def test_network_is_the_plain_one(monkeypatch, numbers):
+    """Side by side in windows, or in strips of them, against one position after the other from end to end, for texts of any length."""
+    monkeypatch.setattr(langid, "NUMBERS", numbers)
     rng = np.random.default_rng(4)
-    texts = [bytes(rng.integers(97, 120, n).astype(np.uint8)) for n in (0, 1, 5, 63, langid.WINDOW - 1, langid.WINDOW, 200, 900, 2 * langid.WINDOW)]
-    net = langid.train([t for t in texts if t], list("abcabcab"), steps=3)
+    lengths = (0, 1, 5, 63, langid.WINDOW - 1, langid.WINDOW, langid.WINDOW + 1, 200, 900, 2 * langid.WINDOW, 70 * langid.WINDOW + 3)
+    texts = [bytes(rng.integers(97, 120, n).astype(np.uint8)) for n in lengths]
+    net = langid.train([t for t in texts if t], list("abcabcabca"), steps=3)
     w = {k: v.astype(np.float64) for k, v in net.weights.items()}
     got = langid.document_probabilities(net, texts)
     for t, p in zip(texts, got):
-        parts = [brute.position_probabilities(w, t[max(0, lo - langid.LEAD) : lo + langid.WINDOW], t[lo : lo + langid.WINDOW + langid.LEAD])[: len(t) - lo] for lo in range(0, len(t), langid.WINDOW)]
-        want = np.concatenate(parts).mean(axis=0) if parts else np.zeros(3)
+        want = brute.position_probabilities(w, t).mean(axis=0) if t else np.zeros(3)
         assert np.abs(p - want).max() < 1e-4
     assert (got[0] == 0).all()
 
 
+def test_states_are_carried_as_far_as_they_reach():
+    """Units that hardly forget: the first bytes count up to the end of many windows."""
+    rng = np.random.default_rng(6)
+    texts = [bytes(rng.integers(97, 120, n).astype(np.uint8)) for n in (3000, 1500, 40)]
+    net = langid.train(texts, list("aba"), steps=2)
+    for side in "fr":
+        net.weights[side + "ag"][:, : langid.HIDDEN] -= 7  # the update gates are nearly shut
+    w = {k: v.astype(np.float64) for k, v in net.weights.items()}
+    for t, p in zip(texts, langid.document_probabilities(net, texts)):
+        assert np.abs(p - brute.position_probabilities(w, t).mean(axis=0)).max() < 1e-4
+
+
 def test_training_rows_are_bounded(spark):
     docs = spark.range(3000).selectExpr("id AS doc_id", "repeat('ab ', 200) AS text", "if(id % 3 = 0, 'hot', concat('l', id % 40)) AS lang")
     counts = {r.lang: r["count"] for r in langid.training_pieces(docs, docs_per_lang=20).groupBy("lang").count().collect()}
-    assert len(counts) == 41 and max(counts.values()) <= 20 and counts["hot"] == 20
+    assert len(counts) == 41 and max(counts.values()) == 60 and counts["hot"] == 60
+
+
+def test_the_fit_draws_from_whole_texts(spark, monkeypatch):
+    """Each piece of a text is in the sample, or as likely as any other where there are too many."""
+    text = "".join(chr(97 + i % 26) * 256 for i in range(100)) + "end"
+    docs = spark.createDataFrame([(1, text, "x"), (2, "b", "y")], "doc_id long, text string, lang string")
+    pieces = [r.piece for r in langid.training_pieces(docs).collect() if r.lang == "x"]
+    assert sorted(pieces) == sorted([text[i : i + 256] for i in range(0, len(text), 256)])
+    monkeypatch.setattr(langid, "PIECES_PER_LANG", 10)
+    few = [r.piece for r in langid.training_pieces(docs).collect() if r.lang == "x"]
+    assert len(few) == 10 and set(few) <= set(pieces)
 
 
 # sketches
@@ -485,6 +510,12 @@ def plain_sketch(digests):
     return cells
 
 
+def test_sketches_and_not_sets_settle_likeness(spark):
+    rows = ibf.version_report(spark.read.parquet(f"{oracle.DATA}/documents.parquet")).collect()
+    took = [n for r in rows for n in (r.sketches_edited, r.sketches_next)]
+    assert max(took) <= ibf.RETRIES and sum(n <= 2 for n in took) > 0.8 * len(took)
+
+
 def test_written_fingerprint(spark):
     rng = random.Random(12)
     texts = ["", "one", "\n".join(f"line {i} {rng.random()}" for i in range(40)), " ".join(str(rng.random()) for _ in range(300)), "same\n" * 9]

@@ -103,6 +103,54 @@ class BKTree:
                     waiting.append((child, follow))
 
 
+class BKForest:
+    """The metric trees of many shards at once, over codes of any number of 64-bit words (``words``: one array each).
+
+    Rows of a shard follow each other. All trees grow and are searched level by level, so that small shards cost no
+    steps of their own; children, edges and the rule to follow them are those of ``BKTree``.
+    """
+
+    def __init__(self, shard: np.ndarray, words: list[np.ndarray]):
+        n = len(shard)
+        self.words = words
+        self.edge = np.zeros(n, np.int16)
+        parent = np.full(n, -1, np.int64)
+        self.root = np.zeros(n, np.int64)
+        left, group = np.arange(n), shard
+        while len(left):
+            new = np.concatenate([[True], group[1:] != group[:-1]])
+            node = left[new][np.cumsum(new) - 1]
+            if len(left) == n:
+                self.root = node
+            left, node = left[~new], node[~new]
+            apart = self.apart(left, node)
+            parent[left], self.edge[left] = node, apart  # the last one set is that of its parent
+            group = node * (64 * len(words) + 1) + apart
+            order = np.argsort(group, kind="stable")
+            left, group = left[order], group[order]
+        self.children = np.argsort(parent, kind="stable")[np.count_nonzero(parent < 0) :]
+        self.count = np.bincount(parent[parent >= 0], minlength=n)
+        self.start = np.cumsum(self.count) - self.count
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return sum(np.bitwise_count(w[a] ^ w[b]).astype(np.int16) for w in self.words)
+
+    def within(self, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``(query, node)`` rows within the radius, for queries that are rows of the forest, each in the tree of its shard."""
+        at, node = queries, self.root[queries]
+        while len(at):
+            apart = self.apart(at, node)
+            near = (apart <= radius) & (at != node)
+            yield at[near], node[near]
+            many = self.count[node]
+            inner = many > 0
+            at, node, apart, many = at[inner], node[inner], apart[inner], many[inner]
+            first = np.cumsum(many) - many
+            child = self.children[np.repeat(self.start[node] - first, many) + np.arange(many.sum())]
+            follow = np.abs(self.edge[child] - np.repeat(apart, many)) <= radius
+            at, node = np.repeat(at, many)[follow], child[follow]
+
+
 def shard_links(tree: np.ndarray, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links ``(code, representative)`` that join what the links between tree and queries join, at most one for each code.
 
@@ -207,4 +255,4 @@ def near_duplicate_report(df: DataFrame) -> DataFrame:
     )
 
 
-__all__ = ["BKTree", "NO_ID", "fingerprints", "keep_one", "links", "near_duplicate_report", "near_duplicates", "text_fingerprint"]
+__all__ = ["BKForest", "BKTree", "NO_ID", "fingerprints", "keep_one", "links", "near_duplicate_report", "near_duplicates", "text_fingerprint"]

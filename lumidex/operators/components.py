@@ -44,10 +44,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
 
 def _settled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """All edges in one task: every node takes the least label of its neighbours, and that one's own, until nothing changes."""
+    """All edges in one task."""
     edges = pd.concat(list(batches), ignore_index=True)
-    nodes, places = np.unique(np.concatenate([edges["u"].to_numpy(), edges["v"].to_numpy()]), return_inverse=True)
-    u, v = places[: len(edges)], places[len(edges) :]
+    node, root = settled(edges["u"].to_numpy(), edges["v"].to_numpy())
+    yield pd.DataFrame({"node": node, "root": root})
+
+
+def settled(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(node, root)`` of an edge list: every node takes the least label of its neighbours, and that one's own, until nothing changes."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
     label = np.arange(len(nodes))
     while (label[u] != label[v]).any():
         least = np.minimum(label[u], label[v])
@@ -55,7 +61,7 @@ def _settled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         np.minimum.at(label, label[v], least)
         while (label[label] != label).any():
             label = label[label]
-    yield pd.DataFrame({"node": nodes, "root": nodes[label]})
+    return nodes, nodes[label]
 
 
 def _signature(e: DataFrame) -> tuple:

@@ -4,10 +4,12 @@ import brute  # noqa: F401
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lumidex.llm import nearcopies
 from lumidex.llm.common import groups_of
+from lumidex.llm.simhash import BKForest
 
 
 def plain_components(docs):
@@ -144,6 +146,52 @@ def test_rare_pairs_are_all_that_can_be_alike():
         assert got == want
 
 
+def test_a_fingerprint_is_the_majority_of_bits():
+    digests = np.unique(np.random.default_rng(3).integers(0, 1 << 64, 1300, np.uint64))
+    for n in (1, 2, 255, 256, 1021, len(digests)):
+        whole = nearcopies.fingerprint(digests[:n], 4)
+        assert (whole[:2] == nearcopies.fingerprint(digests[:n], 2)).all()
+        one = [nearcopies.fingerprint(digests[i : i + 1], 4) for i in range(n)]
+        for word in range(4):
+            for bit in range(0, 64, 7):
+                assert int(whole[word]) >> bit & 1 == (2 * sum(int(x[word]) >> bit & 1 for x in one) > n)
+    cells = [int(whole[i // 64]) >> i % 64 & 1 for i in range(256)]
+    assert nearcopies.places(whole, 9).tolist() == [(r << 9) + sum(cells[9 * r + i] << i for i in range(9)) for r in range(28)]
+
+
+def test_a_forest_is_searched_as_by_comparing_all():
+    rng = np.random.default_rng(0)
+    for _ in range(150):
+        n, words = int(rng.integers(1, 60)), int(rng.integers(1, 4))
+        shard, comp = np.sort(rng.integers(0, 5, n)), rng.integers(0, 4, n)
+        base = rng.integers(0, 1 << 64, (words, 4), np.uint64)
+        codes = [b[rng.integers(0, 4, n)] ^ (np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)) for b in base]
+        apart = sum(np.bitwise_count(c[:, None] ^ c[None, :]).astype(int) for c in codes)
+        radius = int(rng.integers(0, 70))
+        near = {(i, j) for i in range(n) for j in range(n) if i != j and shard[i] == shard[j] and apart[i, j] <= radius}
+        found = [tuple(x) for at, node in BKForest(shard, codes).within(np.arange(n), radius) for x in zip(at.tolist(), node.tolist())]
+        assert len(found) == len(near) and set(found) == near
+        wide = {(i, j) for i in range(n) for j in range(i) if shard[i] == shard[j] and comp[i] != comp[j] and apart[i, j] <= nearcopies.RADIUS}
+        assert {(max(x), min(x)) for at, node in nearcopies.pairs_across(shard, comp, codes) for x in zip(at.tolist(), node.tolist())} == wide
+
+
+@pytest.mark.parametrize("rows", [8192, 40])
+def test_trees_of_shards_find_pairs_at_eight_tenths(spark, monkeypatch, rows):
+    """Every pair meets in a shard, whole shards or parts of them, and nothing unlike is linked."""
+    monkeypatch.setattr(nearcopies, "TREE_ROWS", rows)
+    rng = random.Random(6)
+    docs = []
+    for group in range(150):
+        own = [f"g{group}w{i}" for i in range(rng.choice([8, 12, 40, 184]))]
+        docs.append((2 * group, " ".join(own)))
+        docs.append((2 * group + 1, " ".join([*own, *[f"n{group}x{i}" for i in range((len(own) - 4) // 4)]])))  # the likeness is 0.8
+    df = spark.createDataFrame([(k, t, "en", "a", len(t)) for k, t in docs], brute.SCHEMA)
+    marked = nearcopies._marked(df, "doc_id", "text", nearcopies.run_bits(len(docs)))
+    key = {r.code: r.key for r in marked.collect()}
+    links = {tuple(sorted((key[r.a], key[r.b]))) for r in nearcopies._shard_links(marked.withColumn("fam", F.col("code"))).collect()}
+    assert links == {(2 * g, 2 * g + 1) for g in range(150)}
+
+
 def test_groups_of_sorted_batches():
     rng = random.Random(2)
     for _ in range(200):

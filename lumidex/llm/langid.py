@@ -80,37 +80,24 @@ def _sigmoid_in_place(x: np.ndarray) -> None:
     x *= 0.5
 
 
-def _run(w: dict[str, np.ndarray], side: str, columns: np.ndarray, keep: bool = False, live: np.ndarray | None = None, start: np.ndarray | None = None) -> tuple[np.ndarray, list]:
-    """States of one direction, in that direction's order of steps: (steps, windows, hidden).
+def _run(w: dict[str, np.ndarray], side: str, columns: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, list]:
+    """States of one direction for training, from zero, in that direction's order of steps: (steps, windows, hidden), and what backpropagation needs of each step.
 
-    Where ``live`` (steps, windows) is false the state stays as it is, ``start`` (else zero) at first.
+    Where ``live`` (steps, windows) is false the state stays as it is.
     """
     ag, ac, ug, uc = (w[side + k] for k in ("ag", "ac", "ug", "uc"))
     hidden = ac.shape[1]
     steps, n = columns.shape
     states = np.empty((steps, n, hidden), ac.dtype)
-    h = np.zeros((n, hidden), ac.dtype) if start is None else start
-    g, u, c, m = (np.empty((n, k * hidden), ac.dtype) for k in (2, 2, 1, 1))
+    h = np.zeros((n, hidden), ac.dtype)
     tape = []
     for t in range(steps):
-        if keep:
-            g, c = np.empty_like(g), np.empty_like(c)
-        np.take(ag, columns[t], axis=0, out=g, mode="clip")
-        np.dot(h, ug, out=u)
-        g += u
+        g = ag[columns[t]] + h @ ug
         _sigmoid_in_place(g)
         z, r = g[:, :hidden], g[:, hidden:]
-        np.take(ac, columns[t], axis=0, out=c, mode="clip")
-        np.multiply(r, h, out=m)
-        c += m @ uc
-        np.tanh(c, out=c)
-        if keep:
-            tape.append((h, z, r, c))
-        np.subtract(c, h, out=m)
-        m *= z
-        if live is not None:
-            m *= live[t][:, None]
-        np.add(h, m, out=states[t])
+        c = np.tanh(ac[columns[t]] + (r * h) @ uc)
+        tape.append((h, z, r, c))
+        np.add(h, (c - h) * z * live[t][:, None], out=states[t])
         h = states[t]
     return states, tape
 
@@ -126,15 +113,67 @@ def _position_probabilities(w: dict[str, np.ndarray], forward: np.ndarray, backw
     return logits
 
 
-def _carried(w: dict[str, np.ndarray], side: str, columns: np.ndarray, live: np.ndarray | None, after: np.ndarray) -> np.ndarray:
-    """States of one direction as ``_run`` gives them, each window begun with the last state of the one before it: ``after`` names the next window, -1 if there is none."""
-    states, _ = _run(w, side, columns, live=live)
+@dataclass
+class _Direction:
+    """One direction's weights as ``_states`` wants them: the gates one after the other with their sign turned, and the candidate's."""
+
+    gates: np.ndarray
+    candidate: np.ndarray
+    from_state_gates: np.ndarray
+    from_state_candidate: np.ndarray
+
+
+def _direction(w: dict[str, np.ndarray], side: str) -> _Direction:
+    halves = lambda x: -np.stack(np.split(x, 2, axis=1))
+    return _Direction(halves(w[side + "ag"]), w[side + "ac"], halves(w[side + "ug"]), w[side + "uc"])
+
+
+def _states(d: _Direction, columns: np.ndarray, live: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
+    """States of one direction, in that direction's order of steps: (steps, windows, hidden).
+
+    In step ``t`` the first ``live[t]`` windows have a byte; the states of the others are zero. ``start``: the states before the first step, else zero.
+    Every array of a step is dense, as short strided rows take numpy many times longer, and each gate is ``1 / (1 + exp(-x))`` by which is divided.
+    """
+    steps, n = columns.shape
+    hidden = d.candidate.shape[1]
+    states = np.empty((steps, n, hidden), d.candidate.dtype)
+    h = np.zeros((n, hidden), d.candidate.dtype) if start is None else start
+    rooms = [np.empty(k * n * hidden, d.candidate.dtype) for k in (2, 2, 1, 1)]
+    with np.errstate(over="ignore"):  # a gate that is shut: x / inf is 0
+        for t in range(steps):
+            k = live[t]
+            at, before = columns[t, :k].astype(np.intp), h[:k]
+            g, u = (x[: 2 * k * hidden].reshape(2, k, hidden) for x in rooms[:2])
+            c, m = (x[: k * hidden].reshape(k, hidden) for x in rooms[2:])
+            for j in range(2):
+                np.take(d.gates[j], at, axis=0, out=g[j], mode="clip")
+                np.dot(before, d.from_state_gates[j], out=u[j])
+            g += u
+            np.exp(g, out=g)
+            g += 1
+            np.divide(before, g[1], out=m)
+            np.dot(m, d.from_state_candidate, out=c)
+            np.take(d.candidate, at, axis=0, out=m, mode="clip")
+            c += m
+            np.tanh(c, out=c)
+            c -= before
+            c /= g[0]
+            np.add(before, c, out=states[t, :k])
+            states[t, k:] = 0
+            h = states[t]
+    return states
+
+
+def _carried(d: _Direction, columns: np.ndarray, live: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """States of one direction as ``_states`` gives them, each window begun with the last state of the one before it: ``after`` names the next window, -1 if there is none."""
+    states = _states(d, columns, live)
     ends = np.flatnonzero(after >= 0)
     while len(ends):  # windows whose last state is news to the next one
+        ends = ends[np.argsort(after[ends])]
         at, h = after[ends], states[-1][ends]
         for t in range(0, len(columns), CHECKED):
             until = min(t + CHECKED, len(columns))
-            again, _ = _run(w, side, columns[t:until, at], live=None if live is None else live[t:until, at], start=h)
+            again = _states(d, columns[t:until, at], np.searchsorted(at, live[t:until]), start=h)
             moved = np.abs(again[-1] - states[until - 1, at]).max(axis=1) > NEAR
             states[t:until, at] = again
             at, h = at[moved], again[-1][moved]
@@ -144,6 +183,26 @@ def _carried(w: dict[str, np.ndarray], side: str, columns: np.ndarray, live: np.
     return states
 
 
+def _sums(w: dict[str, np.ndarray], forward: np.ndarray, backward: np.ndarray, live: np.ndarray, counts: np.ndarray | None) -> np.ndarray:
+    """Each window's distributions of its positions added up, (windows, languages): of all, or of the steps from ``counts[0]`` up to ``counts[1]``.
+
+    Languages come first while they are added up: a maximum or a sum over the few languages of one position is slow.
+    """
+    sums = np.zeros((len(w["b"]), forward.shape[1]))
+    for t in range(len(forward)):
+        k = live[t]
+        logits = forward[t, :k] @ w["vf"]
+        logits += backward[t, :k] @ w["vb"]
+        p = np.add(logits.T, w["b"][:, None], order="C")
+        p -= p.max(axis=0)
+        np.exp(p, out=p)
+        p /= p.sum(axis=0)
+        if counts is not None:
+            p *= (counts[0, :k] <= t) & (t < counts[1, :k])
+        sums[:, :k] += p
+    return sums.T
+
+
 def document_probabilities(net: Network, texts: list[bytes]) -> np.ndarray:
     """The mean over all positions of each text; zeros for an empty text."""
     total = np.zeros((len(texts), len(net.langs)))
@@ -169,22 +228,23 @@ def _add_strips(net: Network, texts: list[bytes], part: list[tuple[int, int, int
     """Adds up the distributions of the strips' positions that count; strips are in order of length, the longest first."""
     steps = min(WINDOW, part[0][2] - part[0][1])
     spans = [(k, lo, min(lo + steps, s[2])) for k, s in enumerate(part) for lo in range(s[1], s[2], steps)]
-    owner = np.array([k for k, _, _ in spans])
-    lo, hi = (np.array([x[j] for x in spans]) for j in (1, 2))
-    columns = np.frombuffer(b"".join(texts[part[k][0]][a:b].ljust(steps, b"\0") for k, a, b in spans), np.uint8).reshape(-1, steps).T
-    step = np.arange(steps)[:, None]
-    live = None if (hi - lo == steps).all() else step < (hi - lo)[None, :]
-    same = owner[1:] == owner[:-1]
-    follows = np.where(np.r_[same, False], np.arange(1, len(spans) + 1), -1)
-    leads = np.where(np.r_[False, same], np.arange(-1, len(spans) - 1), -1)
-    forward = _carried(net.weights, "f", np.ascontiguousarray(columns), live, follows)
+    owner, lo, hi = (np.array([x[j] for x in spans]) for j in range(3))
+    # whole windows first, so that those with a byte in a step are always the first ones and no step is done on padding
+    order = np.argsort(lo - hi, kind="stable")
+    rank = np.empty(len(spans) + 1, np.int64)
+    rank[order], rank[-1] = np.arange(len(spans)), -1
+    same = np.r_[owner[1:] == owner[:-1], False]
+    follows = rank[np.where(same, np.arange(1, len(spans) + 1), -1)][order]
+    leads = rank[np.where(np.r_[False, same[:-1]], np.arange(-1, len(spans) - 1), -1)][order]
+    owner, lo, hi = owner[order], lo[order], hi[order]
+    columns = np.frombuffer(b"".join(texts[part[k][0]][a:b].ljust(steps, b"\0") for k, a, b in zip(owner, lo, hi)), np.uint8).reshape(-1, steps).T
+    live = np.searchsorted(lo - hi, -np.arange(steps))
+    forward = _carried(_direction(net.weights, "f"), np.ascontiguousarray(columns), live, follows)
     # the padding of a last window comes first backward, and leaves the state at zero
-    backward = _carried(net.weights, "r", np.ascontiguousarray(columns[::-1]), None if live is None else live[::-1], leads)
-    p = _position_probabilities(net.weights, forward, backward[::-1])
+    backward = _carried(_direction(net.weights, "r"), np.ascontiguousarray(columns[::-1]), live[::-1], leads)
     first, last = (np.array([part[k][j] for k in owner]) for j in (3, 4))
-    place = lo[None, :] + step
-    p[(place < first) | (place >= np.minimum(last, hi))] = 0
-    np.add.at(total, [part[k][0] for k in owner], p.sum(axis=0, dtype=np.float64))
+    counts = None if (first <= lo).all() and (hi <= last).all() else np.stack([first - lo, last - lo])
+    np.add.at(total, [part[k][0] for k in owner], _sums(net.weights, forward, backward[::-1], live, counts))
 
 
 def train(texts: list[bytes], labels: list[str], steps: int = 400, batch: int = 256, rate: float = 0.02, seed: int = 7) -> Network:
@@ -220,7 +280,7 @@ def _gradients(w: dict[str, np.ndarray], rows: np.ndarray, filled: np.ndarray, t
     live = np.arange(steps)[:, None] < filled[None, :]
     # the padding comes after the text; backward it comes first and leaves the state at zero
     runs, lives = {"f": columns, "r": columns[::-1]}, {"f": live, "r": live[::-1]}
-    out = {s: _run(w, s, c, keep=True, live=lives[s]) for s, c in runs.items()}
+    out = {s: _run(w, s, c, lives[s]) for s, c in runs.items()}
     d = _position_probabilities(w, out["f"][0], out["r"][0][::-1])
     d[:, np.arange(len(target)), target] -= 1
     d[~live] = 0

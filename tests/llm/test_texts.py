@@ -439,6 +439,23 @@ def test_states_are_carried_as_far_as_they_reach():
         assert np.abs(p - brute.position_probabilities(w, t).mean(axis=0)).max() < 1e-4
 
 
+def test_no_step_is_done_on_padding(monkeypatch):
+    """Activations that are computed, against those of the bytes alone, for texts that leave most of their last window empty."""
+    rng = np.random.default_rng(8)
+    texts = [bytes(rng.integers(97, 120, n).astype(np.uint8)) for n in [600] * 20 + [1100] * 20]
+    net = langid.train(texts[:4], list("abcd"), steps=2)
+    done = []
+
+    class Counting:
+        def __getattr__(self, name):
+            use = getattr(np, name)
+            return (lambda x, **k: done.append(x.size) or use(x, **k)) if name in ("tanh", "exp") else use
+
+    monkeypatch.setattr(langid, "np", Counting())
+    langid.document_probabilities(net, texts)
+    assert sum(done) < 1.25 * (2 * 3 * langid.HIDDEN + 4) * sum(map(len, texts))
+
+
 def test_training_rows_are_bounded(spark):
     docs = spark.range(3000).selectExpr("id AS doc_id", "repeat('ab ', 200) AS text", "if(id % 3 = 0, 'hot', concat('l', id % 40)) AS lang")
     counts = {r.lang: r["count"] for r in langid.training_pieces(docs, docs_per_lang=20).groupBy("lang").count().collect()}

@@ -47,87 +47,86 @@ def _check(digest: Column) -> Column:
     return F.xxhash64(digest, F.lit(3)).bitwiseAND(F.lit(_LOW32))
 
 
-def _entry(digest: Column, sign: Column, place: Column) -> Column:
-    """What one digest adds to a cell."""
-    return F.struct(place.cast("int").alias("c"), sign.cast("long").alias("n"), digest.alias("k"), _check(digest).alias("h"))
-
-
-def _places(digest: Column, cells: Column) -> Column:
-    """The digest's three cells."""
-    third = (cells / 3).cast("int")
-    return F.array(*[F.lit(j) * third + F.pmod(F.xxhash64(digest, F.lit(j)), third).cast("int") for j in range(3)])
-
-
-def _sum(a: Column, b: Column) -> Column:
-    return F.struct(a["c"].alias("c"), (a["n"] + b["n"]).alias("n"), a["k"].bitwiseXOR(b["k"]).alias("k"), a["h"].bitwiseXOR(b["h"]).alias("h"))
-
-
 def _full(cell: Column) -> Column:
     return (cell["n"] != 0) | (cell["k"] != 0) | (cell["h"] != 0)
 
 
-def _added(entries: Column, entry, needs: Column | None = None) -> Column:
-    """Cells that are not empty, from entries written as longs: the place above 32 bits, below them a number that ``entry(place, number)`` looks up.
+def _added(entries: Column, sign, digest, check, needs: Column | None = None) -> Column:
+    """Cells that are not empty, from entries written as longs: the place above 32 bits, below them a number.
 
-    Longs sort far faster than cells. Only places whose least number is below ``needs`` count, if it is given. Linear but for the sort.
+    ``sign(number)`` (None: all are 1), ``digest(number)`` and ``check(number)`` look up what an entry adds to its cell. Longs sort and add up far faster than cells.
+    Only places whose least number is below ``needs`` count, if it is given. Linear but for the sort.
     """
-    place, number = (lambda x: F.shiftright(x, 32)), (lambda x: x.bitwiseAND(F.lit(_LOW32)))
+    place, number = (lambda x: F.shiftright(x, 32)), (lambda x: x.bitwiseAND(F.lit(_LOW32)).cast("int"))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
 
     def cells(e: Column) -> Column:
-        one = lambda i: entry(place(e[i]), number(e[i]))
+        made = lambda i, n, k, h: F.struct(place(e[i]).cast("int").alias("c"), n.alias("n"), k.alias("k"), h.alias("h"))
+        alone = lambda i: let(number(e[i]), lambda x: made(i, one if sign is None else sign(x), digest(x), check(x)))
+        xored = lambda xs, of: F.aggregate(xs, zero, lambda t, x: t.bitwiseXOR(of(number(x))))
+
+        def several(i: Column, xs: Column) -> Column:
+            n = F.size(xs).cast("long") if sign is None else F.aggregate(xs, zero, lambda t, x: t + sign(number(x)))
+            return let(made(i, n, xored(xs, digest), xored(xs, check)), lambda c: F.when(_full(c), c))
 
         def cell(first: Column, until: Column) -> Column:
-            several = F.aggregate(F.sequence(first + 1, F.greatest(until - 1, first + 1)), one(first), lambda a, i: _sum(a, one(i)))
-            made = F.when(until - first == 1, one(first)).otherwise(several)
-            return made if needs is None else F.when(number(e[first]) < needs, made)
+            made_ = F.when(until - first == 1, alone(first)).otherwise(let(F.slice(e, first + 1, until - first), lambda xs: several(first, xs)))
+            return made_ if needs is None else F.when(number(e[first]) < needs, made_)
 
-        firsts = F.filter(F.sequence(F.lit(0), F.size(e) - 1), lambda i: (i == 0) | (place(e[i]) != place(e[F.greatest(i - 1, F.lit(0))])))
-        made = let(firsts, lambda p: F.transform(p, lambda first, j: cell(first, F.when(j + 1 < F.size(p), F.get(p, j + 1)).otherwise(F.size(e)))))
-        return F.filter(made, lambda x: x.isNotNull() & _full(x))
+        firsts = F.filter(F.sequence(F.lit(0), F.size(e) - 1), lambda i: F.when(i == 0, True).otherwise(place(e[i]) != place(e[i - 1])))
+        # the end stands behind the last place, so that each place finds the next one
+        ends = F.concat(firsts, F.array(F.size(e)))
+        return let(ends, lambda p: F.transform(F.slice(p, 1, F.size(p) - 1), lambda first, j: cell(first, p[j + 1])))
 
-    return let(F.sort_array(entries), lambda e: F.when(F.size(e) == 0, F.array().cast(_CELL)).otherwise(cells(e)))
+    return F.filter(let(F.sort_array(entries), lambda e: F.when(F.size(e) == 0, F.array().cast(_CELL)).otherwise(cells(e))), lambda x: x.isNotNull())
 
 
-def _numbered(digests: Column, cells: Column, after: Column) -> Column:
-    """The entries of digests in all their places, numbered on from ``after``."""
-    return F.flatten(F.transform(digests, lambda d, i: F.transform(_places(d, cells), lambda c: F.shiftleft(c.cast("long"), 32).bitwiseOR((after + i).cast("long")))))
+def _numbered(digests: Column, third: Column, after: Column) -> Column:
+    """The entries of digests in their three cells of a sketch of three times ``third``, one in each third, numbered on from ``after``."""
+    place = lambda d, j: F.pmod(F.xxhash64(d, F.lit(j)), third) + (F.lit(j) * third if j else F.lit(0))
+    entries = lambda d, n: F.array(*[F.shiftleft(place(d, j), 32).bitwiseOR(n) for j in range(3)])
+    return F.flatten(F.transform(digests, lambda d, i: entries(d, (after + i).cast("long"))))
 
 
 def _subtracted(a: Column, b: Column) -> Column:
     """The difference of two sketches given as cells."""
     both = F.concat(a, F.transform(b, lambda x: F.struct(x["c"].alias("c"), (-x["n"]).alias("n"), x["k"].alias("k"), x["h"].alias("h"))))
-    return let(both, lambda x: _added(F.transform(x, lambda y, i: F.shiftleft(y["c"].cast("long"), 32).bitwiseOR(i.cast("long"))), lambda _, n: x[n.cast("int")]))
+    return let(both, lambda x: _added(F.transform(x, lambda y, i: F.shiftleft(y["c"].cast("long"), 32).bitwiseOR(i.cast("long"))), *[lambda i, f=f: x[i][f] for f in "nkh"]))
+
+
+def _checked(digests: Column, use) -> Column:
+    """Hands on the digests and their checksums, each computed once."""
+    return let(F.struct(digests.alias("d"), F.transform(digests, _check).alias("h")), lambda x: use(x["d"], x["h"]))
 
 
 def sketch(digests: Column) -> Column:
     """The fingerprint's sketch of distinct digests, of ``CELLS`` cells."""
-    return let(digests, lambda d: _added(_numbered(d, F.lit(CELLS), F.lit(0)), lambda c, n: _entry(d[n.cast("int")], F.lit(1), c)))
+    return _checked(digests, lambda d, h: _added(_numbered(d, F.lit(CELLS // 3).cast("long"), F.lit(0)), None, lambda i: d[i], lambda i: h[i]))
 
 
-def _difference(a: Column, b: Column, cells: Column) -> Column:
+def _difference(a: Column, b: Column, third: Column) -> Column:
     """The sketch of ``a`` less that of ``b``: sketches are sums, so the entries of ``b`` go in with their sign turned."""
     size = F.size(a)
-
-    def made(both: Column) -> Column:
-        entry = lambda c, n: _entry(both[n.cast("int")], F.when(n < size, 1).otherwise(-1), c)
-        return _added(_numbered(both, cells, F.lit(0)), entry)
-
-    return let(F.concat(a, b), made)
+    return _checked(F.concat(a, b), lambda d, h: _added(_numbered(d, third, F.lit(0)), lambda i: F.when(i < size, 1).otherwise(-1).cast("long"), lambda i: d[i], lambda i: h[i]))
 
 
-def _peeled(difference: Column, cells: Column) -> Column:
+def _peeled(difference: Column, third: Column) -> Column:
     """``done, found``: whether peeling empties the sketch, and how many digests it takes out.
 
     A cell with one digest is empty without it, so only the other cells are added up again; and not even those
-    if all cells add up to what was taken out, each digest thrice: then nothing else is left in them.
+    if all cells add up to what was taken out, each digest thrice: then nothing else is left in them. A sketch without such a cell is
+    given up at once, so that no later round carries it along.
     """
-    start = F.struct(difference.alias("cells"), F.lit(0).alias("found"), (F.size(difference) > 0).alias("live"))
+    none = F.array().cast(_CELL)
+    start = F.struct(difference.alias("cells"), F.lit(0).alias("found"), F.lit(False).alias("stuck"))
     pure = lambda x: (F.abs(x["n"]) == 1) & (x["h"] == _check(x["k"]))
+    xored = lambda values, of: F.aggregate(values, F.lit(0).cast("long"), lambda t, x: t.bitwiseXOR(of(x)))
 
     def step(acc: Column, _: Column) -> Column:
         def parted(single: Column) -> Column:
             keys = lambda n: F.array_distinct(F.transform(F.filter(single, lambda x: x["n"] == n), lambda x: x["k"]))
-            rest = F.when(F.size(single) == F.size(acc["cells"]), F.array().cast(_CELL)).otherwise(F.filter(acc["cells"], lambda x: ~pure(x)))
+            some = F.size(single)
+            rest = F.when((some == 0) | (some == F.size(acc["cells"])), none).otherwise(F.filter(acc["cells"], lambda x: ~pure(x)))
             return F.struct(rest.alias("rest"), keys(1).alias("more"), keys(-1).alias("less"))
 
         found = let(F.filter(acc["cells"], pure), parted)
@@ -138,25 +137,21 @@ def _peeled(difference: Column, cells: Column) -> Column:
 
             def left(keys: Column) -> Column:
                 held = F.transform(f["rest"], lambda x, i: F.shiftleft(x["c"].cast("long"), 32).bitwiseOR(i.cast("long")))
-                gone = lambda c, i: _entry(keys[i], F.when(i < n_more, -1).otherwise(1), c)
-                entry = lambda c, n: F.when(n < n_rest, f["rest"][F.least(n.cast("int"), n_rest - 1)]).otherwise(gone(c, F.greatest(n.cast("int") - n_rest, F.lit(0))))
-                return _added(F.concat(held, _numbered(keys, cells, n_rest)), entry, n_rest)
+                of = lambda kept, gone: lambda i: F.when(i < n_rest, kept(i)).otherwise(gone(i - n_rest))
+                sign = of(lambda i: f["rest"][i]["n"], lambda i: F.when(i < n_more, -1).otherwise(1).cast("long"))
+                return _added(F.concat(held, _numbered(keys, third, n_rest)), sign, of(lambda i: f["rest"][i]["k"], lambda i: keys[i]), of(lambda i: f["rest"][i]["h"], lambda i: _check(keys[i])), n_rest)
 
             def remaining(keys: Column) -> Column:
-                zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("h"))
-                add = lambda t, n, k, h: F.struct((t["n"] + n).alias("n"), t["k"].bitwiseXOR(k).alias("k"), t["h"].bitwiseXOR(h).alias("h"))
-                held = F.aggregate(acc["cells"], zero, lambda t, x: add(t, x["n"], x["k"], x["h"]))
-                taken_out = F.aggregate(keys, zero, lambda t, k: add(t, F.lit(0).cast("long"), k, _check(k)))
-                counted = (3 * (n_more - F.size(f["less"]))).cast("long")
-                all_out = let(F.struct(held.alias("a"), taken_out.alias("b")), lambda x: (x["a"]["k"] == x["b"]["k"]) & (x["a"]["h"] == x["b"]["h"]) & (x["a"]["n"] == counted))
-                return F.when(all_out, F.array().cast(_CELL)).otherwise(left(keys))
+                counted = F.aggregate(acc["cells"], F.lit(0).cast("long"), lambda t, x: t + x["n"]) == 3 * (n_more - F.size(f["less"]))
+                all_out = counted & (xored(acc["cells"], lambda x: x["k"]) == xored(keys, lambda k: k)) & (xored(acc["cells"], lambda x: x["h"]) == xored(keys, _check))
+                return F.when(all_out, none).otherwise(left(keys))
 
-            cells_ = F.when((n_rest == 0) | (size == 0), f["rest"]).otherwise(let(F.concat(f["more"], f["less"]), remaining))
-            return let(cells_, lambda r: F.struct(r.alias("cells"), (acc["found"] + size).alias("found"), ((size > 0) & (F.size(r) > 0)).alias("live")))
+            cells_ = F.when((n_rest == 0) | (size == 0), none).otherwise(let(F.concat(f["more"], f["less"]), remaining))
+            return F.struct(cells_.alias("cells"), (acc["found"] + size).alias("found"), (size == 0).alias("stuck"))
 
-        return F.when(acc["live"], let(found, taken)).otherwise(acc)
+        return F.when(F.size(acc["cells"]) > 0, let(found, taken)).otherwise(acc)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda acc: F.struct((F.size(acc["cells"]) == 0).alias("done"), acc["found"].alias("found")))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda acc: F.struct(((F.size(acc["cells"]) == 0) & ~acc["stuck"]).alias("done"), acc["found"].alias("found")))
 
 
 def with_likeness(df: DataFrame, out: str, a: str, b: str, sketch_a: str, sketch_b: str, attempts: str | None = None) -> DataFrame:
@@ -173,15 +168,15 @@ def with_likeness(df: DataFrame, out: str, a: str, b: str, sketch_a: str, sketch
 
     def attempt(d: Column) -> Column:
         squares = F.aggregate(d, F.lit(0.0), lambda s, x: s + x["n"] * x["n"])
-        return let(_peeled(d, F.lit(CELLS)), lambda r: F.struct(r["done"].alias("done"), r["found"].alias("found"), squares.alias("squares")))
+        return let(_peeled(d, F.lit(CELLS // 3).cast("long")), lambda r: F.struct(r["done"].alias("done"), r["found"].alias("found"), squares.alias("squares")))
 
     apart = (size_a - size_b).cast("double")
     guess = (F.col(f"{first}.squares") - 9 * apart * apart / CELLS) / 3
     guess = F.least(F.greatest(guess, F.abs(apart), F.lit(8.0)), (size_a + size_b).cast("double"))
 
     def again(acc: Column, i: Column) -> Column:
-        cells = F.least(3 * F.ceil(EACH * F.col(expected) / 3) * F.pow(F.lit(2), i - 1), F.lit(float(MOST_CELLS))).cast("int")
-        peeled = let(_difference(F.col(a), F.col(b), cells), lambda d: _peeled(d, cells))
+        third = F.least(F.ceil(EACH * F.col(expected) / 3) * F.pow(F.lit(2), i - 1), F.lit(float(MOST_CELLS // 3))).cast("long")
+        peeled = let(third, lambda n: let(_difference(F.col(a), F.col(b), n), lambda d: _peeled(d, n)))
         return F.when(acc["done"], acc).otherwise(let(peeled, lambda r: F.struct(r["done"].alias("done"), r["found"].alias("found"), (i + 1).alias("sketches"))))
 
     rows = df.withColumn(first, let(_subtracted(F.col(sketch_a), F.col(sketch_b)), attempt)).withColumn(expected, guess)

@@ -517,6 +517,22 @@ def test_peeling_finds_every_difference(spark):
         assert abs(r.near - (len(x & y) / len(x | y) if x | y else 1.0)) < 1e-12
 
 
+def test_the_size_of_a_retry_is_computed_once(spark):
+    """And not for each digest and place again: the power in it stands once in the plan for each retry."""
+    df = spark.createDataFrame([([1, 2], [2, 3])], "a array<long>, b array<long>")
+    df = df.withColumns({"sa": ibf.sketch(F.col("a")), "sb": ibf.sketch(F.col("b"))})
+    plan = ibf.with_likeness(df, "near", "a", "b", "sa", "sb")._jdf.queryExecution().analyzed().toString()
+    assert plan.lower().count("power(") == 1
+
+
+def test_peeling_gives_up_a_sketch_without_a_single_digest(spark):
+    """Too many digests for its cells: not done, nor after a digest that can be taken out."""
+    many = list(range(1, 400))
+    df = spark.createDataFrame([(many,), ([5, 6],), ([],)], "a array<long>")
+    made = ibf._peeled(ibf.sketch(F.col("a")), F.lit(ibf.CELLS // 3).cast("long"))
+    assert [r.p.done for r in df.select(made.alias("p")).collect()] == [False, True, True]
+
+
 def plain_sketch(digests):
     """The cells of a fingerprint added up one by one, with the hashes as Spark gives them."""
     cells = {}
